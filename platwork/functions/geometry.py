@@ -190,25 +190,34 @@ def segments_meet(a: Column, b: Column) -> Column:
     return boxes & straddles(a, b) & straddles(b, a)
 
 
-def point_segment_sq(px: Column, py: Column, e: Column) -> Column:
-    """Squared distance of a point to a segment."""
+def _near(px: Column, py: Column, e: Column, limit_sq: Column, strict: bool) -> Column:
+    """Is a point within a distance of a segment? Free of division, so exact on grid data."""
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    share = F.coalesce(
-        F.try_divide((px - e["x1"]) * dx + (py - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0)
+    along = (px - e["x1"]) * dx + (py - e["y1"]) * dy
+    span = dx * dx + dy * dy
+    off = _turn(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
+
+    def small(value: Column, bound: Column) -> Column:
+        return value < bound if strict else value <= bound
+
+    from_start = (px - e["x1"]) * (px - e["x1"]) + (py - e["y1"]) * (py - e["y1"])
+    from_end = (px - e["x2"]) * (px - e["x2"]) + (py - e["y2"]) * (py - e["y2"])
+    return (
+        F.when(along <= 0, small(from_start, limit_sq))
+        .when(along >= span, small(from_end, limit_sq))
+        .otherwise(small(off * off, limit_sq * span))
     )
-    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    qx, qy = e["x1"] + share * dx - px, e["y1"] + share * dy - py
-    return qx * qx + qy * qy
-
-
-def segment_distance_sq(a: Column, b: Column) -> Column:
-    return F.when(segments_meet(a, b), F.lit(0.0)).otherwise(
-        F.least(
-            point_segment_sq(a["x1"], a["y1"], b),
-            point_segment_sq(a["x2"], a["y2"], b),
-            point_segment_sq(b["x1"], b["y1"], a),
-            point_segment_sq(b["x2"], b["y2"], a),
-        )
+
+
+def segments_near(a: Column, b: Column, reach: Column, strict: bool = False) -> Column:
+    """Do two segments come within a distance of each other?"""
+    limit = reach * reach
+    return (
+        segments_meet(a, b)
+        | _near(a["x1"], a["y1"], b, limit, strict)
+        | _near(a["x2"], a["y2"], b, limit, strict)
+        | _near(b["x1"], b["y1"], a, limit, strict)
+        | _near(b["x2"], b["y2"], a, limit, strict)
     )
 
 
@@ -250,21 +259,23 @@ def within_distance(
     return (
         F.exists(
             edges_a,
-            lambda a: F.exists(edges_b, lambda b: segment_distance_sq(a, b) <= reach * reach),
+            lambda a: F.exists(edges_b, lambda b: segments_near(a, b, reach)),
         )
         | _holds_start_of(kind_a, edges_a, edges_b)
         | _holds_start_of(kind_b, edges_b, edges_a)
     )
 
 
-def distance_sq(edges_a: Column, edges_b: Column) -> Column:
-    """Smallest squared distance between two edge sets (containment not considered)."""
-    return F.array_min(
-        F.transform(
-            edges_a,
-            lambda a: F.array_min(F.transform(edges_b, lambda b: segment_distance_sq(a, b))),
-        )
+def covers_buffer(polygon: Column, line: Column, reach: Column) -> Column:
+    """Does a polygon cover a line widened by a distance (common border allowed)?
+
+    The line must start inside and no border edge may come closer than the distance.
+    """
+    clear = ~F.exists(
+        line, lambda a: F.exists(polygon, lambda b: segments_near(a, b, reach, strict=True))
     )
+    start = F.element_at(line, 1)
+    return clear & point_in_polygon(polygon, start["x1"], start["y1"])
 
 
 # --- overlay area -----------------------------------------------------------------

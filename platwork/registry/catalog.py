@@ -1,7 +1,11 @@
-"""All registered queries."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-from platwork.registry import grid_queries
+from platwork.registry import (
+    grid_queries,
+    oracle_vector,  # noqa: F401  (registers its statements)
+    vector_queries,
+)
 
-QUERIES = {**grid_queries.QUERIES}
+QUERIES = {**grid_queries.QUERIES, **vector_queries.QUERIES}
