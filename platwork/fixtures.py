@@ -6,11 +6,11 @@ packages of 50 m strips, so that grid work always runs over many packages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.functions.geometry import box_geom, line_geom, point_geom, ring_geom
-from platwork.model import LAND_USES
+from platwork.functions.geometry import box_geom, line_geom, point_geom, raised, ring_geom
+from platwork.model import GEOMETRY, LAND_USES
 
 STRIP = 50
 NODATA = -9999.0
@@ -117,101 +117,112 @@ def semantics(grid_table: DataFrame) -> DataFrame:
 
 # --- vector tables ------------------------------------------------------------
 
-
-def _land_use(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(u) for u in LAND_USES]), (index + 1).cast("int"))
+_USES = "array(" + ", ".join(f"'{u}'" for u in LAND_USES) + ")"
 
 
 def zones(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    x, y = (key % 10) * 10.0, F.floor(key / 10) * 15.0
-    use = _land_use(F.col("s_nationkey") % 9)
     return (
         table(spark, folder, "supplier")
-        .filter(key % 13 != 5)
-        .select(
-            F.lit("city").alias("package_id"),
-            F.concat(F.lit("z"), key).alias("zone_id"),
-            box_geom(x, y, x + 10.0, y + 15.0).alias("geom"),
-            use.alias("land_use"),
-            ((key % 5 + 1) * 20.0).alias("block_w"),
-            ((key % 4 + 1) * 30.0).alias("block_h"),
-            (key % 3 != 0).alias("allow_demolition"),
-            F.when(
-                use.isin("residential", "residential_commercial") & (key % 4 == 1),
-                F.create_map(F.lit("trip_rate"), key / 8.0),
-            ).alias("overrides"),
+        .filter("s_suppkey % 13 != 5")
+        .selectExpr(
+            "s_suppkey AS key",
+            "s_suppkey % 10 * 10D AS x",
+            "s_suppkey div 10 * 15D AS y",
+            f"{_USES}[s_nationkey % 9] AS land_use",
+        )
+        .selectExpr(
+            "'city' AS package_id",
+            "concat('z', key) AS zone_id",
+            f"{box_geom('x', 'y', 'x + 10', 'y + 15')} AS geom",
+            "land_use",
+            "(key % 5 + 1) * 20D AS block_w",
+            "(key % 4 + 1) * 30D AS block_h",
+            "key % 3 != 0 AS allow_demolition",
+            "CASE WHEN land_use IN ('residential', 'residential_commercial') AND key % 4 = 1 "
+            "THEN map('trip_rate', key / 8D) END AS overrides",
         )
     )
 
 
-def _object_frame() -> tuple[Column, Column, Column, Column]:
-    key = F.col("p_partkey")
-    x = (key * 37 % 400) / 4.0
-    y = F.floor(key * 3 / 10) / 4.0
-    return x, y, (F.col("p_size") % 8 + 1) / 4.0, (key % 5 + 1) / 4.0
+def _footprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Part rows with the frame of their footprint: x, y, w, h."""
+    return table(spark, folder, "part").selectExpr(
+        "'city' AS package_id",
+        "p_partkey AS key",
+        "p_size",
+        "floor(p_retailprice) / 8D AS ground_z",
+        "(p_partkey * 37 % 400) / 4D AS x",
+        "(p_partkey * 3 div 10) / 4D AS y",
+        "(p_size % 8 + 1) / 4D AS w",
+        "(p_partkey % 5 + 1) / 4D AS h",
+    )
+
+
+PLAIN = box_geom("x", "y", "x + w", "y + h")
+TRIANGLE = ring_geom([("x", "y"), ("x + w", "y"), ("x", "y + h"), ("x", "y")])
+BOWTIE = ring_geom([("x", "y"), ("x + w", "y + h"), ("x + w", "y"), ("x", "y + h"), ("x", "y")])
+DIAGONAL = line_geom([("x", "y"), ("x + w", "y + h")])
 
 
 def objects(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("p_partkey")
-    x, y, w, h = _object_frame()
-    ground = F.floor("p_retailprice") / 8.0
-    return table(spark, folder, "part").select(
-        F.lit("city").alias("package_id"),
-        F.concat(F.lit("b"), key).alias("object_id"),
-        F.when(key % 2 == 0, box_geom(x, y, x + w, y + h))
-        .otherwise(ring_geom([(x, y), (x + w, y), (x, y + h), (x, y)]))
-        .alias("geom"),
-        ground.alias("ground_z"),
-        F.when(key % 7 != 0, ground - F.col("p_size") / 4.0).alias("foundation_z"),
+    return _footprints(spark, folder).selectExpr(
+        "package_id",
+        "concat('b', key) AS object_id",
+        f"CASE WHEN key % 2 = 0 THEN {PLAIN} ELSE {TRIANGLE} END AS geom",
+        "ground_z",
+        "CASE WHEN key % 7 != 0 THEN ground_z - p_size / 4D END AS foundation_z",
     )
 
 
-def corridor_columns() -> list[Column]:
+def corridors_of(events: DataFrame, *extra: str) -> DataFrame:
     """Corridor requests out of event rows; shared by the batch and stream forms."""
-    key = F.col("event_id")
-    x0 = (F.col("user_id") * 13 % 360) / 4.0
-    y0 = F.floor(key * 6 / 100) / 4.0
-    x1 = x0 + (key % 8) / 4.0 + 0.5
-    y1 = y0 + (key % 5) / 4.0
-    kind = F.col("event_type")
-    mode = (
-        F.when(kind.isin("click", "view"), "surface")
-        .when(kind.isin("purchase", "error"), "elevated")
-        .when(kind == "signup", "tunnel")
-        .otherwise("surface")
-    )
-    assets = (
-        F.when(kind == "error", F.array(F.lit("elevated"), F.lit("surface")))
-        .when(kind == "signup", F.array(F.lit("tunnel")))
-        .otherwise(F.array(F.lit("elevated"), F.lit("surface"), F.lit("tunnel")))
+    return (
+        events.selectExpr(
+            "*",
+            "(user_id * 13 % 360) / 4D AS x0",
+            "(event_id * 6 div 100) / 4D AS y0",
+            "(event_id % 8) / 4D + 0.5D AS dx",
+            "(event_id % 5) / 4D AS dy",
+        )
+        .selectExpr(
+            *extra,
+            "'city' AS package_id",
+            "concat('c', event_id) AS corridor_id",
+            "'plane' AS space_id",
+            line_geom(
+                [("x0", "y0"), ("x0 + dx", "y0 + dy"), ("x0 + dx + 0.5D", "y0 + dy - 0.25D")]
+            )
+            + " AS geom",
+            "(event_id % 4 + 1) / 8D AS radius",
+            "CASE event_type WHEN 'purchase' THEN 'elevated' WHEN 'error' THEN 'elevated' "
+            "WHEN 'signup' THEN 'tunnel' ELSE 'surface' END AS requested_mode",
+            "CASE event_type WHEN 'error' THEN array('elevated', 'surface') "
+            "WHEN 'signup' THEN array('tunnel') "
+            "ELSE array('elevated', 'surface', 'tunnel') END AS asset_modes",
+            "CASE WHEN event_id % 5 = 0 THEN 100D END AS minimum_z",
+            "if(event_id % 50 = 0, 'r0', 'r1') AS expected_revision",
+        )
     )
-    return [
-        F.lit("city").alias("package_id"),
-        F.concat(F.lit("c"), key).alias("corridor_id"),
-        F.lit("plane").alias("space_id"),
-        line_geom([(x0, y0), (x1, y1), (x1 + 0.5, y1 - 0.25)]).alias("geom"),
-        ((key % 4 + 1) / 8.0).alias("radius"),
-        mode.alias("requested_mode"),
-        assets.alias("asset_modes"),
-        F.when(key % 5 == 0, 100.0).alias("minimum_z"),
-        F.when(key % 50 == 0, "r0").otherwise("r1").alias("expected_revision"),
-    ]
 
 
 def corridors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(*corridor_columns())
+    return corridors_of(table(spark, folder, "events"))
 
 
 def protected(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("n_nationkey").cast("long")
     high = plane_height(spark, folder)
-    x = (key * 17 % 96).cast("double")
-    y = F.floor(key * high / 25).cast("double")
-    return table(spark, folder, "nation").select(
-        F.lit("city").alias("package_id"),
-        F.concat(F.lit("n"), key).alias("area_id"),
-        box_geom(x, y, x + 3.0, y + 2.0).alias("geom"),
+    return (
+        table(spark, folder, "nation")
+        .selectExpr(
+            "n_nationkey AS key",
+            "double(n_nationkey * 17 % 96) AS x",
+            f"double(n_nationkey * {high}L div 25) AS y",
+        )
+        .selectExpr(
+            "'city' AS package_id",
+            "concat('n', key) AS area_id",
+            f"{box_geom('x', 'y', 'x + 3', 'y + 2')} AS geom",
+        )
     )
 
 
@@ -221,112 +232,137 @@ def snapshot_header(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "region")
         .groupBy()
         .agg(F.count("*").alias("n"))
-        .select(
-            F.lit("city").alias("package_id"),
-            F.lit("r1").alias("revision"),
-            F.lit("plane").alias("space_id"),
-            (F.col("n") > 0).alias("existing_data_complete"),
-            F.lit("v1").alias("rules_version"),
-            F.lit(0.25).alias("control_buffer"),
-            F.lit(3.0).alias("minimum_cover"),
-            F.lit(2.0).alias("foundation_clearance"),
-            F.lit(4.0).alias("outer_height"),
+        .selectExpr(
+            "'city' AS package_id",
+            "'r1' AS revision",
+            "'plane' AS space_id",
+            "n > 0 AS existing_data_complete",
+            "'v1' AS rules_version",
+            "0.25D AS control_buffer",
+            "3D AS minimum_cover",
+            "2D AS foundation_clearance",
+            "4D AS outer_height",
         )
     )
 
 
 def boundary_records(spark: SparkSession, folder: str) -> DataFrame:
     """Two boundary layers: footprints of every third part, and one lost record."""
-    key = F.col("p_partkey")
-    x, y, w, h = _object_frame()
-    bowtie = ring_geom([(x, y), (x + w, y + h), (x + w, y), (x, y + h), (x, y)])
-    plain = box_geom(x, y, x + w, y + h)
-    raised = plain.withField("has_z", F.lit(True))
     records = (
-        table(spark, folder, "part")
-        .filter(key % 3 == 0)
-        .select(
-            F.lit("city").alias("package_id"),
-            F.lit("roads").alias("layer"),
-            F.lit("r1").alias("revision"),
-            key.cast("string").alias("source_record_id"),
-            F.element_at(
-                F.array(F.lit("Normal"), F.lit("Elevated"), F.lit("Tunnel")),
-                (key % 3 + 1).cast("int"),
-            ).alias("source_form"),
-            F.when(key % 9 == 0, bowtie).when(key % 9 == 3, plain).otherwise(raised).alias("geom"),
+        _footprints(spark, folder)
+        .filter("key % 3 = 0")
+        .withColumn("plain", F.expr(PLAIN))
+        .selectExpr(
+            "package_id",
+            "'roads' AS layer",
+            "'r1' AS revision",
+            "string(key) AS source_record_id",
+            "array('Normal', 'Elevated', 'Tunnel')[key div 3 % 3] AS source_form",
+            f"CASE WHEN key % 9 = 0 THEN {BOWTIE} WHEN key % 9 = 3 THEN plain "
+            f"ELSE {raised('plain')} END AS geom",
         )
     )
     lost = (
         table(spark, folder, "region")
         .filter("r_regionkey = 0")
-        .select(
-            F.lit("city").alias("package_id"),
-            F.lit("lost").alias("layer"),
-            F.lit("r1").alias("revision"),
-            F.lit("0").alias("source_record_id"),
-            F.lit(None).cast("string").alias("source_form"),
-            F.lit(None).cast(records.schema["geom"].dataType).alias("geom"),
+        .selectExpr(
+            "'city' AS package_id",
+            "'lost' AS layer",
+            "'r1' AS revision",
+            "'0' AS source_record_id",
+            "string(NULL) AS source_form",
+            f"CAST(NULL AS {GEOMETRY}) AS geom",
         )
     )
     return records.unionByName(lost)
 
 
+def _pick(values: list, index: str) -> str:
+    words = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"array({words})[int({index})]"
+
+
 def network_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Vector layer with free attributes; some records have no or odd geometry."""
-    key = F.col("p_partkey")
-    x, y, w, h = _object_frame()
-    bowtie = ring_geom([(x, y), (x + w, y + h), (x + w, y), (x, y + h), (x, y)])
-    line = line_geom([(x, y), (x + w, y + h)])
-    empty = line.withField("parts", F.slice(line["parts"], 1, 0))
-
-    def pick(values: list, index: Column) -> Column:
-        return F.element_at(
-            F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int")
+    """Vector layers with free attributes; some records have no or odd geometry."""
+    objects_ = ["Road", "Track", "Pathway", "Taxiway", "Runway", "Tram", "Road, Tram"]
+    categories = ["Small, Tram", "Cargo", "Tram", " Large ,,Small", None]
+    forms = ["Normal", "Elevated", "Tunnel", "Normal,Tunnel", None]
+    return (
+        _footprints(spark, folder)
+        .withColumn("plain", F.expr(PLAIN))
+        .selectExpr(
+            "package_id",
+            "if(key % 4 = 0, 'Building', 'Network') AS layer",
+            "string(key) AS source_record_id",
+            "CASE WHEN key % 29 = 3 THEN NULL "
+            "WHEN key % 29 = 5 THEN named_struct('kind', 'line', 'has_z', false, "
+            "'parts', slice(plain.parts, 1, 0)) "
+            f"WHEN key % 29 = 7 THEN {BOWTIE} WHEN key % 29 = 11 THEN {raised('plain')} "
+            f"WHEN key % 4 = 0 THEN plain ELSE {DIAGONAL} END AS geom",
+            f"map('Object', {_pick(objects_, 'key % 7')}, 'Category', {_pick(categories, 'p_size % 5')}, "
+            f"'Form', {_pick(forms, 'key % 5')}, 'Lane', string(key % 4 + 1)) AS props",
         )
+    )
 
-    props = F.create_map(
-        F.lit("Object"),
-        pick(["Road", "Track", "Pathway", "Taxiway", "Runway", "Tram", "Road, Tram"], key % 7),
-        F.lit("Category"),
-        pick(["Small, Tram", "Cargo", "Tram", " Large ,,Small", None], F.col("p_size") % 5),
-        F.lit("Form"),
-        pick(["Normal", "Elevated", "Tunnel", "Normal,Tunnel", None], key % 5),
-        F.lit("Lane"),
-        (key % 4 + 1).cast("string"),
+
+def plane_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole plane as one terrain grid of package 'city'."""
+    high = plane_height(spark, folder)
+    return (
+        table(spark, folder, "region")
+        .groupBy()
+        .agg(F.count("*").alias("n"))
+        .selectExpr(
+            "'city' AS package_id",
+            "'terrain' AS role",
+            "'plane' AS grid_id",
+            "100 AS width",
+            f"{high} AS height",
+            "1D AS a",
+            "0D AS b",
+            "0D AS c",
+            "0D AS d",
+            "-1D AS e",
+            f"double({high}) AS f",
+            "'EPSG:32631' AS crs",
+            f"{NODATA}D AS nodata",
+            "'float32' AS dtype",
+            "'m' AS band_unit",
+            "1 AS band_count",
+        )
     )
-    return table(spark, folder, "part").select(
+
+
+def plane_cells(spark: SparkSession, folder: str) -> DataFrame:
+    strips = terrain_cells(spark, folder)
+    return strips.select(
         F.lit("city").alias("package_id"),
-        F.when(key % 4 == 0, "Building").otherwise("Network").alias("layer"),
-        key.cast("string").alias("source_record_id"),
-        F.when(key % 29 == 3, F.lit(None))
-        .when(key % 29 == 5, empty)
-        .when(key % 29 == 7, bowtie)
-        .when(key % 29 == 11, box_geom(x, y, x + w, y + h).withField("has_z", F.lit(True)))
-        .when(key % 4 == 0, box_geom(x, y, x + w, y + h))
-        .otherwise(line)
-        .alias("geom"),
-        props.alias("props"),
+        F.lit("plane").alias("grid_id"),
+        (F.col("package_id") * STRIP + F.col("row")).cast("int").alias("row"),
+        "col",
+        "value",
+        "mask",
     )
 
 
 def water_faces(spark: SparkSession, folder: str) -> DataFrame:
     """Water polygons that overlap on purpose."""
-    key = F.col("n_nationkey").cast("long")
     high = plane_height(spark, folder)
-    x = (key * 11 % 90).cast("double")
-    y = F.floor(key * high / 25).cast("double")
-    nations = table(spark, folder, "nation")
-    boxes = nations.select(
-        F.concat(F.lit("w"), key).alias("face_id"), box_geom(x, y, x + 8.0, y + 5.0).alias("geom")
+    frames = table(spark, folder, "nation").selectExpr(
+        "n_nationkey AS key",
+        "double(n_nationkey * 11 % 90) AS x",
+        f"double(n_nationkey * {high}L div 25) AS y",
+    )
+    triangle = ring_geom([("x + 4", "y"), ("x + 16", "y + 1"), ("x + 4", "y + 12"), ("x + 4", "y")])
+    boxes = frames.selectExpr(
+        "concat('w', key) AS face_id", f"{box_geom('x', 'y', 'x + 8', 'y + 5')} AS geom"
     )
-    triangles = nations.filter(key % 2 == 1).select(
-        F.concat(F.lit("t"), key).alias("face_id"),
-        ring_geom([(x + 4.0, y), (x + 16.0, y + 1.0), (x + 4.0, y + 12.0), (x + 4.0, y)]).alias(
-            "geom"
-        ),
+    triangles = frames.filter("key % 2 = 1").selectExpr(
+        "concat('t', key) AS face_id", f"{triangle} AS geom"
+    )
+    return boxes.unionByName(triangles).selectExpr(
+        "'city' AS package_id", "'water' AS role", "face_id", "geom"
     )
-    return boxes.unionByName(triangles).withColumn("package_id", F.lit("city"))
 
 
 def water_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,10 +371,11 @@ def water_coverage(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "region")
         .groupBy()
         .agg(F.count("*").alias("n"))
-        .select(
-            F.lit("city").alias("package_id"),
-            F.lit("cover").alias("face_id"),
-            box_geom(F.lit(0.0), F.lit(0.0), F.lit(80.0), F.lit(float(high))).alias("geom"),
+        .selectExpr(
+            "'city' AS package_id",
+            "'coverage' AS role",
+            "'cover' AS face_id",
+            f"{box_geom('0', '0', '80', str(high))} AS geom",
         )
     )
 
@@ -409,11 +446,8 @@ def changed_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def zone_points(spark: SparkSession, folder: str) -> DataFrame:
     """Point features on a quarter grid, many of them on zone borders."""
-    key = F.col("event_id")
-    return table(spark, folder, "events").select(
-        F.lit("city").alias("package_id"),
-        F.concat(F.lit("p"), key).alias("feature_id"),
-        point_geom(
-            (F.col("user_id") * 13 % 400) / 4.0, F.floor(key * 6 / 100) / 4.0
-        ).alias("geom"),
+    return table(spark, folder, "events").selectExpr(
+        "'city' AS package_id",
+        "concat('p', event_id) AS feature_id",
+        point_geom("(user_id * 13 % 400) / 4D", "(event_id * 6 div 100) / 4D") + " AS geom",
     )

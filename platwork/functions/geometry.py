@@ -3,350 +3,305 @@
 A geometry is struct<kind, has_z, parts: part -> ring -> vertex>. Predicates work
 on its edge array. Buffers are never built: "buffer(A, r) meets B" is the exact
 distance test dist(A, B) <= r.
+
+Functions take column names (or SQL expressions) and return SQL text, so that large
+expressions are composed as text and parsed once; wrap them in `F.expr`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+FINITE = "({v} IS NOT NULL AND NOT isnan({v}) AND abs({v}) < double('Infinity'))"
+
 
-from platwork.functions.cells import is_finite
-from platwork.model import GEOMETRY
+def finite(value: str) -> str:
+    return FINITE.format(v=value)
 
 
 # --- constructors -------------------------------------------------------------
 
 
-def _vertex(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def _vertex(x: str, y: str) -> str:
+    return f"named_struct('x', double({x}), 'y', double({y}))"
 
 
-def _geom(kind: str, ring: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"), F.lit(False).alias("has_z"), F.array(F.array(ring)).alias("parts")
-    )
+def _geom(kind: str, ring: str) -> str:
+    return f"named_struct('kind', '{kind}', 'has_z', false, 'parts', array(array({ring})))"
 
 
-def ring_geom(points: list[tuple[Column, Column]]) -> Column:
+def ring_geom(points: list[tuple[str, str]]) -> str:
     """Polygon with one ring; repeat the first vertex at the end."""
-    return _geom("polygon", F.array(*[_vertex(x, y) for x, y in points]))
+    return _geom("polygon", f"array({', '.join(_vertex(x, y) for x, y in points)})")
 
 
-def box_geom(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def box_geom(xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     return ring_geom([(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)])
 
 
-def line_geom(points: list[tuple[Column, Column]]) -> Column:
-    return _geom("line", F.array(*[_vertex(x, y) for x, y in points]))
+def line_geom(points: list[tuple[str, str]]) -> str:
+    return _geom("line", f"array({', '.join(_vertex(x, y) for x, y in points)})")
 
 
-def point_geom(x: Column, y: Column) -> Column:
-    return _geom("point", F.array(_vertex(x, y)))
+def point_geom(x: str, y: str) -> str:
+    return _geom("point", f"array({_vertex(x, y)})")
 
 
-def null_geom() -> Column:
-    return F.lit(None).cast(GEOMETRY)
+def raised(geom: str) -> str:
+    """The same geometry marked as carrying heights."""
+    return f"named_struct('kind', {geom}.kind, 'has_z', true, 'parts', {geom}.parts)"
 
 
-# --- decomposition --------------------------------------------------------------
+def bbox_geom(box: str) -> str:
+    shape = box_geom(f"{box}.xmin", f"{box}.ymin", f"{box}.xmax", f"{box}.ymax")
+    return f"CASE WHEN {box} IS NOT NULL THEN {shape} END"
 
 
-def vertices_of(geom: Column) -> Column:
-    return F.flatten(F.flatten(geom["parts"]))
+# --- decomposition --------------------------------------------------------------
 
 
-def _ring_edges(ring: Column, part: Column, index: Column) -> Column:
-    def edge(start: Column, seq: Column, end: Column) -> Column:
-        return F.struct(
-            part.alias("part"),
-            index.alias("ring"),
-            seq.alias("seq"),
-            start["x"].alias("x1"),
-            start["y"].alias("y1"),
-            end["x"].alias("x2"),
-            end["y"].alias("y2"),
-        )
-
-    return F.when(
-        F.size(ring) == 1, F.transform(ring, lambda v, i: edge(v, i, v))
-    ).otherwise(
-        F.transform(
-            F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))),
-            lambda v, i: edge(v, i, F.element_at(ring, i + 2)),
-        )
-    )
+def vertices_of(geom: str) -> str:
+    return f"flatten(flatten({geom}.parts))"
 
 
-def edges_of(geom: Column) -> Column:
-    """All edges; a lone point becomes one zero-length edge."""
-    return F.flatten(
-        F.transform(
-            geom["parts"],
-            lambda part, p: F.flatten(F.transform(part, lambda ring, r: _ring_edges(ring, p, r))),
-        )
+def ring_edges(ring: str, part: str, index: str) -> str:
+    """Edges of one vertex array; a lone vertex becomes one zero-length edge."""
+    tag = f"'part', {part}, 'ring', {index}, 'seq', ei"
+    return (
+        f"CASE WHEN size({ring}) = 1 THEN transform({ring}, (ev, ei) -> named_struct({tag}, "
+        f"'x1', ev.x, 'y1', ev.y, 'x2', ev.x, 'y2', ev.y)) "
+        f"ELSE transform(slice({ring}, 1, greatest(size({ring}) - 1, 0)), (ev, ei) -> named_struct({tag}, "
+        f"'x1', ev.x, 'y1', ev.y, 'x2', {ring}[ei + 1].x, 'y2', {ring}[ei + 1].y)) END"
     )
 
 
-def bbox_of(geom: Column) -> Column:
-    """Bounding box, or NULL when empty or not finite."""
-    points = vertices_of(geom)
-    xs = F.transform(points, lambda v: v["x"])
-    ys = F.transform(points, lambda v: v["y"])
-    return F.when(
-        (F.size(points) > 0) & F.forall(points, lambda v: is_finite(v["x"]) & is_finite(v["y"])),
-        F.struct(
-            F.array_min(xs).alias("xmin"),
-            F.array_min(ys).alias("ymin"),
-            F.array_max(xs).alias("xmax"),
-            F.array_max(ys).alias("ymax"),
-        ),
+def per_ring(geom: str, rows: str) -> str:
+    """Concatenate an array expression over all rings (names: rg, pi, ri)."""
+    return (
+        f"flatten(transform({geom}.parts, (pt, pi) -> "
+        f"flatten(transform(pt, (rg, ri) -> {rows}))))"
     )
 
 
-def bbox_geom(box: Column) -> Column:
-    return F.when(
-        box.isNotNull(), box_geom(box["xmin"], box["ymin"], box["xmax"], box["ymax"])
-    )
+def edges_of(geom: str) -> str:
+    return per_ring(geom, ring_edges("rg", "pi", "ri"))
 
 
-def is_empty(geom: Column) -> Column:
-    return F.coalesce(F.size(vertices_of(geom)), F.lit(0)) <= 0
+def bbox_of(geom: str) -> str:
+    """Bounding box, or NULL when empty or not finite; one pass over the vertices."""
+    start = (
+        "named_struct('xmin', double('Infinity'), 'ymin', double('Infinity'), "
+        "'xmax', double('-Infinity'), 'ymax', double('-Infinity'))"
+    )
+    step = (
+        "named_struct('xmin', least(bx.xmin, bv.x), 'ymin', least(bx.ymin, bv.y), "
+        "'xmax', greatest(bx.xmax, bv.x), 'ymax', greatest(bx.ymax, bv.y))"
+    )
+    # NaN sorts above infinity, so one look at the result finds every odd ordinate.
+    sound = (
+        "bx.xmin > double('-Infinity') AND bx.ymin > double('-Infinity') "
+        "AND bx.xmax < double('Infinity') AND bx.ymax < double('Infinity') "
+        "AND bx.xmin < double('Infinity')"
+    )
+    return (
+        f"aggregate({vertices_of(geom)}, {start}, (bx, bv) -> {step}, "
+        f"bx -> CASE WHEN {sound} THEN bx END)"
+    )
 
 
-def all_finite(geom: Column) -> Column:
-    return F.forall(vertices_of(geom), lambda v: is_finite(v["x"]) & is_finite(v["y"]))
+def is_empty(geom: str) -> str:
+    return f"(coalesce(size({vertices_of(geom)}), 0) <= 0)"
 
 
-def with_shape(df: DataFrame, geom: str, box: str, edges: str) -> DataFrame:
-    """Add the bounding box and the edge array of a geometry column."""
-    return df.withColumns({box: bbox_of(F.col(geom)), edges: edges_of(F.col(geom))})
+def all_finite(geom: str) -> str:
+    return f"forall({vertices_of(geom)}, fv -> {finite('fv.x')} AND {finite('fv.y')})"
 
 
 # --- measures -------------------------------------------------------------------
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
-
-
-def ring_area(ring: Column) -> Column:
+def ring_area(ring: str) -> str:
     """Signed shoelace area of a closed vertex array."""
-    return _total(
-        F.transform(
-            F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))),
-            lambda v, i: (
-                v["x"] * F.element_at(ring, i + 2)["y"] - F.element_at(ring, i + 2)["x"] * v["y"]
-            )
-            / 2.0,
-        )
+    return (
+        f"aggregate(transform(slice({ring}, 1, greatest(size({ring}) - 1, 0)), (sv, si) -> "
+        f"(sv.x * {ring}[si + 1].y - {ring}[si + 1].x * sv.y) / 2D), 0D, (st, sw) -> st + sw)"
     )
 
 
-def area(geom: Column) -> Column:
-    """Shells minus holes, without regard to ring direction."""
-    return F.when(
-        geom["kind"] == "polygon",
-        _total(
-            F.transform(
-                geom["parts"],
-                lambda part: _total(
-                    F.transform(
-                        part,
-                        lambda ring, i: F.when(i == 0, F.abs(ring_area(ring))).otherwise(
-                            -F.abs(ring_area(ring))
-                        ),
-                    )
-                ),
-            )
-        ),
-    ).when(geom.isNotNull(), F.lit(0.0))
+def area(geom: str) -> str:
+    """Shells minus holes, without regard to ring direction; 0 for lines and points."""
+    rings = (
+        f"transform({geom}.parts, pt -> aggregate(transform(pt, (rg, ri) -> "
+        f"abs({ring_area('rg')}) * if(ri = 0, 1D, -1D)), 0D, (t1, w1) -> t1 + w1))"
+    )
+    return (
+        f"CASE WHEN {geom}.kind = 'polygon' THEN aggregate({rings}, 0D, (t2, w2) -> t2 + w2) "
+        f"WHEN {geom} IS NOT NULL THEN 0D END"
+    )
 
 
-def length(edges: Column) -> Column:
-    return _total(F.transform(edges, lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])))
+def length(edges: str) -> str:
+    return (
+        f"aggregate({edges}, 0D, (lt, le) -> lt + sqrt((le.x2 - le.x1) * (le.x2 - le.x1) "
+        "+ (le.y2 - le.y1) * (le.y2 - le.y1)))"
+    )
 
 
 # --- predicates on edges --------------------------------------------------------
 
 
-def _turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def turn(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
+    """Positive when p lies to the left of the line from a to b."""
+    return f"(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+
 
+def side(e: str, px: str, py: str) -> str:
+    return turn(f"{e}.x1", f"{e}.y1", f"{e}.x2", f"{e}.y2", px, py)
 
-def segments_meet(a: Column, b: Column) -> Column:
+
+def segments_meet(a: str, b: str) -> str:
     """Closed contact of two segments: boxes overlap and each straddles the other."""
-    boxes = (
-        (F.least(a["x1"], a["x2"]) <= F.greatest(b["x1"], b["x2"]))
-        & (F.least(b["x1"], b["x2"]) <= F.greatest(a["x1"], a["x2"]))
-        & (F.least(a["y1"], a["y2"]) <= F.greatest(b["y1"], b["y2"]))
-        & (F.least(b["y1"], b["y2"]) <= F.greatest(a["y1"], a["y2"]))
-    )
 
-    def straddles(s: Column, t: Column) -> Column:
-        first = _turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"])
-        second = _turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"])
-        return F.signum(first) * F.signum(second) <= 0
+    def apart(axis: str) -> str:
+        return (
+            f"least({a}.{axis}1, {a}.{axis}2) <= greatest({b}.{axis}1, {b}.{axis}2) "
+            f"AND least({b}.{axis}1, {b}.{axis}2) <= greatest({a}.{axis}1, {a}.{axis}2)"
+        )
+
+    def straddles(s: str, t: str) -> str:
+        first, second = side(s, f"{t}.x1", f"{t}.y1"), side(s, f"{t}.x2", f"{t}.y2")
+        return f"signum({first}) * signum({second}) <= 0"
 
-    return boxes & straddles(a, b) & straddles(b, a)
+    return f"({apart('x')} AND {apart('y')} AND {straddles(a, b)} AND {straddles(b, a)})"
 
 
-def _near(px: Column, py: Column, e: Column, limit_sq: Column, strict: bool) -> Column:
+def _near(px: str, py: str, e: str, limit: str, strict: bool) -> str:
     """Is a point within a distance of a segment? Free of division, so exact on grid data."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    along = (px - e["x1"]) * dx + (py - e["y1"]) * dy
-    span = dx * dx + dy * dy
-    off = _turn(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
+    dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+    along = f"(({px} - {e}.x1) * {dx} + ({py} - {e}.y1) * {dy})"
+    span = f"({dx} * {dx} + {dy} * {dy})"
+    off = side(e, px, py)
+    cmp = "<" if strict else "<="
 
-    def small(value: Column, bound: Column) -> Column:
-        return value < bound if strict else value <= bound
+    def square(end: str) -> str:
+        return f"(({px} - {e}.x{end}) * ({px} - {e}.x{end}) + ({py} - {e}.y{end}) * ({py} - {e}.y{end}))"
 
-    from_start = (px - e["x1"]) * (px - e["x1"]) + (py - e["y1"]) * (py - e["y1"])
-    from_end = (px - e["x2"]) * (px - e["x2"]) + (py - e["y2"]) * (py - e["y2"])
     return (
-        F.when(along <= 0, small(from_start, limit_sq))
-        .when(along >= span, small(from_end, limit_sq))
-        .otherwise(small(off * off, limit_sq * span))
+        f"(CASE WHEN {along} <= 0 THEN {square('1')} {cmp} {limit} "
+        f"WHEN {along} >= {span} THEN {square('2')} {cmp} {limit} "
+        f"ELSE {off} * {off} {cmp} {limit} * {span} END)"
     )
 
 
-def segments_near(a: Column, b: Column, reach: Column, strict: bool = False) -> Column:
+def segments_near(a: str, b: str, reach: str, strict: bool = False) -> str:
     """Do two segments come within a distance of each other?"""
-    limit = reach * reach
+    limit = f"({reach} * {reach})"
     return (
-        segments_meet(a, b)
-        | _near(a["x1"], a["y1"], b, limit, strict)
-        | _near(a["x2"], a["y2"], b, limit, strict)
-        | _near(b["x1"], b["y1"], a, limit, strict)
-        | _near(b["x2"], b["y2"], a, limit, strict)
+        f"({segments_meet(a, b)}"
+        f" OR {_near(f'{a}.x1', f'{a}.y1', b, limit, strict)}"
+        f" OR {_near(f'{a}.x2', f'{a}.y2', b, limit, strict)}"
+        f" OR {_near(f'{b}.x1', f'{b}.y1', a, limit, strict)}"
+        f" OR {_near(f'{b}.x2', f'{b}.y2', a, limit, strict)})"
     )
 
 
-def point_in_polygon(edges: Column, px: Column, py: Column) -> Column:
+def point_in_polygon(edges: str, px: str, py: str) -> str:
     """Even-odd rule with holes, left and lower borders inside."""
-    crossing = F.filter(
-        edges,
-        lambda e: ((e["y1"] <= py) != (e["y2"] <= py))
-        & (
-            F.signum(e["y2"] - e["y1"])
-            * _turn(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
-            > 0
-        ),
+    crossing = (
+        f"((ce.y1 <= {py}) != (ce.y2 <= {py}) "
+        f"AND signum(ce.y2 - ce.y1) * {side('ce', px, py)} > 0)"
     )
-    return F.size(crossing) % 2 == 1
+    return f"(size(filter({edges}, ce -> {crossing})) % 2 = 1)"
 
 
-def _holds_start_of(kind: Column, edges: Column, other: Column) -> Column:
-    """One vertex of each part of the other shape decides containment once no edges meet."""
-    return (kind == "polygon") & F.exists(
-        other,
-        lambda v: (v["seq"] == 0) & (v["ring"] == 0) & point_in_polygon(edges, v["x1"], v["y1"]),
+def on_border(edges: str, px: str, py: str) -> str:
+    return (
+        f"exists({edges}, oe -> {side('oe', px, py)} = 0 "
+        f"AND {px} BETWEEN least(oe.x1, oe.x2) AND greatest(oe.x1, oe.x2) "
+        f"AND {py} BETWEEN least(oe.y1, oe.y2) AND greatest(oe.y1, oe.y2))"
     )
 
 
-def intersects(kind_a: Column, edges_a: Column, kind_b: Column, edges_b: Column) -> Column:
+def _holds_start_of(kind: str, edges: str, other: str) -> str:
+    """One vertex of each part decides containment once no edges meet."""
+    inside = point_in_polygon(edges, "hv.x1", "hv.y1")
+    return f"({kind} = 'polygon' AND exists({other}, hv -> hv.seq = 0 AND hv.ring = 0 AND {inside}))"
+
+
+def intersects(kind_a: str, edges_a: str, kind_b: str, edges_b: str) -> str:
     """Closed intersection: touching counts."""
+    contact = segments_meet("ea", "eb")
     return (
-        F.exists(edges_a, lambda a: F.exists(edges_b, lambda b: segments_meet(a, b)))
-        | _holds_start_of(kind_a, edges_a, edges_b)
-        | _holds_start_of(kind_b, edges_b, edges_a)
+        f"(exists({edges_a}, ea -> exists({edges_b}, eb -> {contact}))"
+        f" OR {_holds_start_of(kind_a, edges_a, edges_b)}"
+        f" OR {_holds_start_of(kind_b, edges_b, edges_a)})"
     )
 
 
-def within_distance(
-    kind_a: Column, edges_a: Column, kind_b: Column, edges_b: Column, reach: Column
-) -> Column:
+def within_distance(kind_a: str, edges_a: str, kind_b: str, edges_b: str, reach: str) -> str:
     """Do two shapes come within a distance of each other (limit included)?"""
+    contact = segments_near("ea", "eb", reach)
     return (
-        F.exists(
-            edges_a,
-            lambda a: F.exists(edges_b, lambda b: segments_near(a, b, reach)),
-        )
-        | _holds_start_of(kind_a, edges_a, edges_b)
-        | _holds_start_of(kind_b, edges_b, edges_a)
+        f"(exists({edges_a}, ea -> exists({edges_b}, eb -> {contact}))"
+        f" OR {_holds_start_of(kind_a, edges_a, edges_b)}"
+        f" OR {_holds_start_of(kind_b, edges_b, edges_a)})"
     )
 
 
-def covers_buffer(polygon: Column, line: Column, reach: Column) -> Column:
+def covers_buffer(polygon: str, line: str, reach: str) -> str:
     """Does a polygon cover a line widened by a distance (common border allowed)?
 
     The line must start inside and no border edge may come closer than the distance.
     """
-    clear = ~F.exists(
-        line, lambda a: F.exists(polygon, lambda b: segments_near(a, b, reach, strict=True))
-    )
-    start = F.element_at(line, 1)
-    return clear & point_in_polygon(polygon, start["x1"], start["y1"])
+    contact = segments_near("ea", "eb", reach, strict=True)
+    start = point_in_polygon(polygon, f"{line}[0].x1", f"{line}[0].y1")
+    return f"(NOT exists({line}, ea -> exists({polygon}, eb -> {contact})) AND {start})"
 
 
 # --- overlay area -----------------------------------------------------------------
 
 
-def oriented_edges(geom: Column) -> Column:
+def strips_of(geom: str) -> str:
     """Edges with a sign so that the signed strips below them add up to the polygon.
 
     A polygon's indicator is the signed sum of the strips under its edges; shells
     count positive and holes negative whatever their drawing direction.
     """
-
-    def ring_strips(ring: Column, index: Column) -> Column:
-        turn = F.signum(ring_area(ring)) * F.when(index == 0, 1.0).otherwise(-1.0)
-        return F.filter(
-            F.transform(
-                _ring_edges(ring, F.lit(0), index),
-                lambda e: F.struct(
-                    F.least(e["x1"], e["x2"]).alias("lo"),
-                    F.greatest(e["x1"], e["x2"]).alias("hi"),
-                    F.when(e["x1"] <= e["x2"], e["y1"]).otherwise(e["y2"]).alias("ylo"),
-                    F.when(e["x1"] <= e["x2"], e["y2"]).otherwise(e["y1"]).alias("yhi"),
-                    (F.signum(e["x1"] - e["x2"]) * turn).alias("sign"),
-                ),
-            ),
-            lambda s: s["lo"] < s["hi"],
-        )
-
-    return F.flatten(
-        F.transform(
-            geom["parts"],
-            lambda part: F.flatten(F.transform(part, lambda ring, i: ring_strips(ring, i))),
-        )
+    ring_turn = f"(signum({ring_area('rg')}) * if(ri = 0, 1D, -1D))"
+    strip = (
+        "named_struct('lo', least(se.x1, se.x2), 'hi', greatest(se.x1, se.x2), "
+        "'y', if(se.x1 <= se.x2, se.y1, se.y2), "
+        "'m', (se.y2 - se.y1) / (se.x2 - se.x1), "
+        f"'sign', signum(se.x1 - se.x2) * {ring_turn})"
     )
-
-
-def _height(s: Column, x: Column) -> Column:
-    return s["ylo"] + (s["yhi"] - s["ylo"]) * F.try_divide(x - s["lo"], s["hi"] - s["lo"])
-
-
-def _shared_strip(a: Column, b: Column, base: Column) -> Column:
-    """Area under both edges above a base line, over their common x range."""
-    lo, hi = F.greatest(a["lo"], b["lo"]), F.least(a["hi"], b["hi"])
-    gap_lo = _height(a, lo) - _height(b, lo)
-    gap_hi = _height(a, hi) - _height(b, hi)
-    low_lo = F.least(_height(a, lo), _height(b, lo)) - base
-    low_hi = F.least(_height(a, hi), _height(b, hi)) - base
-    plain = (low_lo + low_hi) / 2.0 * (hi - lo)
-    # Where the edges cross inside the range the lower envelope gains a triangle.
-    share = F.try_divide(gap_lo, gap_lo - gap_hi)
-    cross_x = lo + share * (hi - lo)
-    cross_low = _height(a, cross_x) - base
-    bent = (low_lo + cross_low) / 2.0 * (cross_x - lo) + (cross_low + low_hi) / 2.0 * (hi - cross_x)
-    return F.when(hi <= lo, F.lit(0.0)).otherwise(
-        F.when(F.signum(gap_lo) * F.signum(gap_hi) < 0, bent).otherwise(plain)
+    rows = (
+        f"transform(filter({ring_edges('rg', 'pi', 'ri')}, se -> se.x1 != se.x2), se -> {strip})"
     )
+    return f"CASE WHEN {geom}.kind = 'polygon' THEN {per_ring(geom, rows)} END"
 
 
-def intersection_area(strips_a: Column, strips_b: Column, base: Column) -> Column:
-    """Area of A and B in common: the product of their signed strip sums."""
-    return F.aggregate(
-        strips_a,
-        F.lit(0.0),
-        lambda total, a: total
-        + F.aggregate(
-            strips_b,
-            F.lit(0.0),
-            lambda part, b: part
-            + F.when(
-                (a["lo"] < b["hi"]) & (b["lo"] < a["hi"]),
-                a["sign"] * b["sign"] * _shared_strip(a, b, base),
-            ).otherwise(F.lit(0.0)),
-        ),
+def intersection_area(strips_a: str, strips_b: str, base: str) -> str:
+    """Area of A and B in common: the product of their signed strip sums.
+
+    For two edges the common strip is the area below both over their shared x range.
+    Where they cross inside the range, the lower envelope gains a corner there.
+    """
+    heights = (
+        "named_struct('w', sx.hi - sx.lo,"
+        f" 'al', sa.y + sa.m * (sx.lo - sa.lo) - {base}, 'ah', sa.y + sa.m * (sx.hi - sa.lo) - {base},"
+        f" 'bl', sb.y + sb.m * (sx.lo - sb.lo) - {base}, 'bh', sb.y + sb.m * (sx.hi - sb.lo) - {base})"
+    )
+    plain = "(least(sh.al, sh.bl) + least(sh.ah, sh.bh)) / 2D * sh.w"
+    bend = (
+        "aggregate(array((sh.al - sh.bl) / ((sh.al - sh.bl) - (sh.ah - sh.bh))), 0D, (b0, sc) -> "
+        "((least(sh.al, sh.bl) + sh.al + sc * (sh.ah - sh.al)) / 2D * sc"
+        " + (sh.al + sc * (sh.ah - sh.al) + least(sh.ah, sh.bh)) / 2D * (1D - sc)) * sh.w)"
+    )
+    crossing = "signum(sh.al - sh.bl) * signum(sh.ah - sh.bh) < 0"
+    strip = (
+        f"aggregate(array({heights}), 0D, (h0, sh) -> CASE WHEN {crossing} THEN {bend} ELSE {plain} END)"
+    )
+    shared = "named_struct('lo', greatest(sa.lo, sb.lo), 'hi', least(sa.hi, sb.hi))"
+    return (
+        f"aggregate({strips_a}, 0D, (ta, sa) -> ta + aggregate({strips_b}, 0D, (tb, sb) -> tb + "
+        f"CASE WHEN sa.lo < sb.hi AND sb.lo < sa.hi THEN sa.sign * sb.sign * "
+        f"aggregate(array({shared}), 0D, (x0, sx) -> {strip}) ELSE 0D END))"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platwork.functions.geometry import (
@@ -13,51 +13,39 @@ from platwork.functions.geometry import (
     edges_of,
     intersection_area,
     intersects,
-    oriented_edges,
+    strips_of,
     within_distance,
 )
-from platwork.operators.pairs import bbox_pairs, widened
+from platwork.operators.pairs import bbox_pairs, shaped, widened
 
 AREA_TOLERANCE = 1e-9
 
 
-def polygon() -> Column:
-    return F.lit("polygon")
-
-
 def feature_zone_pairs(features: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     """Feature x zone pairs that meet (touching counts), with the area in common.
 
     `features` needs package_id, the key and geom.
     """
-    left = features.select(
-        "package_id",
-        key,
-        F.col("geom.kind").alias("f_kind"),
-        bbox_of(F.col("geom")).alias("f_box"),
-        edges_of(F.col("geom")).alias("f_edges"),
-        F.when(F.col("geom.kind") == "polygon", oriented_edges(F.col("geom"))).alias("f_strips"),
+    left = shaped(
+        features.withColumn("f_strips", F.expr(strips_of("geom"))),
+        ["package_id", key, "f_strips"],
+        "f",
     )
-    right = zones.select(
-        "package_id",
-        "zone_id",
-        "allow_demolition",
-        bbox_of(F.col("geom")).alias("z_box"),
-        edges_of(F.col("geom")).alias("z_edges"),
-        oriented_edges(F.col("geom")).alias("z_strips"),
+    right = shaped(
+        zones.withColumn("z_strips", F.expr(strips_of("geom"))),
+        ["package_id", "zone_id", "allow_demolition", "z_strips"],
+        "z",
     )
-    base = F.greatest(F.col("f_box.ymin"), F.col("z_box.ymin"))
+    common = intersection_area("f_strips", "z_strips", "greatest(f_box.ymin, z_box.ymin)")
     return (
         bbox_pairs(left, right, "f_box", "z_box")
-        .filter(intersects(F.col("f_kind"), F.col("f_edges"), polygon(), F.col("z_edges")))
+        .filter(intersects("f_kind", "f_edges", "z_kind", "z_edges"))
         .select(
             "package_id",
             key,
             "zone_id",
             "allow_demolition",
-            F.coalesce(
-                intersection_area(F.col("f_strips"), F.col("z_strips"), base), F.lit(0.0)
-            ).alias("common_area"),
+            F.expr(f"coalesce({common}, 0D)").alias("common_area"),
         )
     )
 
@@ -68,21 +56,19 @@ def permission_rollup(features: DataFrame, pairs: DataFrame, key: str) -> DataFr
         F.count("*").alias("zone_count"),
         F.min("zone_id").alias("first_zone"),
         F.max("zone_id").alias("last_zone"),
-        F.bool_and("allow_demolition").alias("_all_allow"),
+        F.bool_and("allow_demolition").alias("all_allow"),
         F.sum("common_area").alias("zone_area"),
     )
     return (
-        features.select("package_id", key)
-        .join(matched, ["package_id", key], "left")
-        .select(
-            "package_id",
-            key,
-            F.coalesce("zone_count", F.lit(0)).cast("long").alias("zone_count"),
+        features.join(matched, ["package_id", key], "left")
+        .selectExpr(
+            *features.columns,
+            "coalesce(zone_count, 0L) AS zone_count",
             "first_zone",
             "last_zone",
-            F.coalesce("_all_allow", F.lit(False)).alias("allow_demolition"),
-            F.when(F.col("zone_count") > 0, "matched").otherwise("pending").alias("association"),
-            F.coalesce("zone_area", F.lit(0.0)).alias("zone_area"),
+            "coalesce(all_allow, false) AS allow_demolition",
+            "if(zone_count > 0, 'matched', 'pending') AS association",
+            "coalesce(zone_area, 0D) AS zone_area",
         )
     )
 
@@ -90,69 +76,59 @@ def permission_rollup(features: DataFrame, pairs: DataFrame, key: str) -> DataFr
 def object_resolution(objects: DataFrame, zones: DataFrame) -> DataFrame:
     """Per object: do its zones cover it, and do they all allow demolition?
 
-    Zones never overlap, so covering is an equality of areas.
+    Zones never overlap, so covering is an equality of areas. Other columns of the
+    objects are kept; the geometry is replaced by its area.
     """
     pairs = feature_zone_pairs(objects, zones, "object_id")
-    own = objects.select("package_id", "object_id", area(F.col("geom")).alias("own_area"))
-    return (
-        permission_rollup(objects, pairs, "object_id")
-        .join(own, ["package_id", "object_id"])
-        .withColumn(
-            "resolved",
-            (F.col("zone_count") > 0)
-            & (F.col("zone_area") >= F.col("own_area") * (1.0 - AREA_TOLERANCE)),
-        )
+    sized = objects.withColumn("own_area", F.expr(area("geom"))).drop("geom")
+    return permission_rollup(sized, pairs, "object_id").withColumn(
+        "resolved",
+        F.expr(f"zone_count > 0 AND zone_area >= own_area * (1D - {AREA_TOLERANCE}D)"),
     )
 
 
-def shaped_corridors(corridors: DataFrame, *extra: str) -> DataFrame:
+def corridor_lines(corridors: DataFrame) -> DataFrame:
     return corridors.select(
         "package_id",
         "corridor_id",
         "radius",
-        *extra,
-        bbox_of(F.col("geom")).alias("_line_box"),
-        edges_of(F.col("geom")).alias("c_edges"),
+        F.expr(bbox_of("geom")).alias("line_box"),
+        F.expr(edges_of("geom")).alias("c_edges"),
     )
 
 
-def _meeting(lines: DataFrame, shapes: DataFrame, reach: Column) -> DataFrame:
+def _meeting(lines: DataFrame, shapes: DataFrame, reach: str) -> DataFrame:
     """Corridor lines x polygons within a distance of each other."""
-    left = lines.withColumn("_reach", reach).withColumn(
-        "c_box", widened(F.col("_line_box"), F.col("_reach"))
+    left = lines.withColumn("_reach", F.expr(reach)).withColumn(
+        "c_box", F.expr(widened("line_box", "_reach"))
     )
-    right = shapes.withColumns(
-        {"s_box": bbox_of(F.col("geom")), "s_edges": edges_of(F.col("geom"))}
-    ).drop("geom")
+    right = shaped(shapes, [c for c in shapes.columns if c != "geom"], "s")
     return (
-        bbox_pairs(left.drop("_line_box"), right, "c_box", "s_box")
-        .filter(
-            within_distance(
-                F.lit("line"), F.col("c_edges"), polygon(), F.col("s_edges"), F.col("_reach")
-            )
-        )
-        .drop("c_edges", "s_edges", "c_box", "s_box", "_reach")
+        bbox_pairs(left.drop("line_box"), right, "c_box", "s_box")
+        .filter(within_distance("'line'", "c_edges", "s_kind", "s_edges", "_reach"))
+        .drop("c_edges", "s_edges", "c_box", "s_box", "s_kind", "_reach")
     )
 
 
+def _with_control(lines: DataFrame, header: DataFrame) -> DataFrame:
+    return lines.join(header.select("package_id", "control_buffer"), "package_id")
+
+
 def corridor_object_conflicts(
     corridors: DataFrame, objects: DataFrame, header: DataFrame
 ) -> DataFrame:
     """Objects within corridor radius plus control distance."""
-    lines = shaped_corridors(corridors).join(
-        header.select("package_id", "control_buffer"), "package_id"
-    )
     return _meeting(
-        lines, objects.select("package_id", "object_id", "geom"), F.col("radius") + F.col("control_buffer")
+        _with_control(corridor_lines(corridors), header),
+        objects.select("package_id", "object_id", "geom"),
+        "radius + control_buffer",
     ).select("package_id", "corridor_id", "object_id")
 
 
 def protection_conflicts(corridors: DataFrame, protected: DataFrame) -> DataFrame:
     """Protected areas within the corridor radius; no control distance here."""
     return _meeting(
-        shaped_corridors(corridors),
-        protected.select("package_id", "area_id", "geom"),
-        F.col("radius"),
+        corridor_lines(corridors), protected.select("package_id", "area_id", "geom"), "radius"
     ).select("package_id", "corridor_id", "area_id")
 
 
@@ -161,29 +137,27 @@ def boundary_guards(records: DataFrame) -> DataFrame:
 
     `records` carries geom and quality.
     """
-    geom = F.col("geom")
-    return records.withColumn(
-        "guard",
-        F.when(F.col("quality") == "VALID_PLANAR_SOURCE", geom).otherwise(bbox_geom(bbox_of(geom))),
+    return (
+        records.withColumn("_box", F.expr(bbox_of("geom")))
+        .withColumn(
+            "guard",
+            F.expr(
+                f"CASE WHEN quality = 'VALID_PLANAR_SOURCE' THEN geom ELSE {bbox_geom('_box')} END"
+            ),
+        )
+        .drop("_box")
     )
 
 
 def boundary_conflicts(corridors: DataFrame, guards: DataFrame, header: DataFrame) -> DataFrame:
     """Located boundary records near a corridor; unlocatable ones concern every corridor
     and are kept as a count per layer (see `unlocatable_counts`)."""
-    lines = shaped_corridors(corridors).join(
-        header.select("package_id", "control_buffer"), "package_id"
-    )
-    shapes = guards.filter(F.col("guard").isNotNull()).select(
-        "package_id",
-        "layer",
-        "source_record_id",
-        "quality",
-        F.col("guard").alias("geom"),
-    )
-    return _meeting(lines, shapes, F.col("radius") + F.col("control_buffer")).select(
-        "package_id", "layer", "corridor_id", "source_record_id", "quality"
+    shapes = guards.filter("guard IS NOT NULL").select(
+        "package_id", "layer", "source_record_id", "quality", F.col("guard").alias("geom")
     )
+    return _meeting(
+        _with_control(corridor_lines(corridors), header), shapes, "radius + control_buffer"
+    ).select("package_id", "layer", "corridor_id", "source_record_id", "quality")
 
 
 def unlocatable_counts(guards: DataFrame) -> DataFrame:
@@ -198,54 +172,55 @@ def coverage_of_envelopes(corridors: DataFrame, coverage: DataFrame) -> DataFram
     `coverage` has one row per (package, layer).
     """
     area_row = coverage.select(
-        "package_id", "layer", edges_of(F.col("geom")).alias("cover_edges")
+        "package_id", "layer", F.expr(edges_of("geom")).alias("cover_edges")
     )
+    covered = covers_buffer("cover_edges", "c_edges", "radius")
     return (
-        shaped_corridors(corridors)
+        corridor_lines(corridors)
         .join(area_row, "package_id")
-        .select(
-            "package_id",
-            "layer",
-            "corridor_id",
-            F.coalesce(
-                covers_buffer(F.col("cover_edges"), F.col("c_edges"), F.col("radius")),
-                F.lit(False),
-            ).alias("covered"),
+        .selectExpr(
+            "package_id", "layer", "corridor_id", f"coalesce({covered}, false) AS covered"
         )
     )
 
 
 def zone_overlaps(zones: DataFrame) -> DataFrame:
-    """Zone pairs whose interiors overlap; touching is allowed."""
+    """Zone pairs whose interiors overlap; touching is allowed.
+
+    Sums below a trillionth of the common box are rounding, not area.
+    """
 
-    def side(tag: str) -> DataFrame:
+    def half(tag: str) -> DataFrame:
         return zones.select(
             "package_id",
             F.col("zone_id").alias(f"{tag}_zone"),
-            bbox_of(F.col("geom")).alias(f"{tag}_box"),
-            oriented_edges(F.col("geom")).alias(f"{tag}_strips"),
+            F.expr(bbox_of("geom")).alias(f"{tag}_box"),
+            F.expr(strips_of("geom")).alias(f"{tag}_strips"),
         )
 
-    common = intersection_area(
-        F.col("a_strips"), F.col("b_strips"), F.greatest(F.col("a_box.ymin"), F.col("b_box.ymin"))
+    common = intersection_area("a_strips", "b_strips", "greatest(a_box.ymin, b_box.ymin)")
+    noise = (
+        "1e-12D * (least(a_box.xmax, b_box.xmax) - greatest(a_box.xmin, b_box.xmin))"
+        " * (least(a_box.ymax, b_box.ymax) - greatest(a_box.ymin, b_box.ymin))"
     )
     return (
-        bbox_pairs(side("a"), side("b"), "a_box", "b_box")
-        .filter(F.col("a_zone") < F.col("b_zone"))
-        .select("package_id", "a_zone", "b_zone", common.alias("common_area"))
-        .filter("common_area > 0")
+        bbox_pairs(half("a"), half("b"), "a_box", "b_box")
+        .filter("a_zone < b_zone")
+        .selectExpr("package_id", "a_zone", "b_zone", f"{common} AS common_area", f"{noise} AS _noise")
+        .filter("common_area > _noise")
+        .drop("_noise")
         .withColumn("code", F.lit("OVERLAPPING_ZONES"))
     )
 
 
 def merge_boundary_objects(objects: DataFrame, guards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects plus guards with an area (elevations unknown), and the colliding ids."""
-    added = guards.filter(area(F.col("guard")) > 0).select(
+    added = guards.filter(f"{area('guard')} > 0").selectExpr(
         "package_id",
         "object_id",
-        F.col("guard").alias("geom"),
-        F.lit(None).cast("double").alias("ground_z"),
-        F.lit(None).cast("double").alias("foundation_z"),
+        "guard AS geom",
+        "double(NULL) AS ground_z",
+        "double(NULL) AS foundation_z",
     )
     columns = ["package_id", "object_id", "geom", "ground_z", "foundation_z"]
     merged = objects.select(*columns).unionByName(added)

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _own_level(box: str, sizes: Sequence[float]) -> Column:
+def bin_sizes(base: float, ratio: float, levels: int) -> list[float]:
+    return [base * ratio**level for level in range(levels)]
+
+
+def _own_level(box: str, sizes: Sequence[float]) -> str:
     """Finest level whose bins are at least half as wide as the box."""
-    extent = F.greatest(
-        F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin")
+    extent = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
+    steps = " ".join(
+        f"WHEN {extent} <= {2.0 * size}D THEN {level}" for level, size in enumerate(sizes[:-1])
     )
-    level = F.lit(len(sizes) - 1)
-    for index in range(len(sizes) - 2, -1, -1):
-        level = F.when(extent <= 2.0 * sizes[index], F.lit(index)).otherwise(level)
-    return level
+    return f"CASE {steps} ELSE {len(sizes) - 1} END" if steps else "0"
 
 
 def _into_bins(df: DataFrame, box: str, sizes: Sequence[float], left: bool) -> DataFrame:
@@ -26,37 +28,37 @@ def _into_bins(df: DataFrame, box: str, sizes: Sequence[float], left: bool) -> D
     turn 1 pairs the left side's own level with strictly finer right boxes. A pair
     meets in exactly one of them, at the coarser of its two levels.
     """
-    own = _own_level(box, sizes)
-    size_of = F.array(*[F.lit(float(s)) for s in sizes])
-    visits = []
-    for level in range(len(sizes)):
-        here = F.lit(level)
-        up = own <= here if left else own == here
-        visits.append(F.when(up, F.struct(F.lit(0).alias("turn"), here.alias("level"))))
-        if level > 0:
-            down = own == here if left else own < here
-            visits.append(F.when(down, F.struct(F.lit(1).alias("turn"), here.alias("level"))))
-    visit = F.explode(F.filter(F.array(*visits), lambda v: v.isNotNull()))
-    rows = df.filter(F.col(box).isNotNull()).withColumn("_visit", visit)
-    rows = rows.withColumn("_size", F.element_at(size_of, F.col("_visit.level") + 1))
-
-    def span(axis: str) -> Column:
-        return F.sequence(
-            F.floor(F.col(f"{box}.{axis}min") / F.col("_size")),
-            F.floor(F.col(f"{box}.{axis}max") / F.col("_size")),
+    top = len(sizes) - 1
+    size_of = "array(" + ", ".join(f"{size}D" for size in sizes) + ")"
+    upward, own = f"sequence(_own, {top})", "array(_own)"
+    if left:
+        turns = [(0, upward), (1, "filter(array(_own), v -> v > 0)")]
+    else:
+        turns = [(0, own), (1, f"filter(sequence(0, {top}), v -> v > _own)")]
+    visits = ", ".join(
+        f"transform({levels}, lv -> named_struct('turn', {turn}, 'level', lv))"
+        for turn, levels in turns
+    )
+    bins = (
+        "flatten(transform(sequence(floor({b}.xmin / _size), floor({b}.xmax / _size)), bx -> "
+        "transform(sequence(floor({b}.ymin / _size), floor({b}.ymax / _size)), by -> "
+        "named_struct('x', bx, 'y', by))))"
+    ).format(b=box)
+    rows = (
+        df.filter(f"{box} IS NOT NULL")
+        .selectExpr("*", f"{_own_level(box, sizes)} AS _own")
+        .selectExpr("*", f"explode(concat({visits})) AS _visit")
+        .selectExpr("*", f"{size_of}[_visit.level] AS _size")
+        .selectExpr("*", f"explode({bins}) AS _bin")
+        .selectExpr(
+            "*",
+            "_visit.turn AS _turn",
+            "_visit.level AS _level",
+            "_bin.x AS _bx",
+            "_bin.y AS _by",
         )
-
-    return (
-        rows.withColumn("_bx", F.explode(span("x")))
-        .withColumn("_by", F.explode(span("y")))
-        .withColumn("_turn", F.col("_visit.turn"))
-        .withColumn("_level", F.col("_visit.level"))
-        .drop("_visit", *([] if left else ["_size"]))
     )
-
-
-def bin_sizes(base: float, ratio: float, levels: int) -> list[float]:
-    return [base * ratio**level for level in range(levels)]
+    return rows.drop("_own", "_visit", "_bin", *([] if left else ["_size"]))
 
 
 def bbox_pairs(
@@ -82,28 +84,31 @@ def bbox_pairs(
     joined = _into_bins(left, left_box, sizes, True).join(
         _into_bins(right, right_box, sizes, False), keys
     )
-    a, b = F.col(left_box), F.col(right_box)
+    a, b = left_box, right_box
     # The bin holding the lower left corner of the common box owns the pair.
-    corner_x = F.floor(F.greatest(a["xmin"], b["xmin"]) / F.col("_size"))
-    corner_y = F.floor(F.greatest(a["ymin"], b["ymin"]) / F.col("_size"))
     return joined.filter(
-        (a["xmin"] <= b["xmax"])
-        & (b["xmin"] <= a["xmax"])
-        & (a["ymin"] <= b["ymax"])
-        & (b["ymin"] <= a["ymax"])
-        & (corner_x == F.col("_bx"))
-        & (corner_y == F.col("_by"))
+        f"{a}.xmin <= {b}.xmax AND {b}.xmin <= {a}.xmax "
+        f"AND {a}.ymin <= {b}.ymax AND {b}.ymin <= {a}.ymax "
+        f"AND floor(greatest({a}.xmin, {b}.xmin) / _size) = _bx "
+        f"AND floor(greatest({a}.ymin, {b}.ymin) / _size) = _by"
     ).drop("_turn", "_level", "_bx", "_by", "_size")
 
 
-def widened(box: Column, reach: Column) -> Column:
+def widened(box: str, reach: str) -> str:
     """A box grown by a distance on every side."""
-    return F.when(
-        box.isNotNull(),
-        F.struct(
-            (box["xmin"] - reach).alias("xmin"),
-            (box["ymin"] - reach).alias("ymin"),
-            (box["xmax"] + reach).alias("xmax"),
-            (box["ymax"] + reach).alias("ymax"),
-        ),
+    return (
+        f"CASE WHEN {box} IS NOT NULL THEN named_struct('xmin', {box}.xmin - {reach}, "
+        f"'ymin', {box}.ymin - {reach}, 'xmax', {box}.xmax + {reach}, 'ymax', {box}.ymax + {reach}) END"
+    )
+
+
+def shaped(df: DataFrame, keep: Sequence[str], prefix: str, geom: str = "geom") -> DataFrame:
+    """Chosen columns plus kind, box and edges of a geometry, named with a prefix."""
+    from platwork.functions.geometry import bbox_of, edges_of
+
+    return df.select(
+        *keep,
+        F.expr(f"{geom}.kind").alias(f"{prefix}_kind"),
+        F.expr(bbox_of(geom)).alias(f"{prefix}_box"),
+        F.expr(edges_of(geom)).alias(f"{prefix}_edges"),
     )

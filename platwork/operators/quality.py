@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platwork.functions.geometry import (
-    _ring_edges,
-    _turn,
     all_finite,
     area,
     bbox_of,
     edges_of,
     is_empty,
+    on_border,
+    per_ring,
     point_in_polygon,
+    ring_edges,
+    side,
 )
 from platwork.operators.pairs import bbox_pairs
 
@@ -27,29 +29,16 @@ EDGE_BINS = {"base": 1.0, "ratio": 16.0, "levels": 4}
 
 def ring_edge_rows(features: DataFrame) -> DataFrame:
     """One row per edge of nonzero length, numbered within its ring."""
-
-    def ring_rows(ring: Column, part: Column, index: Column) -> Column:
-        real = F.filter(
-            _ring_edges(ring, part, index), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"])
-        )
-        return F.transform(
-            real, lambda e, i: e.withField("seq", i).withField("n", F.size(real))
-        )
-
-    rows = F.flatten(
-        F.transform(
-            F.col("geom.parts"),
-            lambda part, p: F.flatten(F.transform(part, lambda ring, r: ring_rows(ring, p, r))),
-        )
+    real = f"filter({ring_edges('rg', 'pi', 'ri')}, re -> re.x1 != re.x2 OR re.y1 != re.y2)"
+    numbered = (
+        f"flatten(transform(array({real}), rr -> transform(rr, (re, rj) -> named_struct("
+        "'part', re.part, 'ring', re.ring, 'seq', rj, 'n', size(rr), "
+        "'x1', re.x1, 'y1', re.y1, 'x2', re.x2, 'y2', re.y2))))"
     )
-    return features.select(*KEY, F.explode(rows).alias("e")).withColumn(
-        "box",
-        F.struct(
-            F.least("e.x1", "e.x2").alias("xmin"),
-            F.least("e.y1", "e.y2").alias("ymin"),
-            F.greatest("e.x1", "e.x2").alias("xmax"),
-            F.greatest("e.y1", "e.y2").alias("ymax"),
-        ),
+    return features.selectExpr(*KEY, f"explode({per_ring('geom', numbered)}) AS e").selectExpr(
+        "*",
+        "named_struct('xmin', least(e.x1, e.x2), 'ymin', least(e.y1, e.y2), "
+        "'xmax', greatest(e.x1, e.x2), 'ymax', greatest(e.y1, e.y2)) AS box",
     )
 
 
@@ -58,105 +47,71 @@ def edge_contacts(features: DataFrame) -> DataFrame:
     edges = ring_edge_rows(features)
     left = edges.withColumnsRenamed({"e": "a", "box": "a_box"})
     right = edges.withColumnsRenamed({"e": "b", "box": "b_box"})
-    a, b = F.col("a"), F.col("b")
-    order = lambda e: F.struct(e["part"], e["ring"], e["seq"])
-    side_a1 = F.signum(_turn(b["x1"], b["y1"], b["x2"], b["y2"], a["x1"], a["y1"]))
-    side_a2 = F.signum(_turn(b["x1"], b["y1"], b["x2"], b["y2"], a["x2"], a["y2"]))
-    side_b1 = F.signum(_turn(a["x1"], a["y1"], a["x2"], a["y2"], b["x1"], b["y1"]))
-    side_b2 = F.signum(_turn(a["x1"], a["y1"], a["x2"], a["y2"], b["x2"], b["y2"]))
+    sides = [
+        f"signum({side(of, f'{end}.x{n}', f'{end}.y{n}')}) AS s{end}{n}"
+        for of, end in (("b", "a"), ("a", "b"))
+        for n in (1, 2)
+    ]
     return (
         bbox_pairs(left, right, "a_box", "b_box", on=KEY, **EDGE_BINS)
-        .filter(order(a) < order(b))
-        .withColumns({"sa1": side_a1, "sa2": side_a2, "sb1": side_b1, "sb2": side_b2})
+        .filter("struct(a.part, a.ring, a.seq) < struct(b.part, b.ring, b.seq)")
+        .selectExpr(*KEY, "a", "b", *sides)
         .filter("sa1 * sa2 <= 0 AND sb1 * sb2 <= 0")
-        .drop("a_box", "b_box")
-        .withColumn("parallel", F.expr("sa1 = 0 AND sa2 = 0 AND sb1 = 0 AND sb2 = 0"))
-        .withColumn("crossing", F.expr("sa1 * sa2 < 0 AND sb1 * sb2 < 0"))
+        .selectExpr(
+            "*",
+            "sa1 = 0 AND sa2 = 0 AND sb1 = 0 AND sb2 = 0 AS parallel",
+            "sa1 * sa2 < 0 AND sb1 * sb2 < 0 AS crossing",
+        )
     )
 
 
-def _overlap_length_positive() -> Column:
-    """For parallel contacts: more than one point in common?"""
-    shared_x = F.least(
-        F.greatest("a.x1", "a.x2"), F.greatest("b.x1", "b.x2")
-    ) - F.greatest(F.least("a.x1", "a.x2"), F.least("b.x1", "b.x2"))
-    shared_y = F.least(
-        F.greatest("a.y1", "a.y2"), F.greatest("b.y1", "b.y2")
-    ) - F.greatest(F.least("a.y1", "a.y2"), F.least("b.y1", "b.y2"))
-    return (shared_x > 0) | (shared_y > 0)
-
-
-def _on_border(edges: Column, x: Column, y: Column) -> Column:
-    return F.exists(
-        edges,
-        lambda e: (_turn(e["x1"], e["y1"], e["x2"], e["y2"], x, y) == 0)
-        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
+def _shared_extent(axis: str) -> str:
+    return (
+        f"least(greatest(a.{axis}1, a.{axis}2), greatest(b.{axis}1, b.{axis}2))"
+        f" - greatest(least(a.{axis}1, a.{axis}2), least(b.{axis}1, b.{axis}2))"
     )
 
 
-def _misplaced_rings(geom: Column) -> Column:
-    """A hole leaving its shell, a hole inside a hole, or a part inside a part."""
-    edges = F.col("_edges")
+# Parallel edges on one line: more than one point in common?
+OVERLAP = f"(parallel AND ({_shared_extent('x')} > 0 OR {_shared_extent('y')} > 0))"
+SAME_RING = "(a.part = b.part AND a.ring = b.ring)"
+NEIGHBOUR = f"({SAME_RING} AND abs(a.seq - b.seq) IN (1, a.n - 1))"
 
-    def own(part: Column, ring: Column) -> Column:
-        return F.filter(edges, lambda e: (e["part"] == part) & (e["ring"] == ring))
 
-    def outside(vertex: Column, border: Column) -> Column:
-        return ~point_in_polygon(border, vertex["x1"], vertex["y1"]) & ~_on_border(
-            border, vertex["x1"], vertex["y1"]
-        )
+def _misplaced_rings() -> str:
+    """A hole leaving its shell, a hole inside a hole, or a part inside a part."""
+    shell = "filter(_edges, x -> x.part = v.part AND x.ring = 0)"
+    hole = "filter(_edges, x -> x.part = s.part AND x.ring = s.ring)"
+    other = "filter(_edges, x -> x.part = s.part)"
 
-    def inside(vertex: Column, border: Column) -> Column:
-        return point_in_polygon(border, vertex["x1"], vertex["y1"]) & ~_on_border(
-            border, vertex["x1"], vertex["y1"]
+    def strictly_in(border: str) -> str:
+        return (
+            f"({point_in_polygon(border, 'v.x1', 'v.y1')} AND NOT {on_border(border, 'v.x1', 'v.y1')})"
         )
 
-    many = (F.size(geom["parts"]) > 1) | F.exists(geom["parts"], lambda p: F.size(p) > 1)
-    leaving = F.exists(
-        edges, lambda v: (v["ring"] > 0) & outside(v, own(v["part"], F.lit(0)))
-    )
-    nested = F.exists(
-        edges,
-        lambda v: F.exists(
-            edges,
-            lambda s: (s["seq"] == 0)
-            & (
-                ((s["part"] == v["part"]) & (s["ring"] > 0) & (v["ring"] > 0) & (s["ring"] != v["ring"]))
-            )
-            & inside(v, own(s["part"], s["ring"])),
-        ),
+    leaving = (
+        f"exists(_edges, v -> v.ring > 0 AND NOT {point_in_polygon(shell, 'v.x1', 'v.y1')} "
+        f"AND NOT {on_border(shell, 'v.x1', 'v.y1')})"
     )
-    stacked = F.exists(
-        edges,
-        lambda v: F.exists(
-            edges,
-            lambda s: (s["seq"] == 0)
-            & (s["ring"] == 0)
-            & (s["part"] != v["part"])
-            & inside(v, F.filter(edges, lambda e: e["part"] == s["part"])),
-        ),
+    nested = (
+        "exists(_edges, v -> v.ring > 0 AND exists(_edges, s -> s.seq = 0 AND s.ring > 0 "
+        f"AND s.part = v.part AND s.ring != v.ring AND {strictly_in(hole)}))"
     )
-    return F.when(many, leaving | nested | stacked).otherwise(F.lit(False))
-
+    stacked = (
+        "exists(_edges, v -> exists(_edges, s -> s.seq = 0 AND s.ring = 0 "
+        f"AND s.part != v.part AND {strictly_in(other)}))"
+    )
+    many = "(size(geom.parts) > 1 OR exists(geom.parts, p -> size(p) > 1))"
+    return f"CASE WHEN {many} THEN {leaving} OR {nested} OR {stacked} ELSE false END"
 
-def _well_formed(geom: Column) -> Column:
-    def distinct(ring: Column) -> Column:
-        return F.size(F.array_distinct(ring))
 
-    closed = F.forall(
-        geom["parts"],
-        lambda part: F.forall(
-            part,
-            lambda ring: (F.size(ring) >= 4)
-            & (F.element_at(ring, 1) == F.element_at(ring, -1))
-            & (distinct(ring) >= 3),
-        ),
-    )
-    long = F.forall(geom["parts"], lambda part: F.forall(part, lambda ring: distinct(ring) >= 2))
-    return F.when(geom["kind"] == "polygon", closed).when(geom["kind"] == "line", long).otherwise(
-        F.lit(True)
+def _well_formed() -> str:
+    closed = (
+        "forall(geom.parts, p -> forall(p, r -> size(r) >= 4 AND r[0] = r[size(r) - 1] "
+        "AND size(array_distinct(r)) >= 3))"
     )
+    long = "forall(geom.parts, p -> forall(p, r -> size(array_distinct(r)) >= 2))"
+    return f"CASE geom.kind WHEN 'polygon' THEN {closed} WHEN 'line' THEN {long} ELSE true END"
 
 
 def with_validity(features: DataFrame) -> DataFrame:
@@ -166,203 +121,165 @@ def with_validity(features: DataFrame) -> DataFrame:
     Rings may touch each other once; a chain of three or more rings closing a loop
     through single touches is not detected.
     """
-    polygons = features.filter((F.col("geom.kind") == "polygon") & all_finite(F.col("geom")))
-    same_ring = (F.col("a.part") == F.col("b.part")) & (F.col("a.ring") == F.col("b.ring"))
-    gap = F.abs(F.col("a.seq") - F.col("b.seq"))
-    neighbour = same_ring & ((gap == 1) | (gap == F.col("a.n") - 1))
-    overlap = F.col("parallel") & _overlap_length_positive()
-    touch_x = F.when(F.col("sa1") == 0, F.col("a.x1")).when(F.col("sa2") == 0, F.col("a.x2")).when(
-        F.col("sb1") == 0, F.col("b.x1")
-    ).otherwise(F.col("b.x2"))
-    touch_y = F.when(F.col("sa1") == 0, F.col("a.y1")).when(F.col("sa2") == 0, F.col("a.y2")).when(
-        F.col("sb1") == 0, F.col("b.y1")
-    ).otherwise(F.col("b.y2"))
-    contacts = edge_contacts(polygons).withColumn(
-        "bad",
-        F.when(neighbour, overlap).when(same_ring, True).otherwise(overlap | F.col("crossing")),
-    )
-    rings = ["a.part", "a.ring", "b.ring"]
+    polygons = features.filter(f"geom.kind = 'polygon' AND {all_finite('geom')}")
+    contacts = edge_contacts(polygons).selectExpr(
+        "*",
+        f"CASE WHEN {NEIGHBOUR} THEN {OVERLAP} WHEN {SAME_RING} THEN true "
+        f"ELSE {OVERLAP} OR crossing END AS bad",
+    )
+    touch = {
+        axis: f"CASE WHEN sa1 = 0 THEN a.{axis}1 WHEN sa2 = 0 THEN a.{axis}2 "
+        f"WHEN sb1 = 0 THEN b.{axis}1 ELSE b.{axis}2 END AS {axis}"
+        for axis in "xy"
+    }
     touches = (
-        contacts.filter(~same_ring & ~F.col("bad") & (F.col("a.part") == F.col("b.part")))
-        .select(*KEY, *[F.col(r).alias(r.replace(".", "_")) for r in rings], touch_x.alias("x"), touch_y.alias("y"))
+        contacts.filter(f"NOT {SAME_RING} AND NOT bad AND a.part = b.part")
+        .selectExpr(*KEY, "a.part AS part", "a.ring AS one", "b.ring AS two", *touch.values())
         .distinct()
-        .groupBy(*KEY, "a_part", "a_ring", "b_ring")
+        .groupBy(*KEY, "part", "one", "two")
         .count()
         .filter("count > 1")
-        .select(*KEY, F.lit(True).alias("bad"))
+        .select(*KEY)
     )
     faulty = (
-        contacts.filter("bad").select(*KEY, "bad").unionByName(touches).groupBy(*KEY).agg(
-            F.bool_or("bad").alias("_faulty")
+        contacts.filter("bad").select(*KEY).unionByName(touches).distinct().withColumn(
+            "_faulty", F.lit(True)
         )
     )
-    geom = F.col("geom")
     return (
         features.join(faulty, list(KEY), "left")
-        .withColumn("_edges", F.when(geom["kind"] == "polygon", edges_of(geom)))
+        .withColumn(
+            "_edges", F.expr(f"CASE WHEN geom.kind = 'polygon' THEN {edges_of('geom')} END")
+        )
         .withColumn(
             "is_valid",
-            F.when(geom.isNull(), F.lit(None).cast("boolean"))
-            .when(is_empty(geom), True)
-            .when(~all_finite(geom), False)
-            .when(~_well_formed(geom), False)
-            .when(geom["kind"] != "polygon", True)
-            .otherwise(~F.coalesce("_faulty", F.lit(False)) & ~_misplaced_rings(geom)),
+            F.expr(
+                "CASE WHEN geom IS NULL THEN NULL "
+                f"WHEN {is_empty('geom')} THEN true WHEN NOT {all_finite('geom')} THEN false "
+                f"WHEN NOT ({_well_formed()}) THEN false WHEN geom.kind != 'polygon' THEN true "
+                f"WHEN _faulty THEN false ELSE NOT ({_misplaced_rings()}) END"
+            ),
         )
         .drop("_faulty", "_edges")
     )
 
 
-def scan_quality(is_valid: Column) -> Column:
+def scan_quality() -> str:
     """Defect order of a layer scan: null, empty, invalid, has Z."""
-    geom = F.col("geom")
     return (
-        F.when(geom.isNull(), "null_geometry")
-        .when(is_empty(geom), "empty_geometry")
-        .when(~is_valid, "invalid_geometry")
-        .when(geom["has_z"], "z_geometry_requires_adapter")
-        .otherwise("valid_planar_geometry")
+        f"CASE WHEN geom IS NULL THEN 'null_geometry' WHEN {is_empty('geom')} THEN 'empty_geometry' "
+        "WHEN NOT is_valid THEN 'invalid_geometry' "
+        "WHEN geom.has_z THEN 'z_geometry_requires_adapter' ELSE 'valid_planar_geometry' END"
     )
 
 
-def source_quality(is_valid: Column, readable: Column, finite_z: Column) -> Column:
+def source_quality(readable: str = "true", finite_z: str = "true") -> str:
     """Defect order of a boundary record: null, unreadable, empty, not finite (any
     ordinate), has Z, not a polygon, invalid."""
-    geom = F.col("geom")
     return (
-        F.when(~readable, "INVALID_SOURCE_WKB")
-        .when(geom.isNull(), "NULL_GEOMETRY")
-        .when(is_empty(geom), "EMPTY_GEOMETRY")
-        .when(~all_finite(geom) | ~finite_z, "NONFINITE_GEOMETRY")
-        .when(geom["has_z"], "Z_GEOMETRY_UNVERIFIED")
-        .when(geom["kind"] != "polygon", "UNSUPPORTED_FOOTPRINT")
-        .when(~is_valid, "INVALID_GEOMETRY")
-        .otherwise("VALID_PLANAR_SOURCE")
+        f"CASE WHEN NOT {readable} THEN 'INVALID_SOURCE_WKB' WHEN geom IS NULL THEN 'NULL_GEOMETRY' "
+        f"WHEN {is_empty('geom')} THEN 'EMPTY_GEOMETRY' "
+        f"WHEN NOT ({all_finite('geom')} AND {finite_z}) THEN 'NONFINITE_GEOMETRY' "
+        "WHEN geom.has_z THEN 'Z_GEOMETRY_UNVERIFIED' "
+        "WHEN geom.kind != 'polygon' THEN 'UNSUPPORTED_FOOTPRINT' "
+        "WHEN NOT is_valid THEN 'INVALID_GEOMETRY' ELSE 'VALID_PLANAR_SOURCE' END"
     )
 
 
-def object_identity(layer: Column, revision: Column, record: Column) -> Column:
-    digest = F.sha2(F.concat(layer, F.expr("decode(unhex('00'), 'UTF-8')"), revision), 256)
-    return F.concat(F.lit("boundary:"), F.substring(digest, 1, 16), F.lit(":"), record)
+def object_identity(layer: str, revision: str, record: str) -> str:
+    zero = "decode(unhex('00'), 'UTF-8')"
+    digest = f"sha2(concat({layer}, {zero}, {revision}), 256)"
+    return f"concat('boundary:', substring({digest}, 1, 16), ':', {record})"
 
 
 def segment_nodes(features: DataFrame) -> DataFrame:
     """Every edge cut at its contacts: sub-edges with the number of times each is drawn."""
     contacts = edge_contacts(features)
-    a, b = F.col("a"), F.col("b")
     # One formula for the crossing point, so both edges are cut at the same doubles.
-    dax, day = a["x2"] - a["x1"], a["y2"] - a["y1"]
-    dbx, dby = b["x2"] - b["x1"], b["y2"] - b["y1"]
-    share = F.try_divide(
-        (b["x1"] - a["x1"]) * dby - (b["y1"] - a["y1"]) * dbx, dax * dby - day * dbx
-    )
-
-    def point(x: Column, y: Column, when: Column) -> Column:
-        return F.when(when, F.struct(x.alias("x"), y.alias("y")))
-
-    def touches(edge: Column, x: Column, y: Column) -> Column:
-        return x.between(
-            F.least(edge["x1"], edge["x2"]), F.greatest(edge["x1"], edge["x2"])
-        ) & y.between(F.least(edge["y1"], edge["y2"]), F.greatest(edge["y1"], edge["y2"]))
+    share = (
+        "try_divide((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1), "
+        "(a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
+    )
+    cross = (
+        "CASE WHEN crossing THEN named_struct('x', a.x1 + share * (a.x2 - a.x1), "
+        "'y', a.y1 + share * (a.y2 - a.y1)) END"
+    )
+
+    def end_on(edge: str, other: str, n: int) -> str:
+        x, y = f"{other}.x{n}", f"{other}.y{n}"
+        return (
+            f"CASE WHEN s{other}{n} = 0 "
+            f"AND {x} BETWEEN least({edge}.x1, {edge}.x2) AND greatest({edge}.x1, {edge}.x2) "
+            f"AND {y} BETWEEN least({edge}.y1, {edge}.y2) AND greatest({edge}.y1, {edge}.y2) "
+            f"THEN named_struct('x', {x}, 'y', {y}) END"
+        )
 
-    cross = point(a["x1"] + share * dax, a["y1"] + share * day, F.col("crossing"))
-    on_a = F.array(
-        cross,
-        point(b["x1"], b["y1"], (F.col("sb1") == 0) & touches(a, b["x1"], b["y1"])),
-        point(b["x2"], b["y2"], (F.col("sb2") == 0) & touches(a, b["x2"], b["y2"])),
-    )
-    on_b = F.array(
-        cross,
-        point(a["x1"], a["y1"], (F.col("sa1") == 0) & touches(b, a["x1"], a["y1"])),
-        point(a["x2"], a["y2"], (F.col("sa2") == 0) & touches(b, a["x2"], a["y2"])),
-    )
-    cuts = contacts.select(*KEY, a.alias("e"), F.explode(on_a).alias("p")).unionByName(
-        contacts.select(*KEY, b.alias("e"), F.explode(on_b).alias("p"))
-    )
-    own = ring_edge_rows(features).select(
+    marks = "array(" + ", ".join(
+        f"named_struct('e', {e}, 'p', {p})"
+        for e, p in (
+            ("a", cross),
+            ("b", cross),
+            ("a", end_on("a", "b", 1)),
+            ("a", end_on("a", "b", 2)),
+            ("b", end_on("b", "a", 1)),
+            ("b", end_on("b", "a", 2)),
+        )
+    ) + ")"
+    cuts = (
+        contacts.selectExpr("*", f"{share} AS share")
+        .selectExpr(*KEY, f"explode({marks}) AS m")
+        .selectExpr(*KEY, "m.e AS e", "m.p AS p")
+        .filter("p IS NOT NULL")
+    )
+    own = ring_edge_rows(features).selectExpr(
         *KEY,
         "e",
-        F.explode(
-            F.array(
-                F.struct(F.col("e.x1").alias("x"), F.col("e.y1").alias("y")),
-                F.struct(F.col("e.x2").alias("x"), F.col("e.y2").alias("y")),
-            )
-        ).alias("p"),
-    )
-    along = (F.col("p.x") - F.col("e.x1")) * (F.col("e.x2") - F.col("e.x1")) + (
-        F.col("p.y") - F.col("e.y1")
-    ) * (F.col("e.y2") - F.col("e.y1"))
+        "explode(array(named_struct('x', e.x1, 'y', e.y1), named_struct('x', e.x2, 'y', e.y2))) AS p",
+    )
     line = Window.partitionBy(*KEY, "e.part", "e.ring", "e.seq").orderBy("along")
     pieces = (
-        own.unionByName(cuts.filter("p IS NOT NULL"))
+        own.unionByName(cuts)
         .distinct()
-        .withColumn("along", along)
+        .selectExpr(
+            "*", "(p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1) AS along"
+        )
         .withColumn("q", F.lead("p").over(line))
         .filter("q IS NOT NULL")
     )
     return (
-        pieces.select(*KEY, F.least("p", "q").alias("start"), F.greatest("p", "q").alias("end"))
+        pieces.selectExpr(*KEY, "least(p, q) AS start", "greatest(p, q) AS end")
         .groupBy(*KEY, "start", "end")
         .agg(F.count("*").alias("drawn"))
     )
 
 
-def even_odd_area(edges: Column) -> Column:
+def even_odd_area(edges: str) -> str:
     """Area of the points surrounded an odd number of times, by vertical slabs.
 
     Used for the rare invalid records only; cost grows with the square of one record's
     edges.
     """
-
-    def crossing_x(a: Column, b: Column) -> Column:
-        dax, day = a["x2"] - a["x1"], a["y2"] - a["y1"]
-        dbx, dby = b["x2"] - b["x1"], b["y2"] - b["y1"]
-        det = dax * dby - day * dbx
-        s = F.try_divide((b["x1"] - a["x1"]) * dby - (b["y1"] - a["y1"]) * dbx, det)
-        t = F.try_divide((b["x1"] - a["x1"]) * day - (b["y1"] - a["y1"]) * dax, det)
-        return F.when(s.between(0.0, 1.0) & t.between(0.0, 1.0), a["x1"] + s * dax)
-
-    breaks = F.array_sort(
-        F.array_distinct(
-            F.filter(
-                F.concat(
-                    F.transform(edges, lambda e: e["x1"]),
-                    F.flatten(
-                        F.transform(edges, lambda a: F.transform(edges, lambda b: crossing_x(a, b)))
-                    ),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        )
+    det = "((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
+    s = f"try_divide((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1), {det})"
+    t = f"try_divide((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1), {det})"
+    meets = f"CASE WHEN {s} BETWEEN 0D AND 1D AND {t} BETWEEN 0D AND 1D THEN a.x1 + {s} * (a.x2 - a.x1) END"
+    breaks = (
+        f"array_sort(array_distinct(filter(concat(transform({edges}, e -> e.x1), "
+        f"flatten(transform({edges}, a -> transform({edges}, b -> {meets})))), x -> x IS NOT NULL)))"
     )
-
-    def slab(xs: Column, left: Column, i: Column) -> Column:
-        right = F.element_at(xs, i + 2)
-        middle = (left + right) / 2.0
-        heights = F.array_sort(
-            F.transform(
-                F.filter(
-                    edges,
-                    lambda e: (F.least(e["x1"], e["x2"]) < middle)
-                    & (F.greatest(e["x1"], e["x2"]) > middle),
-                ),
-                lambda e: e["y1"]
-                + (e["y2"] - e["y1"]) * F.try_divide(middle - e["x1"], e["x2"] - e["x1"]),
-            )
-        )
-        return (right - left) * F.aggregate(
-            F.transform(heights, lambda y, k: F.when(k % 2 == 1, y).otherwise(-y)),
-            F.lit(0.0),
-            lambda total, v: total + v,
-        )
-
-    return F.aggregate(
-        F.transform(
-            F.slice(breaks, F.lit(1), F.greatest(F.size(breaks) - 1, F.lit(0))),
-            lambda left, i: slab(breaks, left, i),
-        ),
-        F.lit(0.0),
-        lambda total, v: total + v,
+    heights = (
+        f"array_sort(transform(filter({edges}, e -> least(e.x1, e.x2) < mid "
+        "AND greatest(e.x1, e.x2) > mid), e -> e.y1 + (e.y2 - e.y1) * (mid - e.x1) / (e.x2 - e.x1)))"
+    )
+    inside = (
+        f"aggregate(transform({heights}, (y, k) -> if(k % 2 = 1, y, -y)), 0D, (n, w) -> n + w)"
+    )
+    slab = (
+        f"aggregate(array((lo + xs[i + 1]) / 2D), 0D, (z, mid) -> (xs[i + 1] - lo) * {inside})"
+    )
+    slabs = f"transform(slice(xs, 1, greatest(size(xs) - 1, 0)), (lo, i) -> {slab})"
+    return (
+        f"aggregate(array({breaks}), 0D, (z, xs) -> aggregate({slabs}, 0D, (n, w) -> n + w))"
     )
 
 
@@ -372,42 +289,45 @@ def repair_review(features: DataFrame) -> DataFrame:
     Sub-edges drawn an odd number of times bound area; those drawn an even number of
     times are leftovers without area. `features` carries is_valid.
     """
-    geom = F.col("geom")
-    doubtful = features.filter(geom.isNotNull() & (~F.col("is_valid") | is_empty(geom)))
-    reviewable = (
-        (geom["kind"] == "polygon") & ~geom["has_z"] & ~is_empty(geom) & all_finite(geom)
+    doubtful = features.filter(f"geom IS NOT NULL AND (NOT is_valid OR {is_empty('geom')})").selectExpr(
+        *KEY,
+        "geom",
+        "is_valid",
+        f"geom.kind = 'polygon' AND NOT geom.has_z AND NOT {is_empty('geom')} "
+        f"AND {all_finite('geom')} AS reviewable",
+        f"{edges_of('geom')} AS _edges",
     )
     parity = (
-        segment_nodes(doubtful.filter(reviewable))
+        segment_nodes(doubtful.filter("reviewable"))
         .groupBy(*KEY)
         .agg(
-            F.count_if(F.col("drawn") % 2 == 1).alias("odd_edges"),
-            F.count_if(F.col("drawn") % 2 == 0).alias("even_edges"),
+            F.count_if(F.expr("drawn % 2 = 1")).alias("odd"),
+            F.count_if(F.expr("drawn % 2 = 0")).alias("even"),
         )
     )
-    odd, even = F.coalesce("odd_edges", F.lit(0)), F.coalesce("even_edges", F.lit(0))
     return (
         doubtful.join(parity, list(KEY), "left")
-        .withColumn(
-            "status",
-            F.when(~reviewable, "UNSUPPORTED_REVIEW")
-            .when((odd == 0) & (even == 0), "EMPTY_REVIEW")
-            .when((odd > 0) & (even > 0), "MIXED_DIMENSION_REVIEW")
-            .when(even > 0, "COLLAPSED_REVIEW")
-            .otherwise("POLYGON_CANDIDATE"),
+        .selectExpr(
+            *KEY,
+            "reviewable",
+            "coalesce(odd, 0L) AS odd_edges",
+            "coalesce(even, 0L) AS even_edges",
+            f"CASE WHEN reviewable THEN {area('geom')} END AS source_area",
+            f"CASE WHEN reviewable THEN {even_odd_area('_edges')} END AS candidate_area",
         )
-        .withColumn("source_area", F.when(reviewable, area(geom)))
-        .withColumn("candidate_area", F.when(reviewable, even_odd_area(edges_of(geom))))
-        .select(
+        .selectExpr(
             *KEY,
-            "status",
-            odd.cast("long").alias("odd_edges"),
-            even.cast("long").alias("even_edges"),
+            "CASE WHEN NOT reviewable THEN 'UNSUPPORTED_REVIEW' "
+            "WHEN odd_edges = 0 AND even_edges = 0 THEN 'EMPTY_REVIEW' "
+            "WHEN odd_edges > 0 AND even_edges > 0 THEN 'MIXED_DIMENSION_REVIEW' "
+            "WHEN even_edges > 0 THEN 'COLLAPSED_REVIEW' ELSE 'POLYGON_CANDIDATE' END AS status",
+            "odd_edges",
+            "even_edges",
             "source_area",
             "candidate_area",
-            (F.col("candidate_area") - F.col("source_area")).alias("area_difference"),
-            F.lit(False).alias("physical_envelope_accepted"),
-            (~F.coalesce("is_valid", F.lit(False)) | is_empty(geom)).alias("review_required"),
+            "candidate_area - source_area AS area_difference",
+            "false AS physical_envelope_accepted",
+            "true AS review_required",
         )
     )
 
@@ -417,7 +337,7 @@ def boundary_report(records: DataFrame) -> DataFrame:
 
     `records` carries quality, guard, object_id and wkb.
     """
-    box = bbox_of(F.col("guard"))
+    box = F.expr(bbox_of("guard"))
     return records.filter(F.col("quality") != "VALID_PLANAR_SOURCE").select(
         *KEY,
         "object_id",

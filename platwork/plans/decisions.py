@@ -56,9 +56,8 @@ def conflict_items(
 ) -> DataFrame:
     """One row per corridor and object met, with its role and tunnel ceiling."""
     hits = oc.corridor_object_conflicts(corridors, objects, header)
-    facts = oc.object_resolution(objects, zones).join(
-        objects.select("package_id", "object_id", "ground_z", "foundation_z"),
-        ["package_id", "object_id"],
+    facts = oc.object_resolution(
+        objects.select("package_id", "object_id", "geom", "ground_z", "foundation_z"), zones
     )
     levels = header.select(
         "package_id", "minimum_cover", "foundation_clearance", "outer_height"
@@ -256,7 +255,7 @@ def decide_with_boundary_quality(
         .dropDuplicates(["package_id", "corridor_id"])
     )
 
-    solid = guards.filter(area(F.col("guard")) > 0).select(
+    solid = guards.filter(f"{area('guard')} > 0").select(
         "package_id", "layer", "source_record_id", "object_id", F.col("guard").alias("geom")
     )
     roles = oc.object_resolution(solid, zones).select(

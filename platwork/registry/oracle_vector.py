@@ -292,7 +292,7 @@ cte(
     """
     SELECT corridor_id, count(*) FILTER (WHERE role <> 'demolition') AS bm, count(*) FILTER (WHERE role = 'demolition') AS bd,
       count(*) FILTER (WHERE role = 'unresolved') AS bu, count(*) FILTER (WHERE quality <> 'VALID_PLANAR_SOURCE') AS dg,
-      count(*) FILTER (WHERE quality <> 'VALID_PLANAR_SOURCE' AND role <> 'demolition') AS both,
+      count(*) FILTER (WHERE quality <> 'VALID_PLANAR_SOURCE' AND role <> 'demolition') AS twice,
       count(*) FILTER (WHERE quality <> 'VALID_PLANAR_SOURCE' AND role = 'demolition') AS kept
     FROM d_guard_hits h JOIN d_guard_roles r ON r.okey = h.shape_id JOIN d_boundary b ON b.okey = h.shape_id GROUP BY corridor_id""",
 )
@@ -326,7 +326,7 @@ cte(
     SELECT f.* REPLACE (f.stale OR f.event_id % 40 = 1 AS stale, nm + CASE WHEN layer = 'roads' THEN coalesce(bm, 0) ELSE 0 END AS nm,
         nd + CASE WHEN layer = 'roads' THEN coalesce(bd, 0) ELSE 0 END AS nd, nu + CASE WHEN layer = 'roads' THEN coalesce(bu, 0) ELSE 0 END AS nu,
         nl + CASE WHEN layer = 'roads' THEN coalesce(bm, 0) ELSE 0 END AS nl),
-      layer, covered, CASE WHEN layer = 'roads' THEN coalesce(dg, 0) ELSE 1 END AS dg, CASE WHEN layer = 'roads' THEN coalesce(both, 0) ELSE 0 END AS both,
+      layer, covered, CASE WHEN layer = 'roads' THEN coalesce(dg, 0) ELSE 1 END AS dg, CASE WHEN layer = 'roads' THEN coalesce(twice, 0) ELSE 0 END AS twice,
       CASE WHEN layer = 'roads' THEN coalesce(kept, 0) ELSE 0 END AS kept
     FROM d_facts f CROSS JOIN d_layers JOIN d_covered c ON c.corridor_id = f.corridor_id
       LEFT JOIN d_guard_rollup g ON g.corridor_id = f.corridor_id""",
@@ -339,7 +339,7 @@ oracle(
          CASE step WHEN 'stale' THEN 'BOUNDARY_OR_INPUT_REVISION_CHANGED' WHEN 'cover' THEN 'BOUNDARY_COVERAGE_UNKNOWN' WHEN 'lost' THEN 'UNLOCATABLE_BOUNDARY_RETAINED'
            WHEN 'review' THEN 'DEGRADED_BOUNDARY_REVIEW_REQUIRED' WHEN 'no' THEN 'TUNNEL_ASSET_UNSUPPORTED' ELSE reason END AS reason,
          CASE WHEN step IN ('cover', 'lost', 'no') THEN '' WHEN step = 'review' THEN 'tunnel' ELSE permitted_modes END AS permitted_modes,
-         CASE WHEN step = 'stale' THEN 0 WHEN barred THEN dg WHEN step = 'base' THEN nm ELSE nm + dg - both END AS n_mandatory,
+         CASE WHEN step = 'stale' THEN 0 WHEN barred THEN dg WHEN step = 'base' THEN nm ELSE nm + dg - twice END AS n_mandatory,
          CASE WHEN step = 'stale' OR barred THEN 0 WHEN step = 'base' THEN nd ELSE nd - kept END AS n_demolition,
          CASE WHEN step = 'stale' OR barred THEN 0 ELSE nu END AS n_unresolved,
          CASE WHEN step IN ('infeasible', 'base', 'cover', 'lost') AND reason IN ('UNDERGROUND_DEPTH_RANGE_EMPTY', 'LOWER_ONLY_NO_OVERPASS') THEN low END AS lowest_ceiling,

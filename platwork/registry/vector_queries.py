@@ -10,24 +10,19 @@ from platwork.functions.geometry import (
     area,
     bbox_of,
     box_geom,
-    edges_of,
     intersects,
     point_in_polygon,
     within_distance,
 )
 from platwork.operators import conflicts as oc
-from platwork.operators.pairs import bbox_pairs, widened
+from platwork.operators.pairs import bbox_pairs, shaped, widened
 from platwork.operators.quality import object_identity
 from platwork.plans import decisions as pd
 
 
 def _object_zone_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    objects = fx.objects(spark, sf).select(
-        "package_id", "object_id", bbox_of(F.col("geom")).alias("o_box"), edges_of(F.col("geom")).alias("o_edges")
-    )
-    zones = fx.zones(spark, sf).select(
-        "package_id", "zone_id", bbox_of(F.col("geom")).alias("z_box"), edges_of(F.col("geom")).alias("z_edges")
-    )
+    objects = shaped(fx.objects(spark, sf), ["package_id", "object_id"], "o")
+    zones = shaped(fx.zones(spark, sf), ["package_id", "zone_id"], "z")
     return bbox_pairs(objects, zones, "o_box", "z_box")
 
 
@@ -36,58 +31,45 @@ def sp1_spatial_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sp2_intersects(spark: SparkSession, sf: str) -> DataFrame:
-    polygon = F.lit("polygon")
     return (
         _object_zone_candidates(spark, sf)
-        .filter(intersects(polygon, F.col("o_edges"), polygon, F.col("z_edges")))
+        .filter(intersects("o_kind", "o_edges", "z_kind", "z_edges"))
         .select("object_id", "zone_id")
     )
 
 
 def sp3_within_distance(spark: SparkSession, sf: str) -> DataFrame:
-    reach = F.col("radius") + 0.25
-    lines = fx.corridors(spark, sf).select(
-        "package_id",
-        "corridor_id",
-        reach.alias("reach"),
-        edges_of(F.col("geom")).alias("c_edges"),
-        widened(bbox_of(F.col("geom")), reach).alias("c_box"),
-    )
-    objects = fx.objects(spark, sf).select(
-        "package_id", "object_id", bbox_of(F.col("geom")).alias("o_box"), edges_of(F.col("geom")).alias("o_edges")
-    )
+    lines = shaped(
+        fx.corridors(spark, sf).withColumn("reach", F.expr("radius + 0.25D")),
+        ["package_id", "corridor_id", "reach"],
+        "c",
+    ).withColumn("c_box", F.expr(widened("c_box", "reach")))
+    objects = shaped(fx.objects(spark, sf), ["package_id", "object_id"], "o")
     return (
         bbox_pairs(lines, objects, "c_box", "o_box")
-        .filter(
-            within_distance(
-                F.lit("line"), F.col("c_edges"), F.lit("polygon"), F.col("o_edges"), F.col("reach")
-            )
-        )
+        .filter(within_distance("c_kind", "c_edges", "o_kind", "o_edges", "reach"))
         .select("corridor_id", "object_id")
     )
 
 
 def sp4_point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
-    points = fx.zone_points(spark, sf).select(
-        "package_id", "feature_id", bbox_of(F.col("geom")).alias("p_box")
-    )
-    zones = fx.zones(spark, sf).select(
-        "package_id", "zone_id", bbox_of(F.col("geom")).alias("z_box"), edges_of(F.col("geom")).alias("z_edges")
-    )
+    points = shaped(fx.zone_points(spark, sf), ["package_id", "feature_id"], "p")
+    zones = shaped(fx.zones(spark, sf), ["package_id", "zone_id"], "z")
     return (
         bbox_pairs(points, zones, "p_box", "z_box")
-        .filter(point_in_polygon(F.col("z_edges"), F.col("p_box.xmin"), F.col("p_box.ymin")))
+        .filter(point_in_polygon("z_edges", "p_box.xmin", "p_box.ymin"))
         .select("feature_id", "zone_id")
     )
 
 
 def sp5_zone_overlap_check(spark: SparkSession, sf: str) -> DataFrame:
     """Every third zone is grown by half a metre, so that it overlaps its neighbours."""
-    box = bbox_of(F.col("geom"))
-    grow = F.when(F.substring("zone_id", 2, 20).cast("long") % 3 == 0, 0.5).otherwise(0.0)
-    zones = fx.zones(spark, sf).withColumn(
-        "geom",
-        box_geom(box["xmin"] - grow, box["ymin"] - grow, box["xmax"] + grow, box["ymax"] + grow),
+    grown = box_geom("b.xmin - g", "b.ymin - g", "b.xmax + g", "b.ymax + g")
+    zones = (
+        fx.zones(spark, sf)
+        .withColumn("b", F.expr(bbox_of("geom")))
+        .withColumn("g", F.expr("if(bigint(substring(zone_id, 2)) % 3 = 0, 0.5D, 0D)"))
+        .withColumn("geom", F.expr(grown))
     )
     return oc.zone_overlaps(zones).drop("package_id")
 
@@ -95,7 +77,7 @@ def sp5_zone_overlap_check(spark: SparkSession, sf: str) -> DataFrame:
 def sp6_intersection_area(spark: SparkSession, sf: str) -> DataFrame:
     return (
         oc.feature_zone_pairs(fx.objects(spark, sf), fx.zones(spark, sf), "object_id")
-        .filter("common_area > 0")
+        .filter("common_area > 1e-12D")
         .select("object_id", "zone_id", F.round("common_area", 6).alias("common_area"))
     )
 
@@ -110,7 +92,7 @@ def _point_and_object_features(spark: SparkSession, sf: str) -> DataFrame:
 def jn6_zone_association(spark: SparkSession, sf: str) -> DataFrame:
     features = _point_and_object_features(spark, sf)
     pairs = oc.feature_zone_pairs(features, fx.zones(spark, sf), "feature_id")
-    return oc.permission_rollup(features, pairs, "feature_id").drop("package_id", "zone_area")
+    return oc.permission_rollup(features, pairs, "feature_id").drop("package_id", "zone_area", "geom")
 
 
 def jn6_zone_association_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +105,9 @@ def jn6_zone_association_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def ag9_permission_rollup(spark: SparkSession, sf: str) -> DataFrame:
     objects = fx.objects(spark, sf)
     pairs = oc.feature_zone_pairs(objects, fx.zones(spark, sf), "object_id")
-    return oc.permission_rollup(objects, pairs, "object_id").drop("package_id", "zone_area")
+    return oc.permission_rollup(objects.select("package_id", "object_id"), pairs, "object_id").drop(
+        "package_id", "zone_area"
+    )
 
 
 def jn7_corridor_object_conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,10 +180,9 @@ def d1_incomplete_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d2_tunnel_ceilings(spark: SparkSession, sf: str) -> DataFrame:
-    objects, zones = fx.objects(spark, sf), fx.zones(spark, sf)
-    facts = oc.object_resolution(objects, zones).filter(
+    facts = oc.object_resolution(fx.objects(spark, sf), fx.zones(spark, sf)).filter(
         "NOT (resolved AND allow_demolition)"
-    ).join(objects.select("package_id", "object_id", "ground_z", "foundation_z"), ["package_id", "object_id"])
+    )
     return facts.join(fx.snapshot_header(spark, sf), "package_id").select(
         "object_id",
         pd.ceiling(F.col("ground_z"), F.col("foundation_z")).alias("ceiling_z"),
@@ -231,10 +214,9 @@ def quality_records(spark: SparkSession, sf: str) -> DataFrame:
     from platwork.operators.quality import source_quality, with_validity
 
     records = with_validity(fx.boundary_records(spark, sf))
-    records = records.withColumn("quality", source_quality(F.col("is_valid"), F.lit(True), F.lit(True)))
+    records = records.withColumn("quality", F.expr(source_quality()))
     return oc.boundary_guards(records).withColumn(
-        "object_id",
-        object_identity(F.col("layer"), F.col("revision"), F.col("source_record_id")),
+        "object_id", F.expr(object_identity("layer", "revision", "source_record_id"))
     )
 
 
@@ -278,7 +260,7 @@ def jn14_boundary_object_merge(spark: SparkSession, sf: str) -> DataFrame:
     known = F.col("foundation_z").isNotNull()
     return merged.join(clashing, "object_id", "left").select(
         "object_id",
-        F.round(area(F.col("geom")), 6).alias("area"),
+        F.round(F.expr(area("geom")), 6).alias("area"),
         known.alias("levels_known"),
         F.when(~known, F.col("code")).alias("code"),
     )
