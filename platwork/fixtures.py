@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from platwork.functions.geometry import box_geom, line_geom, point_geom, raised, ring_geom
 from platwork.model import GEOMETRY, LAND_USES
+from platwork.session import spread
 
 STRIP = 50
 NODATA = -9999.0
@@ -20,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table spread over all cores, for work that is heavy per row."""
+    return spread(table(spark, folder, name))
+
+
 def plane_height(spark: SparkSession, folder: str) -> int:
     """Metres; answered from Parquet footers."""
     return table(spark, folder, "orders").count() // 100
@@ -122,7 +128,7 @@ _USES = "array(" + ", ".join(f"'{u}'" for u in LAND_USES) + ")"
 
 def zones(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        table(spark, folder, "supplier")
+        dealt(spark, folder, "supplier")
         .filter("s_suppkey % 13 != 5")
         .selectExpr(
             "s_suppkey AS key",
@@ -146,7 +152,7 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 
 def _footprints(spark: SparkSession, folder: str) -> DataFrame:
     """Part rows with the frame of their footprint: x, y, w, h."""
-    return table(spark, folder, "part").selectExpr(
+    return dealt(spark, folder, "part").selectExpr(
         "'city' AS package_id",
         "p_partkey AS key",
         "p_size",
@@ -206,7 +212,7 @@ def corridors_of(events: DataFrame, *extra: str) -> DataFrame:
 
 
 def corridors(spark: SparkSession, folder: str) -> DataFrame:
-    return corridors_of(table(spark, folder, "events"))
+    return corridors_of(dealt(spark, folder, "events"))
 
 
 def protected(spark: SparkSession, folder: str) -> DataFrame:
@@ -446,7 +452,7 @@ def changed_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def zone_points(spark: SparkSession, folder: str) -> DataFrame:
     """Point features on a quarter grid, many of them on zone borders."""
-    return table(spark, folder, "events").selectExpr(
+    return dealt(spark, folder, "events").selectExpr(
         "'city' AS package_id",
         "concat('p', event_id) AS feature_id",
         point_geom("(user_id * 13 % 400) / 4D", "(event_id * 6 div 100) / 4D") + " AS geom",

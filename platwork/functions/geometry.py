@@ -85,6 +85,21 @@ def edges_of(geom: str) -> str:
     return per_ring(geom, ring_edges("rg", "pi", "ri"))
 
 
+def turned_edges_of(geom: str) -> str:
+    """Edges that also carry their ring's sense: +1 where the inside lies to the left.
+
+    Shells count positive and holes negative whatever way they were drawn.
+    """
+    sense = f"signum({ring_area('rg')}) * if(ri = 0, 1D, -1D)"
+    rows = (
+        f"transform({ring_edges('rg', 'pi', 'ri')}, te -> named_struct('part', te.part, "
+        f"'ring', te.ring, 'seq', te.seq, 'x1', te.x1, 'y1', te.y1, 'x2', te.x2, 'y2', te.y2, "
+        "'turn', tn))"
+    )
+    with_sense = f"flatten(transform(array({sense}), tn -> {rows}))"
+    return per_ring(geom, with_sense)
+
+
 def bbox_of(geom: str) -> str:
     """Bounding box, or NULL when empty or not finite; one pass over the vertices."""
     start = (
@@ -203,13 +218,17 @@ def segments_near(a: str, b: str, reach: str, strict: bool = False) -> str:
     )
 
 
+def crosses_ray(e: str, px: str, py: str) -> str:
+    """Does an edge cross the ray from a point to the right? Lower end included."""
+    return (
+        f"((({e}.y1 <= {py}) != ({e}.y2 <= {py})) "
+        f"AND signum({e}.y2 - {e}.y1) * {side(e, px, py)} > 0)"
+    )
+
+
 def point_in_polygon(edges: str, px: str, py: str) -> str:
     """Even-odd rule with holes, left and lower borders inside."""
-    crossing = (
-        f"((ce.y1 <= {py}) != (ce.y2 <= {py}) "
-        f"AND signum(ce.y2 - ce.y1) * {side('ce', px, py)} > 0)"
-    )
-    return f"(size(filter({edges}, ce -> {crossing})) % 2 = 1)"
+    return f"(size(filter({edges}, ce -> {crosses_ray('ce', px, py)})) % 2 = 1)"
 
 
 def on_border(edges: str, px: str, py: str) -> str:
@@ -220,32 +239,12 @@ def on_border(edges: str, px: str, py: str) -> str:
     )
 
 
-def _holds_start_of(kind: str, edges: str, other: str) -> str:
-    """One vertex of each part decides containment once no edges meet."""
+def holds_start_of(kind: str, edges: str, other: str) -> str:
+    """Does a polygon hold the first vertex of any part of another shape?"""
     inside = point_in_polygon(edges, "hv.x1", "hv.y1")
     return f"({kind} = 'polygon' AND exists({other}, hv -> hv.seq = 0 AND hv.ring = 0 AND {inside}))"
 
 
-def intersects(kind_a: str, edges_a: str, kind_b: str, edges_b: str) -> str:
-    """Closed intersection: touching counts."""
-    contact = segments_meet("ea", "eb")
-    return (
-        f"(exists({edges_a}, ea -> exists({edges_b}, eb -> {contact}))"
-        f" OR {_holds_start_of(kind_a, edges_a, edges_b)}"
-        f" OR {_holds_start_of(kind_b, edges_b, edges_a)})"
-    )
-
-
-def within_distance(kind_a: str, edges_a: str, kind_b: str, edges_b: str, reach: str) -> str:
-    """Do two shapes come within a distance of each other (limit included)?"""
-    contact = segments_near("ea", "eb", reach)
-    return (
-        f"(exists({edges_a}, ea -> exists({edges_b}, eb -> {contact}))"
-        f" OR {_holds_start_of(kind_a, edges_a, edges_b)}"
-        f" OR {_holds_start_of(kind_b, edges_b, edges_a)})"
-    )
-
-
 def covers_buffer(polygon: str, line: str, reach: str) -> str:
     """Does a polygon cover a line widened by a distance (common border allowed)?
 
@@ -259,49 +258,35 @@ def covers_buffer(polygon: str, line: str, reach: str) -> str:
 # --- overlay area -----------------------------------------------------------------
 
 
-def strips_of(geom: str) -> str:
-    """Edges with a sign so that the signed strips below them add up to the polygon.
+def shared_strip(a: str, b: str, base: str) -> str:
+    """Contribution of two turned edges to the common area of their polygons.
 
-    A polygon's indicator is the signed sum of the strips under its edges; shells
-    count positive and holes negative whatever their drawing direction.
+    A polygon is the signed sum of the strips below its edges, hence the common area of
+    two polygons is the signed sum of common strips over all pairs of edges. A common
+    strip is the area below both edges over their shared x range; where they cross
+    inside it, the lower envelope has a corner there.
     """
-    ring_turn = f"(signum({ring_area('rg')}) * if(ri = 0, 1D, -1D))"
-    strip = (
-        "named_struct('lo', least(se.x1, se.x2), 'hi', greatest(se.x1, se.x2), "
-        "'y', if(se.x1 <= se.x2, se.y1, se.y2), "
-        "'m', (se.y2 - se.y1) / (se.x2 - se.x1), "
-        f"'sign', signum(se.x1 - se.x2) * {ring_turn})"
-    )
-    rows = (
-        f"transform(filter({ring_edges('rg', 'pi', 'ri')}, se -> se.x1 != se.x2), se -> {strip})"
-    )
-    return f"CASE WHEN {geom}.kind = 'polygon' THEN {per_ring(geom, rows)} END"
 
+    def span(fn: str, inner: str) -> str:
+        return f"{fn}({inner}({a}.x1, {a}.x2), {inner}({b}.x1, {b}.x2))"
 
-def intersection_area(strips_a: str, strips_b: str, base: str) -> str:
-    """Area of A and B in common: the product of their signed strip sums.
+    lo, hi = span("greatest", "least"), span("least", "greatest")
 
-    For two edges the common strip is the area below both over their shared x range.
-    Where they cross inside the range, the lower envelope gains a corner there.
-    """
-    heights = (
-        "named_struct('w', sx.hi - sx.lo,"
-        f" 'al', sa.y + sa.m * (sx.lo - sa.lo) - {base}, 'ah', sa.y + sa.m * (sx.hi - sa.lo) - {base},"
-        f" 'bl', sb.y + sb.m * (sx.lo - sb.lo) - {base}, 'bh', sb.y + sb.m * (sx.hi - sb.lo) - {base})"
-    )
-    plain = "(least(sh.al, sh.bl) + least(sh.ah, sh.bh)) / 2D * sh.w"
-    bend = (
-        "aggregate(array((sh.al - sh.bl) / ((sh.al - sh.bl) - (sh.ah - sh.bh))), 0D, (b0, sc) -> "
-        "((least(sh.al, sh.bl) + sh.al + sc * (sh.ah - sh.al)) / 2D * sc"
-        " + (sh.al + sc * (sh.ah - sh.al) + least(sh.ah, sh.bh)) / 2D * (1D - sc)) * sh.w)"
-    )
-    crossing = "signum(sh.al - sh.bl) * signum(sh.ah - sh.bh) < 0"
-    strip = (
-        f"aggregate(array({heights}), 0D, (h0, sh) -> CASE WHEN {crossing} THEN {bend} ELSE {plain} END)"
+    def height(e: str, x: str) -> str:
+        slope = f"try_divide({e}.y2 - {e}.y1, {e}.x2 - {e}.x1)"
+        return f"({e}.y1 + ({x} - {e}.x1) * {slope} - {base})"
+
+    al, ah, bl, bh = (height(e, x) for e in (a, b) for x in (lo, hi))
+    sign = f"signum({a}.x1 - {a}.x2) * {a}.turn * signum({b}.x1 - {b}.x2) * {b}.turn"
+    share = f"(({al} - {bl}) / (({al} - {bl}) - ({ah} - {bh})))"
+    knee = f"({al} + {share} * ({ah} - {al}))"
+    bent = (
+        f"((least({al}, {bl}) + {knee}) / 2D * {share}"
+        f" + ({knee} + least({ah}, {bh})) / 2D * (1D - {share}))"
     )
-    shared = "named_struct('lo', greatest(sa.lo, sb.lo), 'hi', least(sa.hi, sb.hi))"
+    plain = f"(least({al}, {bl}) + least({ah}, {bh})) / 2D"
+    crossing = f"signum({al} - {bl}) * signum({ah} - {bh}) < 0"
     return (
-        f"aggregate({strips_a}, 0D, (ta, sa) -> ta + aggregate({strips_b}, 0D, (tb, sb) -> tb + "
-        f"CASE WHEN sa.lo < sb.hi AND sb.lo < sa.hi THEN sa.sign * sb.sign * "
-        f"aggregate(array({shared}), 0D, (x0, sx) -> {strip}) ELSE 0D END))"
+        f"CASE WHEN {hi} <= {lo} THEN 0D WHEN {crossing} THEN {sign} * ({hi} - {lo}) * {bent} "
+        f"ELSE {sign} * ({hi} - {lo}) * {plain} END"
     )

@@ -9,14 +9,11 @@ from platwork.functions.geometry import (
     area,
     bbox_geom,
     bbox_of,
-    covers_buffer,
+    crosses_ray,
     edges_of,
-    intersection_area,
-    intersects,
-    strips_of,
-    within_distance,
+    segments_near,
 )
-from platwork.operators.pairs import bbox_pairs, shaped, widened
+from platwork.operators.pairs import line_pairs, shape_pairs, shaped
 
 AREA_TOLERANCE = 1e-9
 
@@ -26,27 +23,12 @@ def feature_zone_pairs(features: DataFrame, zones: DataFrame, key: str) -> DataF
 
     `features` needs package_id, the key and geom.
     """
-    left = shaped(
-        features.withColumn("f_strips", F.expr(strips_of("geom"))),
-        ["package_id", key, "f_strips"],
+    return shape_pairs(
+        shaped(features, ["package_id", key], "f"),
+        shaped(zones, ["package_id", "zone_id", "allow_demolition"], "z"),
         "f",
-    )
-    right = shaped(
-        zones.withColumn("z_strips", F.expr(strips_of("geom"))),
-        ["package_id", "zone_id", "allow_demolition", "z_strips"],
         "z",
-    )
-    common = intersection_area("f_strips", "z_strips", "greatest(f_box.ymin, z_box.ymin)")
-    return (
-        bbox_pairs(left, right, "f_box", "z_box")
-        .filter(intersects("f_kind", "f_edges", "z_kind", "z_edges"))
-        .select(
-            "package_id",
-            key,
-            "zone_id",
-            "allow_demolition",
-            F.expr(f"coalesce({common}, 0D)").alias("common_area"),
-        )
+        ["package_id", key, "zone_id", "allow_demolition"],
     )
 
 
@@ -89,47 +71,41 @@ def object_resolution(objects: DataFrame, zones: DataFrame) -> DataFrame:
 
 def corridor_lines(corridors: DataFrame) -> DataFrame:
     return corridors.select(
-        "package_id",
-        "corridor_id",
-        "radius",
-        F.expr(bbox_of("geom")).alias("line_box"),
-        F.expr(edges_of("geom")).alias("c_edges"),
+        "package_id", "corridor_id", "radius", F.expr(edges_of("geom")).alias("c_edges")
     )
 
 
-def _meeting(lines: DataFrame, shapes: DataFrame, reach: str) -> DataFrame:
-    """Corridor lines x polygons within a distance of each other."""
-    left = lines.withColumn("_reach", F.expr(reach)).withColumn(
-        "c_box", F.expr(widened("line_box", "_reach"))
-    )
-    right = shaped(shapes, [c for c in shapes.columns if c != "geom"], "s")
-    return (
-        bbox_pairs(left.drop("line_box"), right, "c_box", "s_box")
-        .filter(within_distance("'line'", "c_edges", "s_kind", "s_edges", "_reach"))
-        .drop("c_edges", "s_edges", "c_box", "s_box", "s_kind", "_reach")
+def _with_control(corridors: DataFrame, header: DataFrame) -> DataFrame:
+    return corridor_lines(corridors).join(
+        header.select("package_id", "control_buffer"), "package_id"
     )
 
 
-def _with_control(lines: DataFrame, header: DataFrame) -> DataFrame:
-    return lines.join(header.select("package_id", "control_buffer"), "package_id")
+LINE_KEYS = ("package_id", "corridor_id")
 
 
 def corridor_object_conflicts(
     corridors: DataFrame, objects: DataFrame, header: DataFrame
 ) -> DataFrame:
     """Objects within corridor radius plus control distance."""
-    return _meeting(
-        _with_control(corridor_lines(corridors), header),
-        objects.select("package_id", "object_id", "geom"),
+    return line_pairs(
+        _with_control(corridors, header),
+        shaped(objects, ["package_id", "object_id"], "s"),
         "radius + control_buffer",
-    ).select("package_id", "corridor_id", "object_id")
+        LINE_KEYS,
+        ("object_id",),
+    )
 
 
 def protection_conflicts(corridors: DataFrame, protected: DataFrame) -> DataFrame:
     """Protected areas within the corridor radius; no control distance here."""
-    return _meeting(
-        corridor_lines(corridors), protected.select("package_id", "area_id", "geom"), "radius"
-    ).select("package_id", "corridor_id", "area_id")
+    return line_pairs(
+        corridor_lines(corridors),
+        shaped(protected, ["package_id", "area_id"], "s"),
+        "radius",
+        LINE_KEYS,
+        ("area_id",),
+    )
 
 
 def boundary_guards(records: DataFrame) -> DataFrame:
@@ -152,12 +128,14 @@ def boundary_guards(records: DataFrame) -> DataFrame:
 def boundary_conflicts(corridors: DataFrame, guards: DataFrame, header: DataFrame) -> DataFrame:
     """Located boundary records near a corridor; unlocatable ones concern every corridor
     and are kept as a count per layer (see `unlocatable_counts`)."""
-    shapes = guards.filter("guard IS NOT NULL").select(
-        "package_id", "layer", "source_record_id", "quality", F.col("guard").alias("geom")
+    keys = ("layer", "source_record_id", "quality")
+    return line_pairs(
+        _with_control(corridors, header),
+        shaped(guards, ["package_id", *keys], "s", "guard"),
+        "radius + control_buffer",
+        LINE_KEYS,
+        keys,
     )
-    return _meeting(
-        _with_control(corridor_lines(corridors), header), shapes, "radius + control_buffer"
-    ).select("package_id", "layer", "corridor_id", "source_record_id", "quality")
 
 
 def unlocatable_counts(guards: DataFrame) -> DataFrame:
@@ -169,17 +147,26 @@ def unlocatable_counts(guards: DataFrame) -> DataFrame:
 def coverage_of_envelopes(corridors: DataFrame, coverage: DataFrame) -> DataFrame:
     """Is each corridor envelope covered by the declared coverage polygon of a layer?
 
-    `coverage` has one row per (package, layer).
+    The line must start inside and no border edge may come closer than the radius
+    (a common border is allowed). `coverage` has one row per (package, layer).
     """
-    area_row = coverage.select(
+    keys = ["package_id", "layer", "corridor_id"]
+    borders = coverage.select(
         "package_id", "layer", F.expr(edges_of("geom")).alias("cover_edges")
     )
-    covered = covers_buffer("cover_edges", "c_edges", "radius")
     return (
         corridor_lines(corridors)
-        .join(area_row, "package_id")
+        .join(borders, "package_id")
+        .selectExpr(*keys, "radius", "cover_edges", "explode(c_edges) AS a")
+        .selectExpr(*keys, "radius", "a", "explode(cover_edges) AS b")
         .selectExpr(
-            "package_id", "layer", "corridor_id", f"coalesce({covered}, false) AS covered"
+            *keys,
+            f"{segments_near('a', 'b', 'radius', strict=True)} AS near",
+            f"a.seq = 0 AND {crosses_ray('b', 'a.x1', 'a.y1')} AS ray",
+        )
+        .groupBy(*keys)
+        .agg(
+            (~F.bool_or("near") & (F.count_if("ray") % 2 == 1)).alias("covered"),
         )
     )
 
@@ -187,29 +174,16 @@ def coverage_of_envelopes(corridors: DataFrame, coverage: DataFrame) -> DataFram
 def zone_overlaps(zones: DataFrame) -> DataFrame:
     """Zone pairs whose interiors overlap; touching is allowed.
 
-    Sums below a trillionth of the common box are rounding, not area.
+    Sums below a billionth of a square metre are rounding, not area.
     """
 
     def half(tag: str) -> DataFrame:
-        return zones.select(
-            "package_id",
-            F.col("zone_id").alias(f"{tag}_zone"),
-            F.expr(bbox_of("geom")).alias(f"{tag}_box"),
-            F.expr(strips_of("geom")).alias(f"{tag}_strips"),
-        )
+        named = zones.withColumnRenamed("zone_id", f"{tag}_zone")
+        return shaped(named, ["package_id", f"{tag}_zone"], tag)
 
-    common = intersection_area("a_strips", "b_strips", "greatest(a_box.ymin, b_box.ymin)")
-    noise = (
-        "1e-12D * (least(a_box.xmax, b_box.xmax) - greatest(a_box.xmin, b_box.xmin))"
-        " * (least(a_box.ymax, b_box.ymax) - greatest(a_box.ymin, b_box.ymin))"
-    )
-    return (
-        bbox_pairs(half("a"), half("b"), "a_box", "b_box")
-        .filter("a_zone < b_zone")
-        .selectExpr("package_id", "a_zone", "b_zone", f"{common} AS common_area", f"{noise} AS _noise")
-        .filter("common_area > _noise")
-        .drop("_noise")
-        .withColumn("code", F.lit("OVERLAPPING_ZONES"))
+    pairs = shape_pairs(half("a"), half("b"), "a", "b", ["package_id", "a_zone", "b_zone"])
+    return pairs.filter("a_zone < b_zone AND common_area > 1e-9D").withColumn(
+        "code", F.lit("OVERLAPPING_ZONES")
     )
 
 

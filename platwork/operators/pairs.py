@@ -7,6 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platwork.functions.geometry import (
+    bbox_of,
+    crosses_ray,
+    holds_start_of,
+    segments_meet,
+    segments_near,
+    shared_strip,
+    turned_edges_of,
+)
+
 
 def bin_sizes(base: float, ratio: float, levels: int) -> list[float]:
     return [base * ratio**level for level in range(levels)]
@@ -21,44 +31,37 @@ def _own_level(box: str, sizes: Sequence[float]) -> str:
     return f"CASE {steps} ELSE {len(sizes) - 1} END" if steps else "0"
 
 
+def _visits(own: int, top: int, left: bool) -> str:
+    """The (turn, level) pairs of a box of a level, packed as 100 * turn + level."""
+    if left:
+        packed = [*range(own, top + 1), *([100 + own] if own else [])]
+    else:
+        packed = [own, *[100 + level for level in range(own + 1, top + 1)]]
+    return "array(" + ", ".join(str(v) for v in packed) + ")"
+
+
 def _into_bins(df: DataFrame, box: str, sizes: Sequence[float], left: bool) -> DataFrame:
     """One row per (turn, level, bin) in which the box has to be compared.
 
     Turn 0 pairs the right side's own level with left boxes of that level or finer;
     turn 1 pairs the left side's own level with strictly finer right boxes. A pair
-    meets in exactly one of them, at the coarser of its two levels.
+    meets in exactly one of them, at the coarser of its two levels. Rows without a box
+    fall out with the empty bin range.
     """
     top = len(sizes) - 1
-    size_of = "array(" + ", ".join(f"{size}D" for size in sizes) + ")"
-    upward, own = f"sequence(_own, {top})", "array(_own)"
-    if left:
-        turns = [(0, upward), (1, "filter(array(_own), v -> v > 0)")]
-    else:
-        turns = [(0, own), (1, f"filter(sequence(0, {top}), v -> v > _own)")]
-    visits = ", ".join(
-        f"transform({levels}, lv -> named_struct('turn', {turn}, 'level', lv))"
-        for turn, levels in turns
-    )
-    bins = (
-        "flatten(transform(sequence(floor({b}.xmin / _size), floor({b}.xmax / _size)), bx -> "
-        "transform(sequence(floor({b}.ymin / _size), floor({b}.ymax / _size)), by -> "
-        "named_struct('x', bx, 'y', by))))"
-    ).format(b=box)
+    visits = " ".join(f"WHEN {own} THEN {_visits(own, top, left)}" for own in range(top + 1))
+    size_of = " ".join(f"WHEN {level} THEN {size}D" for level, size in enumerate(sizes))
     rows = (
-        df.filter(f"{box} IS NOT NULL")
-        .selectExpr("*", f"{_own_level(box, sizes)} AS _own")
-        .selectExpr("*", f"explode(concat({visits})) AS _visit")
-        .selectExpr("*", f"{size_of}[_visit.level] AS _size")
-        .selectExpr("*", f"explode({bins}) AS _bin")
+        df.selectExpr("*", f"explode(CASE {_own_level(box, sizes)} {visits} END) AS _visit")
+        .selectExpr("*", f"CASE _visit % 100 {size_of} END AS _size")
         .selectExpr(
-            "*",
-            "_visit.turn AS _turn",
-            "_visit.level AS _level",
-            "_bin.x AS _bx",
-            "_bin.y AS _by",
+            "*", f"explode(sequence(floor({box}.xmin / _size), floor({box}.xmax / _size))) AS _bx"
+        )
+        .selectExpr(
+            "*", f"explode(sequence(floor({box}.ymin / _size), floor({box}.ymax / _size))) AS _by"
         )
     )
-    return rows.drop("_own", "_visit", "_bin", *([] if left else ["_size"]))
+    return rows if left else rows.drop("_size")
 
 
 def bbox_pairs(
@@ -80,7 +83,7 @@ def bbox_pairs(
     names of the two sides must differ except for `on`.
     """
     sizes = bin_sizes(base, ratio, levels)
-    keys = [*on, "_turn", "_level", "_bx", "_by"]
+    keys = [*on, "_visit", "_bx", "_by"]
     joined = _into_bins(left, left_box, sizes, True).join(
         _into_bins(right, right_box, sizes, False), keys
     )
@@ -91,24 +94,102 @@ def bbox_pairs(
         f"AND {a}.ymin <= {b}.ymax AND {b}.ymin <= {a}.ymax "
         f"AND floor(greatest({a}.xmin, {b}.xmin) / _size) = _bx "
         f"AND floor(greatest({a}.ymin, {b}.ymin) / _size) = _by"
-    ).drop("_turn", "_level", "_bx", "_by", "_size")
-
-
-def widened(box: str, reach: str) -> str:
-    """A box grown by a distance on every side."""
-    return (
-        f"CASE WHEN {box} IS NOT NULL THEN named_struct('xmin', {box}.xmin - {reach}, "
-        f"'ymin', {box}.ymin - {reach}, 'xmax', {box}.xmax + {reach}, 'ymax', {box}.ymax + {reach}) END"
-    )
+    ).drop("_visit", "_bx", "_by", "_size")
 
 
 def shaped(df: DataFrame, keep: Sequence[str], prefix: str, geom: str = "geom") -> DataFrame:
-    """Chosen columns plus kind, box and edges of a geometry, named with a prefix."""
-    from platwork.functions.geometry import bbox_of, edges_of
-
+    """Chosen columns plus kind, part count, box and edges of a geometry, prefixed."""
     return df.select(
         *keep,
         F.expr(f"{geom}.kind").alias(f"{prefix}_kind"),
+        F.expr(f"size({geom}.parts)").alias(f"{prefix}_parts"),
         F.expr(bbox_of(geom)).alias(f"{prefix}_box"),
-        F.expr(edges_of(geom)).alias(f"{prefix}_edges"),
+        F.expr(turned_edges_of(geom)).alias(f"{prefix}_edges"),
+    )
+
+
+def shape_pairs(
+    left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str]
+) -> DataFrame:
+    """Pairs of shapes that meet (touching counts), with the area they have in common.
+
+    Both sides come from `shaped` with prefixes a and b. After the bin join each pair is
+    opened into edge pairs, tested by plain arithmetic and folded back by one aggregate
+    with map-side combine: contact of any two edges, or one shape inside the other.
+    """
+    many = f"({a}_parts > 1 OR {b}_parts > 1)"
+    inside = (
+        f"{holds_start_of(f'{b}_kind', f'{b}_edges', f'{a}_edges')}"
+        f" OR {holds_start_of(f'{a}_kind', f'{a}_edges', f'{b}_edges')}"
+    )
+    kept = [c for c in keys]
+    rows = (
+        bbox_pairs(left, right, f"{a}_box", f"{b}_box")
+        .selectExpr(
+            *kept,
+            f"{a}_kind AS a_kind",
+            f"{b}_kind AS b_kind",
+            f"greatest({a}_box.ymin, {b}_box.ymin) AS base",
+            # Shapes of several parts need each part looked at; the usual single part
+            # is decided by counting crossings in the aggregate.
+            f"{many} AS many",
+            f"CASE WHEN {many} THEN {inside} ELSE false END AS inside",
+            f"{a}_edges AS a_edges",
+            f"{b}_edges AS b_edges",
+        )
+        .selectExpr(*kept, "a_kind", "b_kind", "base", "many", "inside", "b_edges", "explode(a_edges) AS a")
+        .selectExpr(*kept, "a_kind", "b_kind", "base", "many", "inside", "a", "explode(b_edges) AS b")
+        .selectExpr(
+            *kept,
+            "inside",
+            f"{segments_meet('a', 'b')} AS meet",
+            f"a.seq = 0 AND a.ring = 0 AND NOT many AND b_kind = 'polygon' AND {crosses_ray('b', 'a.x1', 'a.y1')} AS a_ray",
+            f"b.seq = 0 AND b.ring = 0 AND NOT many AND a_kind = 'polygon' AND {crosses_ray('a', 'b.x1', 'b.y1')} AS b_ray",
+            f"CASE WHEN a_kind = 'polygon' AND b_kind = 'polygon' THEN {shared_strip('a', 'b', 'base')} ELSE 0D END AS strip",
+        )
+    )
+    return (
+        rows.groupBy(*kept)
+        .agg(
+            F.bool_or(F.expr("meet OR inside")).alias("_meet"),
+            F.count_if("a_ray").alias("_a_rays"),
+            F.count_if("b_ray").alias("_b_rays"),
+            F.sum("strip").alias("common_area"),
+        )
+        .filter("_meet OR _a_rays % 2 = 1 OR _b_rays % 2 = 1")
+        .drop("_meet", "_a_rays", "_b_rays")
+    )
+
+
+def line_pairs(
+    lines: DataFrame, shapes: DataFrame, reach: str, line_keys: Sequence[str], shape_keys: Sequence[str]
+) -> DataFrame:
+    """Lines x polygons within a distance of each other, limit included.
+
+    Lines enter the bin join segment by segment, so a long line is compared only along
+    its course. `lines` has c_edges and the columns of `reach`; `shapes` comes from
+    `shaped` with prefix s. Both have package_id.
+    """
+    keys = [*line_keys, *[k for k in shape_keys if k not in line_keys]]
+    segments = (
+        lines.selectExpr(*line_keys, f"{reach} AS reach", "explode(c_edges) AS a")
+        .selectExpr(
+            "*",
+            "named_struct('xmin', least(a.x1, a.x2) - reach, 'ymin', least(a.y1, a.y2) - reach, "
+            "'xmax', greatest(a.x1, a.x2) + reach, 'ymax', greatest(a.y1, a.y2) + reach) AS a_box",
+        )
+    )
+    return (
+        bbox_pairs(segments, shapes, "a_box", "s_box")
+        .selectExpr(*keys, "reach", "a", "explode(s_edges) AS b")
+        .selectExpr(
+            *keys,
+            f"{segments_near('a', 'b', 'reach')} AS near",
+            # A line whose first vertex is inside needs no edge contact.
+            f"a.seq = 0 AND {crosses_ray('b', 'a.x1', 'a.y1')} AS ray",
+        )
+        .groupBy(*keys)
+        .agg(F.bool_or("near").alias("_near"), F.count_if("ray").alias("_rays"))
+        .filter("_near OR _rays % 2 = 1")
+        .drop("_near", "_rays")
     )

@@ -35,26 +35,37 @@ def ring_edge_rows(features: DataFrame) -> DataFrame:
         "'part', re.part, 'ring', re.ring, 'seq', rj, 'n', size(rr), "
         "'x1', re.x1, 'y1', re.y1, 'x2', re.x2, 'y2', re.y2))))"
     )
-    return features.selectExpr(*KEY, f"explode({per_ring('geom', numbered)}) AS e").selectExpr(
-        "*",
-        "named_struct('xmin', least(e.x1, e.x2), 'ymin', least(e.y1, e.y2), "
-        "'xmax', greatest(e.x1, e.x2), 'ymax', greatest(e.y1, e.y2)) AS box",
-    )
+    return features.selectExpr(*KEY, f"inline({per_ring('geom', numbered)})")
+
+
+EDGE_FIELDS = ("part", "ring", "seq", "n", "x1", "y1", "x2", "y2")
+
+
+def _edge(prefix: str = "") -> str:
+    return "named_struct(" + ", ".join(f"'{f}', {prefix}{f}" for f in EDGE_FIELDS) + ")"
 
 
 def edge_contacts(features: DataFrame) -> DataFrame:
     """Pairs of edges of the same record that touch, cross or overlap."""
     edges = ring_edge_rows(features)
-    left = edges.withColumnsRenamed({"e": "a", "box": "a_box"})
-    right = edges.withColumnsRenamed({"e": "b", "box": "b_box"})
+
+    def half(tag: str) -> DataFrame:
+        return edges.selectExpr(
+            *KEY,
+            *[f"{f} AS {tag}_{f}" for f in EDGE_FIELDS],
+            "named_struct('xmin', least(x1, x2), 'ymin', least(y1, y2), "
+            f"'xmax', greatest(x1, x2), 'ymax', greatest(y1, y2)) AS {tag}_box",
+        )
+
     sides = [
         f"signum({side(of, f'{end}.x{n}', f'{end}.y{n}')}) AS s{end}{n}"
         for of, end in (("b", "a"), ("a", "b"))
         for n in (1, 2)
     ]
     return (
-        bbox_pairs(left, right, "a_box", "b_box", on=KEY, **EDGE_BINS)
-        .filter("struct(a.part, a.ring, a.seq) < struct(b.part, b.ring, b.seq)")
+        bbox_pairs(half("a"), half("b"), "a_box", "b_box", on=KEY, **EDGE_BINS)
+        .filter("struct(a_part, a_ring, a_seq) < struct(b_part, b_ring, b_seq)")
+        .selectExpr(*KEY, f"{_edge('a_')} AS a", f"{_edge('b_')} AS b")
         .selectExpr(*KEY, "a", "b", *sides)
         .filter("sa1 * sa2 <= 0 AND sb1 * sb2 <= 0")
         .selectExpr(
@@ -233,8 +244,8 @@ def segment_nodes(features: DataFrame) -> DataFrame:
     )
     own = ring_edge_rows(features).selectExpr(
         *KEY,
-        "e",
-        "explode(array(named_struct('x', e.x1, 'y', e.y1), named_struct('x', e.x2, 'y', e.y2))) AS p",
+        f"{_edge()} AS e",
+        "explode(array(named_struct('x', x1, 'y', y1), named_struct('x', x2, 'y', y2))) AS p",
     )
     line = Window.partitionBy(*KEY, "e.part", "e.ring", "e.seq").orderBy("along")
     pieces = (

@@ -10,12 +10,10 @@ from platwork.functions.geometry import (
     area,
     bbox_of,
     box_geom,
-    intersects,
     point_in_polygon,
-    within_distance,
 )
 from platwork.operators import conflicts as oc
-from platwork.operators.pairs import bbox_pairs, shaped, widened
+from platwork.operators.pairs import bbox_pairs, line_pairs, shaped
 from platwork.operators.quality import object_identity
 from platwork.plans import decisions as pd
 
@@ -31,25 +29,19 @@ def sp1_spatial_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sp2_intersects(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        _object_zone_candidates(spark, sf)
-        .filter(intersects("o_kind", "o_edges", "z_kind", "z_edges"))
-        .select("object_id", "zone_id")
+    return oc.feature_zone_pairs(fx.objects(spark, sf), fx.zones(spark, sf), "object_id").select(
+        "object_id", "zone_id"
     )
 
 
 def sp3_within_distance(spark: SparkSession, sf: str) -> DataFrame:
-    lines = shaped(
-        fx.corridors(spark, sf).withColumn("reach", F.expr("radius + 0.25D")),
-        ["package_id", "corridor_id", "reach"],
-        "c",
-    ).withColumn("c_box", F.expr(widened("c_box", "reach")))
-    objects = shaped(fx.objects(spark, sf), ["package_id", "object_id"], "o")
-    return (
-        bbox_pairs(lines, objects, "c_box", "o_box")
-        .filter(within_distance("c_kind", "c_edges", "o_kind", "o_edges", "reach"))
-        .select("corridor_id", "object_id")
-    )
+    return line_pairs(
+        oc.corridor_lines(fx.corridors(spark, sf)),
+        shaped(fx.objects(spark, sf), ["package_id", "object_id"], "s"),
+        "radius + 0.25D",
+        oc.LINE_KEYS,
+        ("object_id",),
+    ).drop("package_id")
 
 
 def sp4_point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +69,7 @@ def sp5_zone_overlap_check(spark: SparkSession, sf: str) -> DataFrame:
 def sp6_intersection_area(spark: SparkSession, sf: str) -> DataFrame:
     return (
         oc.feature_zone_pairs(fx.objects(spark, sf), fx.zones(spark, sf), "object_id")
-        .filter("common_area > 1e-12D")
+        .filter("common_area > 1e-9D")
         .select("object_id", "zone_id", F.round("common_area", 6).alias("common_area"))
     )
 
