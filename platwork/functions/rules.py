@@ -36,15 +36,12 @@ def bad_optional_number(value: Column) -> Column:
     return value.isNotNull() & bad_number(value)
 
 
-def bad_polygon(geom: Column, is_valid: Column) -> Column:
-    usable = (
-        (geom["kind"] == "polygon")
-        & ~is_empty(geom)
-        & is_valid
-        & ~geom["has_z"]
-        & all_finite(geom)
+def bad_polygon() -> Column:
+    """For rows with geom and is_valid."""
+    return F.expr(
+        f"NOT coalesce(geom.kind = 'polygon' AND NOT {is_empty('geom')} AND is_valid "
+        f"AND NOT geom.has_z AND {all_finite('geom')}, false)"
     )
-    return ~F.coalesce(usable, F.lit(False))
 
 
 def bad_parameters(params: Column) -> list[tuple[Column, str]]:
@@ -56,12 +53,12 @@ def bad_parameters(params: Column) -> list[tuple[Column, str]]:
     ]
 
 
-def zone_rules(is_valid: Column) -> Column:
+def zone_rules() -> Column:
     """Zone rows: zone_id, geom, land_use, block_w, block_h, allow_demolition, overrides."""
     block_bad = bad_number(F.col("block_w")) | bad_number(F.col("block_h"))
     return violations(
         (blank(F.col("zone_id")), "INVALID_ID"),
-        (bad_polygon(F.col("geom"), is_valid), "INVALID_GEOMETRY"),
+        (bad_polygon(), "INVALID_GEOMETRY"),
         (~F.col("land_use").isin(*LAND_USES), "INVALID_LAND_USE"),
         (F.col("allow_demolition").isNull(), "INVALID_PERMISSION"),
         (block_bad, "INVALID_NUMBER"),
@@ -75,12 +72,12 @@ def zone_rules(is_valid: Column) -> Column:
     )
 
 
-def object_rules(is_valid: Column) -> Column:
+def object_rules() -> Column:
     ground, foundation = F.col("ground_z"), F.col("foundation_z")
     numbers_bad = bad_optional_number(ground) | bad_optional_number(foundation)
     return violations(
         (blank(F.col("object_id")), "INVALID_ID"),
-        (bad_polygon(F.col("geom"), is_valid), "INVALID_GEOMETRY"),
+        (bad_polygon(), "INVALID_GEOMETRY"),
         (numbers_bad, "INVALID_NUMBER"),
         (
             ~numbers_bad & F.coalesce(foundation > ground, F.lit(False)),
@@ -90,13 +87,9 @@ def object_rules(is_valid: Column) -> Column:
 
 
 def corridor_rules() -> Column:
-    geom = F.col("geom")
-    line_ok = (
-        (geom["kind"] == "line")
-        & ~is_empty(geom)
-        & ~geom["has_z"]
-        & all_finite(geom)
-        & (length(edges_of(geom)) > 0)
+    line_ok = F.expr(
+        f"geom.kind = 'line' AND NOT {is_empty('geom')} AND NOT geom.has_z "
+        f"AND {all_finite('geom')} AND {length(edges_of('geom'))} > 0"
     )
     modes = F.array(*[F.lit(m) for m in MODES])
     assets = F.col("asset_modes")

@@ -92,7 +92,7 @@ def densify(features: DataFrame, key: list[str], step: Column) -> DataFrame:
     carried = [c for c in features.columns if c != "geom" and c not in key]
     return (
         features.withColumn("_step", step)
-        .select(*key, *carried, "_step", F.explode(edges_of(F.col("geom"))).alias("edge"))
+        .select(*key, *carried, "_step", F.expr(f"explode({edges_of('geom')})").alias("edge"))
         .withColumn("_n", pieces)
         .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
         .select(
@@ -114,8 +114,12 @@ def normalize_polygons(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     features: package_id, face_id, geom, source_crs, target_crs. Steps are 0.001 degree
     or 100 m in the source unit; same source and target leave the vertices alone.
     """
-    facts = with_crs(with_crs(features, "source_crs", "_src"), "target_crs", "_dst")
-    box = bbox_of(F.col("geom"))
+    facts = with_crs(
+        with_crs(features.withColumn("_box", F.expr(bbox_of("geom"))), "source_crs", "_src"),
+        "target_crs",
+        "_dst",
+    )
+    box = F.col("_box")
     geographic = F.col("_src.kind") == "geographic"
     same = F.col("source_crs") == F.col("target_crs")
     code = (

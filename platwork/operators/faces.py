@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platwork.functions.geometry import (
-    _ring_edges,
-    _turn,
-    bbox_of,
-    edges_of,
-    intersection_area,
-    intersects,
-    oriented_edges,
-    point_in_polygon,
-    ring_area,
-)
+from platwork.functions.geometry import crosses_ray, edges_of, side, turned_edges_of
 from platwork.model import LAND, UNKNOWN, WATER
-from platwork.operators.pairs import bbox_pairs
+from platwork.operators.pairs import bbox_pairs, shape_pairs, shaped
 
 BLOCK = 64
 
@@ -46,7 +36,7 @@ def polygon_runs(faces: DataFrame, grids: DataFrame) -> DataFrame:
     first = F.greatest(F.ceil(F.least("v1", "v2") - 0.5), F.lit(0))
     last = F.least(F.ceil(F.greatest("v1", "v2") - 0.5), F.col("height").cast("long")) - 1
     crossings = (
-        faces.select("package_id", "role", "face_id", F.explode(edges_of(F.col("geom"))).alias("edge"))
+        faces.select("package_id", "role", "face_id", F.expr(f"explode({edges_of('geom')})").alias("edge"))
         .join(grid, "package_id")
         .select(
             "package_id", "role", "face_id", "grid_id", "width", "height",
@@ -65,14 +55,10 @@ def polygon_runs(faces: DataFrame, grids: DataFrame) -> DataFrame:
     cuts = crossings.groupBy("package_id", "grid_id", "role", "face_id", "row", "width").agg(
         F.array_sort(F.collect_list("u")).alias("us")
     )
-    spans = F.transform(
-        F.sequence(F.lit(1), F.expr("size(us) div 2")),
-        lambda k: F.struct(
-            F.greatest(F.ceil(F.element_at("us", k * 2 - 1) - 0.5), F.lit(0)).alias("lo"),
-            (
-                F.least(F.ceil(F.element_at("us", k * 2) - 0.5), F.col("width").cast("long")) - 1
-            ).alias("hi"),
-        ),
+    spans = F.expr(
+        "transform(sequence(1, int(size(us) div 2)), k -> named_struct("
+        "'lo', greatest(ceil(us[2 * k - 2] - 0.5D), 0L), "
+        "'hi', least(ceil(us[2 * k - 1] - 0.5D), bigint(width)) - 1L))"
     )
     return (
         cuts.filter("size(us) > 1")
@@ -177,94 +163,79 @@ def clip_by_polygon(cells: DataFrame, faces: DataFrame, grids: DataFrame) -> Dat
 
 def _directed_edges(faces: DataFrame) -> DataFrame:
     """Edges with the inside on their left, whatever way the ring was drawn."""
-
-    def ring_rows(ring: Column, part: Column, index: Column) -> Column:
-        turn = F.signum(ring_area(ring)) * F.when(index == 0, 1).otherwise(-1)
-        return F.transform(
-            _ring_edges(ring, part, index),
-            lambda e: F.when(turn >= 0, e).otherwise(
-                F.struct(
-                    e["part"].alias("part"),
-                    e["ring"].alias("ring"),
-                    e["seq"].alias("seq"),
-                    e["x2"].alias("x1"),
-                    e["y2"].alias("y1"),
-                    e["x1"].alias("x2"),
-                    e["y1"].alias("y2"),
-                )
-            ),
-        )
-
-    rows = F.flatten(
-        F.transform(
-            F.col("geom.parts"),
-            lambda part, p: F.flatten(F.transform(part, lambda ring, r: ring_rows(ring, p, r))),
-        )
-    )
-    return faces.select("package_id", "role", "face_id", F.explode(rows).alias("e")).filter(
-        "e.x1 != e.x2 OR e.y1 != e.y2"
-    )
-
-
-def _edge_box(edge: str) -> Column:
-    return F.struct(
-        F.least(f"{edge}.x1", f"{edge}.x2").alias("xmin"),
-        F.least(f"{edge}.y1", f"{edge}.y2").alias("ymin"),
-        F.greatest(f"{edge}.x1", f"{edge}.x2").alias("xmax"),
-        F.greatest(f"{edge}.y1", f"{edge}.y2").alias("ymax"),
+    flat = faces.selectExpr(
+        "package_id", "role", "face_id", f"inline({turned_edges_of('geom')})"
+    ).filter("x1 != x2 OR y1 != y2")
+    return flat.selectExpr(
+        "package_id",
+        "role",
+        "face_id",
+        "if(turn >= 0, x1, x2) AS x1",
+        "if(turn >= 0, y1, y2) AS y1",
+        "if(turn >= 0, x2, x1) AS x2",
+        "if(turn >= 0, y2, y1) AS y2",
     )
 
 
 def _noded_edges(edges: DataFrame) -> DataFrame:
     """Directed edges cut wherever they meet an edge of any face of the package."""
-    from pyspark.sql import Window
-
-    left = edges.select("package_id", "role", "face_id", "e", _edge_box("e").alias("a_box"))
-    right = edges.select("package_id", F.col("e").alias("o"), _edge_box("e").alias("o_box"))
-    e, o = F.col("e"), F.col("o")
-    s1 = F.signum(_turn(o["x1"], o["y1"], o["x2"], o["y2"], e["x1"], e["y1"]))
-    s2 = F.signum(_turn(o["x1"], o["y1"], o["x2"], o["y2"], e["x2"], e["y2"]))
-    t1 = F.signum(_turn(e["x1"], e["y1"], e["x2"], e["y2"], o["x1"], o["y1"]))
-    t2 = F.signum(_turn(e["x1"], e["y1"], e["x2"], e["y2"], o["x2"], o["y2"]))
-    # The lesser of the two edges defines the crossing point, so both get the same doubles.
-    first = F.when(F.struct("e.x1", "e.y1", "e.x2", "e.y2") <= F.struct("o.x1", "o.y1", "o.x2", "o.y2"), e).otherwise(o)
-    other = F.when(F.struct("e.x1", "e.y1", "e.x2", "e.y2") <= F.struct("o.x1", "o.y1", "o.x2", "o.y2"), o).otherwise(e)
-    dax, day = first["x2"] - first["x1"], first["y2"] - first["y1"]
-    dbx, dby = other["x2"] - other["x1"], other["y2"] - other["y1"]
-    share = F.try_divide(
-        (other["x1"] - first["x1"]) * dby - (other["y1"] - first["y1"]) * dbx, dax * dby - day * dbx
+    box = (
+        "named_struct('xmin', least(x1, x2), 'ymin', least(y1, y2), "
+        "'xmax', greatest(x1, x2), 'ymax', greatest(y1, y2))"
+    )
+    ends = ("x1", "y1", "x2", "y2")
+    left = edges.selectExpr(
+        "package_id", "role", "face_id", *[f"{c} AS e_{c}" for c in ends], f"{box} AS a_box"
+    )
+    right = edges.selectExpr(
+        "package_id", *[f"{c} AS o_{c}" for c in ends], f"{box} AS o_box"
     )
 
-    def point(x: Column, y: Column, when: Column) -> Column:
-        return F.when(when, F.struct(x.alias("x"), y.alias("y")))
-
-    def between(x: Column, y: Column) -> Column:
-        return x.between(F.least("e.x1", "e.x2"), F.greatest("e.x1", "e.x2")) & y.between(
-            F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
-        )
+    def struct(tag: str) -> str:
+        return "named_struct(" + ", ".join(f"'{c}', {tag}_{c}" for c in ends) + ")"
 
+    sides = [
+        f"signum({side(of, f'{end}.x{n}', f'{end}.y{n}')}) AS s{end}{n}"
+        for of, end in (("o", "e"), ("e", "o"))
+        for n in (1, 2)
+    ]
     met = (
         bbox_pairs(left, right, "a_box", "o_box", base=1.0, ratio=16.0, levels=4)
-        .withColumns({"s1": s1, "s2": s2, "t1": t1, "t2": t2})
-        .filter("s1 * s2 <= 0 AND t1 * t2 <= 0")
+        .selectExpr("package_id", "role", "face_id", f"{struct('e')} AS e", f"{struct('o')} AS o")
+        .selectExpr("*", *sides)
+        .filter("se1 * se2 <= 0 AND so1 * so2 <= 0")
+        # The lesser edge defines the crossing point, so both get the same doubles.
+        .selectExpr("*", "if(e <= o, e, o) AS f", "if(e <= o, o, e) AS g")
+        .selectExpr(
+            "*",
+            "try_divide((g.x1 - f.x1) * (g.y2 - g.y1) - (g.y1 - f.y1) * (g.x2 - g.x1), "
+            "(f.x2 - f.x1) * (g.y2 - g.y1) - (f.y2 - f.y1) * (g.x2 - g.x1)) AS share",
+        )
     )
-    points = F.array(
-        point(first["x1"] + share * dax, first["y1"] + share * day, F.expr("s1 * s2 < 0 AND t1 * t2 < 0")),
-        point(o["x1"], o["y1"], (F.col("t1") == 0) & between(o["x1"], o["y1"])),
-        point(o["x2"], o["y2"], (F.col("t2") == 0) & between(o["x2"], o["y2"])),
-        # An edge always meets itself, which brings in its own two ends.
-        point(e["x1"], e["y1"], F.lit(True)),
-        point(e["x2"], e["y2"], F.lit(True)),
+
+    def end_on(n: int) -> str:
+        x, y = f"o.x{n}", f"o.y{n}"
+        return (
+            f"CASE WHEN so{n} = 0 AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
+            f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2) "
+            f"THEN named_struct('x', {x}, 'y', {y}) END"
+        )
+
+    points = (
+        "array(CASE WHEN se1 * se2 < 0 AND so1 * so2 < 0 THEN "
+        "named_struct('x', f.x1 + share * (f.x2 - f.x1), 'y', f.y1 + share * (f.y2 - f.y1)) END, "
+        f"{end_on(1)}, {end_on(2)})"
     )
-    along = (F.col("p.x") - F.col("e.x1")) * (F.col("e.x2") - F.col("e.x1")) + (
-        F.col("p.y") - F.col("e.y1")
-    ) * (F.col("e.y2") - F.col("e.y1"))
+    own = "array(named_struct('x', e.x1, 'y', e.y1), named_struct('x', e.x2, 'y', e.y2))"
     line = Window.partitionBy("package_id", "role", "face_id", "e").orderBy("along")
+    # Every edge meets itself, so its two ends are always among the points.
     return (
-        met.select("package_id", "role", "face_id", "e", F.explode(points).alias("p"))
+        met.selectExpr(
+            "package_id", "role", "face_id", "e", f"explode(concat({own}, {points})) AS p"
+        )
         .filter("p IS NOT NULL")
         .distinct()
-        .withColumn("along", along)
+        .selectExpr("*", "(p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1) AS along")
         .withColumn("q", F.lead("p").over(line))
         .filter("q IS NOT NULL")
         .select("package_id", "role", "face_id", "p", "q")
@@ -276,111 +247,80 @@ def union_coverage_clip(faces: DataFrame) -> DataFrame:
 
     The outline of a union is made of the pieces of edges that lie inside no other
     face; its area is the signed sum over those pieces. Cutting, testing and summing
-    are bin joins and one aggregate; no geometry is ever assembled.
+    are bin joins and aggregates; no geometry is ever assembled.
     """
+    counts = [
+        F.count_if(F.expr(f"role = '{role}' AND {test}")).alias(f"{role}_{tag}")
+        for role in ("water", "coverage")
+        for test, tag in (("p < q", "ahead"), ("p > q", "back"))
+    ]
     pieces = (
         _noded_edges(_directed_edges(faces))
-        .withColumn("ahead", F.col("p") < F.col("q"))
-        .groupBy(
-            "package_id", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")
-        )
-        .agg(
-            *[
-                F.count_if((F.col("role") == role) & (F.col("ahead") == ahead)).alias(f"{role}_{tag}")
-                for role in ("water", "coverage")
-                for ahead, tag in ((True, "ahead"), (False, "back"))
-            ]
-        )
-        .withColumns(
-            {
-                "mx": (F.col("lo.x") + F.col("hi.x")) / 2.0,
-                "my": (F.col("lo.y") + F.col("hi.y")) / 2.0,
-            }
-        )
-        .withColumn(
-            "m_box",
-            F.struct(
-                F.col("mx").alias("xmin"), F.col("my").alias("ymin"),
-                F.col("mx").alias("xmax"), F.col("my").alias("ymax"),
-            ),
+        .groupBy("package_id", F.expr("least(p, q)").alias("lo"), F.expr("greatest(p, q)").alias("hi"))
+        .agg(*counts)
+        .selectExpr(
+            "package_id",
+            "lo.x AS x1", "lo.y AS y1", "hi.x AS x2", "hi.y AS y2",
+            "water_ahead", "water_back", "coverage_ahead", "coverage_back",
+            "(lo.x + hi.x) / 2D AS mx", "(lo.y + hi.y) / 2D AS my",
         )
     )
-    shapes = faces.select(
-        "package_id",
-        "role",
-        bbox_of(F.col("geom")).alias("f_box"),
-        edges_of(F.col("geom")).alias("f_edges"),
+    key = ["package_id", "x1", "y1", "x2", "y2"]
+    middle = "named_struct('xmin', mx, 'ymin', my, 'xmax', mx, 'ymax', my)"
+    shapes = shaped(faces, ["package_id", "role", "face_id"], "f")
+    # A piece lies inside a face if its middle does and it is not part of the border.
+    on_line = (
+        f"{side('b', 'x1', 'y1')} = 0 AND {side('b', 'x2', 'y2')} = 0 "
+        "AND mx BETWEEN least(b.x1, b.x2) AND greatest(b.x1, b.x2) "
+        "AND my BETWEEN least(b.y1, b.y2) AND greatest(b.y1, b.y2)"
     )
-    strictly = point_in_polygon(F.col("f_edges"), F.col("mx"), F.col("my")) & ~F.exists(
-        "f_edges",
-        lambda e: ((e["x1"] == F.col("lo.x")) & (e["y1"] == F.col("lo.y")) & (e["x2"] == F.col("hi.x")) & (e["y2"] == F.col("hi.y")))
-        | ((e["x1"] == F.col("hi.x")) & (e["y1"] == F.col("hi.y")) & (e["x2"] == F.col("lo.x")) & (e["y2"] == F.col("lo.y")))
-        | (
-            (F.signum(_turn(e["x1"], e["y1"], e["x2"], e["y2"], F.col("lo.x"), F.col("lo.y"))) == 0)
-            & (F.signum(_turn(e["x1"], e["y1"], e["x2"], e["y2"], F.col("hi.x"), F.col("hi.y"))) == 0)
-            & F.col("mx").between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & F.col("my").between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        ),
+    near_line = (
+        "greatest(least(b.x1, b.x2), least(x1, x2)) <= least(greatest(b.x1, b.x2), greatest(x1, x2)) "
+        "AND greatest(least(b.y1, b.y2), least(y1, y2)) <= least(greatest(b.y1, b.y2), greatest(y1, y2)) "
+        f"AND abs({side('b', 'mx', 'my')}) <= 1e-9D * (abs(b.x2 - b.x1) + abs(b.y2 - b.y1))"
     )
     inside = (
         bbox_pairs(
-            pieces.select("package_id", "lo", "hi", "mx", "my", "m_box"), shapes, "m_box", "f_box"
+            pieces.selectExpr(*key, "mx", "my", f"{middle} AS m_box"), shapes, "m_box", "f_box"
         )
-        .filter(strictly)
-        .groupBy("package_id", "lo", "hi")
+        .selectExpr(*key, "mx", "my", "role", "face_id", "explode(f_edges) AS b")
+        .groupBy(*key, "role", "face_id")
         .agg(
-            F.bool_or(F.col("role") == "water").alias("in_water"),
-            F.bool_or(F.col("role") == "coverage").alias("in_cover"),
+            F.count_if(F.expr(crosses_ray("b", "mx", "my"))).alias("rays"),
+            F.bool_or(F.expr(f"({on_line}) OR ({near_line})")).alias("border"),
+        )
+        .filter("rays % 2 = 1 AND NOT border")
+        .groupBy(*key)
+        .agg(
+            F.bool_or(F.expr("role = 'water'")).alias("in_water"),
+            F.bool_or(F.expr("role = 'coverage'")).alias("in_cover"),
         )
-    )
-    rows = pieces.join(inside, ["package_id", "lo", "hi"], "left")
-
-    def has(name: str) -> Column:
-        return F.col(name) > 0
-
-    in_water = F.coalesce("in_water", F.lit(False)) | (has("water_ahead") & has("water_back"))
-    in_cover = F.coalesce("in_cover", F.lit(False)) | (has("coverage_ahead") & has("coverage_back"))
-    ahead = has("water_ahead") & ~has("water_back") & ~in_water
-    back = has("water_back") & ~has("water_ahead") & ~in_water
-    cover_ahead = has("coverage_ahead") & ~has("coverage_back")
-    cover_back = has("coverage_back") & ~has("coverage_ahead")
-    turn = (
-        F.col("lo.x") * F.col("hi.y") - F.col("hi.x") * F.col("lo.y")
-    ) / 2.0
-    outline = F.when(ahead, turn).when(back, -turn).otherwise(0.0)
-    clipped = (
-        F.when(ahead & (in_cover | cover_ahead), turn)
-        .when(back & (in_cover | cover_back), -turn)
-        .when(in_water & cover_ahead, turn)
-        .when(in_water & cover_back, -turn)
-        .otherwise(0.0)
     )
     return (
-        rows.groupBy("package_id")
-        .agg(F.sum(outline).alias("union_area"), F.sum(clipped).alias("clipped_area"))
-        .withColumn(
-            "outside_area", F.greatest(F.col("union_area") - F.col("clipped_area"), F.lit(0.0))
+        pieces.join(inside, key, "left")
+        .selectExpr(
+            "package_id",
+            "(x1 * y2 - x2 * y1) / 2D AS turn",
+            "coalesce(in_water, false) OR (water_ahead > 0 AND water_back > 0) AS in_water",
+            "coalesce(in_cover, false) OR (coverage_ahead > 0 AND coverage_back > 0) AS in_cover",
+            "int(water_ahead > 0) - int(water_back > 0) AS water",
+            "int(coverage_ahead > 0) - int(coverage_back > 0) AS cover",
         )
+        .selectExpr(
+            "package_id",
+            "CASE WHEN NOT in_water THEN water * turn ELSE 0D END AS outline",
+            "CASE WHEN NOT in_water AND water != 0 AND (in_cover OR cover = water) THEN water * turn "
+            "WHEN in_water AND NOT in_cover THEN cover * turn ELSE 0D END AS clipped",
+        )
+        .groupBy("package_id")
+        .agg(F.sum("outline").alias("union_area"), F.sum("clipped").alias("clipped_area"))
+        .withColumn("outside_area", F.expr("greatest(union_area - clipped_area, 0D)"))
     )
 
 
 def touching_leftovers(water: DataFrame, coverage: DataFrame) -> DataFrame:
     """Water faces that meet the coverage polygon without any area in common."""
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(
-            "package_id",
-            F.col("face_id").alias(f"{tag}_id"),
-            bbox_of(F.col("geom")).alias(f"{tag}_box"),
-            edges_of(F.col("geom")).alias(f"{tag}_edges"),
-            oriented_edges(F.col("geom")).alias(f"{tag}_strips"),
-        )
-
-    polygon = F.lit("polygon")
-    base = F.greatest(F.col("w_box.ymin"), F.col("v_box.ymin"))
-    return (
-        bbox_pairs(side(water, "w"), side(coverage, "v"), "w_box", "v_box")
-        .filter(intersects(polygon, F.col("w_edges"), polygon, F.col("v_edges")))
-        .filter(intersection_area(F.col("w_strips"), F.col("v_strips"), base) == 0)
-        .select("package_id", F.col("w_id").alias("face_id"))
-    )
+    left = shaped(water, ["package_id", "face_id"], "w")
+    right = shaped(coverage.withColumnRenamed("face_id", "cover_id"), ["package_id", "cover_id"], "v")
+    pairs = shape_pairs(left, right, "w", "v", ["package_id", "face_id", "cover_id"])
+    return pairs.filter("abs(common_area) <= 1e-9D").select("package_id", "face_id")

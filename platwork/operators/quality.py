@@ -138,24 +138,27 @@ def with_validity(features: DataFrame) -> DataFrame:
         f"CASE WHEN {NEIGHBOUR} THEN {OVERLAP} WHEN {SAME_RING} THEN true "
         f"ELSE {OVERLAP} OR crossing END AS bad",
     )
-    touch = {
-        axis: f"CASE WHEN sa1 = 0 THEN a.{axis}1 WHEN sa2 = 0 THEN a.{axis}2 "
-        f"WHEN sb1 = 0 THEN b.{axis}1 ELSE b.{axis}2 END AS {axis}"
+    touch = ", ".join(
+        f"'{axis}', CASE WHEN sa1 = 0 THEN a.{axis}1 WHEN sa2 = 0 THEN a.{axis}2 "
+        f"WHEN sb1 = 0 THEN b.{axis}1 ELSE b.{axis}2 END"
         for axis in "xy"
-    }
-    touches = (
-        contacts.filter(f"NOT {SAME_RING} AND NOT bad AND a.part = b.part")
-        .selectExpr(*KEY, "a.part AS part", "a.ring AS one", "b.ring AS two", *touch.values())
-        .distinct()
-        .groupBy(*KEY, "part", "one", "two")
-        .count()
-        .filter("count > 1")
-        .select(*KEY)
     )
+    # Two rings of a part that touch in two different points cut its inside in two.
     faulty = (
-        contacts.filter("bad").select(*KEY).unionByName(touches).distinct().withColumn(
-            "_faulty", F.lit(True)
+        contacts.selectExpr(
+            *KEY,
+            "a.part AS part",
+            "a.ring AS one",
+            "b.ring AS two",
+            "bad",
+            f"CASE WHEN NOT {SAME_RING} AND a.part = b.part THEN named_struct({touch}) END AS spot",
         )
+        .groupBy(*KEY, "part", "one", "two")
+        .agg(F.bool_or("bad").alias("bad"), F.min("spot").alias("s1"), F.max("spot").alias("s2"))
+        .filter("bad OR s1 != s2")
+        .select(*KEY)
+        .distinct()
+        .withColumn("_faulty", F.lit(True))
     )
     return (
         features.join(faulty, list(KEY), "left")
