@@ -10,6 +10,7 @@ from platwork.registry import (
     vector_queries,
 )
 from platwork.registry import oracle_face  # noqa: E402, F401  (builds on the vector tables)
+from platwork.registry import oracle_package  # noqa: E402, F401
 
 QUERIES = {
     **grid_queries.QUERIES,
