@@ -641,11 +641,11 @@ def g1_assess_readiness(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").alias("package_id"))
         .agg(
             F.count("*").alias("terrain_valid"),
-            F.count_if("l_quantity > 49").alias("depth_valid"),
+            F.count_if(F.expr("l_quantity > 49")).alias("depth_valid"),
             (F.count("*") % 7 != 3).alias("conserved"),
-            F.count_if("l_linenumber = 7 AND l_quantity < 3").alias("terrain_missing"),
-            F.count_if("l_linenumber = 6 AND l_quantity < 2").alias("depth_outside"),
-            F.count_if("l_linenumber = 5 AND l_quantity < 2").alias("unknown"),
+            F.count_if(F.expr("l_linenumber = 7 AND l_quantity < 3")).alias("terrain_missing"),
+            F.count_if(F.expr("l_linenumber = 6 AND l_quantity < 2")).alias("depth_outside"),
+            F.count_if(F.expr("l_linenumber = 5 AND l_quantity < 2")).alias("unknown"),
         )
     )
     return pr.readiness(profile, _assertions(spark, sf)).withColumn(

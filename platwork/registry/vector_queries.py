@@ -14,8 +14,9 @@ from platwork.functions.geometry import (
 )
 from platwork.operators import conflicts as oc
 from platwork.operators.pairs import bbox_pairs, line_pairs, shaped
-from platwork.operators.quality import object_identity
+from platwork.operators.quality import object_identity, source_quality, with_validity
 from platwork.plans import decisions as pd
+from platwork.session import cut_lineage
 
 
 def _object_zone_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,8 +204,6 @@ def d5_space_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def quality_records(spark: SparkSession, sf: str) -> DataFrame:
     """Boundary records with quality, guard and object id."""
-    from platwork.operators.quality import source_quality, with_validity
-
     records = with_validity(fx.boundary_records(spark, sf))
     records = records.withColumn("quality", F.expr(source_quality()))
     return oc.boundary_guards(records).withColumn(
@@ -214,7 +213,7 @@ def quality_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def jn10_boundary_affected(spark: SparkSession, sf: str) -> DataFrame:
     """Located records per corridor, and the count of records that concern every corridor."""
-    guards = quality_records(spark, sf)
+    guards = cut_lineage(quality_records(spark, sf))
     located = oc.boundary_conflicts(fx.corridors(spark, sf), guards, fx.snapshot_header(spark, sf))
     everywhere = oc.unlocatable_counts(guards).filter("unlocatable > 0")
     return located.select(
@@ -236,7 +235,7 @@ def jn11_coverage_covers_envelope(spark: SparkSession, sf: str) -> DataFrame:
 
 def jn14_boundary_object_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth boundary id is already taken by an object, which must be reported."""
-    guards = quality_records(spark, sf)
+    guards = cut_lineage(quality_records(spark, sf))
     taken = guards.filter(F.col("source_record_id").cast("long") % 15 == 0).filter("guard IS NOT NULL AND layer = 'roads'")
     objects = fx.objects(spark, sf).unionByName(
         taken.select(
@@ -281,7 +280,8 @@ def d3_decide_with_boundary_quality(spark: SparkSession, sf: str) -> DataFrame:
             fx.zones(spark, sf),
             fx.protected(spark, sf),
             fx.snapshot_header(spark, sf),
-            quality_records(spark, sf),
+            # Graded once, used by several joins: a snapshot table in a real lake.
+            cut_lineage(quality_records(spark, sf)),
             boundary_snapshots(spark, sf),
         )
     )

@@ -65,7 +65,7 @@ def profile_stream(
         .groupBy(F.window("ts", width, slide), "kind")
         .agg(
             F.count("*").alias("records"),
-            F.count_if("value > 0").alias("positive"),
+            F.count_if(F.expr("value > 0")).alias("positive"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
         )
