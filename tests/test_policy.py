@@ -13,13 +13,13 @@ B1 = sh.box(40, 40, 60, 60)
 ALL = ["surface", "elevated", "tunnel"]
 
 
-def corridors(spark, *rows):
+def corridors(*rows, package="p"):
     """rows: id, modes, requested, minimum_z, expected_revision, space, geom."""
     full = [
-        ("p", c, space, geom, 2.0, requested, modes, minimum, rev, "b1")
+        (package, c, space, geom, 2.0, requested, modes, minimum, rev, "b1")
         for c, modes, requested, minimum, rev, space, geom in rows
     ]
-    return spark.createDataFrame(
+    return (
         full,
         f"package_id string, corridor_id string, space_id string, geom {GEOMETRY}, radius double, "
         "requested_mode string, asset_modes array<string>, minimum_z double, expected_revision string, "
@@ -31,47 +31,57 @@ def one(c="c", modes=ALL, requested="surface", minimum=None, rev="r1", space="m"
     return (c, modes, requested, minimum, rev, space, geom)
 
 
-def objects(spark, *rows):
-    return spark.createDataFrame(
-        [("p", *r) for r in rows],
+def objects(*rows, package="p"):
+    return (
+        [(package, *r) for r in rows],
         f"package_id string, object_id string, geom {GEOMETRY}, ground_z double, foundation_z double",
     )
 
 
-def zones(spark, *rows):
-    return spark.createDataFrame(
-        [("p", *r) for r in rows],
+def zones(*rows, package="p"):
+    return (
+        [(package, *r) for r in rows],
         f"package_id string, zone_id string, geom {GEOMETRY}, allow_demolition boolean",
     )
 
 
-def protected(spark, *shapes):
-    return spark.createDataFrame(
-        [("p", str(i), g) for i, g in enumerate(shapes)],
+def protected(*shapes, package="p"):
+    return (
+        [(package, str(i), g) for i, g in enumerate(shapes)],
         f"package_id string, area_id string, geom {GEOMETRY}",
     )
 
 
-def header(spark, complete=True, control=0.0):
-    return spark.createDataFrame(
-        [("p", "r1", "m", complete, "v", control, 3.0, 2.0, 4.0)],
+def header(complete=True, control=0.0, package="p"):
+    return (
+        [(package, "r1", "m", complete, "v", control, 3.0, 2.0, 4.0)],
         "package_id string, revision string, space_id string, existing_data_complete boolean, "
         "rules_version string, control_buffer double, minimum_cover double, foundation_clearance double, "
         "outer_height double",
     )
 
 
-def decide(spark, corridor=None, objs=(("b1", B1, 100.0, 95.0),), zs=(("z", ZONE, False),), areas=(), **head):
-    args = (
-        objects(spark, *objs),
-        zones(spark, *zs),
-        protected(spark, *areas),
-        header(spark, **head),
+def tables(name, corridor=None, objs=(("b1", B1, 100.0, 95.0),), zs=(("z", ZONE, False),), areas=(), **head):
+    """Rows and schemas of one case's requests and snapshot tables, as package `name`."""
+    return (
+        corridors(corridor or one(), package=name),
+        objects(*objs, package=name),
+        zones(*zs, package=name),
+        protected(*areas, package=name),
+        header(package=name, **head),
     )
-    requests = corridors(spark, corridor or one())
-    return pd.decide_conflicts(requests, *args).first(), requests, args
 
 
+def stacked(spark, parts):
+    """Many cases as packages of one lake: decided together, kept apart by package."""
+    return [
+        spark.createDataFrame([row for rows, _ in column for row in rows], column[0][1])
+        for column in zip(*parts)
+    ]
+
+
+NEAR = (("b1", sh.box(40, 53, 60, 60), 100.0, 95.0),)
+
 CASES = {
     "stale": (dict(corridor=one(rev="r0")), "stale_input", "INPUT_REVISION_CHANGED", []),
     "foreign": (dict(corridor=one(space="x")), "error", "COORDINATE_SPACE_MISMATCH", []),
@@ -113,6 +123,20 @@ CASES = {
     "just_deep_enough": (
         dict(corridor=one(minimum=91.0)), "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
     ),
+    "outside_control": (
+        dict(objs=NEAR), "policy_clear", "NO_NON_DEMOLISHABLE_CONFLICT", ["elevated", "surface", "tunnel"],
+    ),
+    "inside_control": (
+        dict(objs=NEAR, control=2.0), "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
+    ),
+    # Contact at exactly radius plus control distance counts.
+    "at_control": (
+        dict(objs=NEAR, control=1.0), "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
+    ),
+    "starts_inside": (
+        dict(corridor=one(geom=sh.line((50, 50), (51, 51))), objs=(("b", ZONE, 100.0, 95.0),)),
+        "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
+    ),
     "touching_neighbour_forbids": (
         dict(zs=(("a", sh.box(0, 0, 100, 60), True), ("b", sh.box(0, 60, 100, 99), False))),
         "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
@@ -120,68 +144,68 @@ CASES = {
 }
 
 
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    parts = [tables(name, **given) for name, (given, *_) in CASES.items()]
+    rows = pd.decide_conflicts(*stacked(spark, parts)).collect()
+    assert len(rows) == len(CASES)
+    return {r.package_id: r for r in rows}
+
+
 @pytest.mark.parametrize("name", CASES)
-def test_policy_cases(spark, name):
-    given, status, reason, modes = CASES[name]
-    row, _, _ = decide(spark, **given)
+def test_policy_cases(verdicts, name):
+    _, status, reason, modes = CASES[name]
+    row = verdicts[name]
     assert (row.status, row.reason, row.permitted_modes) == (status, reason, modes)
 
 
-def test_exact_ceiling_and_lists(spark):
-    row, requests, (objs, zs, _, head) = decide(spark)
-    assert row.lowest_ceiling == 91.0 and row.lower_only
+def test_exact_ceiling_and_large_object(verdicts):
+    assert verdicts["tunnel"].lowest_ceiling == 91.0 and verdicts["tunnel"].lower_only
+    assert verdicts["starts_inside"].n_mandatory == 1
+
+
+def test_lists(spark):
+    requests, objs, zs, areas, head = stacked(spark, [tables("p")])
     items = pd.conflict_items(requests, objs, zs, head)
-    verdicts = pd.decide_conflicts(requests, objs, zs, protected(spark), head)
-    lists = pd.decision_lists(verdicts, items).first()
+    lists = pd.decision_lists(pd.decide_conflicts(requests, objs, zs, areas, head), items).first()
     assert lists.mandatory_ids == ["b1"] and lists.demolition_ids == []
     assert [tuple(c) for c in lists.ceilings] == [("b1", 91.0)]
 
 
-def test_control_distance(spark):
-    near = (("b1", sh.box(40, 53, 60, 60), 100.0, 95.0),)
-    assert decide(spark, objs=near)[0].status == "policy_clear"
-    assert decide(spark, objs=near, control=2.0)[0].permitted_modes == ["tunnel"]
-    # Contact at exactly radius plus control distance counts.
-    assert decide(spark, objs=near, control=1.0)[0].permitted_modes == ["tunnel"]
-
-
-def test_corridor_starting_inside_a_large_object(spark):
-    inner = one(geom=sh.line((50, 50), (51, 51)))
-    row, _, _ = decide(spark, corridor=inner, objs=(("b", sh.box(0, 0, 100, 100), 100.0, 95.0),))
-    assert row.n_mandatory == 1
-
-
 def test_more_protection_never_allows_more(spark):
-    requests = corridors(spark, *[one(c=f"c{i}", geom=sh.line((0, i * 7), (100, i * 7))) for i in range(14)])
-    args = (objects(spark, ("b1", B1, 100.0, 95.0)), zones(spark, ("z", ZONE, False)))
-    before = pd.decide_conflicts(requests, *args, protected(spark), header(spark)).collect()
-    after = pd.decide_conflicts(requests, *args, protected(spark, sh.box(0, 0, 50, 30)), header(spark)).collect()
-    old = {r.corridor_id: set(r.permitted_modes) for r in before}
-    assert all(set(r.permitted_modes) <= old[r.corridor_id] for r in after)
-    assert any(set(r.permitted_modes) < old[r.corridor_id] for r in after)
-
-
-def with_boundaries(spark, shapes, corridor=None, confirmed=True, coverage=sh.box(-100, -100, 200, 200), objs=(), zs=(("z", ZONE, True),), areas=()):
-    table = oq.with_validity(sh.records(spark, shapes, layer="roads")).withColumn(
-        "quality", F.expr(oq.source_quality())
-    )
-    guards = oc.boundary_guards(table).withColumn(
-        "object_id", F.expr(oq.object_identity("layer", "'b1'", "source_record_id"))
+    lines = [one(c=f"c{i}", geom=sh.line((0, i * 7), (100, i * 7))) for i in range(14)]
+    parts = [
+        (
+            corridors(*lines, package=name),
+            objects(("b1", B1, 100.0, 95.0), package=name),
+            zones(("z", ZONE, False), package=name),
+            protected(*areas, package=name),
+            header(package=name),
+        )
+        for name, areas in (("before", ()), ("after", (sh.box(0, 0, 50, 30),)))
+    ]
+    modes = {"before": {}, "after": {}}
+    for row in pd.decide_conflicts(*stacked(spark, parts)).collect():
+        modes[row.package_id][row.corridor_id] = set(row.permitted_modes)
+    assert all(modes["after"][c] <= modes["before"][c] for c in modes["before"])
+    assert any(modes["after"][c] < modes["before"][c] for c in modes["before"])
+
+
+def boundary_tables(
+    name, shapes, corridor=None, confirmed=True, coverage=sh.box(-100, -100, 200, 200),
+    objs=(), zs=(("z", ZONE, True),), areas=(),
+):
+    shapes = shapes or {"far": sh.box(0, 150, 5, 160)}
+    records = (
+        [(name, "roads", key, geom) for key, geom in shapes.items()],
+        f"package_id string, layer string, source_record_id string, geom {GEOMETRY}",
     )
-    snapshots = spark.createDataFrame(
-        [("p", "roads", "b1", "m", coverage, confirmed)],
+    snapshots = (
+        [(name, "roads", "b1", "m", coverage, confirmed)],
         f"package_id string, layer string, boundary_revision string, boundary_space string, geom {GEOMETRY}, "
         "coverage_confirmed boolean",
     )
-    return pd.decide_with_boundary_quality(
-        corridors(spark, corridor or one()),
-        objects(spark, *objs),
-        zones(spark, *zs),
-        protected(spark, *areas),
-        header(spark),
-        guards,
-        snapshots,
-    ).first()
+    return (*tables(name, corridor, objs, zs, areas), records, snapshots)
 
 
 TWISTED = sh.polygon([(40, 40), (60, 60), (60, 40), (40, 60), (40, 40)])
@@ -216,15 +240,25 @@ QUALITY_CASES = {
 }
 
 
+@pytest.fixture(scope="module")
+def quality_verdicts(spark):
+    parts = [boundary_tables(name, **given) for name, (given, *_) in QUALITY_CASES.items()]
+    *core, records, snapshots = stacked(spark, parts)
+    graded = oq.with_validity(records).withColumn("quality", F.expr(oq.source_quality()))
+    guards = oc.boundary_guards(graded).withColumn(
+        "object_id", F.expr(oq.object_identity("layer", "'b1'", "source_record_id"))
+    )
+    rows = pd.decide_with_boundary_quality(*core, guards, snapshots).collect()
+    return {r.package_id: r for r in rows}
+
+
 @pytest.mark.parametrize("name", QUALITY_CASES)
-def test_boundary_quality_cases(spark, name):
-    given, status, reason, modes = QUALITY_CASES[name]
-    if not given["shapes"]:
-        given = {**given, "shapes": {"far": sh.box(0, 150, 5, 160)}}
-    row = with_boundaries(spark, **given)
+def test_boundary_quality_cases(quality_verdicts, name):
+    _, status, reason, modes = QUALITY_CASES[name]
+    row = quality_verdicts[name]
     assert (row.status, row.reason, row.permitted_modes) == (status, reason, modes)
 
 
-def test_degraded_record_becomes_mandatory(spark):
-    row = with_boundaries(spark, {"1": TWISTED})
+def test_degraded_record_becomes_mandatory(quality_verdicts):
+    row = quality_verdicts["degraded"]
     assert (row.n_mandatory, row.n_demolition, row.lower_only) == (1, 0, True)
