@@ -26,6 +26,11 @@ def dealt(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(table(spark, folder, name))
 
 
+def city(key: str) -> str:
+    """Package of a plane row, read off the row so that joins keep it as a real key."""
+    return f"if({key} IS NULL, 'nowhere', 'city') AS package_id"
+
+
 def plane_height(spark: SparkSession, folder: str) -> int:
     """Metres; answered from Parquet footers."""
     return table(spark, folder, "orders").count() // 100
@@ -137,7 +142,7 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
             f"{_USES}[s_nationkey % 9] AS land_use",
         )
         .selectExpr(
-            "'city' AS package_id",
+            city("key"),
             "concat('z', key) AS zone_id",
             f"{box_geom('x', 'y', 'x + 10', 'y + 15')} AS geom",
             "land_use",
@@ -153,7 +158,7 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 def _footprints(spark: SparkSession, folder: str) -> DataFrame:
     """Part rows with the frame of their footprint: x, y, w, h."""
     return dealt(spark, folder, "part").selectExpr(
-        "'city' AS package_id",
+        city("p_partkey"),
         "p_partkey AS key",
         "p_size",
         "floor(p_retailprice) / 8D AS ground_z",
@@ -192,7 +197,7 @@ def corridors_of(events: DataFrame, *extra: str) -> DataFrame:
         )
         .selectExpr(
             *extra,
-            "'city' AS package_id",
+            city("event_id"),
             "concat('c', event_id) AS corridor_id",
             "'plane' AS space_id",
             line_geom(
@@ -225,7 +230,7 @@ def protected(spark: SparkSession, folder: str) -> DataFrame:
             f"double(n_nationkey * {high}L div 25) AS y",
         )
         .selectExpr(
-            "'city' AS package_id",
+            city("key"),
             "concat('n', key) AS area_id",
             f"{box_geom('x', 'y', 'x + 3', 'y + 2')} AS geom",
         )
@@ -239,7 +244,7 @@ def snapshot_header(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy()
         .agg(F.count("*").alias("n"))
         .selectExpr(
-            "'city' AS package_id",
+            city("nullif(n, 0)"),
             "'r1' AS revision",
             "'plane' AS space_id",
             "n > 0 AS existing_data_complete",
@@ -272,7 +277,7 @@ def boundary_records(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "region")
         .filter("r_regionkey = 0")
         .selectExpr(
-            "'city' AS package_id",
+            city("r_regionkey"),
             "'lost' AS layer",
             "'r1' AS revision",
             "'0' AS source_record_id",
@@ -319,7 +324,7 @@ def plane_grid(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy()
         .agg(F.count("*").alias("n"))
         .selectExpr(
-            "'city' AS package_id",
+            city("nullif(n, 0)"),
             "'terrain' AS role",
             "'plane' AS grid_id",
             "100 AS width",
@@ -342,7 +347,7 @@ def plane_grid(spark: SparkSession, folder: str) -> DataFrame:
 def plane_cells(spark: SparkSession, folder: str) -> DataFrame:
     strips = terrain_cells(spark, folder)
     return strips.select(
-        F.lit("city").alias("package_id"),
+        F.expr(city("package_id")),
         F.lit("plane").alias("grid_id"),
         (F.col("package_id") * STRIP + F.col("row")).cast("int").alias("row"),
         "col",
@@ -361,13 +366,15 @@ def water_faces(spark: SparkSession, folder: str) -> DataFrame:
     )
     triangle = ring_geom([("x + 4", "y"), ("x + 16", "y + 1"), ("x + 4", "y + 12"), ("x + 4", "y")])
     boxes = frames.selectExpr(
+        "key",
         "concat('w', key) AS face_id", f"{box_geom('x', 'y', 'x + 8', 'y + 5')} AS geom"
     )
     triangles = frames.filter("key % 2 = 1").selectExpr(
+        "key",
         "concat('t', key) AS face_id", f"{triangle} AS geom"
     )
     return boxes.unionByName(triangles).selectExpr(
-        "'city' AS package_id", "'water' AS role", "face_id", "geom"
+        city("key"), "'water' AS role", "face_id", "geom"
     )
 
 
@@ -378,7 +385,7 @@ def water_coverage(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy()
         .agg(F.count("*").alias("n"))
         .selectExpr(
-            "'city' AS package_id",
+            city("nullif(n, 0)"),
             "'coverage' AS role",
             "'cover' AS face_id",
             f"{box_geom('0', '0', '80', str(high))} AS geom",
@@ -406,7 +413,7 @@ def od_trips(spark: SparkSession, folder: str) -> DataFrame:
 def road_nodes(spark: SparkSession, folder: str) -> DataFrame:
     scaled = lambda i: F.round(F.element_at("embedding", i).cast("double") * 64, 0)
     return table(spark, folder, "embeddings").select(
-        F.lit("city").alias("package_id"),
+        F.expr(city("vec_id")),
         F.col("vec_id").alias("node_id"),
         scaled(1).alias("x"),
         scaled(2).alias("y"),
@@ -416,7 +423,7 @@ def road_nodes(spark: SparkSession, folder: str) -> DataFrame:
 def snap_points(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("event_id")
     return table(spark, folder, "events").select(
-        F.lit("city").alias("package_id"),
+        F.expr(city("event_id")),
         key.alias("point_id"),
         ((F.col("user_id") * 13 % 129) - 64).cast("double").alias("x"),
         ((key * 7 % 129) - 64).cast("double").alias("y"),
@@ -453,7 +460,7 @@ def changed_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def zone_points(spark: SparkSession, folder: str) -> DataFrame:
     """Point features on a quarter grid, many of them on zone borders."""
     return dealt(spark, folder, "events").selectExpr(
-        "'city' AS package_id",
+        city("event_id"),
         "concat('p', event_id) AS feature_id",
         point_geom("(user_id * 13 % 400) / 4D", "(event_id * 6 div 100) / 4D") + " AS geom",
     )

@@ -521,7 +521,7 @@ def fn22_reproject_vertices(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey % 601 / 100D AS x",
         "CASE WHEN c_custkey % 13 = 1 THEN 95D ELSE c_custkey * 7 % 1601 / 20D END AS y",
         "if(c_custkey % 11 = 2, 'EPSG:4269', 'EPSG:4326') AS source_crs",
-        "'EPSG:32631' AS target_crs",
+        "if(c_custkey IS NULL, NULL, 'EPSG:32631') AS target_crs",
     )
     return co.reproject_vertices(rows).select(
         "id",
@@ -537,11 +537,11 @@ def fn22_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey AS id",
         "400000D + c_custkey * 37 % 300000 AS x",
         "5000000D + c_custkey * 91 % 500000 AS y",
-        "'EPSG:32631' AS source_crs",
-        "'EPSG:32632' AS target_crs",
+        "if(c_custkey IS NULL, NULL, 'EPSG:32631') AS source_crs",
+        "if(c_custkey IS NULL, NULL, 'EPSG:32632') AS target_crs",
     )
     there = co.reproject_vertices(rows).selectExpr(
-        "id", "x AS x0", "y AS y0", "tx AS x", "ty AS y", "'EPSG:32632' AS source_crs", "'EPSG:32631' AS target_crs"
+        "id", "x AS x0", "y AS y0", "tx AS x", "ty AS y", "target_crs AS source_crs", "source_crs AS target_crs"
     )
     return co.reproject_vertices(there).select(
         "id", F.round("tx", 4).alias("east"), F.round("ty", 4).alias("north")
@@ -562,7 +562,7 @@ def fn23_normalize_polygons(spark: SparkSession, sf: str) -> DataFrame:
         "zone_id AS face_id",
         "named_struct('kind', 'polygon', 'has_z', false, 'parts', transform(geom.parts, p -> transform(p, r -> "
         "transform(r, v -> named_struct('x', v.x / 5000D, 'y', v.y / 5000D))))) AS geom",
-        "'EPSG:4326' AS source_crs",
+        "if(zone_id IS NULL, NULL, 'EPSG:4326') AS source_crs",
         "CASE WHEN bigint(substring(zone_id, 2)) % 6 = 5 THEN 'EPSG:25831' WHEN bigint(substring(zone_id, 2)) % 6 = 4 THEN 'EPSG:4326' ELSE 'EPSG:32631' END AS target_crs",
     )
     vertices, rejected = co.normalize_polygons(faces)
