@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm import mixing, repetition, sharding
+from platwork.llm import dartminhash, decontamination, mixing, repetition, sharding
 from platwork.llm.frames import table
 
 
 def op1_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    return sharding.shard_by_ranges(docs).select(
-        "doc_id", "size", crc.cast("long").alias("text_crc32"), F.lit("bytes").alias("law"),
+    docs = table(spark, folder, "documents").select("doc_id", "text", crc.cast("long").alias("text_crc32"))
+    return sharding.shard_by_ranges(docs, keep=["doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
@@ -22,6 +22,26 @@ def op2_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(table(spark, folder, "documents"))
 
 
+def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return dartminhash.near_classes(table(spark, folder, "documents"))
+
+
+def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_leaks(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        table(spark, folder, "benchmark"),
+        keep=["doc_id"],
+    )
+    n_hit = F.aggregate("leak_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    ids = F.array_sort(F.array_distinct(F.filter(F.col("leak_matches.item_id"), lambda i: i.isNotNull())))
+    return found.select(
+        "doc_id", F.col("leak_words").alias("n_words"), n_hit.alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -30,6 +50,12 @@ def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sampled_splitters, op2_repetition_coverage, op10_pareto_mixing)
+    for f in (
+        op1_sampled_splitters,
+        op2_repetition_coverage,
+        op4_dart_minhash,
+        op5_suffix_arrays,
+        op10_pareto_mixing,
+    )
 }
 ORACLE: dict[str, str] = {}

@@ -80,8 +80,9 @@ def shard_by_ranges(
     n_shards: int = N_SHARDS,
     range_bytes: int = RANGE_BYTES,
     least_ranges: int = LEAST_RANGES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns of `df` (doc_id and text among them) with size, shard and slot.
+    """All rows of `df` (with doc_id and text) with the columns in `keep` (all), size, shard, slot.
 
     size is the text's UTF-8 bytes plus 1, 1 for a null text. Shards hold equal parts of all
     bytes to within one row; slots count from 0 without gaps in each shard. Null ids are
@@ -89,7 +90,9 @@ def shard_by_ranges(
     of the input named size, shard or slot are replaced. An empty table stays empty.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    keep = [c for c in (keep or df.columns) if c not in ("size", "shard", "slot")]
     keyed = df.withColumn("size", size).withColumn("__key", text_key(F.col("text"), F.col("doc_id")))
+    keyed = keyed.select(*dict.fromkeys([*keep, "doc_id", "size", "__key"]))
     small = written(keyed.select("doc_id", "size", "__key"), "shard-keys")
     total = small.agg(F.sum("size")).first()[0] or 1
     bounds = splitters(small, "__key", "size", max(least_ranges, -(-total // range_bytes)))
@@ -118,5 +121,5 @@ def shard_by_ranges(
     return (
         placed(keyed)
         .withColumn("slot", F.col("__row") - F.get(first, F.col("shard")))
-        .drop("__key", "__range", "__at", "__row")
+        .select(*keep, "size", "shard", "slot")
     )
