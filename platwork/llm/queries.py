@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm import dartminhash, decontamination, mixing, repetition, sharding
+from platwork.llm import dartminhash, decontamination, factoring, mixing, repetition, sharding
 from platwork.llm.frames import table
 
 
@@ -42,6 +42,13 @@ def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_relative_factors(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return factoring.factored(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text_kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -55,6 +62,7 @@ QUERIES = {
         op2_repetition_coverage,
         op4_dart_minhash,
         op5_suffix_arrays,
+        op6_relative_factors,
         op10_pareto_mixing,
     )
 }
