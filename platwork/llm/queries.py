@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm import dartminhash, decontamination, factoring, mixing, repetition, sharding
+from platwork.llm import dartminhash, decontamination, factoring, mixing, repetition, secrets, sharding, toxicity
 from platwork.llm.frames import table
 
 
@@ -49,6 +49,24 @@ def op6_relative_factors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_trigram_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+    def of(place) -> Column:
+        return F.filter("secret_spans", lambda s: place(s["place"]))
+
+    counts = [F.size(of(lambda p, i=i: p == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
+    base = secrets.written_spans(of(lambda p: p < len(secrets.BASE)))
+    return found.select(
+        "doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.written_spans(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -63,6 +81,8 @@ QUERIES = {
         op4_dart_minhash,
         op5_suffix_arrays,
         op6_relative_factors,
+        op7_kneser_ney,
+        op9_trigram_index,
         op10_pareto_mixing,
     )
 }
