@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm import dartminhash, decontamination, factoring, mixing, repetition, secrets, sharding, toxicity
+from platwork.llm import dartminhash, decontamination, factoring, mixing, quality, repetition, secrets, sharding, toxicity
 from platwork.llm.frames import table
 
 
@@ -22,6 +22,10 @@ def op2_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(table(spark, folder, "documents"))
 
 
+def op3_random_fourier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dartminhash.near_classes(table(spark, folder, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     for f in (
         op1_sampled_splitters,
         op2_repetition_coverage,
+        op3_random_fourier,
         op4_dart_minhash,
         op5_suffix_arrays,
         op6_relative_factors,
