@@ -22,6 +22,7 @@ SHARE = 1.5
 MOST = 2
 #: Classes of the rank per source; only the class with the cut in it is sorted.
 CLASSES = 4096
+KEY = F.expr("xxhash64(doc_id, source, text)")
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -64,15 +65,15 @@ def chance(doc_id: Column) -> Column:
 def mixed(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, classes: int = CLASSES
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per row of `docs`.
+    """doc_id, source, key, size, source_size, target, copies, taken: one row per row of `docs`.
 
     Needs doc_id, source and text. Null texts have size 0 and are never drawn beyond the whole
     copies; a null source is a source. Equal ids are drawn with equal chances, equal ranks are
-    told apart by id and size; rows alike in all of these are interchangeable. An empty table
-    gives none.
+    told apart by id and size; rows alike in all of these are interchangeable. key is the
+    xxhash64 of id, source and text. An empty table gives none.
     """
     sized = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"
+        docs.select("doc_id", "source", KEY.alias("key"), word_count(F.col("text")).alias("size")), "mix-sizes"
     )
     goals = targets(sized, weights, share, most)
     ratio = F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))
@@ -129,6 +130,23 @@ def mixed(
     is_last = (F.col("extra") == 0) & F.struct("rank", "doc_id", "size").eqNullSafe(F.col("last"))
     copies = F.col("whole") + F.col("extra") + F.when(is_last, 1).otherwise(0)
     return drawn.join(closing, F.col("place") == F.col("last_place"), "left").select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "key", "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Every row of `docs` as often as the mix takes it, with the columns of `docs`.
+
+    Rows equal in id, source and text are taken equally often.
+    """
+    taken = (
+        mixed(docs, weights, share, most)
+        .groupBy(F.col("key").alias("__key")).agg(F.max("copies").cast("int").alias("__copies"))
+        .where("__copies > 0")
+    )
+    return (
+        docs.withColumn("__key", KEY).join(taken, "__key")
+        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy"))
+        .select(*docs.columns)
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm import dartminhash, decontamination, factoring, mixing, quality, repetition, secrets, sharding, toxicity
+from platwork.llm import chat, dartminhash, decontamination, factoring, mixing, quality, repetition, secrets, sharding, toxicity
 from platwork.llm.frames import table
 
 
@@ -57,6 +58,12 @@ def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_transcript_roles(spark: SparkSession, folder: str) -> DataFrame:
+    lines = chat.transcripts(table(spark, folder, "conversations"))
+    found = chat.recovered_lines(lines.select("conv_id", "line_no", "line"), chat.fit(lines))
+    return chat.turns(found)
+
+
 def op9_trigram_index(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secrets(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -77,7 +84,7 @@ def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {
+QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
         op1_sampled_splitters,
@@ -87,6 +94,7 @@ QUERIES = {
         op5_suffix_arrays,
         op6_relative_factors,
         op7_kneser_ney,
+        op8_transcript_roles,
         op9_trigram_index,
         op10_pareto_mixing,
     )

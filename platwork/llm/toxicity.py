@@ -112,8 +112,8 @@ def ratios(code: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((logs[0] - logs[1]).T).reshape(-1).astype(np.float16)
 
 
-def measures(docs: DataFrame, model) -> DataFrame:
-    """doc_id and the length-normalised comparisons of every text; zeros for short ones."""
+def measures(docs: DataFrame, model, keep: list[str]) -> DataFrame:
+    """The columns in `keep` and the length-normalised comparisons of every text; zeros without words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -134,12 +134,12 @@ def measures(docs: DataFrame, model) -> DataFrame:
                 columns.append(top)
             columns.append(np.log1p(n))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *map(pa.array, columns)], ["doc_id", *FEATURES]
+                [*(part.column(c) for c in keep), *map(pa.array, columns)], [*keep, *(f"__{f}" for f in FEATURES)]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    )
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    kept = (f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, ", ".join([*kept, *(f"__{f} double" for f in FEATURES)]))
 
 
 def curve(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,43 +159,61 @@ def curve(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> tuple[np.ndarr
     return centre, scale, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, curve_part: int = 5) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted: one row per row of `docs`.
+class Fit:
+    """A model learned from labelled texts, and the chance that it gives a text.
 
     Labels (doc_id, toxic) are used of ids whose crc32 leaves a remainder by `parts` other than
-    `held_out`: one in `curve_part` of them for the curve, the others for the counts. Null texts
-    score as empty ones, texts without words by their length alone. Null labels are
-    left out, repeated ones count each. A null id is held out of nothing and never learned
-    from. Without labels of both kinds every score is the share of toxic ones (0 without any).
+    `held_out`: one in `curve_part` of them for the curve, the others for the counts. Null
+    labels and ids are left out, repeated ones count each. Without labels of both kinds the
+    chance is the share of toxic ones (0 without any) and `fitted` is false.
     """
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")
-    )
-    part = fold(F.col("doc_id"), parts)
-    known = known.where(part != held_out)
-    for_curve = F.expr(f"crc32(cast(doc_id AS string)) DIV {parts} % {curve_part} = 0")
-    labelled = docs.select(F.col("doc_id").cast("long"), "text").join(known.where(~for_curve), "doc_id")
-    # At most one row per slot, history and class.
-    grams = count_grams(labelled).toArrow()
-    model = docs.sparkSession.sparkContext.broadcast(ratios(*(grams[c].to_numpy() for c in ("code", "toxic", "n"))))
-    measured = written(measures(docs, model), "toxic-measures")
-    fitted = measured.join(known.where(for_curve), "doc_id")
-    n = fitted.count()
-    if n > CURVE_ROWS:
-        fitted = fitted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CURVE_ROWS / n))
-    rows = fitted.select(*FEATURES, "toxic").toPandas()
-    y = rows["toxic"].to_numpy(float)
-    if len(set(y)) < 2:
-        score = F.lit(float(y.mean()) if len(y) else 0.0)
-    else:
-        centre, scale, w = curve(rows[FEATURES].to_numpy(float), y)
-        sum_ = F.lit(float(w[-1]))
-        for f, c, s, x in zip(FEATURES, centre, scale, w):
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, curve_part: int = 5):
+        known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
+            F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")
+        )
+        self.held_out = F.coalesce(fold(F.col("doc_id"), parts) == held_out, F.lit(False))
+        known = known.where(~self.held_out)
+        for_curve = F.expr(f"crc32(cast(doc_id AS string)) DIV {parts} % {curve_part} = 0")
+        keyed = docs.select(F.col("doc_id").cast("long"), "text")
+        # At most one row per slot, history and class.
+        grams = count_grams(keyed.join(known.where(~for_curve), "doc_id")).toArrow()
+        self.model = docs.sparkSession.sparkContext.broadcast(
+            ratios(*(grams[c].to_numpy() for c in ("code", "toxic", "n")))
+        )
+        self.measured = written(measures(keyed, self.model, ["doc_id"]), "toxic-measures")
+        rows = self.measured.join(known.where(for_curve), "doc_id")
+        n = rows.count()
+        if n > CURVE_ROWS:
+            rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CURVE_ROWS / n))
+        columns = [f"__{f}" for f in FEATURES]
+        rows = rows.select(*columns, "toxic").toPandas()
+        y = rows["toxic"].to_numpy(float)
+        self.fitted = len(set(y)) == 2
+        if not self.fitted:
+            self.chance = F.lit(float(y.mean()) if len(y) else 0.0)
+            return
+        centre, scale, w = curve(rows[columns].to_numpy(float), y)
+        total = F.lit(float(w[-1]))
+        for f, c, s, x in zip(columns, centre, scale, w):
             z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(f) - float(c)) / float(s)))
-            sum_ = sum_ + z * float(x)
-        score = 1 / (1 + F.exp(-sum_))
-    return measured.select(
-        "doc_id",
-        F.coalesce(part == held_out, F.lit(False)).alias("held_out"),
-        score.alias("score"),
-    ).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+            total = total + z * float(x)
+        self.chance = 1 / (1 + F.exp(-total))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted: one row per row of `docs`.
+
+    Null texts score as empty ones, texts without words by their length alone. A null id is held
+    out of nothing and never learned from. An empty table gives no rows.
+    """
+    fit = Fit(docs, labels)
+    return fit.measured.select("doc_id", fit.held_out.alias("held_out"), fit.chance.alias("score")).withColumn(
+        "predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
+    )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with their columns; all if nothing can be learned."""
+    fit = Fit(docs, labels)
+    return measures(docs, fit.model, docs.columns).where(fit.chance < threshold).select(*docs.columns) if fit.fitted else docs
