@@ -22,7 +22,7 @@ SHARE = 1.5
 MOST = 2
 #: Classes of the rank per source; only the class with the cut in it is sorted.
 CLASSES = 4096
-KEY = F.expr("xxhash64(doc_id, source, text)")
+KEY = "xxhash64(doc_id, source, text)"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -73,7 +73,7 @@ def mixed(
     xxhash64 of id, source and text. An empty table gives none.
     """
     sized = written(
-        docs.select("doc_id", "source", KEY.alias("key"), word_count(F.col("text")).alias("size")), "mix-sizes"
+        docs.select("doc_id", "source", F.expr(KEY).alias("key"), word_count(F.col("text")).alias("size")), "mix-sizes"
     )
     goals = targets(sized, weights, share, most)
     ratio = F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))
@@ -146,7 +146,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
         .where("__copies > 0")
     )
     return (
-        docs.withColumn("__key", KEY).join(taken, "__key")
+        docs.withColumn("__key", F.expr(KEY)).join(taken, "__key")
         .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy"))
         .select(*docs.columns)
     )
