@@ -125,9 +125,9 @@ def tunnel_rules() -> Column:
 def assertion_rules() -> Column:
     """Declared source facts: they need evidence, and coverage needs a confirmed source."""
     flags = (
-        "source_confirmed",
-        "depth_coverage_confirmed",
-        "mapping_confirmed",
+        "carto_source_confirmed",
+        "complete_depth_coverage_confirmed",
+        "game_mapping_confirmed",
     )
     flag_missing = F.lit(False)
     for name in flags:
@@ -153,8 +153,8 @@ def assertion_rules() -> Column:
         ),
         (said & blank(F.col("evidence")), "MISSING_ASSERTION_EVIDENCE"),
         (
-            F.coalesce(F.col("depth_coverage_confirmed"), F.lit(False))
-            & ~F.coalesce(F.col("source_confirmed"), F.lit(False)),
+            F.coalesce(F.col("complete_depth_coverage_confirmed"), F.lit(False))
+            & ~F.coalesce(F.col("carto_source_confirmed"), F.lit(False)),
             "SOURCE_UNCONFIRMED",
         ),
     )

@@ -79,10 +79,14 @@ def tile_inventory(grids: DataFrame, size: int = TILE) -> DataFrame:
 
 
 def raster_profile(cells: DataFrame, grids: DataFrame) -> DataFrame:
-    """Counts and range of each grid, as one partial plus final aggregate."""
+    """Counts and range of each grid, as one partial plus final aggregate.
+
+    A grid without cells counts zero of everything and has no range.
+    """
     value = F.col("value")
     valid = valid_pixels(value, F.col("mask"), F.col("nodata"), F.col("dtype"))
-    return (
+    counts = ("valid_pixels", "finite_pixels", "valid_zero_pixels", "valid_negative_pixels")
+    counted = (
         cells_scan(cells, grids)
         .withColumn("_valid", valid)
         .groupBy("package_id", "grid_id")
@@ -95,6 +99,9 @@ def raster_profile(cells: DataFrame, grids: DataFrame) -> DataFrame:
             F.max(F.when(F.col("_valid"), value)).cast("double").alias("valid_max"),
         )
     )
+    return grids.select("package_id", "grid_id").join(counted, ["package_id", "grid_id"], "left").na.fill(
+        0, list(counts)
+    )
 
 
 def _source_index(prefix: str) -> tuple[Column, Column]:
@@ -151,12 +158,13 @@ def align_nearest(terrain: DataFrame, depth: DataFrame, grids: DataFrame) -> Dat
     )
     sampled = depth.select(
         "package_id",
+        F.col("grid_id").alias("s_grid_id"),
         F.col("row").cast("long").alias("_v"),
         F.col("col").cast("long").alias("_u"),
         F.col("value").alias("depth"),
         F.col("mask").alias("depth_mask"),
     )
-    return located.join(sampled, ["package_id", "_v", "_u"], "left").select(
+    return located.join(sampled, ["package_id", "s_grid_id", "_v", "_u"], "left").select(
         "package_id",
         "grid_id",
         "row",
@@ -201,6 +209,7 @@ def class_accounting(classes: DataFrame, grids: DataFrame) -> DataFrame:
     """Cells and area per class and package, with the conservation check.
 
     `classes` holds one row per cell: package_id, grid_id, class, terrain_valid, covered.
+    A terrain grid without a single cell has lost all of its area.
     """
     code = F.col("class")
     counted = classes.groupBy("package_id", "grid_id").agg(
@@ -211,14 +220,15 @@ def class_accounting(classes: DataFrame, grids: DataFrame) -> DataFrame:
         F.count_if(~F.col("terrain_valid")).alias("terrain_missing"),
         F.count_if(~F.col("covered")).alias("depth_outside"),
     )
-    sized = grids.select(
+    sized = grids.filter("role = 'terrain'").select(
         "package_id",
         "grid_id",
         (F.col("width").cast("long") * F.col("height")).alias("expected_cells"),
         pixel_area(F.col("a"), F.col("b"), F.col("d"), F.col("e")).alias("_area"),
     )
     total = F.col("water") + F.col("land") + F.col("unknown")
-    return counted.join(sized, ["package_id", "grid_id"]).select(
+    counts = [c for c in counted.columns if c not in ("package_id", "grid_id")]
+    return sized.join(counted, ["package_id", "grid_id"], "left").na.fill(0, counts).select(
         "package_id",
         "water",
         "land",

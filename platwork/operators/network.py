@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from platwork.session import cut_lineage
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Least total weight from any source to every reachable node of a directed graph.
 
-    edges: src, dst, weight (not negative). sources: node. Each round relaxes only the
+    edges: src, dst, weight; a negative or missing weight is refused before the first round,
+    so the rounds always end. sources: node. Each round relaxes only the
     edges of nodes that improved in the round before, and one aggregate per round folds
     offers into the table of best distances. Rounds are checkpointed, so a lost executor
     costs at most one round. Returns node, distance and predecessor (the smallest id
     among equals).
     """
+    if not edges.filter("weight IS NULL OR isnan(weight) OR weight < 0").isEmpty():
+        raise ValueError("INVALID_EDGE_WEIGHT: shortest paths need weights of zero or more")
     best = cut_lineage(
         sources.select("node")
         .distinct()
         .selectExpr("node", "0D AS distance", "CAST(NULL AS bigint) AS predecessor", "true AS moved")
     )
-    for _ in range(max_rounds):
+    while True:
         offers = (
             best.filter("moved")
             .join(edges.withColumnRenamed("src", "node"), "node")
@@ -42,7 +45,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_00
         )
         if best.filter("moved").isEmpty():
             return best.drop("moved")
-    raise RuntimeError("shortest paths did not settle: negative cycle?")
 
 
 def _box_distances() -> tuple[str, str]:

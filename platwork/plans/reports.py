@@ -166,12 +166,12 @@ def readiness(profile: DataFrame, assertions: DataFrame) -> DataFrame:
         "GRID_UNVERIFIED": F.col("conserved"),
         "TERRAIN_MISSING": F.col("terrain_missing") == 0,
         "DEPTH_OUTSIDE_ROI": F.col("depth_outside") == 0,
-        "CARTO_SOURCE_UNCONFIRMED": F.col("source_confirmed"),
-        "DEPTH_COVERAGE_UNCONFIRMED": F.col("depth_coverage_confirmed"),
+        "CARTO_SOURCE_UNCONFIRMED": F.col("carto_source_confirmed"),
+        "DEPTH_COVERAGE_UNCONFIRMED": F.col("complete_depth_coverage_confirmed"),
         "LAND_WATER_UNKNOWN": F.col("unknown") == 0,
         "TERRAIN_UNIT_UNCONFIRMED": F.col("terrain_unit") == "m",
         "VERTICAL_REFERENCE_UNCONFIRMED": F.col("terrain_vertical_reference").isNotNull(),
-        "GAME_MAPPING_UNCONFIRMED": F.col("mapping_confirmed"),
+        "GAME_MAPPING_UNCONFIRMED": F.col("game_mapping_confirmed"),
     }
     flags = {f"_{name}": passed(test) for name, test in conditions.items()}
     blocking = F.filter(
@@ -260,7 +260,7 @@ def reconcile_declaration(
         .when(no(o("roundtrip_ok")), "MAPPING_ROUNDTRIP_FAILED")
     )
     return rows.select("package_id", code.alias("code")).withColumn(
-        "mapping_confirmed", F.col("code").isNull()
+        "game_mapping_confirmed", F.col("code").isNull()
     )
 
 

@@ -64,7 +64,7 @@ oracle(
 )
 oracle(
     "src9_strict_json_assertions",
-    """SELECT c_custkey AS package_id, CASE WHEN k = 2 THEN NULL ELSE k = 1 END AS source_confirmed, k IN (1, 5) AS mapping_confirmed,
+    """SELECT c_custkey AS package_id, CASE WHEN k = 2 THEN NULL ELSE k = 1 END AS carto_source_confirmed, k IN (1, 5) AS game_mapping_confirmed,
          CASE k WHEN 1 THEN 'm' WHEN 3 THEN 'ft' END AS terrain_unit,
          ['', '', 'INVALID_SOURCE_ASSERTION', 'UNSUPPORTED_VERTICAL_UNIT', 'INVALID_VERTICAL_REFERENCE', 'MISSING_ASSERTION_EVIDENCE', 'SOURCE_UNCONFIRMED',
           'UNKNOWN_SOURCE_ASSERTION', 'INVALID_SOURCE_ASSERTION', 'INVALID_SOURCE_ASSERTION'][k + 1] AS codes
@@ -339,7 +339,7 @@ oracle(
 )
 oracle(
     "g7_declaration_reconciliation",
-    """SELECT k AS package_id, code, code IS NULL AS mapping_confirmed FROM (SELECT k, CASE
+    """SELECT k AS package_id, code, code IS NULL AS game_mapping_confirmed FROM (SELECT k, CASE
         WHEN k % 11 = 3 OR k % 12 = 5 THEN 'EXPORT_VERSION_UNCONFIRMED' WHEN k % 13 = 4 THEN 'UNSUPPORTED_EXPORT_VERSION' WHEN k % 9 = 7 THEN 'INSTALLATION_IDENTITY_MISMATCH'
         WHEN k % 7 = 5 THEN 'STALE_VERSION_DECLARATION' WHEN k % 2 = 1 AND missing > 0 THEN 'PINNED_SOURCE_MISSING' WHEN k % 2 = 1 AND changed > 0 THEN 'PINNED_SOURCE_CHANGED'
         WHEN k % 10 = 1 THEN 'SOURCE_FOOTPRINT_MISMATCH' WHEN k % 8 = 6 THEN 'UNSUPPORTED_MAPPING_CONTEXT' WHEN k % 6 = 2 THEN 'UNSUPPORTED_NATIVE_FORMAT'

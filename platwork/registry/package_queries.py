@@ -182,12 +182,12 @@ def src8_strict_json_zones(spark: SparkSession, sf: str) -> DataFrame:
 
 ASSERTION_JSON = """
 CASE k % 10
- WHEN 1 THEN '{"source_confirmed":true,"depth_coverage_confirmed":true,"terrain_unit":"m","terrain_vertical_reference":"origin","mapping_confirmed":true,"evidence":"note"}'
- WHEN 2 THEN '{"source_confirmed":"true","evidence":"note"}'
+ WHEN 1 THEN '{"carto_source_confirmed":true,"complete_depth_coverage_confirmed":true,"terrain_unit":"m","terrain_vertical_reference":"origin","game_mapping_confirmed":true,"evidence":"note"}'
+ WHEN 2 THEN '{"carto_source_confirmed":"true","evidence":"note"}'
  WHEN 3 THEN '{"terrain_unit":"ft","evidence":"note"}'
  WHEN 4 THEN '{"terrain_vertical_reference":" ","evidence":"note"}'
- WHEN 5 THEN '{"mapping_confirmed":true}'
- WHEN 6 THEN '{"depth_coverage_confirmed":true,"evidence":"note"}'
+ WHEN 5 THEN '{"game_mapping_confirmed":true}'
+ WHEN 6 THEN '{"complete_depth_coverage_confirmed":true,"evidence":"note"}'
  WHEN 7 THEN '{"confirmed_by":"me"}'
  WHEN 8 THEN '[true]'
  WHEN 9 THEN '{"evidence":5}'
@@ -199,7 +199,7 @@ def src9_strict_json_assertions(spark: SparkSession, sf: str) -> DataFrame:
         "k AS package_id", f"{ASSERTION_JSON} AS raw"
     )
     return sj.import_assertions(rows).select(
-        "package_id", "source_confirmed", "mapping_confirmed", "terrain_unit", _codes()
+        "package_id", "carto_source_confirmed", "game_mapping_confirmed", "terrain_unit", _codes()
     )
 
 
@@ -357,9 +357,9 @@ def fn16_rules_check(spark: SparkSession, sf: str) -> DataFrame:
 def g2_assertion_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.table(spark, sf, "customer").selectExpr(
         "c_custkey AS package_id",
-        "c_custkey % 2 = 0 AS source_confirmed",
-        "c_custkey % 3 = 0 AS depth_coverage_confirmed",
-        "c_custkey % 5 = 0 AS mapping_confirmed",
+        "c_custkey % 2 = 0 AS carto_source_confirmed",
+        "c_custkey % 3 = 0 AS complete_depth_coverage_confirmed",
+        "c_custkey % 5 = 0 AS game_mapping_confirmed",
         "CASE c_custkey % 7 WHEN 1 THEN 'm' WHEN 2 THEN 'ft' END AS terrain_unit",
         "CASE c_custkey % 11 WHEN 1 THEN 'sea' WHEN 2 THEN ' ' END AS terrain_vertical_reference",
         "if(c_custkey % 13 < 10, c_name, '') AS evidence",
@@ -516,7 +516,7 @@ def g6_map_tile_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def fn22_reproject_vertices(spark: SparkSession, sf: str) -> DataFrame:
     """Longitudes and latitudes to zone 31; a few rows break a rule each."""
-    rows = fx.dealt(spark, sf, "customer").selectExpr(
+    rows = fx.table(spark, sf, "customer").selectExpr(
         "c_custkey AS id",
         "c_custkey % 601 / 100D AS x",
         "CASE WHEN c_custkey % 13 = 1 THEN 95D ELSE c_custkey * 7 % 1601 / 20D END AS y",
@@ -533,7 +533,7 @@ def fn22_reproject_vertices(spark: SparkSession, sf: str) -> DataFrame:
 
 def fn22_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """From zone 31 to zone 32 and back to the same metre positions."""
-    rows = fx.dealt(spark, sf, "customer").selectExpr(
+    rows = fx.table(spark, sf, "customer").selectExpr(
         "c_custkey AS id",
         "400000D + c_custkey * 37 % 300000 AS x",
         "5000000D + c_custkey * 91 % 500000 AS y",
@@ -626,11 +626,11 @@ def jn13_source_unchanged(spark: SparkSession, sf: str) -> DataFrame:
 def _assertions(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "supplier").filter("s_suppkey % 20 != 19").selectExpr(
         "s_suppkey AS package_id",
-        "s_suppkey % 2 = 0 AS source_confirmed",
-        "s_suppkey % 4 = 0 AS depth_coverage_confirmed",
+        "s_suppkey % 2 = 0 AS carto_source_confirmed",
+        "s_suppkey % 4 = 0 AS complete_depth_coverage_confirmed",
         "CASE WHEN s_suppkey % 3 = 0 THEN 'm' END AS terrain_unit",
         "CASE WHEN s_suppkey % 5 != 0 THEN 'origin' END AS terrain_vertical_reference",
-        "s_suppkey % 8 != 1 AS mapping_confirmed",
+        "s_suppkey % 8 != 1 AS game_mapping_confirmed",
     )
 
 
@@ -702,11 +702,11 @@ def g8_package_summary(spark: SparkSession, sf: str) -> DataFrame:
         og.align_depth(fx.terrain_cells(spark, sf), fx.depth_cells(spark, sf), grids, fx.semantics(grids)),
         fx.semantics(grids).selectExpr(
             "package_id",
-            "complete_coverage_confirmed AS source_confirmed",
-            "complete_coverage_confirmed AS depth_coverage_confirmed",
+            "complete_coverage_confirmed AS carto_source_confirmed",
+            "complete_coverage_confirmed AS complete_depth_coverage_confirmed",
             "'m' AS terrain_unit",
             "'origin' AS terrain_vertical_reference",
-            "true AS mapping_confirmed",
+            "true AS game_mapping_confirmed",
         ),
     ).withColumn("blocking", F.array_join("blocking", ","))
 
@@ -741,7 +741,7 @@ def st1_stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = st.decide_stream(
         requests, lambda batch: pd.decide_conflicts(batch.drop("ts"), *tables), folder
     )
-    return spark.read.parquet(verdicts).select(
+    return st.answers(spark, verdicts).select(
         "corridor_id", "status", "reason", F.array_join("permitted_modes", ",").alias("permitted_modes"), "n_mandatory"
     )
 

@@ -35,11 +35,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table scan that comes in fewer pieces than there are cores, dealt out to all.
-
-    Large tables arrive in many splits and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -56,23 +56,31 @@ def geojson_geometry(text: str) -> str:
 def parse_collections(texts: DataFrame, source_crs: str | None) -> DataFrame:
     """Features of FeatureCollection texts (collection_id, text).
 
-    The coordinate system has to be declared; a null feature geometry is an error row,
-    never dropped.
+    The coordinate system has to be declared; a null feature geometry is an error row, and
+    so is a text that is no collection (INVALID_FEATURE_COLLECTION); neither is dropped. A
+    collection without features is one row without a position and without a code.
     """
     if not source_crs:
         raise ValueError("EXPLICIT_GEOJSON_CRS_REQUIRED: declare the coordinate system")
     feature = "struct<id:string,geometry:string,properties:map<string,string>>"
     rows = texts.selectExpr(
-        "collection_id", f"from_json(text, 'struct<features:array<{feature}>>').features AS fs"
-    ).selectExpr("collection_id", "posexplode(fs) AS (position, f)")
-    return rows.selectExpr(
+        "collection_id",
+        f"from_json(text, 'struct<type:string,features:array<{feature}>>') AS d",
+    ).selectExpr(
+        "collection_id",
+        "d.type IS NULL OR d.type <> 'FeatureCollection' OR d.features IS NULL AS broken",
+        "d.features AS fs",
+    ).selectExpr("collection_id", "broken", "posexplode_outer(if(broken, NULL, fs)) AS (position, f)")
+    return rows.selectExpr("*", f"{geojson_geometry('f.geometry')} AS geom").selectExpr(
         "collection_id",
         "position",
         "f.id AS feature_id",
-        f"{geojson_geometry('f.geometry')} AS geom",
+        "geom",
         "f.properties AS props",
         f"'{source_crs}' AS source_crs",
-    ).withColumn("code", F.when(F.col("geom").isNull(), "INVALID_WATER_GEOMETRY"))
+        "CASE WHEN broken THEN 'INVALID_FEATURE_COLLECTION'"
+        " WHEN position IS NOT NULL AND geom IS NULL THEN 'INVALID_WATER_GEOMETRY' END AS code",
+    )
 
 
 def read_geojson(spark: SparkSession, path: str, source_crs: str | None) -> DataFrame:

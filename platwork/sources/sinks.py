@@ -59,9 +59,11 @@ def publish_new(
     check_destination(spark, destination, source_paths)
     staging = f"{destination.rstrip('/')}_staging_{uuid.uuid4().hex}"
     for name, table in tables.items():
-        writer = table.write.mode("errorifexists")
-        if "tile_row" in table.columns:
-            writer = writer.partitionBy("tile_row")
+        # One folder per package and tile row, each written by one task.
+        parts = [c for c in ("package_id", "tile_row") if "tile_row" in table.columns and c in table.columns]
+        writer = (table.repartition(*parts) if parts else table).write.mode("errorifexists")
+        if parts:
+            writer = writer.partitionBy(*parts)
         writer.parquet(f"{staging}/{name}")
     package_manifest(spark, staging).write.mode("errorifexists").json(f"{staging}/manifest")
     files, source = _path(spark, staging)
@@ -73,7 +75,7 @@ def publish_new(
 
 def package_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Artifact, relative path, hash and size of every data file of a package."""
-    relative = F.regexp_replace("path", r"^.*?" + folder.rstrip("/").split("/")[-1] + "/", "")
+    relative = F.regexp_replace("path", r"^.*?\Q" + folder.rstrip("/").split("/")[-1] + r"/\E", "")
     return (
         file_manifest(spark, folder, "*.parquet")
         .withColumn("path", relative)

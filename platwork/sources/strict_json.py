@@ -21,11 +21,11 @@ ZONE_FIELDS = (
 )
 ZONE_REQUIRED = ("zone_id", "geometry", "land_use", "block_size_m")
 ASSERTION_FIELDS = (
-    "source_confirmed",
-    "depth_coverage_confirmed",
+    "carto_source_confirmed",
+    "complete_depth_coverage_confirmed",
     "terrain_unit",
     "terrain_vertical_reference",
-    "mapping_confirmed",
+    "game_mapping_confirmed",
     "evidence",
 )
 
@@ -155,7 +155,7 @@ def import_assertions(rows: DataFrame) -> DataFrame:
     """
     t = lambda name: F.col(f"_t_{name}")
     opened = _opened(rows, ASSERTION_FIELDS)
-    flags = ("source_confirmed", "depth_coverage_confirmed", "mapping_confirmed")
+    flags = ("carto_source_confirmed", "complete_depth_coverage_confirmed", "game_mapping_confirmed")
     texts = ("terrain_unit", "terrain_vertical_reference", "evidence")
     read = opened.withColumns(
         {

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.session import new_folder
-
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 )
@@ -19,7 +17,6 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
     return (
         spark.readStream.schema(EVENT_SCHEMA)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 16)
         .parquet(folder)
     )
 
@@ -28,22 +25,23 @@ def decide_stream(
     requests: DataFrame,
     decide: Callable[[DataFrame], DataFrame],
     folder: str,
-    lateness: str = "1 hour",
 ) -> str:
-    """Decide arriving corridor requests once each; returns the folder of verdicts.
+    """Decide arriving corridor requests, however late; returns the folder of verdicts.
 
-    requests: a stream with ts, corridor_id and the corridor columns. A request repeated
-    within the lateness is answered once. Each micro-batch is decided by the batch
-    operator and written to its own folder, so a replayed batch overwrites itself.
+    requests: a stream with package_id, corridor_id, expected_revision and the corridor
+    columns. A verdict depends on its request and the snapshot alone, so no state is kept:
+    a repeated request gets the same verdict again, and `answers` shows it once. How files
+    fall into micro-batches changes nothing. Each micro-batch is written to its own folder,
+    so a replayed batch overwrites itself.
     """
-    once = requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["corridor_id"])
     verdicts = f"{folder}/verdicts"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{verdicts}/batch_id={batch_id}")
+        once = batch.dropDuplicates(["package_id", "corridor_id", "expected_revision"])
+        decide(once).write.mode("overwrite").parquet(f"{verdicts}/batch_id={batch_id}")
 
     query = (
-        once.writeStream.foreachBatch(write)
+        requests.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
@@ -52,6 +50,11 @@ def decide_stream(
     return verdicts
 
 
+def answers(spark: SparkSession, verdicts: str) -> DataFrame:
+    """The distinct verdicts of a folder that `decide_stream` filled."""
+    return spark.read.parquet(verdicts).drop("batch_id").distinct()
+
+
 def profile_stream(
     records: DataFrame, folder: str, width: str = "1 day", slide: str = "1 day", lateness: str = "1 hour"
 ) -> str:
@@ -83,6 +86,3 @@ def profile_stream(
     query.awaitTermination()
     return out
 
-
-def run_folder(spark: SparkSession, label: str) -> str:
-    return new_folder(spark, label)

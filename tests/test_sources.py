@@ -183,8 +183,8 @@ def test_readiness_of_a_full_package(spark):
     )
     facts = spark.createDataFrame(
         [(1, True, True, "m", "game_origin", True)],
-        "package_id int, source_confirmed boolean, depth_coverage_confirmed boolean, terrain_unit string, "
-        "terrain_vertical_reference string, mapping_confirmed boolean",
+        "package_id int, carto_source_confirmed boolean, complete_depth_coverage_confirmed boolean, terrain_unit string, "
+        "terrain_vertical_reference string, game_mapping_confirmed boolean",
     )
     rows = {r.package_id: r for r in pr.readiness(profile, facts).collect()}
     assert rows[1].planning_ready and rows[1].blocking == []
