@@ -81,7 +81,8 @@ def reproject_vertices(vertices: DataFrame) -> DataFrame:
 def densify(features: DataFrame, key: list[str], step: Column) -> DataFrame:
     """Vertices of every ring with no gap longer than `step`, as rows.
 
-    Each edge expands on its own; the last vertex of a ring is that of its last edge.
+    Each edge expands on its own and gives no end, for a ring closes where it began. The
+    end of a line, which does not, is added as a vertex of its own.
     """
     edge = F.col("edge")
     dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
@@ -90,7 +91,23 @@ def densify(features: DataFrame, key: list[str], step: Column) -> DataFrame:
     )
     share = F.try_divide(F.col("k").cast("double"), F.col("_n").cast("double"))
     carried = [c for c in features.columns if c != "geom" and c not in key]
-    return (
+    ends = (
+        features.filter("geom.kind = 'line'")
+        .select(*key, *carried, F.posexplode("geom.parts").alias("part", "_rings"))
+        .select(*key, *carried, "part", F.posexplode("_rings").alias("ring", "_ring"))
+        .filter("size(_ring) > 0")
+        .select(
+            *key,
+            *carried,
+            "part",
+            "ring",
+            (F.size("_ring") - 1).alias("seq"),
+            F.lit(0).alias("k"),
+            F.element_at("_ring", -1)["x"].alias("x"),
+            F.element_at("_ring", -1)["y"].alias("y"),
+        )
+    )
+    dense = (
         features.withColumn("_step", step)
         .select(*key, *carried, "_step", F.expr(f"explode({edges_of('geom')})").alias("edge"))
         .withColumn("_n", pieces)
@@ -106,6 +123,7 @@ def densify(features: DataFrame, key: list[str], step: Column) -> DataFrame:
             (edge["y1"] + share * dy).alias("y"),
         )
     )
+    return dense.unionByName(ends)
 
 
 def normalize_polygons(features: DataFrame) -> tuple[DataFrame, DataFrame]:

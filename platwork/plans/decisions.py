@@ -123,7 +123,7 @@ def cascade(facts: DataFrame) -> DataFrame:
     why = F.col("reason")
     status = (
         F.when(why == "INPUT_REVISION_CHANGED", "stale_input")
-        .when(why == "COORDINATE_SPACE_MISMATCH", "error")
+        .when(why.isin("COORDINATE_SPACE_MISMATCH", "SOURCE_OBJECT_COLLISION"), "error")
         .when(
             why.isin("EXISTING_COVERAGE_OR_ZONES_UNKNOWN", "UNDERGROUND_ENVELOPE_MISSING"),
             "data_insufficient",
@@ -206,7 +206,10 @@ def decision_lists(verdicts: DataFrame, items: DataFrame) -> DataFrame:
         ).alias("ceilings"),
     )
     open_list = ~F.col("reason").isin(
-        "INPUT_REVISION_CHANGED", "COORDINATE_SPACE_MISMATCH", "HARD_PROTECTION_CONFLICT"
+        "INPUT_REVISION_CHANGED",
+        "COORDINATE_SPACE_MISMATCH",
+        "SOURCE_OBJECT_COLLISION",
+        "HARD_PROTECTION_CONFLICT",
     )
     joined = verdicts.join(lists, ["package_id", "corridor_id"], "left")
     empty = F.array().cast("array<string>")
@@ -232,20 +235,26 @@ def decide_with_boundary_quality(
 
     `guards` are boundary records with quality, guard and object_id; `snapshots` has one
     row per (package, layer): boundary_revision, boundary_space, coverage geom,
-    coverage_confirmed. Corridors carry expected_boundary_revision.
+    coverage_confirmed. Corridors carry expected_boundary_revision. A package without a
+    snapshot has one verdict per corridor, under a null layer, of unknown coverage. A
+    boundary record near a corridor that carries the id of a known object is an error of
+    that corridor and layer.
     """
     keys = ["package_id", "layer", "corridor_id"]
     requests = admitted(corridors, headed(header)).join(
-        snapshots.withColumnRenamed("geom", "coverage"), "package_id"
+        snapshots.withColumnRenamed("geom", "coverage").withColumn("has_snapshot", F.lit(True)),
+        "package_id",
+        "left",
+    )
+    has_snapshot = F.coalesce(F.col("has_snapshot"), F.lit(False))
+    stale = (F.col("entry_code") == "INPUT_REVISION_CHANGED") | (
+        has_snapshot & ~F.col("expected_boundary_revision").eqNullSafe(F.col("boundary_revision"))
     )
-    stale = (F.col("entry_code") == "INPUT_REVISION_CHANGED") | ~F.col(
-        "expected_boundary_revision"
-    ).eqNullSafe(F.col("boundary_revision"))
     requests = requests.withColumn(
         "entry_code",
         F.when(F.coalesce(stale, F.lit(False)), "INPUT_REVISION_CHANGED").when(
             F.col("entry_code").isNotNull()
-            | ~F.col("boundary_space").eqNullSafe(F.col("snapshot_space")),
+            | (has_snapshot & ~F.col("boundary_space").eqNullSafe(F.col("snapshot_space"))),
             "COORDINATE_SPACE_MISMATCH",
         ),
     )
@@ -266,6 +275,13 @@ def decide_with_boundary_quality(
         .otherwise("unresolved")
         .alias("role"),
     )
+    # Ids of guards with an area that a known object carries too. Only ids are compared.
+    known = objects.select("package_id", "object_id").distinct().withColumn("taken", F.lit(True))
+    roles = (
+        roles.distinct()
+        .join(known, ["package_id", "object_id"], "left")
+        .withColumn("taken", F.coalesce("taken", F.lit(False)))
+    )
     described = guards.select(
         "package_id", "layer", "source_record_id", "object_id"
     ).join(roles, ["package_id", "object_id"], "left")
@@ -282,6 +298,7 @@ def decide_with_boundary_quality(
         F.count_if("degraded").alias("b_degraded"),
         F.count_if(F.col("degraded") & role.isin("mandatory", "unresolved")).alias("b_both"),
         F.count_if(F.col("degraded") & (role == "demolition")).alias("b_kept"),
+        F.bool_or(F.coalesce("taken", F.lit(False))).alias("b_taken"),
     )
     core = conflict_rollup(conflict_items(live, objects, zones, header))
     facts = (
@@ -299,6 +316,9 @@ def decide_with_boundary_quality(
     # Boundary guards enter the core cascade as objects of unknown level.
     facts = facts.withColumns(
         {
+            "entry_code": F.coalesce(
+                "entry_code", F.when(F.col("b_taken"), F.lit("SOURCE_OBJECT_COLLISION"))
+            ),
             "n_mandatory": n("n_mandatory") + n("b_mandatory"),
             "n_demolition": n("n_demolition") + n("b_demolition"),
             "n_unresolved": n("n_unresolved") + n("b_unresolved"),

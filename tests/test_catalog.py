@@ -76,3 +76,31 @@ def test_stream_answers_a_repeated_request_once(spark, tmp_path):
     stream = st.answers(spark, out)
     assert stream.count() == 50
     assert stream.exceptAll(batch).count() == 0
+
+
+@pytest.mark.parametrize("files", (1, 7))
+def test_stream_answers_late_requests_however_files_fall(spark, tmp_path, files):
+    from pyspark.sql import functions as F
+
+    from platwork import fixtures as fx
+    from platwork.plans import decisions as pd
+
+    inbox = tmp_path / "in"
+    events = fx.table(spark, FOLDER, "events").limit(30)
+    late = events.limit(3).withColumn("event_id", F.col("event_id") + 10**6).withColumn(
+        "ts", F.col("ts") - F.expr("INTERVAL 60 DAYS")
+    )
+    for i in range(files):
+        events.filter(F.col("event_id") % files == i).coalesce(1).write.mode("append").parquet(str(inbox))
+    late.coalesce(1).write.mode("append").parquet(str(inbox))
+    requests = fx.corridors_of(
+        st.event_stream(spark, str(inbox), "*.parquet"), "ts"
+    )
+    tables = (
+        fx.objects(spark, FOLDER), fx.zones(spark, FOLDER), fx.protected(spark, FOLDER),
+        fx.snapshot_header(spark, FOLDER),
+    )
+    out = st.decide_stream(
+        requests, lambda batch: pd.decide_conflicts(batch.drop("ts"), *tables), str(tmp_path / "run")
+    )
+    assert st.answers(spark, out).count() == 33

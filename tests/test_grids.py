@@ -222,3 +222,36 @@ def test_bilinear_skips_nodata_and_widens_for_coarser_targets(spark):
     fine = sh.grids(spark, ("terrain", 2, 2, 1, 0, 2))
     row = og.resample_bilinear(sh.cells(spark, "terrain", [[1, 2], [3, 6]]), fine, coarse).first()
     assert row.value == pytest.approx(3.0)
+
+
+def test_grids_without_cells_stay(spark):
+    both = sh.grids(spark, ("terrain", 2, 2, 1, 0, 2), ("depth", 2, 2, 1, 0, 2))
+    rows = {r.grid_id: r for r in og.raster_profile(sh.cells(spark, "terrain", [[1, 2], [3, 4]]), both).collect()}
+    assert rows["terrain"].valid_pixels == 4
+    assert (rows["depth"].valid_pixels, rows["depth"].valid_min) == (0, None)
+    classes = spark.createDataFrame(
+        [], "package_id long, grid_id string, class int, terrain_valid boolean, covered boolean"
+    )
+    lost = og.class_accounting(classes, both).collect()
+    assert [(r.expected_cells, r.conservation_code) for r in lost] == [(4, "AREA_CONSERVATION")]
+
+
+def test_a_line_keeps_its_end_when_densified(spark):
+    from pyspark.sql import functions as F
+
+    from platwork.operators.coordinates import densify
+    from platwork.model import GEOMETRY
+
+    rows = spark.createDataFrame([("l", sh.line((0, 0), (10, 0)))], f"id string, geom {GEOMETRY}")
+    found = densify(rows, ["id"], F.lit(4.0)).orderBy("seq", "k").collect()
+    assert [round(r.x, 6) for r in found] == [0.0, 3.333333, 6.666667, 10.0]
+
+
+def test_paths_refuse_negative_weights(spark):
+    import pytest
+
+    from platwork.operators.network import shortest_paths
+
+    edges = spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, weight double")
+    with pytest.raises(ValueError, match="INVALID_EDGE_WEIGHT"):
+        shortest_paths(edges, spark.createDataFrame([(1,)], "node long"))

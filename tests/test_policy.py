@@ -262,3 +262,35 @@ def test_boundary_quality_cases(quality_verdicts, name):
 def test_degraded_record_becomes_mandatory(quality_verdicts):
     row = quality_verdicts["degraded"]
     assert (row.n_mandatory, row.n_demolition, row.lower_only) == (1, 0, True)
+
+
+def test_an_id_that_an_object_carries_is_an_error(spark):
+    identity = spark.range(1).select(F.expr(oq.object_identity("'roads'", "'b1'", "'1'"))).first()[0]
+    far = sh.box(0, 190, 5, 195)
+    parts = [
+        boundary_tables("clash", {"1": B1}, objs=((identity, far, 100.0, 95.0),)),
+        boundary_tables("apart", {"1": B1}, objs=(("other", far, 100.0, 95.0),)),
+        boundary_tables("away", {"1": far}, objs=((identity, far, 100.0, 95.0),)),
+    ]
+    *core, records, snapshots = stacked(spark, parts)
+    graded = oq.with_validity(records).withColumn("quality", F.expr(oq.source_quality()))
+    guards = oc.boundary_guards(graded).withColumn(
+        "object_id", F.expr(oq.object_identity("layer", "'b1'", "source_record_id"))
+    )
+    rows = {r.package_id: r for r in pd.decide_with_boundary_quality(*core, guards, snapshots).collect()}
+    clash = rows["clash"]
+    assert (clash.status, clash.reason, clash.permitted_modes) == ("error", "SOURCE_OBJECT_COLLISION", [])
+    assert rows["apart"].status == rows["away"].status == "policy_clear"
+
+
+def test_a_package_without_boundary_snapshot_is_answered(spark):
+    *core, records, snapshots = stacked(spark, [boundary_tables("a", {}), boundary_tables("b", {})])
+    graded = oq.with_validity(records).withColumn("quality", F.expr(oq.source_quality()))
+    guards = oc.boundary_guards(graded).withColumn(
+        "object_id", F.expr(oq.object_identity("layer", "'b1'", "source_record_id"))
+    )
+    found = pd.decide_with_boundary_quality(*core, guards, snapshots.filter("package_id = 'a'"))
+    rows = {r.package_id: r for r in found.collect()}
+    assert rows["a"].status == "policy_clear"
+    assert (rows["b"].status, rows["b"].reason) == ("data_insufficient", "BOUNDARY_COVERAGE_UNKNOWN")
+    assert rows["b"].permitted_modes == []

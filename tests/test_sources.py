@@ -211,3 +211,23 @@ def test_snap_and_totals(spark):
 
 def test_scratch_folder_is_fresh(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_texts_that_are_no_collection_keep_a_row(spark):
+    from platwork.sources.features import parse_collections
+
+    feature = '{"type":"Feature","id":"f","geometry":{"type":"Point","coordinates":[1,2]},"properties":{}}'
+    texts = {
+        "good": '{"type":"FeatureCollection","features":[' + feature + "]}",
+        "cut": '{"type":"FeatureCollection","features":[' + feature[:20],
+        "none": '{"type":"FeatureCollection"}',
+        "bare": feature,
+        "empty": '{"type":"FeatureCollection","features":[]}',
+    }
+    frame = spark.createDataFrame(list(texts.items()), "collection_id string, text string")
+    rows = {r.collection_id: r for r in parse_collections(frame, "EPSG:4326").collect()}
+    assert {k: r.code for k, r in rows.items()} == {
+        "good": None, "cut": "INVALID_FEATURE_COLLECTION", "none": "INVALID_FEATURE_COLLECTION",
+        "bare": "INVALID_FEATURE_COLLECTION", "empty": None,
+    }
+    assert rows["good"].geom is not None and rows["empty"].position is None
