@@ -177,7 +177,8 @@ class Fit:
         for_curve = F.expr(f"crc32(cast(doc_id AS string)) DIV {parts} % {curve_part} = 0")
         keyed = docs.select(F.col("doc_id").cast("long"), "text")
         # At most one row per slot, history and class.
-        grams = count_grams(keyed.join(known.where(~for_curve), "doc_id")).toArrow()
+        # Labels grow with the corpus, so they are never broadcast.
+        grams = count_grams(keyed.join(known.where(~for_curve).hint("merge"), "doc_id")).toArrow()
         self.model = docs.sparkSession.sparkContext.broadcast(
             ratios(*(grams[c].to_numpy() for c in ("code", "toxic", "n")))
         )
