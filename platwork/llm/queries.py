@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from platwork.llm import chat, dartminhash, decontamination, factoring, mixing, quality, repetition, secrets, sharding, toxicity
 from platwork.llm.frames import table
+from platwork.llm.oracle import ORACLE
 
 
 def op1_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,4 +100,5 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op10_pareto_mixing,
     )
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
