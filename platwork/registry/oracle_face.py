@@ -184,14 +184,14 @@ oracle(
 )
 oracle(
     "q3_validity",
-    """SELECT 'roads' AS layer, okey::VARCHAR AS source_record_id, okey % 9 <> 0 AS is_valid FROM d_boundary UNION ALL SELECT 'lost', '0', NULL""",
+    """SELECT 'roads' AS layer, okey::VARCHAR AS source_record_id, okey % 3 <> 0 AS is_valid FROM d_boundary UNION ALL SELECT 'lost', '0', NULL""",
 )
 # A bow-tie over a w x h box: two triangles of half the box together, four half diagonals and two sides.
 oracle(
     "q4_repair_review",
     """SELECT okey::VARCHAR AS source_record_id, 'POLYGON_CANDIDATE' AS status, 6 AS odd_edges, 0 AS even_edges,
          0.0::DOUBLE AS source_area, round(w * h / 2, 6) AS candidate_area, false AS physical_envelope_accepted, true AS review_required
-       FROM d_boundary WHERE okey % 9 = 0""",
+       FROM d_boundary WHERE okey % 3 = 0""",
 )
 oracle(
     "ag7_review_counts",
@@ -219,10 +219,10 @@ oracle(
            CASE WHEN (ax, ay) <= (qx, qy) THEN qx ELSE ax END AS most_x, CASE WHEN (ax, ay) <= (qx, qy) THEN qy ELSE ay END AS most_y
          FROM (
            SELECT okey, unnest([x0, x0 + w, x0 + w, x0]) AS ax, unnest([y0, y0, y0 + h, y0 + h]) AS ay,
-             unnest([x0 + w, x0 + w, x0, x0]) AS qx, unnest([y0, y0 + h, y0 + h, y0]) AS qy FROM d_boundary WHERE okey % 9 <> 0
+             unnest([x0 + w, x0 + w, x0, x0]) AS qx, unnest([y0, y0 + h, y0 + h, y0]) AS qy FROM d_boundary WHERE okey % 3 <> 0
            UNION ALL
            SELECT okey, unnest([x0, x0 + w / 2, x0 + w, x0 + w, x0 + w / 2, x0]), unnest([y0, y0 + h / 2, y0 + h, y0, y0 + h / 2, y0 + h]),
-             unnest([x0 + w / 2, x0 + w, x0 + w, x0 + w / 2, x0, x0]), unnest([y0 + h / 2, y0 + h, y0, y0 + h / 2, y0 + h, y0]) FROM d_boundary WHERE okey % 9 = 0))""",
+             unnest([x0 + w / 2, x0 + w, x0 + w, x0 + w / 2, x0, x0]), unnest([y0 + h / 2, y0 + h, y0, y0 + h / 2, y0 + h, y0]) FROM d_boundary WHERE okey % 3 = 0))""",
 )
 oracle(
     "q6_snapshot_integrity",

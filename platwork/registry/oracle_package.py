@@ -29,8 +29,8 @@ oracle(
 oracle(
     "src4_wkb_decode",
     """SELECT 'roads' AS layer, okey::VARCHAR AS source_record_id, ok AS readable, true AS finite_z, CASE WHEN ok THEN 'polygon' END AS kind,
-         CASE WHEN ok THEN okey % 9 = 6 END AS has_z, CASE WHEN ok THEN 5 END AS vertices,
-         CASE WHEN ok THEN round(CASE WHEN okey % 9 = 0 THEN 0 ELSE w * h END, 6) END AS area, CASE WHEN ok THEN x0 END AS xmin, CASE WHEN ok THEN y0 + h END AS ymax
+         CASE WHEN ok THEN okey % 3 = 2 END AS has_z, CASE WHEN ok THEN 5 END AS vertices,
+         CASE WHEN ok THEN round(CASE WHEN okey % 3 = 0 THEN 0 ELSE w * h END, 6) END AS area, CASE WHEN ok THEN x0 END AS xmin, CASE WHEN ok THEN y0 + h END AS ymax
        FROM (SELECT *, okey % 21 <> 6 AS ok FROM d_boundary)
        UNION ALL SELECT 'lost', '0', true, true, NULL, NULL, NULL, NULL, NULL, NULL""",
 )
@@ -72,7 +72,7 @@ oracle(
 )
 oracle(
     "snk1_zones_export",
-    "SELECT zone_id, land_use, block_w, block_h, allow AS allow_demolition, trip_rate, 150.0::DOUBLE AS area FROM d_zones",
+    "SELECT zone_id, land_use, block_w, block_h, allow AS allow_demolition, trip_rate, 150.0::DOUBLE AS area FROM d_allzones",
 )
 oracle(
     "snk2_publish_new",
@@ -110,7 +110,7 @@ oracle(
             "SCENARIO_LOCKED",
         ),
     )
-    + " AS codes FROM (SELECT *, zkey % 10 AS k FROM d_zones)",
+    + " AS codes FROM (SELECT *, zkey % 10 AS k FROM d_allzones)",
 )
 oracle(
     "fn14_object_rules",
@@ -153,13 +153,13 @@ oracle(
 )
 oracle(
     "fn17_change_land_use",
-    """SELECT zone_id, ['residential', 'residential_commercial', 'transport'][zkey % 3 + 1] AS land_use, CASE WHEN zkey % 3 < 2 THEN trip_rate END AS trip_rate FROM d_zones""",
+    """SELECT zone_id, ['residential', 'residential_commercial', 'transport'][zkey % 3 + 1] AS land_use, CASE WHEN zkey % 3 < 2 THEN trip_rate END AS trip_rate FROM d_allzones""",
 )
 cte(
     "d_resolved",
     """
     SELECT zone_id, land_use, CASE WHEN zkey % 17 = 9 THEN NULL ELSE trip_rate END AS own, zkey % 17 = 9 AS alien,
-      land_use = 'other' AS no_default, zkey % 17 = 9 AND land_use NOT IN ('residential', 'residential_commercial') AS locked FROM d_zones""",
+      land_use = 'other' AS no_default, zkey % 17 = 9 AND land_use NOT IN ('residential', 'residential_commercial') AS locked FROM d_allzones""",
 )
 oracle(
     "fn18_resolve_scenario",
@@ -271,12 +271,12 @@ oracle(
     """SELECT zone_id, seq, k, round(ax + (qx - ax) * k / n, 6) AS x, round(ay + (qy - ay) * k / n, 6) AS y FROM (
          SELECT *, unnest(range(n))::INT AS k FROM (
            SELECT zone_id, unnest([0, 1, 2, 3]) AS seq, unnest([3, 4, 3, 4]) AS n, unnest([zx0, zx1, zx1, zx0]) AS ax, unnest([zy0, zy0, zy1, zy1]) AS ay,
-             unnest([zx1, zx1, zx0, zx0]) AS qx, unnest([zy0, zy1, zy1, zy0]) AS qy FROM d_zones))""",
+             unnest([zx1, zx1, zx0, zx0]) AS qx, unnest([zy0, zy1, zy1, zy0]) AS qy FROM d_allzones))""",
 )
 oracle(
     "fn23_normalize_polygons",
     """SELECT zone_id AS face_id, CASE WHEN zkey % 6 < 4 THEN (2 * greatest(1, ceil((zx1 / 5000 - zx0 / 5000) / 0.001)) + 2 * greatest(1, ceil((zy1 / 5000 - zy0 / 5000) / 0.001)))::BIGINT ELSE 0 END AS vertices,
-         0 AS lost, CASE zkey % 6 WHEN 5 THEN 'DATUM_OPERATION_REQUIRED' WHEN 4 THEN 'NON_METRIC_CRS' END AS code FROM d_zones""",
+         0 AS lost, CASE zkey % 6 WHEN 5 THEN 'DATUM_OPERATION_REQUIRED' WHEN 4 THEN 'NON_METRIC_CRS' END AS code FROM d_allzones""",
 )
 oracle(
     "g4_projection_audit",

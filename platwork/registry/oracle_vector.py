@@ -10,15 +10,16 @@ LAND_USE_SQL = (
 )
 
 cte(
-    "d_zones",
+    "d_allzones",
     f"""
     SELECT 'z' || s_suppkey AS zone_id, s_suppkey AS zkey, s_suppkey % 10 * 10.0::DOUBLE AS zx0, s_suppkey // 10 * 15.0::DOUBLE AS zy0,
       s_suppkey % 10 * 10.0::DOUBLE + 10 AS zx1, s_suppkey // 10 * 15.0::DOUBLE + 15 AS zy1,
       {LAND_USE_SQL}[s_nationkey % 9 + 1] AS land_use, s_suppkey % 3 <> 0 AS allow,
       (s_suppkey % 5 + 1) * 20.0::DOUBLE AS block_w, (s_suppkey % 4 + 1) * 30.0::DOUBLE AS block_h,
       CASE WHEN s_nationkey % 9 IN (0, 1) AND s_suppkey % 4 = 1 THEN s_suppkey / 8.0::DOUBLE END AS trip_rate
-    FROM supplier WHERE s_suppkey % 13 <> 5""",
+    FROM supplier""",
 )
+cte("d_zones", "SELECT * FROM d_allzones WHERE zkey % 13 <> 5")
 cte(
     "d_objects",
     """
@@ -243,8 +244,7 @@ VERDICT_OUT = """SELECT corridor_id, 'r1' AS input_revision, status, reason, per
       CASE WHEN reason IN ('UNDERGROUND_DEPTH_RANGE_EMPTY', 'LOWER_ONLY_NO_OVERPASS') THEN low END AS lowest_ceiling,
       NOT stale AND NOT barred AND nm > 0 AS lower_only"""
 oracle("d1_decide_conflicts", f"{VERDICT_OUT} FROM d_verdicts")
-cte("d_partial_facts", "SELECT * REPLACE (false AS barred) FROM d_facts")
-cte("d_partial", verdict("d_partial_facts", complete="(event_id < 0)"))
+cte("d_partial", verdict("d_facts", complete="(event_id < 0)"))
 oracle("d1_incomplete_data", f"{VERDICT_OUT} FROM d_partial")
 oracle(
     "d2_tunnel_ceilings",
@@ -268,8 +268,8 @@ cte(
     "d_boundary",
     """
     SELECT *, 'boundary:' || substr(sha256('roads' || chr(0) || 'r1'), 1, 16) || ':' || okey AS boundary_id,
-      CASE okey % 9 WHEN 0 THEN 'INVALID_GEOMETRY' WHEN 3 THEN 'VALID_PLANAR_SOURCE' ELSE 'Z_GEOMETRY_UNVERIFIED' END AS quality
-    FROM d_objects WHERE okey % 3 = 0""",
+      CASE okey % 3 WHEN 0 THEN 'INVALID_GEOMETRY' WHEN 1 THEN 'VALID_PLANAR_SOURCE' ELSE 'Z_GEOMETRY_UNVERIFIED' END AS quality
+    FROM d_objects""",
 )
 cte(
     "d_guard_edges",

@@ -207,7 +207,7 @@ def snk1_zones_export(spark: SparkSession, sf: str) -> DataFrame:
     """Exported documents read back through the strict import."""
     from platwork.functions.geometry import area
 
-    documents = sk.zones_to_json(fx.zones(spark, sf)).withColumn("row_id", F.col("zone_id"))
+    documents = sk.zones_to_json(fx.all_zones(spark, sf)).withColumn("row_id", F.col("zone_id"))
     zones, _ = sj.import_zones(documents)
     return zones.select(
         "zone_id",
@@ -293,7 +293,7 @@ def fn13_zone_rules(spark: SparkSession, sf: str) -> DataFrame:
 
     bowtie = ring_geom([("0", "0"), ("4", "4"), ("4", "0"), ("0", "4"), ("0", "0")])
     key = "bigint(substring(zone_id, 2))"
-    zones = fx.zones(spark, sf).selectExpr(
+    zones = fx.all_zones(spark, sf).selectExpr(
         "package_id",
         "'zones' AS layer",
         "zone_id AS source_record_id",
@@ -373,14 +373,14 @@ def fn17_change_land_use(spark: SparkSession, sf: str) -> DataFrame:
     use = F.expr(
         "array('residential', 'residential_commercial', 'transport')[int(bigint(substring(zone_id, 2)) % 3)]"
     )
-    return oc.change_land_use(fx.zones(spark, sf), use).select(
+    return oc.change_land_use(fx.all_zones(spark, sf), use).select(
         "zone_id", "land_use", F.element_at("overrides", "trip_rate").alias("trip_rate")
     )
 
 
 def _catalogs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Defaults per land use: sums over the suppliers of a nation class."""
-    uses = fx.zones(spark, sf).select("package_id", "land_use").distinct()
+    uses = fx.all_zones(spark, sf).select("package_id", "land_use").distinct()
     named = uses.filter("land_use != 'other'")
     system = named.selectExpr(
         "package_id", "land_use", "inline(array(named_struct('name', 'parking', 'value', 0.5D), named_struct('name', 'trip_rate', 'value', 1D)))"
@@ -392,7 +392,7 @@ def _catalogs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def fn18_resolve_scenario(spark: SparkSession, sf: str) -> DataFrame:
-    zones = fx.zones(spark, sf).withColumn(
+    zones = fx.all_zones(spark, sf).withColumn(
         "overrides",
         F.expr("CASE WHEN bigint(substring(zone_id, 2)) % 17 = 9 THEN map('speed', 3D) ELSE overrides END"),
     )
@@ -549,7 +549,7 @@ def fn22_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn23_densify(spark: SparkSession, sf: str) -> DataFrame:
-    dense = co.densify(fx.zones(spark, sf).select("zone_id", "geom"), ["zone_id"], F.lit(4.0))
+    dense = co.densify(fx.all_zones(spark, sf).select("zone_id", "geom"), ["zone_id"], F.lit(4.0))
     return dense.select(
         "zone_id", "seq", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")
     )
@@ -557,7 +557,7 @@ def fn23_densify(spark: SparkSession, sf: str) -> DataFrame:
 
 def fn23_normalize_polygons(spark: SparkSession, sf: str) -> DataFrame:
     """Zone boxes read as degrees: densified, projected, or refused with a code."""
-    faces = fx.zones(spark, sf).selectExpr(
+    faces = fx.all_zones(spark, sf).selectExpr(
         "package_id",
         "zone_id AS face_id",
         "named_struct('kind', 'polygon', 'has_z', false, 'parts', transform(geom.parts, p -> transform(p, r -> "

@@ -160,13 +160,13 @@ def d1_decide_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d1_incomplete_data(spark: SparkSession, sf: str) -> DataFrame:
-    """The same snapshot without protected areas, its completeness not confirmed."""
+    """The same snapshot, its completeness not confirmed."""
     return _shown(
         pd.decide_conflicts(
             fx.corridors(spark, sf),
             fx.objects(spark, sf),
             fx.zones(spark, sf),
-            fx.protected(spark, sf).filter("area_id IS NULL"),
+            fx.protected(spark, sf),
             fx.snapshot_header(spark, sf).withColumn("existing_data_complete", F.lit(False)),
         )
     )
