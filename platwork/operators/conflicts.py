@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platwork.functions.geometry import (
@@ -13,18 +13,28 @@ from platwork.functions.geometry import (
     edges_of,
     segments_near,
 )
-from platwork.operators.pairs import line_pairs, shape_pairs, shaped
+from platwork.operators.pairs import bbox_pairs, line_pairs, shape_pairs, shaped
 
 AREA_TOLERANCE = 1e-9
 
 
+def unsound(features: DataFrame) -> Column:
+    """Shapes that must not be matched: empty, with heights, or known to be invalid."""
+    lifted = F.coalesce(F.col("geom.has_z"), F.lit(False))
+    empty = F.coalesce(F.size("geom.parts") < 1, F.lit(True))
+    if "is_valid" not in features.columns:
+        return lifted | empty
+    return lifted | empty | ~F.coalesce(F.col("is_valid"), F.lit(False))
+
+
 def feature_zone_pairs(features: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     """Feature x zone pairs that meet (touching counts), with the area in common.
 
-    `features` needs package_id, the key and geom.
+    `features` needs package_id, the key and geom, and may say whether it is_valid. Unsound
+    shapes (see `unsound`) meet no zone, so nothing is ever permitted on their account.
     """
     return shape_pairs(
-        shaped(features, ["package_id", key], "f"),
+        shaped(features.filter(~unsound(features)), ["package_id", key], "f"),
         shaped(zones, ["package_id", "zone_id", "allow_demolition"], "z"),
         "f",
         "z",
@@ -33,7 +43,12 @@ def feature_zone_pairs(features: DataFrame, zones: DataFrame, key: str) -> DataF
 
 
 def permission_rollup(features: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Strictest permission over the matched zones; no match never allows anything."""
+    """Strictest permission over the matched zones; no match never allows anything.
+
+    Where the features still have their geometry, unsound ones are coded INVALID_GEOMETRY.
+    """
+    shaped_ = "geom" in features.columns
+    coded = features.withColumn("code", F.when(unsound(features), "INVALID_GEOMETRY")) if shaped_ else features
     matched = pairs.groupBy("package_id", key).agg(
         F.count("*").alias("zone_count"),
         F.min("zone_id").alias("first_zone"),
@@ -42,9 +57,9 @@ def permission_rollup(features: DataFrame, pairs: DataFrame, key: str) -> DataFr
         F.sum("common_area").alias("zone_area"),
     )
     return (
-        features.join(matched, ["package_id", key], "left")
+        coded.join(matched, ["package_id", key], "left")
         .selectExpr(
-            *features.columns,
+            *coded.columns,
             "coalesce(zone_count, 0L) AS zone_count",
             "first_zone",
             "last_zone",
@@ -151,24 +166,62 @@ def coverage_of_envelopes(corridors: DataFrame, coverage: DataFrame) -> DataFram
     (a common border is allowed). `coverage` has one row per (package, layer).
     """
     keys = ["package_id", "layer", "corridor_id"]
-    borders = coverage.select(
-        "package_id", "layer", F.expr(edges_of("geom")).alias("cover_edges")
+    lines = corridor_lines(corridors).filter("size(c_edges) > 0")
+    bordered = coverage.select("package_id", "layer", F.expr(edges_of("geom")).alias("b_edges")).filter(
+        "size(b_edges) > 0"
     )
-    return (
-        corridor_lines(corridors)
-        .join(borders, "package_id")
-        .selectExpr(*keys, "radius", "cover_edges", "explode(c_edges) AS a")
-        .selectExpr(*keys, "radius", "a", "explode(cover_edges) AS b")
-        .selectExpr(
-            *keys,
-            f"{segments_near('a', 'b', 'radius', strict=True)} AS near",
-            f"a.seq = 0 AND {crosses_ray('b', 'a.x1', 'a.y1')} AS ray",
+    # Border and line meet edge by edge in bins; a start looks along its own height only.
+    # Edges travel as plain columns: a_x1, a_y1, ... of the line, b_x1, ... of the border.
+    segments = lines.selectExpr("package_id", "corridor_id", "radius", _flat_edges("c_edges", "a"))
+    borders = bordered.selectExpr("package_id", "layer", _flat_edges("b_edges", "b"))
+    close = segments_near("a", "b", "radius", strict=True).replace("a.", "a_").replace("b.", "b_")
+    near = (
+        bbox_pairs(
+            segments.withColumn("a_box", F.expr(_edge_box("a_", "radius"))),
+            borders.withColumn("b_box", F.expr(_edge_box("b_", "0D"))),
+            "a_box",
+            "b_box",
         )
-        .groupBy(*keys)
-        .agg(
-            (~F.bool_or("near") & (F.count_if("ray") % 2 == 1)).alias("covered"),
+        .filter(close)
+        .select(*keys)
+        .distinct()
+        .withColumn("near", F.lit(True))
+    )
+    rays = (
+        bbox_pairs(
+            segments.filter("a_seq = 0").withColumn("a_box", F.expr(_height_box("a_y1", "a_y1"))),
+            borders.withColumn("b_box", F.expr(_height_box("b_y1", "b_y2"))),
+            "a_box",
+            "b_box",
         )
+        .filter(crosses_ray("b", "a_x1", "a_y1").replace("b.", "b_"))
+        .groupBy(*keys)
+        .agg(F.count("*").alias("rays"))
     )
+    return (
+        lines.select("package_id", "corridor_id")
+        .join(bordered.select("package_id", "layer"), "package_id")
+        .join(near, keys, "left")
+        .join(rays, keys, "left")
+        .selectExpr(*keys, "near IS NULL AND coalesce(rays, 0L) % 2 = 1 AS covered")
+    )
+
+
+def _flat_edges(edges: str, prefix: str) -> str:
+    fields = ", ".join(f"'{prefix}_{f}', fe.{f}" for f in ("seq", "x1", "y1", "x2", "y2"))
+    return f"inline(transform({edges}, fe -> named_struct({fields})))"
+
+
+def _edge_box(edge: str, reach: str) -> str:
+    x, y = f"{edge}x1, {edge}x2", f"{edge}y1, {edge}y2"
+    return (
+        f"named_struct('xmin', least({x}) - {reach}, 'ymin', least({y}) - {reach}, "
+        f"'xmax', greatest({x}) + {reach}, 'ymax', greatest({y}) + {reach})"
+    )
+
+
+def _height_box(low: str, high: str) -> str:
+    return f"named_struct('xmin', 0D, 'ymin', least({low}, {high}), 'xmax', 0D, 'ymax', greatest({low}, {high}))"
 
 
 def zone_overlaps(zones: DataFrame) -> DataFrame:

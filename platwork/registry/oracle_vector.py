@@ -176,15 +176,17 @@ oracle(
     "jn6_zone_association",
     """SELECT feature_id, count(zone_id) AS zone_count, min(zone_id) AS first_zone, max(zone_id) AS last_zone,
          coalesce(bool_and(allow), false) AS allow_demolition,
-         CASE WHEN count(zone_id) > 0 THEN 'matched' ELSE 'pending' END AS association
-       FROM (SELECT feature_id, zone_id, allow FROM d_points LEFT JOIN d_zones ON x BETWEEN zx0 AND zx1 AND y BETWEEN zy0 AND zy1
-             UNION ALL SELECT o.object_id, zone_id, allow FROM d_objects o LEFT JOIN d_object_zones z USING (object_id))
+         CASE WHEN count(zone_id) > 0 THEN 'matched' ELSE 'pending' END AS association,
+         CASE WHEN bool_or(lifted) THEN 'INVALID_GEOMETRY' END AS code
+       FROM (SELECT feature_id, zone_id, allow, false AS lifted FROM d_points LEFT JOIN d_zones ON x BETWEEN zx0 AND zx1 AND y BETWEEN zy0 AND zy1
+             UNION ALL SELECT o.object_id, CASE WHEN o.okey % 11 <> 4 THEN zone_id END, CASE WHEN o.okey % 11 <> 4 THEN allow END, o.okey % 11 = 4
+             FROM d_objects o LEFT JOIN d_object_zones z USING (object_id))
        GROUP BY feature_id""",
 )
 oracle(
     "jn6_zone_association_pairs",
     """SELECT feature_id, zone_id FROM d_points JOIN d_zones ON x BETWEEN zx0 AND zx1 AND y BETWEEN zy0 AND zy1
-       UNION ALL SELECT object_id, zone_id FROM d_object_zones""",
+       UNION ALL SELECT object_id, zone_id FROM d_object_zones z WHERE z.okey % 11 <> 4""",
 )
 oracle(
     "ag9_permission_rollup",

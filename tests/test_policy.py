@@ -294,3 +294,18 @@ def test_a_package_without_boundary_snapshot_is_answered(spark):
     assert rows["a"].status == "policy_clear"
     assert (rows["b"].status, rows["b"].reason) == ("data_insufficient", "BOUNDARY_COVERAGE_UNKNOWN")
     assert rows["b"].permitted_modes == []
+
+
+def test_unsound_shapes_are_coded_and_permit_nothing(spark):
+    shapes = {"good": B1, "lifted": sh.box(40, 40, 60, 60, has_z=True), "twisted": TWISTED}
+    rows = [("p", k, g, k != "twisted") for k, g in shapes.items()]
+    features = spark.createDataFrame(rows, f"package_id string, object_id string, geom {GEOMETRY}, is_valid boolean")
+    zone = spark.createDataFrame(
+        [("p", "z", ZONE, True)], f"package_id string, zone_id string, geom {GEOMETRY}, allow_demolition boolean"
+    )
+    pairs = oc.feature_zone_pairs(features, zone, "object_id")
+    found = {r.object_id: r for r in oc.permission_rollup(features, pairs, "object_id").collect()}
+    assert (found["good"].association, found["good"].allow_demolition, found["good"].code) == ("matched", True, None)
+    for name in ("lifted", "twisted"):
+        row = found[name]
+        assert (row.association, row.allow_demolition, row.code) == ("pending", False, "INVALID_GEOMETRY")
