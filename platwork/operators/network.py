@@ -58,7 +58,7 @@ def _box_distances() -> tuple[str, str]:
 
 
 def snap_nearest(
-    points: DataFrame, nodes: DataFrame, base: float = 4.0, ratio: int = 16, levels: int = 3
+    points: DataFrame, nodes: DataFrame, base: float = 4.0, ratio: int = 16
 ) -> DataFrame:
     """Nearest node of each point (ties: smallest id), exact at any distance.
 
@@ -66,12 +66,17 @@ def snap_nearest(
     point walks down the sizes and keeps only the bins that can still hold its nearest
     node: those no farther than the least "surely within" distance seen. Only nodes of
     the last bins are compared one by one. points: package_id, point_id, x, y; nodes:
-    package_id, node_id, x, y. The coarsest bins should span the whole plane.
+    package_id, node_id, x, y. Sizes are added until the nodes fill a few bins only, so no
+    point ever meets more than a handful of the coarsest ones.
     """
     key = ["package_id", "point_id"]
     sites = nodes.groupBy("package_id", "x", "y").agg(F.min("node_id").alias("node_id"))
     near, far = _box_distances()
-    sizes = [base * ratio**level for level in range(levels)]
+    extent = sites.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
+    sizes = [base]
+    while sizes[-1] < extent:
+        sizes.append(sizes[-1] * ratio)
+    levels = len(sizes)
 
     def bins(level: int) -> DataFrame:
         size = sizes[level]
@@ -119,7 +124,10 @@ def snap_nearest(
 
 
 def od_totals(trips: DataFrame) -> DataFrame:
-    """Trips per pair, per origin, and in total (a NULL stands for all)."""
-    return trips.rollup("origin", "destination").agg(
+    """Trips per pair, origin, destination, and in total (a NULL stands for all).
+
+    level tells which: 0 a pair, 1 an origin, 2 a destination, 3 everything.
+    """
+    return trips.cube("origin", "destination").agg(
         F.sum("trips").alias("trips"), F.count("*").alias("records"), F.grouping_id().alias("level")
     )

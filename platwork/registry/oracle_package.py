@@ -382,7 +382,7 @@ oracle(
 oracle(
     "ag11_od_totals",
     """SELECT l_suppkey AS origin, l_partkey % 10 AS destination, sum(l_quantity) AS trips, count(*) AS records, grouping(l_suppkey, l_partkey % 10)::INT AS level
-       FROM lineitem GROUP BY ROLLUP (l_suppkey, l_partkey % 10)""",
+       FROM lineitem GROUP BY CUBE (l_suppkey, l_partkey % 10)""",
 )
 oracle(
     "st1_stream_decisions",
