@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from platwork.functions.attributes import normalize_network
 from platwork.functions.cells import pixel_area, tile_of, valid_pixels, vertical_factor
 from platwork.model import FOOTPRINT_TOLERANCE_M, LAND, UNKNOWN, WATER
+from platwork.operators.conflicts import feature_zone_pairs
 from platwork.operators.faces import classify_water_faces, on_cells
 from platwork.operators.grids import row_runs, run_rectangles
 from platwork.operators.quality import scan_quality, with_validity
 
 
-def layer_profile(features: DataFrame) -> DataFrame:
+def layer_profile(features: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Per layer: records by geometry state, network forms, background, associations.
 
-    Without zones every building stays pending, and its foundation stays unknown.
+    A building is associated if it meets a zone; without zones every one stays pending. Its
+    foundation stays unknown either way.
     """
     rows = normalize_network(with_validity(features)).withColumn("_q", F.expr(scan_quality()))
+    rows = rows.withColumn("_key", F.concat_ws("\0", "layer", "source_record_id"))
     good = F.col("_q") == "valid_planar_geometry"
     network = good & F.col("layer").contains("Network")
     building = good & (F.col("layer").contains("Building") | F.col("layer").contains("POI"))
+    if zones is None:
+        rows = rows.withColumn("_met", F.lit(False))
+    else:
+        met = (
+            feature_zone_pairs(rows.filter(building).select("package_id", "_key", "geom"), zones, "_key")
+            .select("package_id", "_key")
+            .distinct()
+            .withColumn("_met", F.lit(True))
+        )
+        rows = rows.join(met, ["package_id", "_key"], "left").na.fill(False, ["_met"])
 
     def state(name: str) -> Column:
         return F.count_if(F.col("_q") == name).alias(name)
@@ -43,7 +56,8 @@ def layer_profile(features: DataFrame) -> DataFrame:
         form("TUNNEL"),
         form("unknown"),
         F.count_if(network & F.col("excluded")).alias("excluded_background"),
-        F.count_if(building).alias("pending_association"),
+        F.count_if(building & F.col("_met")).alias("associated"),
+        F.count_if(building & ~F.col("_met")).alias("pending_association"),
         F.count_if(building).alias("foundation_unknown"),
     )
 

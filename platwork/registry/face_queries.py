@@ -118,6 +118,10 @@ def ag4_layer_profile(spark: SparkSession, sf: str) -> DataFrame:
     return pr.layer_profile(fx.network_features(spark, sf)).drop("package_id")
 
 
+def ag4_layer_profile_with_zones(spark: SparkSession, sf: str) -> DataFrame:
+    return pr.layer_profile(fx.network_features(spark, sf), fx.zones(spark, sf)).drop("package_id")
+
+
 def fn24_object_identity(spark: SparkSession, sf: str) -> DataFrame:
     return fx.boundary_records(spark, sf).select(
         "source_record_id",
@@ -273,6 +277,7 @@ QUERIES = {
         ag5_categorical_counts,
         q1_scan_quality,
         ag4_layer_profile,
+        ag4_layer_profile_with_zones,
         fn24_object_identity,
         fn25_geometry_measures,
         fn26_guard_geometry,

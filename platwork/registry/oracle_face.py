@@ -154,9 +154,27 @@ oracle(
          count(*) FILTER (WHERE ok AND layer = 'Network' AND nform = 'TUNNEL') AS form_tunnel,
          count(*) FILTER (WHERE ok AND layer = 'Network' AND nform IS NULL) AS form_unknown,
          count(*) FILTER (WHERE ok AND layer = 'Network' AND excluded) AS excluded_background,
-         count(*) FILTER (WHERE ok AND layer = 'Building') AS pending_association,
+         count(*) FILTER (WHERE ok AND layer = 'Building' AND met) AS associated,
+         count(*) FILTER (WHERE ok AND layer = 'Building' AND NOT met) AS pending_association,
          count(*) FILTER (WHERE ok AND layer = 'Building') AS foundation_unknown
-       FROM (SELECT *, code = 'valid_planar_geometry' AS ok FROM d_normal) GROUP BY layer""",
+       FROM (SELECT *, false AS met, code = 'valid_planar_geometry' AS ok FROM d_normal) GROUP BY layer""",
+)
+oracle(
+    "ag4_layer_profile_with_zones",
+    """SELECT layer, count(*) AS records_read, count(*) FILTER (WHERE code = 'null_geometry') AS null_geometry,
+         count(*) FILTER (WHERE code = 'empty_geometry') AS empty_geometry, count(*) FILTER (WHERE code = 'invalid_geometry') AS invalid_geometry,
+         count(*) FILTER (WHERE code = 'z_geometry_requires_adapter') AS z_geometry_requires_adapter,
+         count(*) FILTER (WHERE ok) AS valid_planar_geometry,
+         count(*) FILTER (WHERE ok AND layer = 'Network' AND nform = 'SURFACE') AS form_surface,
+         count(*) FILTER (WHERE ok AND layer = 'Network' AND nform = 'ELEVATED') AS form_elevated,
+         count(*) FILTER (WHERE ok AND layer = 'Network' AND nform = 'TUNNEL') AS form_tunnel,
+         count(*) FILTER (WHERE ok AND layer = 'Network' AND nform IS NULL) AS form_unknown,
+         count(*) FILTER (WHERE ok AND layer = 'Network' AND excluded) AS excluded_background,
+         count(*) FILTER (WHERE ok AND layer = 'Building' AND met) AS associated,
+         count(*) FILTER (WHERE ok AND layer = 'Building' AND NOT met) AS pending_association,
+         count(*) FILTER (WHERE ok AND layer = 'Building') AS foundation_unknown
+       FROM (SELECT *, source_record_id IN (SELECT okey::VARCHAR FROM d_objects
+           JOIN d_zones ON x0 <= zx1 AND zx0 <= x0 + w AND y0 <= zy1 AND zy0 <= y0 + h) AS met, code = 'valid_planar_geometry' AS ok FROM d_normal) GROUP BY layer""",
 )
 
 # --- geometry quality ---------------------------------------------------------------------
