@@ -110,7 +110,8 @@ def _decode_batch(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
             try:
                 end, kind, has_z, fine = _read(raw, 0, shape)
                 ok = end == len(raw)
-            except (ValueError, IndexError, struct.error):
+            except (ValueError, IndexError, struct.error, RecursionError):
+                # Collections nested beyond any sense are no map records either.
                 ok = False
         known = ok and raw is not None
         kinds.append(kind if known else None)

@@ -231,3 +231,12 @@ def test_texts_that_are_no_collection_keep_a_row(spark):
         "bare": "INVALID_FEATURE_COLLECTION", "empty": None,
     }
     assert rows["good"].geom is not None and rows["empty"].position is None
+
+
+def test_deeply_nested_bytes_are_one_bad_record(spark):
+    nested = b"\x01\x07\x00\x00\x00\x01\x00\x00\x00" * 5000 + b"\x01\x01\x00\x00\x00" + b"\x00" * 16
+    sound = b"\x01\x01\x00\x00\x00" + b"\x00" * 16
+    rows = spark.createDataFrame([("deep", nested), ("point", sound)], "source_record_id string, wkb binary")
+    found = {r.source_record_id: r for r in sw.decode_wkb(rows).collect()}
+    assert not found["deep"].readable and found["deep"].geom is None
+    assert found["point"].readable and found["point"].geom.kind == "point"
