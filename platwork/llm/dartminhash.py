@@ -7,9 +7,9 @@ fill all coordinates of its signature whatever its length, about k ln k + 2k, an
 earliest in each coordinate; two texts agree in a coordinate with the chance of their weighted
 Jaccard similarity. Coordinates are joined in bands.
 
-Equal texts are folded first. In each band every text is compared with a few hubs, by the
-exact similarity of the whole texts; components of the links found so far are then taken out,
-and what still shares a band across components is compared pair by pair.
+Equal texts are folded first. In each band every text is compared with two hubs, by the exact
+similarity of the whole texts. What still shares a band across the components of these links is
+compared pair by pair, save where the shingles that occur nowhere else rule a link out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platwork.llm import text as tx
@@ -30,6 +30,9 @@ SIMILARITY = 0.8
 #: A pair at the threshold shares no band with a chance of 4e-4.
 BANDS, ROWS = 20, 5
 SALTS = 8
+#: Coordinates of the one-bit sketches that are compared before whole texts are, and how many
+#: standard deviations a pair at the threshold may be off; it is missed with a chance of 4e-6.
+SKETCH, SURE = 1024, 4.5
 
 _COPY = np.uint64(0xC2B2AE3D27D4EB4F)
 _DART = np.uint64(0x165667B19E3779F9)
@@ -77,7 +80,7 @@ def signatures(doc: np.ndarray, grams: np.ndarray, n_docs: int, k: int) -> np.nd
         rank, owner, seed, j = np.zeros(len(doc)), doc, region, 0
         while len(owner):
             j += 1
-            dart = tx.mix(seed + np.uint64(j) * _DART)
+            dart = tx.mix(seed + np.uint64(j * int(_DART) % (1 << 64)))
             rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
             near = rank <= limit[owner]
             rank, owner, seed, dart = rank[near], owner[near], seed[near], dart[near]
@@ -131,6 +134,119 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """Every text of a band with the hub of the band, and with that of its part of the band.
+
+    The hub is the text whose own bands hold most texts: of copies that were changed here and
+    there it is the least changed one, which is most alike to all.
+    """
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = shared.join(weights, "node").select(
+        "band", "node", F.pmod("node", F.lit(SALTS)).alias("salt"), F.struct("weight", "node").alias("rank")
+    )
+    parts = ranked.groupBy("band", "salt").agg(F.max("rank").alias("part_hub"))
+    hubs = parts.groupBy("band").agg(F.max("part_hub").alias("hub"))
+    return (
+        ranked.join(parts, ["band", "salt"]).join(hubs, "band")
+        .select("node", F.explode(F.array("hub.node", "part_hub.node")).alias("hub"))
+        .where("node <> hub")
+        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .distinct()
+    )
+
+
+def _unmet_pairs(shared: DataFrame, labels: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one band but of different components that may be alike.
+
+    Of a text's n shingles only the s that occur in any other text can be shared. With a partner
+    of m shingles that bounds the similarity by o / (n + m - o), o the least of both s and both
+    sizes. A text that can't reach the threshold with the smallest text of the band drops out
+    before pairs are made, and so do most copies that differ from their group's hub by much. Of
+    the others, sketches of one bit per coordinate tell which pairs are worth a comparison.
+    """
+    placed = shared.select("band", "node").join(labels, "node", "left").select(
+        "band", "node", F.coalesce("label", "node").alias("label")
+    )
+
+    def across(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        return rows.join(mixed.where("low < high").select("band"), "band")
+
+    placed = written(across(placed), "near-mixed")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches):
+            doc, grams = shingles(tx.words(part.column("text"), tx.ALNUM, lower=True))
+            order = np.argsort(doc, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(units(doc, grams)[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), held], ["node", "units"])
+
+    sets = written(
+        bodies.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, units array<long>"),
+        "near-units",
+    )
+    alone = (
+        sets.select("node", F.explode("units").alias("unit"))
+        .groupBy("unit").agg(F.count("*").alias("c"), F.first("node").alias("node"))
+        .where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    )
+    measured = sets.select("node", F.size("units").alias("size")).join(alone, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")
+    )
+
+    def bound(size, common, other, least) -> Column:
+        most = F.least(common, other, least)
+        return most / (size + other - most)
+
+    sized = placed.join(measured, "node")
+    smallest = sized.groupBy("band").agg(F.min("size").alias("smallest"))
+    # With a partner of `common` shingles all of which are shared the bound is greatest.
+    partner = F.greatest("smallest", F.least("common", "size"))
+    viable = written(
+        across(
+            sized.join(smallest, "band")
+            .where(bound(F.col("size"), F.col("common"), partner, partner) >= similarity)
+            .select("band", "node", "label", "size", "common")
+        ),
+        "near-viable",
+    )
+
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches):
+            doc, grams = shingles(tx.words(part.column("text"), tx.ALNUM, lower=True))
+            rank = signatures(doc, grams, part.num_rows, SKETCH).view(np.uint64)
+            bits = np.packbits((tx.mix(rank) >> np.uint64(63)).astype(bool), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(bits))], ["node", "sketch"])
+
+    bands = viable.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    sketches = (
+        bodies.join(viable.select("node").distinct(), "node", "left_semi")
+        .mapInArrow(sketched, "node long, sketch array<long>")
+        .join(bands, "node")
+    )
+    columns = ("node", "label", "size", "common", "sketch", "bands")
+    viable = written(viable.join(sketches, "node").select("band", *columns), "near-sketched")
+    other = viable.select(*(F.col(c).alias(f"other_{c}") for c in ("band", *columns)))
+    # Two sketches differ in half of the coordinates in which the texts do.
+    differ = sum(F.bit_count(F.get("sketch", i).bitwiseXOR(F.get("other_sketch", i))) for i in range(SKETCH // 64))
+    share = (1 - similarity) / 2
+    most = SKETCH * share + SURE * (SKETCH * share * (1 - share)) ** 0.5
+    return (
+        viable.join(
+            other,
+            (F.col("band") == F.col("other_band"))
+            & (F.col("node") < F.col("other_node"))
+            & (F.col("label") != F.col("other_label"))
+            & (bound(F.col("size"), F.col("common"), F.col("other_size"), F.col("other_common")) >= similarity)
+            & (differ <= most)
+            # The least band that both share owns the pair.
+            & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band")),
+        )
+        .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+    )
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, class_id, class_node, n_alike: one row per different text of `docs` (doc_id, text).
 
@@ -159,40 +275,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         "near-texts",
     )
     banded = texts.select("node", F.explode("bands").alias("band"))
-    salt = F.pmod(F.col("node"), F.lit(SALTS))
-    # Least and greatest text of each band, and the least of each of its parts.
-    parts = banded.groupBy("band", salt.alias("salt")).agg(
-        F.min("node").alias("part_hub"), F.max("node").alias("top"), F.count("*").alias("n")
-    )
-    hubs = parts.groupBy("band").agg(F.min("part_hub").alias("hub"), F.max("top").alias("top"), F.sum("n").alias("n"))
-    shared = written(
-        banded.join(hubs.where("n > 1"), "band").withColumn("salt", salt).select("band", "node", "hub", "top", "salt"), "near-bands"
-    )
-    to_part = shared.join(parts.select("band", "salt", "part_hub"), ["band", "salt"])
-    met = (
-        to_part.select("node", F.explode(F.array("hub", "top", "part_hub")).alias("hub"))
-        .where("node <> hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct()
-    )
-    met = written(met, "near-pairs")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(banded.join(sizes, "band"), "near-bands")
+    met = written(_hub_pairs(shared), "near-pairs")
     bodies = written(_bodies(keyed, texts.join(shared.select("node").distinct(), "node", "left_semi")), "near-bodies")
     links = written(_links(met, bodies, similarity), "near-links")
     labels = components(links)
-    # What shares a band beyond its component and has not been compared.
-    placed = shared.select("band", "node").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label")
-    )
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = placed.join(mixed.select("band"), "band")
-    other = rest.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-    pairs = (
-        rest.withColumnRenamed("node", "a").join(other, "band")
-        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")))
-        .select("a", "b").distinct()
-        .join(met, ["a", "b"], "left_anti")
-    )
-    more = written(_links(pairs, bodies, similarity), "near-links")
+    rest = _unmet_pairs(shared, labels, bodies, similarity).join(met, ["a", "b"], "left_anti")
+    more = written(_links(rest, bodies, similarity), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     return _classes(texts, labels)
