@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from platwork.llm import text as tx
 
 #: Highest share of word characters inside recurring n-grams, by n, and inside recurring lines.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: A sentence said twice in a short text stays below them.
+NGRAM_LIMITS = {5: 0.30, 6: 0.30, 7: 0.30, 8: 0.30, 9: 0.28, 10: 0.26}
 LINE_LIMIT = 0.20
 #: The base rule: fewest words, window of words, highest share of words in recurring windows.
 LEAST_WORDS, WINDOW, WINDOW_LIMIT = 20, 8, 30

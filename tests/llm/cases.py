@@ -85,7 +85,7 @@ def repetition(text):
     chars = sum(length)
     repeated = len(inside(8))
     failed = len(words) < 20 or 100 * repeated > 30 * len(words)
-    limits = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+    limits = {5: 0.30, 6: 0.30, 7: 0.30, 8: 0.30, 9: 0.28, 10: 0.26}
     over = any(sum(length[i] for i in inside(n)) / max(chars, 1) > most for n, most in limits.items())
     kept = not failed and not over and dup_chars / max(chars, 1) <= 0.2
     symbols = sum(c in "#*$%&|<>" for c in text or "")
