@@ -254,18 +254,28 @@ def align_depth(
     return class_accounting(classes, grids)
 
 
+def orientation_codes(grids: DataFrame) -> DataFrame:
+    """Grids with UNSUPPORTED_GRID_ORIENTATION where rows and columns do not run along the axes."""
+    turned = (F.col("b") != 0) | (F.col("d") != 0)
+    return grids.select(
+        "package_id", "grid_id", F.when(turned, "UNSUPPORTED_GRID_ORIENTATION").alias("code")
+    )
+
+
 def resample_bilinear(cells: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Source grid values on a target grid of the same package, NoData aware.
 
     A triangle kernel, widened for coarser targets, spreads every valid source cell
     to the target centres in its reach; weights are summed over valid cells only.
     Scattering from the source keeps the work to one aggregate and no join of cells.
-    `source` and `target` hold one north-up grid per package.
+    `source` and `target` hold one grid per package. Turned or sheared grids on either side
+    give no values; `orientation_codes` says which they are.
     """
-    s = source.select(
+    upright = "b = 0 AND d = 0"
+    s = source.filter(upright).select(
         "package_id", "grid_id", *[F.col(n).alias(f"s_{n}") for n in GRID_COLUMNS]
     )
-    t = target.select(
+    t = target.filter(upright).select(
         "package_id",
         F.col("grid_id").alias("target_id"),
         *[F.col(n).alias(f"t_{n}") for n in GRID_COLUMNS],

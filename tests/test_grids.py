@@ -255,3 +255,15 @@ def test_paths_refuse_negative_weights(spark):
     edges = spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, weight double")
     with pytest.raises(ValueError, match="INVALID_EDGE_WEIGHT"):
         shortest_paths(edges, spark.createDataFrame([(1,)], "node long"))
+
+
+def test_turned_grids_are_refused_with_a_code(spark):
+    from pyspark.sql import functions as F
+
+    upright = sh.grids(spark, ("terrain", 2, 2, 1, 0, 2))
+    turned = upright.withColumn("b", F.lit(0.5))
+    cells = sh.cells(spark, "terrain", [[1, 2], [3, 4]])
+    assert og.resample_bilinear(cells, upright, upright).count() == 4
+    assert og.resample_bilinear(cells, turned, upright).count() == 0
+    codes = [r.code for r in og.orientation_codes(upright.unionByName(turned)).collect()]
+    assert sorted(codes, key=str) == [None, "UNSUPPORTED_GRID_ORIENTATION"]
