@@ -25,10 +25,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         .distinct()
         .selectExpr("node", "0D AS distance", "CAST(NULL AS bigint) AS predecessor", "true AS moved")
     )
+    # The edges are dealt out by their start once and stay there for all rounds.
+    outgoing = edges.withColumnRenamed("src", "node").repartition("node").persist()
     while True:
         offers = (
             best.filter("moved")
-            .join(edges.withColumnRenamed("src", "node"), "node")
+            .join(outgoing, "node")
             .selectExpr("dst AS node", "distance + weight AS distance", "node AS predecessor")
         )
         known = best.selectExpr("node", "distance", "predecessor", "distance AS old")
@@ -44,6 +46,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
             )
         )
         if best.filter("moved").isEmpty():
+            outgoing.unpersist()
             return best.drop("moved")
 
 
