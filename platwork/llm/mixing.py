@@ -22,6 +22,8 @@ SHARE = 1.5
 MOST = 2
 #: Classes of the rank per source; only the class with the cut in it is sorted.
 CLASSES = 4096
+#: Sources up to which their targets are broadcast.
+SHORT = 10_000
 KEY = "xxhash64(doc_id, source, text)"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -83,10 +85,17 @@ def mixed(
         .withColumn("part", F.coalesce(F.col("missing") / F.col("source_size"), F.lit(0.0)))
     )
     goals = written(goals.withColumnRenamed("source", "of_source"), "mix-targets")
+    # Tables with a row per source go to every task if they are short, and are joined otherwise;
+    # else the rows of a large source would meet in one task for the sake of one row.
+    short = goals.count() <= SHORT
+
+    def per_source(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if short else rows
+
     u = chance(F.col("doc_id"))
     odds = (F.col("size") * F.col("n") / F.col("source_size")) * (F.col("part") / (1 - F.col("part")))
     ranked = (
-        sized.join(goals, F.col("source").eqNullSafe(F.col("of_source")))
+        sized.join(per_source(goals), F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rank", F.when((F.col("size") > 0) & (F.col("part") > 0), (u / (1 - u)) / odds))
         .withColumn(
             "class",
@@ -105,7 +114,7 @@ def mixed(
         .groupBy("place").agg(F.min_by(F.struct("class", (F.col("upto") - F.col("words")).alias("words")), "class").alias("cut"))
         .select(F.col("place").alias("cut_place"), F.col("cut.class").alias("cut_class"), F.col("cut.words").alias("cut_words"))
     )
-    placed = ranked.join(cuts, F.col("place") == F.col("cut_place"), "left")
+    placed = ranked.join(per_source(cuts), F.col("place") == F.col("cut_place"), "left")
     sorted_class = F.coalesce(F.col("class") == F.col("cut_class"), F.lit(False))
     sure = placed.where(~sorted_class).withColumn(
         "extra",
@@ -122,14 +131,14 @@ def mixed(
     )
     off = F.abs(F.col("size") - F.col("lacking"))
     closing = (
-        drawn.where("extra = 0 AND rank IS NOT NULL").join(lacking, "place").where(off < F.col("lacking"))
+        drawn.where("extra = 0 AND rank IS NOT NULL").join(per_source(lacking), "place").where(off < F.col("lacking"))
         .groupBy("place")
         .agg(F.min_by(F.struct("rank", "doc_id", "size"), F.struct(off, "rank", "doc_id")).alias("last"))
         .select(F.col("place").alias("last_place"), "last")
     )
     is_last = (F.col("extra") == 0) & F.struct("rank", "doc_id", "size").eqNullSafe(F.col("last"))
     copies = F.col("whole") + F.col("extra") + F.when(is_last, 1).otherwise(0)
-    return drawn.join(closing, F.col("place") == F.col("last_place"), "left").select(
+    return drawn.join(per_source(closing), F.col("place") == F.col("last_place"), "left").select(
         "doc_id", "source", "key", "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
     )
