@@ -100,16 +100,18 @@ def ratios(code: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
     slot = code >> HISTORY_BITS
     follows = np.bincount(np.unique(code) >> HISTORY_BITS, minlength=SLOTS)
     shared = (follows + 1) / (follows.sum() + SLOTS)
-    logs = []
-    for c in (1, 0):
-        own = toxic == c
-        alone = _interpolated(np.bincount(slot[own], minlength=SLOTS).astype(float), shared)
-        out = np.empty((HISTORIES, SLOTS), np.float32)
-        for h in range(HISTORIES):
-            at = own & ((code & (HISTORIES - 1)) == h)
-            out[h] = np.log(_interpolated(np.bincount(slot[at], n[at], minlength=SLOTS), alone))
-        logs.append(out)
-    return np.ascontiguousarray((logs[0] - logs[1]).T).reshape(-1).astype(np.float16)
+    own = [toxic == 1, toxic == 0]
+    alone = [_interpolated(np.bincount(slot[at], minlength=SLOTS).astype(float), shared) for at in own]
+    # One history at a time, so that the driver never holds more than a few such columns.
+    out = np.empty((SLOTS, HISTORIES), np.float16)
+    for h in range(HISTORIES):
+        after = (code & (HISTORIES - 1)) == h
+        toxic_p, ordinary_p = (
+            _interpolated(np.bincount(slot[at & after], n[at & after], minlength=SLOTS), back)
+            for at, back in zip(own, alone)
+        )
+        out[:, h] = np.log(toxic_p / ordinary_p)
+    return out.reshape(-1)
 
 
 def measures(docs: DataFrame, model, keep: list[str]) -> DataFrame:
