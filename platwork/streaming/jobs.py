@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = (
@@ -21,6 +21,13 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
     )
 
 
+def request_key(requests: DataFrame, arrival: str = "ts") -> Column:
+    """A digest of all columns of a request but its time of arrival: equal for equal requests only."""
+    columns = [F.col(f"`{c}`") for c in sorted(requests.columns) if c != arrival]
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.sha2(F.to_json(F.struct(*columns), options), 256)
+
+
 def decide_stream(
     requests: DataFrame,
     decide: Callable[[DataFrame], DataFrame],
@@ -29,16 +36,22 @@ def decide_stream(
     """Decide arriving corridor requests, however late; returns the folder of verdicts.
 
     requests: a stream with package_id, corridor_id, expected_revision and the corridor
-    columns. A verdict depends on its request and the snapshot alone, so no state is kept:
-    a repeated request gets the same verdict again, and `answers` shows it once. How files
-    fall into micro-batches changes nothing. Each micro-batch is written to its own folder,
-    so a replayed batch overwrites itself.
+    columns; ts, where there is one, is the time of arrival and no part of a request. A
+    verdict depends on its request and the snapshot alone, so no state is kept: a repeated
+    request, equal in every column, gets the same verdict again, and `answers` shows it once.
+    Different requests under one corridor_id, or without any, are answered each: `decide` sees
+    the request's digest as corridor_id, and verdicts carry it as `request`. How files fall
+    into micro-batches changes nothing. Each micro-batch is written to its own folder, so a
+    replayed batch overwrites itself.
     """
     verdicts = f"{folder}/verdicts"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["package_id", "corridor_id", "expected_revision"])
-        decide(once).write.mode("overwrite").parquet(f"{verdicts}/batch_id={batch_id}")
+        once = batch.withColumn("request", request_key(batch)).dropDuplicates(["request"])
+        decided = decide(once.withColumn("corridor_id", F.col("request")).drop("request"))
+        columns = decided.columns
+        named = decided.withColumnRenamed("corridor_id", "request").join(once.select("request", "corridor_id"), "request")
+        named.select(*columns, "request").write.mode("overwrite").parquet(f"{verdicts}/batch_id={batch_id}")
 
     query = (
         requests.writeStream.foreachBatch(write)
@@ -50,9 +63,10 @@ def decide_stream(
     return verdicts
 
 
-def answers(spark: SparkSession, verdicts: str) -> DataFrame:
-    """The distinct verdicts of a folder that `decide_stream` filled."""
-    return spark.read.parquet(verdicts).drop("batch_id").distinct()
+def answers(spark: SparkSession, verdicts: str, keyed: bool = False) -> DataFrame:
+    """The verdicts of a folder that `decide_stream` filled, one per request; `keyed` keeps its digest."""
+    rows = spark.read.parquet(verdicts).drop("batch_id").distinct()
+    return rows if keyed else rows.drop("request")
 
 
 def profile_stream(

@@ -104,3 +104,36 @@ def test_stream_answers_late_requests_however_files_fall(spark, tmp_path, files)
         requests, lambda batch: pd.decide_conflicts(batch.drop("ts"), *tables), str(tmp_path / "run")
     )
     assert st.answers(spark, out).count() == 33
+
+
+@pytest.mark.parametrize("batches", (1, 2))
+def test_stream_answers_different_requests_under_one_id(spark, tmp_path, batches):
+    from pyspark.sql import functions as F
+
+    from platwork import fixtures as fx
+    from platwork.plans import decisions as pd
+
+    inbox, run = tmp_path / "in", str(tmp_path / "run")
+    tables = (
+        fx.objects(spark, FOLDER), fx.zones(spark, FOLDER), fx.protected(spark, FOLDER),
+        fx.snapshot_header(spark, FOLDER),
+    )
+    own = pd.decide_conflicts(fx.corridors_of(fx.table(spark, FOLDER, "events").limit(200)), *tables)
+    sent = fx.corridors_of(fx.table(spark, FOLDER, "events").limit(200), "ts").localCheckpoint()
+    live = own.where("status <> 'stale_input'").orderBy("corridor_id").first()
+    one = sent.where((F.col("corridor_id") == live.corridor_id) & (F.col("package_id") == live.package_id))
+    other = one.withColumn("asset_modes", F.array(F.lit("nothing"))).withColumn("requested_mode", F.lit("nothing"))
+    nameless = sent.limit(3).withColumn("corridor_id", F.lit(None).cast("string"))
+    parts = [one.unionByName(nameless), other.unionByName(one.withColumn("ts", F.expr("ts + INTERVAL 1 HOUR")))]
+    if batches == 1:
+        parts = [parts[0].unionByName(parts[1])]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(sent.schema).option("pathGlobFilter", "*.parquet").parquet(str(inbox))
+        out = st.decide_stream(stream, lambda batch: pd.decide_conflicts(batch.drop("ts"), *tables), run)
+    found = st.answers(spark, out)
+    want = [pd.decide_conflicts(x.drop("ts"), *tables) for x in (one, other)]
+    for verdict in want:
+        assert verdict.count() == 1 and verdict.exceptAll(found).count() == 0
+    assert found.where("corridor_id IS NULL").count() == 3 and found.count() == 5
+    assert st.answers(spark, out, keyed=True).select("request").distinct().count() == 5
