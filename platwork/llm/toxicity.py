@@ -1,11 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models over words.
 
-Toxic and ordinary texts each have an interpolated Kneser-Ney bigram model: a word after its
-history, where histories fall in a few classes by hash, backed off to how many histories the
-word follows in its class, backed off to the same counts of both classes together, so that a
-rare expression gets the same chance from either. Words share 2^20 slots by hash, which fixes
-the model's size whatever the vocabulary: one logarithm of the ratio of both chances per slot
-and history.
+Toxic and ordinary texts each have an interpolated Kneser-Ney bigram model: a word after the
+word before it, backed off to the pair's chance in both classes together, times how much likelier
+the class makes the word itself by how many words it follows there; that is backed off to the
+same counts of both classes together, so that a rare expression gets the same chance from either.
+(Backed off to the class's words alone, pairs that one class lacks by chance drown the toxic ones.)
+The model is two Spark tables, of word pairs and of words by 64-bit hash, and grows with the
+labelled texts; no task and no driver holds it whole.
+
+Texts are scored in slices of some megabytes. A slice asks for its distinct words and pairs, in
+parts by hash; a part of the model meets the questions of all slices in one group and answers in
+the order asked; the answers of a slice meet its texts again. A question is asked once a slice
+however often a pair occurs, so a common pair weighs no more than a rare one, and the number of
+parts grows with the texts and the model, so that groups keep their size.
 
 A text is compared by its length-normalised log-likelihoods, as a whole and in its most
 suspicious stretches of some lengths; a logistic curve over these, fitted on labelled texts that
@@ -14,18 +21,20 @@ the counts did not see, makes the score.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platwork.llm import text as tx
 from platwork.llm.frames import written
 
-SLOT_BITS, HISTORY_BITS = 20, 3
-SLOTS, HISTORIES = 1 << SLOT_BITS, 1 << HISTORY_BITS
+#: Bytes of text in a slice, and questions or model rows in a part, as far as hashes spread evenly.
+SLICE, PART = 8 << 20, 1 << 21
 STRETCHES = (1, 4, 16)
 THRESHOLD = 0.3
 #: Labelled texts that the curve is fitted on at most; the counts use all others.
@@ -38,110 +47,272 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
-def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and history of every word as one number, and the bounds of texts."""
+def words_after(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the word before (0 at a text's start) and of the word itself, and the bounds of texts."""
     w = tx.words(texts, tx.ALNUM, lower=True)
-    history = np.zeros(len(w.hash), np.uint64)
-    history[1:] = w.hash[:-1] & np.uint64(HISTORIES - 1)
-    history[w.first[:-1][w.count > 0]] = 0
-    slot = w.hash >> np.uint64(64 - SLOT_BITS)
-    return ((slot << np.uint64(HISTORY_BITS)) | history).astype(np.uint32), w.first
+    before = np.zeros(len(w.hash), np.int64)
+    before[1:] = w.hash[:-1].view(np.int64)
+    before[w.first[:-1][w.count > 0]] = 0
+    return before, w.hash.view(np.int64), w.first
+
+
+def distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns in order, and the place of each row among them."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return [c[order[new]] for c in columns], at
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
-    """code, toxic, and the number of texts of `labelled` (text, toxic) with it; summed in each task first.
+    """h, w, and the numbers of toxic (t) and ordinary (o) texts of `labelled` (text, toxic) with w after h.
 
-    A text counts once for each of its codes, or one that repeats a line would set the tone.
+    A text counts once for each of its pairs, or one that repeats a line would set the tone.
+    Tasks sum before the shuffle as far as `PART` rows go.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, n, minlength=len(key)).astype(np.int64)
+        def merged() -> list[np.ndarray]:
+            (h, w), at = distinct(*(np.concatenate(c) for c in list(zip(*held))[:2]))
+            return [h, w, *(np.bincount(at, np.concatenate(c), len(h)).astype(np.int64) for c in list(zip(*held))[2:])]
 
         for part in tx.slices(batches):
-            code, bounds = codes(part.column("text"))
-            doc = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(bounds))
-            own = np.unique((doc << np.uint64(32)) | code)
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False)[(own >> np.uint64(32)).astype(np.int64)]
-            key = ((own & np.uint64(0xFFFFFFFF)) << np.uint64(1)) | toxic.astype(np.uint64)
-            held.append(np.unique(key, return_counts=True))
-            if len(held) > 16:
+            h, w, bounds = words_after(part.column("text"))
+            (h, w, doc), _ = distinct(h, w, np.repeat(np.arange(part.num_rows), np.diff(bounds)))
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
+            held.append([h, w, toxic, 1 - toxic])
+            if sum(len(x[0]) for x in held) > PART:
                 held = [merged()]
+                if len(held[0][0]) > PART // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], list("hwto"))
         if held:
-            key, n = merged()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((key >> 1).astype(np.int32)), pa.array((key & 1).astype(np.int32)), pa.array(n)], ["code", "toxic", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], list("hwto"))
 
-    counted = labelled.select("text", "toxic").mapInArrow(run, "code int, toxic int, n long")
-    return counted.groupBy("code", "toxic").agg(F.sum("n").alias("n"))
-
-
-def _discount(n: np.ndarray) -> float:
-    once, twice = (n == 1).sum(), (n == 2).sum()
-    return float(once / (once + 2 * twice)) if once else 0.5
-
-
-def _interpolated(counts: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Chances of each row's words from their counts, absolute discounting, and a backoff."""
-    discount = _discount(counts)
-    total = max(counts.sum(), 1.0)
-    kept = np.maximum(counts - discount, 0) / total
-    return kept + (1 - kept.sum()) * back
-
-
-def ratios(code: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log p(toxic) - log p(ordinary) of every word slot after every class of history."""
-    slot = code >> HISTORY_BITS
-    follows = np.bincount(np.unique(code) >> HISTORY_BITS, minlength=SLOTS)
-    shared = (follows + 1) / (follows.sum() + SLOTS)
-    own = [toxic == 1, toxic == 0]
-    alone = [_interpolated(np.bincount(slot[at], minlength=SLOTS).astype(float), shared) for at in own]
-    # One history at a time, so that the driver never holds more than a few such columns.
-    out = np.empty((SLOTS, HISTORIES), np.float16)
-    for h in range(HISTORIES):
-        after = (code & (HISTORIES - 1)) == h
-        toxic_p, ordinary_p = (
-            _interpolated(np.bincount(slot[at & after], n[at & after], minlength=SLOTS), back)
-            for at, back in zip(own, alone)
-        )
-        out[:, h] = np.log(toxic_p / ordinary_p)
-    return out.reshape(-1)
+    counted = labelled.select("text", "toxic").mapInArrow(run, "h long, w long, t long, o long")
+    return counted.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def measures(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """The columns in `keep` and the length-normalised comparisons of every text; zeros without words."""
+WORD = ["a_t", "a_o", "f", "c_t", "c_o", "d_t", "d_o", "d"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
-        for part in tx.slices(batches):
-            code, bounds = codes(part.column("text"))
-            total = np.zeros(len(code) + 1)
-            np.cumsum(table[code], out=total[1:], dtype=np.float64)
-            n = np.diff(bounds)
-            some = np.flatnonzero(n > 0)
-            columns = [(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)]
-            for size in STRETCHES:
-                # Every stretch ends at its text's end at the latest and is divided by its full length.
-                end = np.minimum(np.arange(len(code)) + size, np.repeat(bounds[1:], n))
-                stretch = (total[end] - total[:-1]) / size
-                top = np.zeros(len(n))
-                if len(some):
-                    top[some] = np.maximum.reduceat(stretch, bounds[:-1][some])
-                columns.append(top)
-            columns.append(np.log1p(n))
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), *map(pa.array, columns)], [*keep, *(f"__{f}" for f in FEATURES)]
+
+class Model:
+    """Pairs (h, w, t, o) and words (w; words it follows by class and in all; as the word before:
+    texts by class, words after it by class and in all), written, and the few totals of a Kneser-Ney model."""
+
+    def __init__(self, labelled: DataFrame):
+        self.pairs = written(count_grams(labelled), "toxic-pairs")
+        after = self.pairs.groupBy("w").agg(
+            F.count_if(F.col("t") > 0).alias("a_t"), F.count_if(F.col("o") > 0).alias("a_o"), F.count("*").alias("f")
+        )
+        ahead = self.pairs.groupBy(F.col("h").alias("w")).agg(
+            F.sum("t").alias("c_t"), F.sum("o").alias("c_o"), F.count_if(F.col("t") > 0).alias("d_t"), F.count_if(F.col("o") > 0).alias("d_o"),
+            F.count("*").alias("d"),
+        )
+        self.words = written(after.join(ahead.hint("merge"), "w", "full").na.fill(0), "toxic-words")
+
+        def seen(df: DataFrame, c: str) -> tuple[int, int, int, int]:
+            x = F.expr(c)
+            return tuple(
+                v or 0 for v in df.agg(F.count_if(x == 1), F.count_if(x == 2), F.sum(x), F.count_if(x > 0)).first()
             )
 
+        def discount(once: int, twice: int) -> float:
+            return once / (once + 2 * twice) if once else 0.5
+
+        self.discount, self.follow = [], []
+        for n, a in (("t", "a_t"), ("o", "a_o")):
+            self.discount.append(discount(*seen(self.pairs, n)[:2]))
+            once, twice, total, some = seen(self.words, a)
+            self.follow.append((discount(once, twice), total, some))
+        self.discount.append(discount(*seen(self.pairs, "t + o")[:2]))
+        _, _, self.total, self.known = seen(self.words, "f")
+        self.rows = self.pairs.count() + self.words.count()
+
+    def chances(self) -> Callable:
+        """A function of pair counts and of both words' counts to log p(toxic) - log p(ordinary)."""
+        discounts, follow, total, known = self.discount, self.follow, self.total, self.known
+
+        def ratio(pair: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+            shared = (word[:, 2] + 1) / (total + known + 1)
+            d, c = discounts[2], before[:, 3] + before[:, 4]
+            joint = (np.maximum(pair[:, 0] + pair[:, 1] - d, 0) + d * before[:, 7] * shared) / np.maximum(c, 1)
+            joint = np.where(c > 0, joint, shared)
+            logs = []
+            for i in range(2):
+                d, n, some = follow[i]
+                p = (np.maximum(word[:, i] - d, 0) + d * some * shared) / n if n else shared
+                c, d = before[:, 3 + i], discounts[i]
+                back = joint * p / shared
+                own = (np.maximum(pair[:, i] - d, 0) + d * before[:, 5 + i] * back) / np.maximum(c, 1)
+                logs.append(np.log(np.where(c > 0, own, back)))
+            return logs[0] - logs[1]
+
+        return ratio
+
+
+def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a task's rows with their numbers; the same whenever the task runs over the same rows."""
+    task, n = TaskContext.get().partitionId(), 0
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in tx.slices(batches, SLICE):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if size >= SLICE:
+            yield (task << 32) + n, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, n = [], 0, n + 1
+    if held:
+        yield (task << 32) + n, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def asked(texts: pa.Array, parts: int):
+    """What a slice asks: its words and their parts, its pairs' keys, their words and parts; and each
+    occurrence's pair, and the bounds of texts. Words and keys ascend."""
+    h, w, bounds = words_after(texts)
+    key, first, at = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
+    h, w = h[first], w[first]
+    word = np.unique(np.concatenate([h, w]))
+    return word, word & (parts - 1), key, h, w, (w ^ (h << 1)) & (parts - 1), at, bounds
+
+
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits by which questions know a pair."""
+    return tx.mix(tx.mix(h.view(np.uint64)) * np.uint64(3) + w.view(np.uint64)).view(np.int64)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers as bytes, all first bytes, then all second ones and so on, compressed."""
+    planes = np.concatenate([c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.reshape(-1) for c in columns])
+    return len(planes).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], n, codec="zstd", asbytes=True), np.uint8)
+    rows = n // 8 // columns
+    return np.ascontiguousarray(planes.reshape(columns, 8, rows).transpose(0, 2, 1)).view(np.int64).reshape(columns, rows)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The rows of `values` whose keys are wanted, zeros where there are none; `want` ascends."""
+    of = np.zeros((len(want), values.shape[1]), np.int64)
+    if len(want):
+        at = np.minimum(np.searchsorted(want, keys), len(want) - 1)
+        met = want[at] == keys
+        of[at[met]] = values[met]
+    return of
+
+
+def measures(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns in `keep` and the length-normalised comparisons of every text; zeros without words.
+
+    `docs` is read twice and must give the same rows to the same tasks, as files do; a slice that
+    differs is refused.
+    """
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    kept = (f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, ", ".join([*kept, *(f"__{f} double" for f in FEATURES)]))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1
+    while parts * PART < max(size // 6, model.rows):
+        parts *= 2
+    ratio = model.chances()
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, part in cut(batches):
+            word, word_part, key, _, _, pair_part, _, _ = asked(part.column("text"), parts)
+            by_word, by_pair = np.argsort(word_part, kind="stable"), np.argsort(pair_part, kind="stable")
+            a = np.searchsorted(word_part[by_word], np.arange(parts + 1))
+            b = np.searchsorted(pair_part[by_pair], np.arange(parts + 1))
+            for p in range(parts):
+                i, j = by_word[a[p] : a[p + 1]], by_pair[b[p] : b[p + 1]]
+                if len(i) or len(j):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p]), pa.array([n]), *(pa.array([packed(np.diff(k, prepend=0))]) for k in (word[i], key[j]))],
+                        ["part", "slice", "words", "pairs"],
+                    )
+
+    def answer(_, known: pa.Table, questions: pa.Table) -> pa.Table:
+        column = {c: known.column(c).to_numpy() for c in ("h", "w", *WORD)}
+        values = np.column_stack([column[c] for c in WORD])
+        single = known.column("single").to_numpy()
+        out: list[list] = [[], [], [], [], []]
+        own, both = np.flatnonzero(single), np.flatnonzero(~single)
+        keys = pair_key(column["h"][both], column["w"][both])
+        for q in questions.to_batches(max_chunksize=1):
+            n = q.column("slice")[0].as_py()
+            word, pair = (np.cumsum(unpacked(q.column(c)[0].as_py(), 1)[0]) for c in ("words", "pairs"))
+            found = looked_up(column["w"][own], values[own], word)
+            met = looked_up(keys, values[both][:, :2], pair)
+            mark = int(np.bitwise_xor.reduce(np.concatenate([word, pair])))
+            for c, v in zip(out, (n, q.column("part")[0].as_py(), packed(*found.T), packed(*met.T), mark)):
+                c.append(v)
+        return pa.table(
+            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))],
+            ["slice", "part", "words", "pairs", "mark"],
+        )
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, part in cut(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sink.getvalue().to_pybytes()])], ["slice", "rows"])
+
+    def score(_, slices: pa.Table, answers: pa.Table) -> pa.Table:
+        (blob,) = slices.column("rows").to_pylist()
+        part = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        word, word_part, key, h, w, pair_part, at, bounds = asked(part.column("text"), parts)
+        of_word, of_pair = np.zeros((len(word), len(WORD))), np.zeros((len(key), 2))
+        left = len(word) + len(key)
+        for x in answers.to_pylist():
+            i, j = np.flatnonzero(word_part == x["part"]), np.flatnonzero(pair_part == x["part"])
+            found, met = unpacked(x["words"], len(WORD)).T, unpacked(x["pairs"], 2).T
+            mark = int(np.bitwise_xor.reduce(np.concatenate([word[i], key[j]])))
+            if (len(found), len(met), x["mark"]) != (len(i), len(j), mark):
+                raise RuntimeError("the texts differ between two readings")
+            of_word[i], of_pair[j] = found, met
+            left -= len(i) + len(j)
+        if left:
+            raise RuntimeError("the texts differ between two readings")
+        table = ratio(of_pair, of_word[np.searchsorted(word, w)], of_word[np.searchsorted(word, h)])
+        total = np.zeros(len(at) + 1)
+        np.cumsum(table[at], out=total[1:])
+        n = np.diff(bounds)
+        some = np.flatnonzero(n > 0)
+        columns = [(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)]
+        for size in STRETCHES:
+            # Every stretch ends at its text's end at the latest and is divided by its full length.
+            end = np.minimum(np.arange(len(at)) + size, np.repeat(bounds[1:], n))
+            stretch = (total[end] - total[:-1]) / size
+            top = np.zeros(len(n))
+            if len(some):
+                top[some] = np.maximum.reduceat(stretch, bounds[:-1][some])
+            columns.append(top)
+        columns.append(np.log1p(n))
+        return pa.table([*(part.column(c) for c in keep), *map(pa.array, columns)], [*keep, *(f"__{f}" for f in FEATURES)])
+
+    mask = F.lit(parts - 1).cast("long")
+    none = F.lit(0).cast("long")
+    words = model.words.select(F.col("w").bitwiseAND(mask).alias("part"), F.lit(True).alias("single"), none.alias("h"), "w", *WORD)
+    pairs = model.pairs.select(
+        F.col("w").bitwiseXOR(F.shiftleft("h", 1)).bitwiseAND(mask).alias("part"), F.lit(False).alias("single"), "h", "w",
+        F.col("t").alias("a_t"), F.col("o").alias("a_o"), *(none.alias(c) for c in WORD[2:]),
+    )
+    questions = rows.mapInArrow(ask, "part long, slice long, words binary, pairs binary")
+    answers = (
+        words.unionByName(pairs).groupBy("part").cogroup(questions.groupBy("part"))
+        .applyInArrow(answer, "slice long, part long, words binary, pairs binary, mark long")
+    )
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return (
+        rows.mapInArrow(pack, "slice long, rows binary").groupBy("slice").cogroup(answers.groupBy("slice"))
+        .applyInArrow(score, ", ".join([kept, *(f"__{f} double" for f in FEATURES)]))
+    )
 
 
 def curve(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,17 +349,13 @@ class Fit:
         known = known.where(~self.held_out)
         for_curve = F.expr(f"crc32(cast(doc_id AS string)) DIV {parts} % {curve_part} = 0")
         keyed = docs.select(F.col("doc_id").cast("long"), "text")
-        # At most one row per slot, history and class.
         # Labels grow with the corpus, so they are never broadcast.
-        grams = count_grams(keyed.join(known.where(~for_curve).hint("merge"), "doc_id")).toArrow()
-        self.model = docs.sparkSession.sparkContext.broadcast(
-            ratios(*(grams[c].to_numpy() for c in ("code", "toxic", "n")))
-        )
-        self.measured = written(measures(keyed, self.model, ["doc_id"]), "toxic-measures")
-        rows = self.measured.join(known.where(for_curve), "doc_id")
-        n = rows.count()
+        self.model = Model(keyed.join(known.where(~for_curve).hint("merge"), "doc_id"))
+        some = known.where(for_curve)
+        n = keyed.select("doc_id").join(some.hint("merge"), "doc_id").count()
         if n > CURVE_ROWS:
-            rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CURVE_ROWS / n))
+            some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * CURVE_ROWS / n))
+        rows = measures(written(keyed.join(some.hint("merge"), "doc_id"), "toxic-curve"), self.model, ["toxic"])
         columns = [f"__{f}" for f in FEATURES]
         rows = rows.select(*columns, "toxic").toPandas()
         y = rows["toxic"].to_numpy(float)
@@ -211,8 +378,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out of nothing and never learned from. An empty table gives no rows.
     """
     fit = Fit(docs, labels)
-    return fit.measured.select("doc_id", fit.held_out.alias("held_out"), fit.chance.alias("score")).withColumn(
-        "predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
+    keyed = docs.select(F.col("doc_id").cast("long"), "text")
+    return (
+        measures(keyed, fit.model, ["doc_id"])
+        .select("doc_id", fit.held_out.alias("held_out"), fit.chance.alias("score"))
+        .withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
     )
 
 

@@ -207,6 +207,49 @@ def test_toxicity_tells_held_out_texts(spark):
     assert left.columns == df.columns and 400 < left.count() < 520
 
 
+def test_toxicity_model_is_the_plain_one(spark, monkeypatch):
+    """Every pair of words by its own counts, in many slices and parts as in one."""
+    monkeypatch.setattr(toxicity, "PART", 64)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 5000), int(i % 3 == 0)) for i in range(60)]
+    rows += [(60, None, 0), (61, "", 1), (62, "w1 w1 w1", 1), (63, "Never seen, w2", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5, "doc_id")
+    known = [r for r in rows if r[0] < 40]
+    model = toxicity.Model(df.where("doc_id < 40"))
+    pairs = [collections.Counter(), collections.Counter()]
+    for _, t, y in known:
+        w = ["", *cases.plain_words(t)]
+        pairs[y].update(set(zip(w, w[1:])))
+    assert sum(len(p) for p in pairs) == model.pairs.selectExpr("sum(int(t > 0) + int(o > 0))").first()[0]
+    both = set(pairs[0]) | set(pairs[1])
+    follows = collections.Counter(w for _, w in both)
+
+    def discount(n):
+        once, twice = (sum(v == k for v in n.values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    def chance(y, h, w):
+        n, after = pairs[y], collections.Counter(x for _, x in pairs[y])
+        d = discount(after)
+        shared = (follows[w] + 1) / (len(both) + len(follows) + 1)
+        p = (max(after[w] - d, 0) + d * len(after) * shared) / len(n)
+        return by_pair(n, h, w, by_pair(pairs[0] + pairs[1], h, w, shared) * p / shared)
+
+    def by_pair(n, h, w, back):
+        d, own = discount(n), {x: v for (g, x), v in n.items() if g == h}
+        total = sum(own.values())
+        return (max(own.get(w, 0) - d, 0) + d * len(own) * back) / total if total else back
+
+    want = {}
+    for i, t, _ in rows:
+        w = ["", *cases.plain_words(t)]
+        logs = [np.log(chance(1, *g) / chance(0, *g)) for g in zip(w, w[1:])]
+        want[i] = np.mean(logs) if logs else 0.0
+    found = {r.doc_id: r["__mean"] for r in toxicity.measures(df, model, ["doc_id"]).collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_models_without_labels_answer_all(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
