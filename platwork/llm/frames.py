@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from platwork.session import shared_folder
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, safe from lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table_: DataFrame) -> None:
+    """Deletes the files of a table made by `written` that nothing will read again."""
+    folder = table_.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+        at = folder(path)
+        at.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -120,10 +120,51 @@ last AS (SELECT *, extra = 0 AND rank IS NOT NULL AND abs(size - lacking) < lack
  PARTITION BY place, extra = 0 AND rank IS NOT NULL AND abs(size - lacking) < lacking ORDER BY abs(size - lacking), rank, doc_id) = 1 AS closing FROM open)
 SELECT doc_id, size, source_size, target, ((whole + extra + closing::INT) * size)::BIGINT AS taken FROM last"""
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_RANKED = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM n),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+i AS (SELECT item_id, term, count(*)::BIGINT AS times
+ FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+ FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+s AS (SELECT item_id, tf.doc_id,
+ sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+ FROM tf JOIN i USING (term) JOIN w USING (term) JOIN n ON n.doc_id = tf.doc_id CROSS JOIN g GROUP BY item_id, tf.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+_PHRASES = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+ FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+x AS (SELECT lang, w[i:i + k - 1] AS w, k FROM p, unnest([1, 2, 3, 4]) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, array_to_string(w, ' ') AS phrase, k, count(*)::BIGINT AS f FROM x GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, i,
+ (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
+ FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c
+ JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:i], ' ')
+ JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[i + 1:], ' ')),
+weak AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS o FROM cut),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+ FROM c, unnest([2, 3]) AS t(m), unnest(range(1, 5 - m + 1)) AS u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT weak.* FROM weak LEFT JOIN inside USING (lang, phrase) WHERE o = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op2_repetition_coverage": _repetition(),
     "op5_suffix_arrays": _LEAKS,
     "op6_relative_factors": _FACTORS,
     "op9_trigram_index": _secrets(),
     "op10_pareto_mixing": _MIX,
+    "op12_itemset_phrases": _PHRASES,
+    "op13_reversed_search": _RANKED,
 }

@@ -6,7 +6,8 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm import chat, dartminhash, decontamination, factoring, mixing, quality, repetition, secrets, sharding, toxicity
+from platwork.llm import chat, collocations, consistent, dartminhash, decontamination, factoring, mixing, quality
+from platwork.llm import ranking, repetition, secrets, sharding, toxicity
 from platwork.llm.frames import table
 from platwork.llm.oracle import ORACLE
 
@@ -85,6 +86,25 @@ def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_locally_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document beside its edited text and the next document, by phrase names."""
+    near = consistent.with_next(table(spark, folder, "documents"))
+    return near.select(
+        "doc_id", "n_chars", "edited_sha256", consistent.hexed(F.col("fingerprint")).alias("fingerprint"),
+        consistent.hexed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op12_itemset_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 phrases of each language that hang together most, by dynamic itemset counting."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op13_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item, documents streaming past an index of items."""
+    return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
@@ -98,6 +118,9 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op8_transcript_roles,
         op9_trigram_index,
         op10_pareto_mixing,
+        op11_locally_consistent,
+        op12_itemset_phrases,
+        op13_reversed_search,
     )
 }
 

@@ -169,3 +169,9 @@ def sums_by_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return np.diff(total[bounds])
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one behind the other."""
+    n = last - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
