@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.functions.geometry import box_geom, line_geom, point_geom, raised, ring_geom
+from platwork.functions.geometry import bbox_of, box_geom, line_geom, point_geom, raised, ring_geom
 from platwork.model import GEOMETRY, LAND_USES
 
 STRIP = 50
@@ -130,6 +130,18 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
     return all_zones(spark, folder).filter("bigint(substring(zone_id, 2)) % 13 != 5")
 
 
+def surveyed_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """The same zones with their planar validity; every thirteenth has a spike and is invalid."""
+    box = "_b.xmin AS x, _b.ymin AS y, _b.xmax - _b.xmin AS w, _b.ymax - _b.ymin AS h"
+    spoiled = "bigint(substring(zone_id, 2)) % 13 = 7"
+    rows = zones(spark, folder)
+    return (
+        rows.selectExpr("*", f"{bbox_of('geom')} AS _b").selectExpr("*", *box.split(", "))
+        .withColumns({"geom": F.expr(f"if({spoiled}, {SPIKED}, geom)"), "is_valid": F.expr(f"NOT ({spoiled})")})
+        .select(*rows.columns, "is_valid")
+    )
+
+
 def all_zones(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "supplier")
@@ -170,16 +182,33 @@ def _footprints(spark: SparkSession, folder: str) -> DataFrame:
 PLAIN = box_geom("x", "y", "x + w", "y + h")
 TRIANGLE = ring_geom([("x", "y"), ("x + w", "y"), ("x", "y + h"), ("x", "y")])
 BOWTIE = ring_geom([("x", "y"), ("x + w", "y + h"), ("x + w", "y"), ("x", "y + h"), ("x", "y")])
+#: A box whose ring runs to its middle and back: covers what the box covers, but is invalid.
+SPIKED = ring_geom(
+    [("x", "y"), ("x + w", "y"), ("x + w", "y + h"), ("x", "y + h"), ("x + w / 2", "y + h / 2"), ("x", "y + h"), ("x", "y")]
+)
 DIAGONAL = line_geom([("x", "y"), ("x + w", "y + h")])
 
 
+_OBJECT = (
+    "package_id",
+    "concat('b', key) AS object_id",
+    "ground_z",
+    "CASE WHEN key % 7 != 0 THEN ground_z - p_size / 4D END AS foundation_z",
+)
+
+
 def objects(spark: SparkSession, folder: str) -> DataFrame:
     return _footprints(spark, folder).selectExpr(
-        "package_id",
-        "concat('b', key) AS object_id",
-        f"CASE WHEN key % 2 = 0 THEN {PLAIN} ELSE {TRIANGLE} END AS geom",
-        "ground_z",
-        "CASE WHEN key % 7 != 0 THEN ground_z - p_size / 4D END AS foundation_z",
+        *_OBJECT, f"CASE WHEN key % 2 = 0 THEN {PLAIN} ELSE {TRIANGLE} END AS geom"
+    )
+
+
+def surveyed_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """The objects with their planar validity; some boxes have a spike and are invalid."""
+    return _footprints(spark, folder).selectExpr(
+        *_OBJECT,
+        f"CASE WHEN key % 38 = 4 THEN {SPIKED} WHEN key % 2 = 0 THEN {PLAIN} ELSE {TRIANGLE} END AS geom",
+        "key % 38 != 4 AS is_valid",
     )
 
 

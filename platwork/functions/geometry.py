@@ -172,8 +172,21 @@ def side(e: str, px: str, py: str) -> str:
     return turn(f"{e}.x1", f"{e}.y1", f"{e}.x2", f"{e}.y2", px, py)
 
 
-def segments_meet(a: str, b: str) -> str:
-    """Closed contact of two segments: boxes overlap and each straddles the other."""
+def sides_of(a: str, b: str) -> dict[str, str]:
+    """On which sides the ends of two segments lie: a's ends of b (a1, a2), b's ends of a (b1, b2)."""
+    return {
+        f"{end}{n}": side(of, f"{p}.x{n}", f"{p}.y{n}")
+        for end, of, p in (("a", b, a), ("b", a, b))
+        for n in (1, 2)
+    }
+
+
+def segments_meet(a: str, b: str, sides: dict[str, str] | None = None) -> str:
+    """Closed contact of two segments: boxes overlap and each straddles the other.
+
+    `sides` are columns with the values of `sides_of`, where these are at hand.
+    """
+    at = sides or sides_of(a, b)
 
     def apart(axis: str) -> str:
         return (
@@ -181,19 +194,15 @@ def segments_meet(a: str, b: str) -> str:
             f"AND least({b}.{axis}1, {b}.{axis}2) <= greatest({a}.{axis}1, {a}.{axis}2)"
         )
 
-    def straddles(s: str, t: str) -> str:
-        first, second = side(s, f"{t}.x1", f"{t}.y1"), side(s, f"{t}.x2", f"{t}.y2")
-        return f"signum({first}) * signum({second}) <= 0"
-
-    return f"({apart('x')} AND {apart('y')} AND {straddles(a, b)} AND {straddles(b, a)})"
+    straddle = " AND ".join(f"signum({at[f'{e}1']}) * signum({at[f'{e}2']}) <= 0" for e in "ba")
+    return f"({apart('x')} AND {apart('y')} AND {straddle})"
 
 
-def _near(px: str, py: str, e: str, limit: str, strict: bool) -> str:
+def _near(px: str, py: str, e: str, limit: str, strict: bool, off: str) -> str:
     """Is a point within a distance of a segment? Free of division, so exact on grid data."""
     dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
     along = f"(({px} - {e}.x1) * {dx} + ({py} - {e}.y1) * {dy})"
     span = f"({dx} * {dx} + {dy} * {dy})"
-    off = side(e, px, py)
     cmp = "<" if strict else "<="
 
     def square(end: str) -> str:
@@ -206,16 +215,23 @@ def _near(px: str, py: str, e: str, limit: str, strict: bool) -> str:
     )
 
 
-def segments_near(a: str, b: str, reach: str, strict: bool = False) -> str:
-    """Do two segments come within a distance of each other?"""
-    limit = f"({reach} * {reach})"
-    return (
-        f"({segments_meet(a, b)}"
-        f" OR {_near(f'{a}.x1', f'{a}.y1', b, limit, strict)}"
-        f" OR {_near(f'{a}.x2', f'{a}.y2', b, limit, strict)}"
-        f" OR {_near(f'{b}.x1', f'{b}.y1', a, limit, strict)}"
-        f" OR {_near(f'{b}.x2', f'{b}.y2', a, limit, strict)})"
+def segments_near(
+    a: str, b: str, reach: str, strict: bool = False, sides: dict[str, str] | None = None
+) -> str:
+    """Do two segments come within a distance of each other?
+
+    The distances of the four ends are one formula over an array: written out four times it
+    outgrows what the JVM compiles.
+    """
+    limit, at = f"({reach} * {reach})", sides or sides_of(a, b)
+    ends = ", ".join(
+        f"named_struct('px', {p}.x{n}, 'py', {p}.y{n}, 'off', {at[f'{end}{n}']}, "
+        f"'x1', {of}.x1, 'y1', {of}.y1, 'x2', {of}.x2, 'y2', {of}.y2, 'limit', {limit})"
+        for end, of, p in (("a", b, a), ("b", a, b))
+        for n in (1, 2)
     )
+    near = _near("nr.px", "nr.py", "nr", "nr.limit", strict, "nr.off")
+    return f"({segments_meet(a, b, sides)} OR exists(array({ends}), nr -> {near}))"
 
 
 def crosses_ray(e: str, px: str, py: str) -> str:
@@ -226,6 +242,14 @@ def crosses_ray(e: str, px: str, py: str) -> str:
     )
 
 
+def crosses_ray_up(e: str, px: str, py: str, at: str | None = None) -> str:
+    """Does an edge cross the ray from a point upwards? Left end included. `at`: the point's side, if at hand."""
+    return (
+        f"((({e}.x1 <= {px}) != ({e}.x2 <= {px})) "
+        f"AND signum({e}.x2 - {e}.x1) * {at or side(e, px, py)} < 0)"
+    )
+
+
 def point_in_polygon(edges: str, px: str, py: str) -> str:
     """Even-odd rule with holes, left and lower borders inside."""
     return f"(size(filter({edges}, ce -> {crosses_ray('ce', px, py)})) % 2 = 1)"
@@ -239,22 +263,6 @@ def on_border(edges: str, px: str, py: str) -> str:
     )
 
 
-def holds_start_of(kind: str, edges: str, other: str) -> str:
-    """Does a polygon hold the first vertex of any part of another shape?"""
-    inside = point_in_polygon(edges, "hv.x1", "hv.y1")
-    return f"({kind} = 'polygon' AND exists({other}, hv -> hv.seq = 0 AND hv.ring = 0 AND {inside}))"
-
-
-def covers_buffer(polygon: str, line: str, reach: str) -> str:
-    """Does a polygon cover a line widened by a distance (common border allowed)?
-
-    The line must start inside and no border edge may come closer than the distance.
-    """
-    contact = segments_near("ea", "eb", reach, strict=True)
-    start = point_in_polygon(polygon, f"{line}[0].x1", f"{line}[0].y1")
-    return f"(NOT exists({line}, ea -> exists({polygon}, eb -> {contact})) AND {start})"
-
-
 # --- overlay area -----------------------------------------------------------------
 
 

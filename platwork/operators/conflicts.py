@@ -13,32 +13,53 @@ from platwork.functions.geometry import (
     edges_of,
     segments_near,
 )
-from platwork.operators.pairs import bbox_pairs, line_pairs, shape_pairs, shaped
+from platwork.operators.pairs import bbox_pairs, edged, extent, line_pairs, shape_pairs
+from platwork.operators.quality import with_validity
 
 AREA_TOLERANCE = 1e-9
 
 
+def checked(features: DataFrame, key: str) -> DataFrame:
+    """The features with their planar validity: as they bring it along, or found out here."""
+    if "is_valid" in features.columns:
+        return features
+    named = features.withColumns({"layer": F.lit("features"), "source_record_id": F.col(key)})
+    return with_validity(named).drop("layer", "source_record_id")
+
+
 def unsound(features: DataFrame) -> Column:
-    """Shapes that must not be matched: empty, with heights, or known to be invalid."""
+    """Shapes that must not be matched: empty, with heights, or not known to be valid."""
     lifted = F.coalesce(F.col("geom.has_z"), F.lit(False))
     empty = F.coalesce(F.size("geom.parts") < 1, F.lit(True))
-    if "is_valid" not in features.columns:
-        return lifted | empty
     return lifted | empty | ~F.coalesce(F.col("is_valid"), F.lit(False))
 
 
-def feature_zone_pairs(features: DataFrame, zones: DataFrame, key: str) -> DataFrame:
-    """Feature x zone pairs that meet (touching counts), with the area in common.
+def _sound(features: DataFrame, key: str, *more: str) -> DataFrame:
+    given = ["is_valid"] if "is_valid" in features.columns else []
+    known = checked(features.select("package_id", key, "geom", *more, *given), key)
+    return known.filter(~unsound(known))
+
+
+def feature_zone_pairs(
+    features: DataFrame, zones: DataFrame, key: str, with_area: bool = True, like: DataFrame | None = None
+) -> DataFrame:
+    """Feature x zone pairs that meet (touching counts), with the area in common if asked for.
+
+    `like` is a table with geom whose shapes are no smaller than the features', where these are
+    costly to read twice.
 
-    `features` needs package_id, the key and geom, and may say whether it is_valid. Unsound
-    shapes (see `unsound`) meet no zone, so nothing is ever permitted on their account.
+    Both sides need package_id, their key and geom, and may say whether they are valid (is_valid);
+    where they don't, it is found out. Unsound features (see `unsound`) meet no zone and unsound
+    zones meet no feature, so nothing is ever permitted on their account.
     """
     return shape_pairs(
-        shaped(features.filter(~unsound(features)), ["package_id", key], "f"),
-        shaped(zones, ["package_id", "zone_id", "allow_demolition"], "z"),
+        edged(_sound(features, key), ["package_id", key], "f"),
+        edged(_sound(zones, "zone_id", "allow_demolition"), ["package_id", "zone_id", "allow_demolition"], "z"),
         "f",
         "z",
         ["package_id", key, "zone_id", "allow_demolition"],
+        with_area,
+        extents=(extent(features if like is None else like), extent(zones)),
     )
 
 
@@ -47,14 +68,17 @@ def permission_rollup(features: DataFrame, pairs: DataFrame, key: str) -> DataFr
 
     Where the features still have their geometry, unsound ones are coded INVALID_GEOMETRY.
     """
-    shaped_ = "geom" in features.columns
-    coded = features.withColumn("code", F.when(unsound(features), "INVALID_GEOMETRY")) if shaped_ else features
+    coded = features
+    if "geom" in features.columns:
+        known = checked(features, key)
+        coded = known.withColumn("code", F.when(unsound(known), "INVALID_GEOMETRY")).select(*features.columns, "code")
+    area_of = "sum(common_area)" if "common_area" in pairs.columns else "double(NULL)"
     matched = pairs.groupBy("package_id", key).agg(
         F.count("*").alias("zone_count"),
         F.min("zone_id").alias("first_zone"),
         F.max("zone_id").alias("last_zone"),
         F.bool_and("allow_demolition").alias("all_allow"),
-        F.sum("common_area").alias("zone_area"),
+        F.expr(area_of).alias("zone_area"),
     )
     return (
         coded.join(matched, ["package_id", key], "left")
@@ -70,17 +94,34 @@ def permission_rollup(features: DataFrame, pairs: DataFrame, key: str) -> DataFr
     )
 
 
-def object_resolution(objects: DataFrame, zones: DataFrame) -> DataFrame:
+def object_resolution(
+    objects: DataFrame, zones: DataFrame, key: str = "object_id", like: DataFrame | None = None
+) -> DataFrame:
     """Per object: do its zones cover it, and do they all allow demolition?
 
-    Zones never overlap, so covering is an equality of areas. Other columns of the
-    objects are kept; the geometry is replaced by its area.
+    Zones never overlap, so covering is an equality of areas; what has no area, or no valid
+    shape, is not covered. Other columns of the objects are kept; the geometry is replaced by
+    its area.
     """
-    pairs = feature_zone_pairs(objects, zones, "object_id")
-    sized = objects.withColumn("own_area", F.expr(area("geom"))).drop("geom")
-    return permission_rollup(sized, pairs, "object_id").withColumn(
+    pairs = feature_zone_pairs(objects, zones, key, like=like)
+    sized = objects.withColumn("own_area", F.expr(area("geom"))).drop("geom", "is_valid")
+    return permission_rollup(sized, pairs, key).withColumn(
         "resolved",
-        F.expr(f"zone_count > 0 AND zone_area >= own_area * (1D - {AREA_TOLERANCE}D)"),
+        F.expr(f"zone_count > 0 AND own_area > 0 AND zone_area >= own_area * (1D - {AREA_TOLERANCE}D)"),
+    )
+
+
+def roles(
+    objects: DataFrame, zones: DataFrame, key: str = "object_id", like: DataFrame | None = None
+) -> DataFrame:
+    """package_id, key and role of objects: demolition, mandatory, or unresolved without sound zones all over."""
+    return object_resolution(objects, zones, key, like).select(
+        "package_id",
+        key,
+        F.when(F.col("resolved") & F.col("allow_demolition"), "demolition")
+        .when(F.col("resolved"), "mandatory")
+        .otherwise("unresolved")
+        .alias("role"),
     )
 
 
@@ -105,10 +146,9 @@ def corridor_object_conflicts(
     """Objects within corridor radius plus control distance."""
     return line_pairs(
         _with_control(corridors, header),
-        shaped(objects, ["package_id", "object_id"], "s"),
+        edged(objects, ["package_id", "object_id"], "s"),
         "radius + control_buffer",
-        LINE_KEYS,
-        ("object_id",),
+        [*LINE_KEYS, "object_id"],
     )
 
 
@@ -116,10 +156,58 @@ def protection_conflicts(corridors: DataFrame, protected: DataFrame) -> DataFram
     """Protected areas within the corridor radius; no control distance here."""
     return line_pairs(
         corridor_lines(corridors),
-        shaped(protected, ["package_id", "area_id"], "s"),
+        edged(protected, ["package_id", "area_id"], "s"),
         "radius",
-        LINE_KEYS,
-        ("area_id",),
+        [*LINE_KEYS, "area_id"],
+    )
+
+
+#: Highest admissible tunnel axis below an object; NULL while a level is unknown.
+CEILING = (
+    "CASE WHEN ground_z IS NOT NULL AND foundation_z IS NOT NULL THEN "
+    "least(ground_z - minimum_cover, foundation_z - foundation_clearance) - outer_height / 2D END"
+)
+
+
+def corridor_hits(
+    corridors: DataFrame,
+    objects: DataFrame,
+    protected: DataFrame | None = None,
+    guards: DataFrame | None = None,
+) -> DataFrame:
+    """What each corridor meets, in one pass over lines and shapes: ids only.
+
+    One row per corridor and shape met: tag (object, protected or boundary), id, the layer, record
+    and quality of boundary records, and the tunnel ceiling that objects with known levels leave.
+    Objects and boundary records count within radius plus control distance, protected areas
+    within the radius. `corridors` has geom, radius and the header's distances.
+    """
+    none = "string(NULL)"
+    kinds = [(objects, "object", "object_id", "geom", (none, none, none), "true", ("ground_z", "foundation_z"))]
+    unknown = ("double(NULL)", "double(NULL)")
+    if protected is not None:
+        kinds.append((protected, "protected", "area_id", "geom", (none, none, none), "false", unknown))
+    if guards is not None:
+        named = ("layer", "source_record_id", "quality")
+        kinds.append((guards, "boundary", "object_id", "guard", named, "true", unknown))
+    shapes = None
+    for df, tag, key, geom, named, controlled, levels in kinds:
+        own = df.selectExpr(
+            "package_id", f"'{tag}' AS tag", f"{key} AS id", f"{geom} AS geom", f"{controlled} AS controlled",
+            *(f"{e} AS {c}" for e, c in zip((*named, *levels), ("layer", "record", "quality", "ground_z", "foundation_z"))),
+        )
+        shapes = own if shapes is None else shapes.unionByName(own)
+    keep = [c for c in shapes.columns if c != "geom"]
+    distances = ["control_buffer", "minimum_cover", "foundation_clearance", "outer_height"]
+    lines = corridors.select(
+        "package_id", "corridor_id", "radius", *distances, F.expr(edges_of("geom")).alias("c_edges")
+    )
+    return line_pairs(
+        lines,
+        edged(shapes, keep, "s"),
+        "radius + if(controlled, control_buffer, 0D)",
+        [*LINE_KEYS, "tag", "id", "layer", "record", "quality", f"{CEILING} AS ceiling_z"],
+        pad="radius + coalesce(control_buffer, 0D)",
     )
 
 
@@ -146,10 +234,9 @@ def boundary_conflicts(corridors: DataFrame, guards: DataFrame, header: DataFram
     keys = ("layer", "source_record_id", "quality")
     return line_pairs(
         _with_control(corridors, header),
-        shaped(guards, ["package_id", *keys], "s", "guard"),
+        edged(guards, ["package_id", *keys], "s", "guard"),
         "radius + control_buffer",
-        LINE_KEYS,
-        keys,
+        [*LINE_KEYS, *keys],
     )
 
 
@@ -232,10 +319,10 @@ def zone_overlaps(zones: DataFrame) -> DataFrame:
 
     def half(tag: str) -> DataFrame:
         named = zones.withColumnRenamed("zone_id", f"{tag}_zone")
-        return shaped(named, ["package_id", f"{tag}_zone"], tag)
+        return edged(named, ["package_id", f"{tag}_zone"], tag)
 
-    pairs = shape_pairs(half("a"), half("b"), "a", "b", ["package_id", "a_zone", "b_zone"])
-    return pairs.filter("a_zone < b_zone AND common_area > 1e-9D").withColumn(
+    pairs = shape_pairs(half("a"), half("b"), "a", "b", ["package_id", "a_zone", "b_zone"], ordered=True)
+    return pairs.filter("common_area > 1e-9D").withColumn(
         "code", F.lit("OVERLAPPING_ZONES")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platwork.functions.geometry import crosses_ray, edges_of, side, turned_edges_of
 from platwork.model import LAND, UNKNOWN, WATER
-from platwork.operators.pairs import bbox_pairs, shape_pairs, shaped
+from platwork.operators.pairs import bbox_pairs, edged, shape_pairs, shaped
 
 BLOCK = 64
 
@@ -320,7 +320,7 @@ def union_coverage_clip(faces: DataFrame) -> DataFrame:
 
 def touching_leftovers(water: DataFrame, coverage: DataFrame) -> DataFrame:
     """Water faces that meet the coverage polygon without any area in common."""
-    left = shaped(water, ["package_id", "face_id"], "w")
-    right = shaped(coverage.withColumnRenamed("face_id", "cover_id"), ["package_id", "cover_id"], "v")
+    left = edged(water, ["package_id", "face_id"], "w")
+    right = edged(coverage.withColumnRenamed("face_id", "cover_id"), ["package_id", "cover_id"], "v")
     pairs = shape_pairs(left, right, "w", "v", ["package_id", "face_id", "cover_id"])
     return pairs.filter("abs(common_area) <= 1e-9D").select("package_id", "face_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from platwork.functions.geometry import (
     bbox_of,
-    crosses_ray,
-    holds_start_of,
+    crosses_ray_up,
     segments_meet,
     segments_near,
     shared_strip,
+    sides_of,
     turned_edges_of,
 )
 
@@ -108,87 +109,198 @@ def shaped(df: DataFrame, keep: Sequence[str], prefix: str, geom: str = "geom")
     )
 
 
-def shape_pairs(
-    left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str]
-) -> DataFrame:
-    """Pairs of shapes that meet (touching counts), with the area they have in common.
+#: Sides of the bins of slabs, level by level.
+SIDES = tuple(2.0 * 4.0**level for level in range(9))
+
+EDGE = ("part", "ring", "seq", "x1", "y1", "x2", "y2", "turn")
+
+
+def edged(df: DataFrame, keep: Sequence[str], prefix: str, geom: str = "geom") -> DataFrame:
+    """One row per edge of every geometry: chosen columns, kind, the edge's fields and its slab, prefixed.
 
-    Both sides come from `shaped` with prefixes a and b. After the bin join each pair is
-    opened into edge pairs, tested by plain arithmetic and folded back by one aggregate
-    with map-side combine: contact of any two edges, or one shape inside the other.
+    The slab is as wide as the edge and as high as its shape. Two shapes' edges have slabs in
+    common exactly where they have to be looked at together: for contact, for the strips that
+    make a common area, and for the edges above a point. So no shape ever travels as a whole.
     """
-    many = f"({a}_parts > 1 OR {b}_parts > 1)"
-    inside = (
-        f"{holds_start_of(f'{b}_kind', f'{b}_edges', f'{a}_edges')}"
-        f" OR {holds_start_of(f'{a}_kind', f'{a}_edges', f'{b}_edges')}"
+    fields = ", ".join(f"'{prefix}_{f}', ed.{f}" for f in EDGE)
+    x = f"{prefix}_x1, {prefix}_x2"
+    return (
+        df.selectExpr(
+            *keep,
+            f"{geom}.kind AS {prefix}_kind",
+            f"{bbox_of(geom)} AS _own",
+            f"inline(transform({turned_edges_of(geom)}, ed -> named_struct({fields})))",
+        )
+        .withColumn(
+            f"{prefix}_box",
+            F.expr(f"named_struct('xmin', least({x}), 'ymin', _own.ymin, 'xmax', greatest({x}), 'ymax', _own.ymax)"),
+        )
+        .drop("_own")
     )
-    kept = [c for c in keys]
-    rows = (
-        bbox_pairs(left, right, f"{a}_box", f"{b}_box")
-        .selectExpr(
-            *kept,
-            f"{a}_kind AS a_kind",
-            f"{b}_kind AS b_kind",
-            f"greatest({a}_box.ymin, {b}_box.ymin) AS base",
-            # Shapes of several parts need each part looked at; the usual single part
-            # is decided by counting crossings in the aggregate.
-            f"{many} AS many",
-            f"CASE WHEN {many} THEN {inside} ELSE false END AS inside",
-            f"{a}_edges AS a_edges",
-            f"{b}_edges AS b_edges",
+
+
+def _level(size: float | None) -> int:
+    return next((n for n, side in enumerate(SIDES) if (size or 0.0) <= 2.0 * side), len(SIDES) - 1)
+
+
+def extent(df: DataFrame, geom: str = "geom") -> tuple[int, int]:
+    """The highest levels, across and up, that the shapes of a table can need; one pass over their boxes."""
+    box = df.selectExpr(f"{bbox_of(geom)} AS b").selectExpr("max(b.xmax - b.xmin)", "max(b.ymax - b.ymin)").first()
+    return tuple(map(_level, box))
+
+
+def _extents(left: DataFrame, right: DataFrame, a: str, b: str) -> list[tuple[int, int]]:
+    """The highest levels of both sides' slabs, in one job."""
+    sizes = [f"max(if(tag = {t}, b.{axis}max - b.{axis}min, 0D))" for t in (0, 1) for axis in "xy"]
+    boxes = left.selectExpr(f"{a} AS b", "0 AS tag").unionByName(right.selectExpr(f"{b} AS b", "1 AS tag"))
+    found = [_level(size) for size in boxes.selectExpr(*sizes).first()]
+    return [tuple(found[:2]), tuple(found[2:])]
+
+
+def _into_slabs(df: DataFrame, box: str, tops: tuple[int, int], others: tuple[int, int], left: bool) -> DataFrame:
+    """One row per bin in which a slab has to be compared; turns and levels go axis by axis (see `_into_bins`).
+
+    No level is visited beyond those that the other side's slabs can have.
+    """
+    rows = df
+    for axis, top, other in zip("xy", tops, others):
+        visits = [
+            # Left ones meet all of the other side's levels from their own on, and lower ones at their own.
+            [*range(own, other + 1), *([100 + own] if own else [])] if left
+            else [own, *[100 + level for level in range(own + 1, other + 1)]]
+            for own in range(top + 1)
+        ]
+        packed = ["array(" + ", ".join(map(str, v)) + ")" if v else "array()" for v in visits]
+        steps = " ".join(
+            f"WHEN {box}.{axis}max - {box}.{axis}min <= {2.0 * SIDES[own]}D THEN {packed[own]}" for own in range(top)
         )
-        .selectExpr(*kept, "a_kind", "b_kind", "base", "many", "inside", "b_edges", "explode(a_edges) AS a")
-        .selectExpr(*kept, "a_kind", "b_kind", "base", "many", "inside", "a", "explode(b_edges) AS b")
-        .selectExpr(
-            *kept,
-            "inside",
-            f"{segments_meet('a', 'b')} AS meet",
-            f"a.seq = 0 AND a.ring = 0 AND NOT many AND b_kind = 'polygon' AND {crosses_ray('b', 'a.x1', 'a.y1')} AS a_ray",
-            f"b.seq = 0 AND b.ring = 0 AND NOT many AND a_kind = 'polygon' AND {crosses_ray('a', 'b.x1', 'b.y1')} AS b_ray",
-            f"CASE WHEN a_kind = 'polygon' AND b_kind = 'polygon' THEN {shared_strip('a', 'b', 'base')} ELSE 0D END AS strip",
+        every = f"CASE {steps} ELSE {packed[top]} END" if steps else packed[top]
+        side_of = f"(2D * pow(4D, _v{axis} % 100))"
+        low, high = f"floor({box}.{axis}min / {side_of})", f"floor({box}.{axis}max / {side_of})"
+        rows = rows.selectExpr("*", f"explode({every}) AS _v{axis}").selectExpr(
+            "*", f"explode(sequence({low}, {high})) AS _b{axis}"
         )
+    return rows
+
+
+def edge_pairs(
+    left: DataFrame, right: DataFrame, a: str, b: str, on: Sequence[str] = ("package_id",),
+    extents: tuple[tuple[int, int], tuple[int, int]] | None = None,
+) -> DataFrame:
+    """All left x right edges whose slabs overlap (touching counts), each pair once.
+
+    Bins are hashed per axis at a level of the slab's own width and height, so a long or tall
+    shape costs rows in proportion to its outline, and edges meet only the few others above or
+    below them. Only levels that the data has are visited: `extents` names both sides' highest
+    ones (see `extent`) where the tables are costly to read twice. Column names of the two sides
+    must differ except for `on`.
+    """
+    keys = [*on, "_vx", "_vy", "_bx", "_by"]
+    a, b = f"{a}_box", f"{b}_box"
+    top_a, top_b = extents or _extents(left, right, a, b)
+    same = " AND ".join(
+        f"{a}.{axis}min <= {b}.{axis}max AND {b}.{axis}min <= {a}.{axis}max "
+        # The bin with the lower end of what is common owns the pair.
+        f"AND floor(greatest({a}.{axis}min, {b}.{axis}min) / (2D * pow(4D, _v{axis} % 100))) = _b{axis}"
+        for axis in "xy"
     )
+    joined = _into_slabs(left, a, top_a, top_b, True).join(_into_slabs(right, b, top_b, top_a, False), keys)
+    return joined.filter(same).drop("_vx", "_vy", "_bx", "_by")
+
+
+def _flat(predicate: str, *prefixes: str) -> str:
+    """A predicate on structs a, b, ... as one on columns a_x1, b_x1, ..."""
+    for p in prefixes:
+        predicate = re.sub(rf"\b{p}\.(?=({'|'.join(EDGE)})\b)", f"{p}_", predicate)
+    return predicate
+
+
+SIDE = {name: f"_side_{name}" for name in ("a1", "a2", "b1", "b2")}
+
+
+def _with_sides(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Edge pairs with the values of `sides_of`, each worked out once; keeps the compiled code short."""
+    return pairs.selectExpr("*", *(f"{_flat(side, a, b)} AS {SIDE[name]}" for name, side in sides_of(a, b).items()))
+
+
+def shape_pairs(
+    left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], with_area: bool = True,
+    ordered: bool = False, extents: tuple[tuple[int, int], tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Pairs of shapes that meet (touching counts), with the area they have in common.
+
+    The last two keys name the shapes; with `ordered` only pairs with the first below the second
+    are compared, as for one table with itself.
+
+    Both sides come from `edged` with prefixes a and b. Edge pairs are tested by plain
+    arithmetic and folded to the pair of shapes by one aggregate with map-side combine:
+    contact of any two edges, or the first vertex of a part of one shape inside the other,
+    which is the parity of the edges above it, part by part.
+    """
+
+    def above(of: str, point: str, at: str) -> str:
+        start = f"{point}_seq = 0 AND {point}_ring = 0 AND {of}_kind = 'polygon'"
+        ray = _flat(crosses_ray_up(of, f"{point}.x1", f"{point}.y1", at), of, point)
+        return f"CASE WHEN {start} AND {ray} THEN xxhash64({point}_part) ELSE 0L END"
+
+    # Over a one-element array, or the formula outgrows what the JVM compiles.
+    both = ", ".join(f"'{p}', named_struct({', '.join(f'{chr(39)}{f}{chr(39)}, {p}_{f}' for f in EDGE[3:])})" for p in (a, b))
+    base = f"greatest({a}_box.ymin, {b}_box.ymin)"
+    strip = f"transform(array(named_struct({both}, 'base', {base})), st -> {shared_strip(f'st.{a}', f'st.{b}', 'st.base')})[0]"
+    met = edge_pairs(left, right, a, b, extents=extents)
+    rows = _with_sides(met.filter(f"{keys[-2]} < {keys[-1]}") if ordered else met, a, b).selectExpr(
+        *keys,
+        f"{_flat(segments_meet(a, b, SIDE), a, b)} AS meet",
+        f"{above(b, a, SIDE['a1'])} AS in_b",
+        f"{above(a, b, SIDE['b1'])} AS in_a",
+        f"CASE WHEN {a}_kind = 'polygon' AND {b}_kind = 'polygon' THEN {strip} ELSE 0D END AS strip"
+        if with_area
+        else "0D AS strip",
+    )
+    # Each part above which the other shape has an odd number of edges leaves its hash.
+    found = [F.bool_or("meet").alias("_meet"), F.bit_xor("in_b").alias("_in_b"), F.bit_xor("in_a").alias("_in_a")]
     return (
-        rows.groupBy(*kept)
-        .agg(
-            F.bool_or(F.expr("meet OR inside")).alias("_meet"),
-            F.count_if("a_ray").alias("_a_rays"),
-            F.count_if("b_ray").alias("_b_rays"),
-            F.sum("strip").alias("common_area"),
-        )
-        .filter("_meet OR _a_rays % 2 = 1 OR _b_rays % 2 = 1")
-        .drop("_meet", "_a_rays", "_b_rays")
+        rows.groupBy(*keys)
+        .agg(*found, *([F.sum("strip").alias("common_area")] if with_area else []))
+        .filter("_meet OR _in_b != 0 OR _in_a != 0")
+        .drop("_meet", "_in_b", "_in_a")
     )
 
 
 def line_pairs(
-    lines: DataFrame, shapes: DataFrame, reach: str, line_keys: Sequence[str], shape_keys: Sequence[str]
+    lines: DataFrame, shapes: DataFrame, reach: str, keys: Sequence[str], pad: str | None = None
 ) -> DataFrame:
-    """Lines x polygons within a distance of each other, limit included.
+    """Lines x polygons within a distance of each other, limit included: their `keys`, once a pair.
 
-    Lines enter the bin join segment by segment, so a long line is compared only along
-    its course. `lines` has c_edges and the columns of `reach`; `shapes` comes from
-    `shaped` with prefix s. Both have package_id.
+    Lines enter the join segment by segment, so a long line is compared only along its course.
+    `lines` has package_id, c_edges and further columns; `shapes` comes from `edged` with prefix
+    s. `reach` and `keys` (columns or expressions with AS) may use columns of either side; `pad`
+    is the greatest reach in columns of the lines alone, where `reach` uses others.
     """
-    keys = [*line_keys, *[k for k in shape_keys if k not in line_keys]]
+    pad = pad or reach
+    kept = [c for c in lines.columns if c != "c_edges"]
+    fields = ", ".join(f"'a_{f}', ed.{f}" for f in ("seq", "x1", "y1", "x2", "y2"))
+    box = ", ".join(
+        f"'{axis}{end}', {fn}(a_{axis}1, a_{axis}2) {sign} _pad"
+        for end, fn, sign in (("min", "least", "-"), ("max", "greatest", "+"))
+        for axis in "xy"
+    )
     segments = (
-        lines.selectExpr(*line_keys, f"{reach} AS reach", "explode(c_edges) AS a")
-        .selectExpr(
-            "*",
-            "named_struct('xmin', least(a.x1, a.x2) - reach, 'ymin', least(a.y1, a.y2) - reach, "
-            "'xmax', greatest(a.x1, a.x2) + reach, 'ymax', greatest(a.y1, a.y2) + reach) AS a_box",
-        )
+        lines.selectExpr(*kept, f"{pad} AS _pad", f"inline(transform(c_edges, ed -> named_struct({fields})))")
+        .selectExpr("*", f"named_struct({box}) AS a_box")
+        .drop("_pad")
     )
+    names = [k.rsplit(" AS ", 1)[-1] for k in keys]
+    beside = "least(s_y1, s_y2) <= a_box.ymax AND greatest(s_y1, s_y2) >= a_box.ymin"
     return (
-        bbox_pairs(segments, shapes, "a_box", "s_box")
-        .selectExpr(*keys, "reach", "a", "explode(s_edges) AS b")
+        _with_sides(edge_pairs(segments, shapes, "a", "s").selectExpr("*", f"{reach} AS _reach"), "a", "s")
         .selectExpr(
             *keys,
-            f"{segments_near('a', 'b', 'reach')} AS near",
+            f"{beside} AND {_flat(segments_near('a', 's', '_reach', sides=SIDE), 'a', 's')} AS near",
             # A line whose first vertex is inside needs no edge contact.
-            f"a.seq = 0 AND {crosses_ray('b', 'a.x1', 'a.y1')} AS ray",
+            f"a_seq = 0 AND s_kind = 'polygon' AND {_flat(crosses_ray_up('s', 'a.x1', 'a.y1', SIDE['a1']), 'a', 's')} AS ray",
         )
-        .groupBy(*keys)
+        .groupBy(*names)
         .agg(F.bool_or("near").alias("_near"), F.count_if("ray").alias("_rays"))
         .filter("_near OR _rays % 2 = 1")
         .drop("_near", "_rays")

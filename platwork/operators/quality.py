@@ -13,7 +13,7 @@ from platwork.functions.geometry import (
     all_finite,
     area,
     bbox_of,
-    edges_of,
+    crosses_ray_up,
     is_empty,
     on_border,
     per_ring,
@@ -21,7 +21,9 @@ from platwork.functions.geometry import (
     ring_edges,
     side,
 )
-from platwork.operators.pairs import bbox_pairs
+from platwork.operators.graphs import close_a_loop, closed_edges
+from platwork.operators.pairs import bbox_pairs, edge_pairs
+from platwork.session import cut_lineage
 
 KEY = ("package_id", "layer", "source_record_id")
 EDGE_BINS = {"base": 1.0, "ratio": 16.0, "levels": 4}
@@ -89,28 +91,47 @@ SAME_RING = "(a.part = b.part AND a.ring = b.ring)"
 NEIGHBOUR = f"({SAME_RING} AND abs(a.seq - b.seq) IN (1, a.n - 1))"
 
 
+def _rings() -> str:
+    """Every ring with two of its vertices, its box and edges.
+
+    Rings that neither cross nor overlap, and touch in one point at most, can't have both of two
+    different vertices on each other's border.
+    """
+    ends = (
+        "aggregate(rg, named_struct('xmin', rg[0].x, 'xmax', rg[0].x, 'ymin', rg[0].y, 'ymax', rg[0].y), (bx, bv) -> "
+        "named_struct('xmin', least(bx.xmin, bv.x), 'xmax', greatest(bx.xmax, bv.x), "
+        "'ymin', least(bx.ymin, bv.y), 'ymax', greatest(bx.ymax, bv.y)))"
+    )
+    ring = (
+        "named_struct('part', pi, 'ring', ri, 'v', array(rg[0], rg[size(rg) div 2]), "
+        f"'box', {ends}, 'edges', {ring_edges('rg', 'pi', 'ri')})"
+    )
+    return f"flatten(transform(geom.parts, (pt, pi) -> transform(pt, (rg, ri) -> {ring})))"
+
+
 def _misplaced_rings() -> str:
-    """A hole leaving its shell, a hole inside a hole, or a part inside a part."""
-    shell = "filter(_edges, x -> x.part = v.part AND x.ring = 0)"
-    hole = "filter(_edges, x -> x.part = s.part AND x.ring = s.ring)"
-    other = "filter(_edges, x -> x.part = s.part)"
+    """A hole leaving its shell, a hole inside a hole, or a part inside a part; looks at boxes first."""
 
-    def strictly_in(border: str) -> str:
-        return (
-            f"({point_in_polygon(border, 'v.x1', 'v.y1')} AND NOT {on_border(border, 'v.x1', 'v.y1')})"
-        )
+    def some_vertex(test: str) -> str:
+        return f"exists(r.v, v -> {test})"
 
+    inside = point_in_polygon("s.edges", "v.x", "v.y")
+    border = on_border("s.edges", "v.x", "v.y")
+    near = "r.box.xmin <= s.box.xmax AND s.box.xmin <= r.box.xmax AND r.box.ymin <= s.box.ymax AND s.box.ymin <= r.box.ymax"
     leaving = (
-        f"exists(_edges, v -> v.ring > 0 AND NOT {point_in_polygon(shell, 'v.x1', 'v.y1')} "
-        f"AND NOT {on_border(shell, 'v.x1', 'v.y1')})"
+        "exists(_rings, r -> r.ring > 0 AND exists(_rings, s -> s.ring = 0 AND s.part = r.part "
+        f"AND {some_vertex(f'NOT {inside} AND NOT {border}')}))"
     )
     nested = (
-        "exists(_edges, v -> v.ring > 0 AND exists(_edges, s -> s.seq = 0 AND s.ring > 0 "
-        f"AND s.part = v.part AND s.ring != v.ring AND {strictly_in(hole)}))"
+        "exists(_rings, r -> r.ring > 0 AND exists(_rings, s -> s.ring > 0 AND s.part = r.part "
+        f"AND s.ring != r.ring AND {near} AND {some_vertex(f'{inside} AND NOT {border}')}))"
     )
+    # Inside another part's shell, and in none of that part's holes.
+    hole = "exists(_rings, h -> h.part = s.part AND h.ring > 0 AND {})"
+    in_hole = hole.format(f"({point_in_polygon('h.edges', 'v.x', 'v.y')} OR {on_border('h.edges', 'v.x', 'v.y')})")
     stacked = (
-        "exists(_edges, v -> exists(_edges, s -> s.seq = 0 AND s.ring = 0 "
-        f"AND s.part != v.part AND {strictly_in(other)}))"
+        "exists(_rings, r -> r.ring = 0 AND exists(_rings, s -> s.ring = 0 AND s.part != r.part "
+        f"AND {near} AND {some_vertex(f'{inside} AND NOT {border} AND NOT {in_hole}')}))"
     )
     many = "(size(geom.parts) > 1 OR exists(geom.parts, p -> size(p) > 1))"
     return f"CASE WHEN {many} THEN {leaving} OR {nested} OR {stacked} ELSE false END"
@@ -128,9 +149,9 @@ def _well_formed() -> str:
 def with_validity(features: DataFrame) -> DataFrame:
     """Add `is_valid`: planar polygon validity; NULL for a null geometry.
 
-    Lines need two distinct points; points are valid. Only polygons meet the edge join.
-    Rings may touch each other once; a chain of three or more rings closing a loop
-    through single touches is not detected.
+    Lines need two distinct points; points are valid. Only polygons meet the edge join. Rings of
+    a part may touch in single points, as long as these close no loop of rings: that would cut
+    the part's inside in two.
     """
     polygons = features.filter(f"geom.kind = 'polygon' AND {all_finite('geom')}")
     contacts = edge_contacts(polygons).selectExpr(
@@ -138,33 +159,39 @@ def with_validity(features: DataFrame) -> DataFrame:
         f"CASE WHEN {NEIGHBOUR} THEN {OVERLAP} WHEN {SAME_RING} THEN true "
         f"ELSE {OVERLAP} OR crossing END AS bad",
     )
-    touch = ", ".join(
-        f"'{axis}', CASE WHEN sa1 = 0 THEN a.{axis}1 WHEN sa2 = 0 THEN a.{axis}2 "
-        f"WHEN sb1 = 0 THEN b.{axis}1 ELSE b.{axis}2 END"
-        for axis in "xy"
-    )
-    # Two rings of a part that touch in two different points cut its inside in two.
+    def end_on(e: str, n: int, other: str) -> str:
+        x, y = f"{e}.x{n}", f"{e}.y{n}"
+        within = " AND ".join(
+            f"{v} BETWEEN least({other}.{c}1, {other}.{c}2) AND greatest({other}.{c}1, {other}.{c}2)"
+            for v, c in ((x, "x"), (y, "y"))
+        )
+        return f"WHEN s{e}{n} = 0 AND {within} THEN named_struct('x', {x}, 'y', {y})"
+
+    spot = " ".join(end_on(e, n, o) for e, o in (("a", "b"), ("b", "a")) for n in (1, 2))
+    touches = "array(named_struct('ring', a.ring, 'spot', spot), named_struct('ring', b.ring, 'spot', spot))"
+    # A part's touches are fewer than its vertices, which its record holds in one row anyway.
     faulty = (
         contacts.selectExpr(
             *KEY,
-            "a.part AS part",
-            "a.ring AS one",
-            "b.ring AS two",
+            "a",
+            "b",
             "bad",
-            f"CASE WHEN NOT {SAME_RING} AND a.part = b.part THEN named_struct({touch}) END AS spot",
+            f"CASE WHEN bad OR {SAME_RING} OR a.part != b.part THEN NULL {spot} END AS spot",
         )
-        .groupBy(*KEY, "part", "one", "two")
-        .agg(F.bool_or("bad").alias("bad"), F.min("spot").alias("s1"), F.max("spot").alias("s2"))
-        .filter("bad OR s1 != s2")
+        .filter("bad OR spot IS NOT NULL")
+        .selectExpr(*KEY, "a.part AS part", "bad", f"explode(if(spot IS NULL, array(NULL), {touches})) AS touch")
+        .groupBy(*KEY, "part")
+        .agg(F.bool_or("bad").alias("bad"), F.collect_set("touch").alias("touches"))
+        # A loop needs two rings and two spots.
+        .withColumn("loop", close_a_loop(F.expr("CASE WHEN NOT bad AND size(touches) > 3 THEN touches END")))
+        .filter("bad OR loop")
         .select(*KEY)
         .distinct()
         .withColumn("_faulty", F.lit(True))
     )
     return (
         features.join(faulty, list(KEY), "left")
-        .withColumn(
-            "_edges", F.expr(f"CASE WHEN geom.kind = 'polygon' THEN {edges_of('geom')} END")
-        )
+        .withColumn("_rings", F.expr(f"CASE WHEN geom.kind = 'polygon' THEN {_rings()} END"))
         .withColumn(
             "is_valid",
             F.expr(
@@ -174,7 +201,7 @@ def with_validity(features: DataFrame) -> DataFrame:
                 f"WHEN _faulty THEN false ELSE NOT ({_misplaced_rings()}) END"
             ),
         )
-        .drop("_faulty", "_edges")
+        .drop("_faulty", "_rings")
     )
 
 
@@ -267,41 +294,43 @@ def segment_nodes(features: DataFrame) -> DataFrame:
     )
 
 
-def even_odd_area(edges: str) -> str:
-    """Area of the points surrounded an odd number of times, by vertical slabs.
+def even_odd_area(edges: DataFrame) -> DataFrame:
+    """Area of the points with an odd number of edges above them, per record.
 
-    Used for the rare invalid records only; cost grows with the square of one record's
-    edges.
+    `edges` are noded sub-edges (start, end), each once. One with an even number of others above
+    its middle is an upper border and counts the strip below it, one with an odd number is a
+    lower border and takes it off. Edges meet in bins of their own width, so a record with very
+    many of them is spread over tasks.
     """
-    det = "((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
-    s = f"try_divide((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1), {det})"
-    t = f"try_divide((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1), {det})"
-    meets = f"CASE WHEN {s} BETWEEN 0D AND 1D AND {t} BETWEEN 0D AND 1D THEN a.x1 + {s} * (a.x2 - a.x1) END"
-    breaks = (
-        f"array_sort(array_distinct(filter(concat(transform({edges}, e -> e.x1), "
-        f"flatten(transform({edges}, a -> transform({edges}, b -> {meets})))), x -> x IS NOT NULL)))"
-    )
-    heights = (
-        f"array_sort(transform(filter({edges}, e -> least(e.x1, e.x2) < mid "
-        "AND greatest(e.x1, e.x2) > mid), e -> e.y1 + (e.y2 - e.y1) * (mid - e.x1) / (e.x2 - e.x1)))"
-    )
-    inside = (
-        f"aggregate(transform({heights}, (y, k) -> if(k % 2 = 1, y, -y)), 0D, (n, w) -> n + w)"
-    )
-    slab = (
-        f"aggregate(array((lo + xs[i + 1]) / 2D), 0D, (z, mid) -> (xs[i + 1] - lo) * {inside})"
-    )
-    slabs = f"transform(slice(xs, 1, greatest(size(xs) - 1, 0)), (lo, i) -> {slab})"
+    fields = ", ".join(f"'{{p}}_{c}', {e}" for c, e in (("x1", "start.x"), ("y1", "start.y"), ("x2", "end.x"), ("y2", "end.y")))
+    # Where an edge looks for others above it, height is no help in finding them.
+    slab = "named_struct('xmin', {}, 'ymin', 0D, 'xmax', {}, 'ymax', 0D)"
+    real = edges.filter("start.x != end.x")
+    lower = real.selectExpr(*KEY, f"inline(array(named_struct({fields.format(p='a')})))").selectExpr(
+        "*", "(a_x1 + a_x2) / 2D AS mx", "(a_y1 + a_y2) / 2D AS my"
+    )
+    lower = lower.withColumn("a_box", F.expr(slab.format("mx", "mx")))
+    upper = real.selectExpr(*KEY, f"inline(array(named_struct({fields.format(p='b')})))").withColumn(
+        "b_box", F.expr(slab.format("b_x1", "b_x2"))
+    )
+    own = ["a_x1", "a_y1", "a_x2", "a_y2"]
+    above = crosses_ray_up("b", "mx", "my").replace("b.", "b_")
+    other = "(a_x1 != b_x1 OR a_y1 != b_y1 OR a_x2 != b_x2 OR a_y2 != b_y2)"
     return (
-        f"aggregate(array({breaks}), 0D, (z, xs) -> aggregate({slabs}, 0D, (n, w) -> n + w))"
+        edge_pairs(lower, upper, "a", "b", on=KEY)
+        .groupBy(*KEY, *own)
+        .agg(F.count_if(F.expr(f"{other} AND {above}")).alias("above"))
+        .groupBy(*KEY)
+        .agg(F.sum(F.expr("(a_x2 - a_x1) * (a_y1 + a_y2) / 2D * if(above % 2 = 0, 1D, -1D)")).alias("even_odd_area"))
     )
 
 
 def repair_review(features: DataFrame) -> DataFrame:
     """Status of each invalid or empty record: what a repair would leave. Never accepted.
 
-    Sub-edges drawn an odd number of times bound area; those drawn an even number of
-    times are leftovers without area. `features` carries is_valid.
+    Sub-edges drawn an odd number of times bound area, and so do those drawn an even number of
+    times that make closed rings among themselves (a ring drawn twice); the others are leftovers
+    without area. `features` carries is_valid.
     """
     doubtful = features.filter(f"geom IS NOT NULL AND (NOT is_valid OR {is_empty('geom')})").selectExpr(
         *KEY,
@@ -309,15 +338,25 @@ def repair_review(features: DataFrame) -> DataFrame:
         "is_valid",
         f"geom.kind = 'polygon' AND NOT geom.has_z AND NOT {is_empty('geom')} "
         f"AND {all_finite('geom')} AS reviewable",
-        f"{edges_of('geom')} AS _edges",
     )
-    parity = (
-        segment_nodes(doubtful.filter("reviewable"))
+    # Noded once, looked at in several ways.
+    nodes = cut_lineage(segment_nodes(doubtful.filter("reviewable")))
+    rings = (
+        nodes.filter("drawn % 2 = 0")
         .groupBy(*KEY)
+        .agg(F.collect_list(F.struct("start", "end")).alias("twice"))
+        .select(*KEY, F.explode(closed_edges(F.col("twice"))).alias("e"))
+        .select(*KEY, "e.start", "e.end")
+    )
+    bounding = nodes.filter("drawn % 2 = 1").select(*KEY, "start", "end").unionByName(rings)
+    parity = (
+        nodes.groupBy(*KEY)
         .agg(
             F.count_if(F.expr("drawn % 2 = 1")).alias("odd"),
             F.count_if(F.expr("drawn % 2 = 0")).alias("even"),
         )
+        .join(rings.groupBy(*KEY).agg(F.count("*").alias("closed")), list(KEY), "left")
+        .join(even_odd_area(bounding), list(KEY), "left")
     )
     return (
         doubtful.join(parity, list(KEY), "left")
@@ -326,15 +365,16 @@ def repair_review(features: DataFrame) -> DataFrame:
             "reviewable",
             "coalesce(odd, 0L) AS odd_edges",
             "coalesce(even, 0L) AS even_edges",
+            "coalesce(closed, 0L) AS closed",
             f"CASE WHEN reviewable THEN {area('geom')} END AS source_area",
-            f"CASE WHEN reviewable THEN {even_odd_area('_edges')} END AS candidate_area",
+            "CASE WHEN reviewable THEN coalesce(even_odd_area, 0D) END AS candidate_area",
         )
         .selectExpr(
             *KEY,
             "CASE WHEN NOT reviewable THEN 'UNSUPPORTED_REVIEW' "
             "WHEN odd_edges = 0 AND even_edges = 0 THEN 'EMPTY_REVIEW' "
-            "WHEN odd_edges > 0 AND even_edges > 0 THEN 'MIXED_DIMENSION_REVIEW' "
-            "WHEN even_edges > 0 THEN 'COLLAPSED_REVIEW' ELSE 'POLYGON_CANDIDATE' END AS status",
+            "WHEN odd_edges + closed = 0 THEN 'COLLAPSED_REVIEW' "
+            "WHEN even_edges > closed THEN 'MIXED_DIMENSION_REVIEW' ELSE 'POLYGON_CANDIDATE' END AS status",
             "odd_edges",
             "even_edges",
             "source_area",

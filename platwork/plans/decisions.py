@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from platwork.functions.geometry import area
 from platwork.operators import conflicts as oc
+from platwork.session import cut_lineage
 
 
 def no_modes() -> Column:
@@ -51,27 +52,47 @@ def ceiling(ground: Column, foundation: Column) -> Column:
     )
 
 
+DISTANCES = ("control_buffer", "minimum_cover", "foundation_clearance", "outer_height")
+
+
+def _features_met(hits: DataFrame, objects: DataFrame, guards: DataFrame | None = None) -> DataFrame:
+    """The objects (and guards with an area) that any corridor meets: package_id, feature (tag, id), geom, is_valid."""
+
+    def met(df: DataFrame, tag: str, geom: str, valid: str) -> DataFrame:
+        ids = hits.filter(F.col("tag") == tag).select("package_id", F.col("id").alias("object_id"))
+        return df.join(ids, ["package_id", "object_id"], "left_semi").selectExpr(
+            "package_id", f"named_struct('tag', '{tag}', 'id', object_id) AS feature", f"{geom} AS geom", *([valid] if valid else [])
+        )
+
+    given = "is_valid" if "is_valid" in objects.columns else ""
+    own = met(objects, "object", "geom", given)
+    if guards is None:
+        return own
+    # A guard is a valid source or a box.
+    solid = met(guards.filter(f"{area('guard')} > 0"), "boundary", "guard", "true AS is_valid")
+    return (own if given else oc.checked(own, "feature")).unionByName(solid)
+
+
+def hit_roles(hits: DataFrame, objects: DataFrame, zones: DataFrame, guards: DataFrame | None = None) -> DataFrame:
+    """package_id, tag, id and role of what corridors meet; only that is compared with zones."""
+    like = objects.select("geom")
+    if guards is not None:
+        like = like.unionByName(guards.select(F.col("guard").alias("geom")))
+    return oc.roles(_features_met(hits, objects, guards), zones, "feature", like).select(
+        "package_id", "feature.tag", "feature.id", "role"
+    )
+
+
 def conflict_items(
     corridors: DataFrame, objects: DataFrame, zones: DataFrame, header: DataFrame
 ) -> DataFrame:
     """One row per corridor and object met, with its role and tunnel ceiling."""
-    hits = oc.corridor_object_conflicts(corridors, objects, header)
-    facts = oc.object_resolution(
-        objects.select("package_id", "object_id", "geom", "ground_z", "foundation_z"), zones
-    )
-    levels = header.select(
-        "package_id", "minimum_cover", "foundation_clearance", "outer_height"
-    )
-    facts = facts.join(levels, "package_id").select(
-        "package_id",
-        "object_id",
-        F.when(F.col("resolved") & F.col("allow_demolition"), "demolition")
-        .when(F.col("resolved"), "mandatory")
-        .otherwise("unresolved")
-        .alias("role"),
-        ceiling(F.col("ground_z"), F.col("foundation_z")).alias("ceiling_z"),
+    lines = corridors.join(header.select("package_id", *DISTANCES), "package_id")
+    # Ids of hits are few beside the shapes, and used twice.
+    hits = cut_lineage(oc.corridor_hits(lines, objects))
+    return hits.join(hit_roles(hits, objects, zones), ["package_id", "tag", "id"]).select(
+        "package_id", F.col("id").alias("object_id"), "corridor_id", "role", "ceiling_z"
     )
-    return hits.join(facts, ["package_id", "object_id"])
 
 
 def conflict_rollup(items: DataFrame, *extra: Column) -> DataFrame:
@@ -89,12 +110,9 @@ def conflict_rollup(items: DataFrame, *extra: Column) -> DataFrame:
     )
 
 
-def protected_corridors(corridors: DataFrame, protected: DataFrame) -> DataFrame:
-    return (
-        oc.protection_conflicts(corridors, protected)
-        .groupBy("package_id", "corridor_id")
-        .agg(F.count("*").alias("n_protected"))
-    )
+def protected_met() -> Column:
+    """Of items with a tag: the number of protected areas that a corridor meets."""
+    return F.count_if(F.col("tag") == "protected").alias("n_protected")
 
 
 def cascade(facts: DataFrame) -> DataFrame:
@@ -177,16 +195,19 @@ def decide_conflicts(
     protected: DataFrame,
     header: DataFrame,
 ) -> DataFrame:
-    """One verdict per corridor."""
+    """One verdict per corridor.
+
+    Hits come first, as ids and in one pass over objects and protected areas; then only the
+    objects met are compared with zones. Objects and zones are expected to say whether they are
+    valid (is_valid), or are looked at; invalid ones clear nothing.
+    """
     requests = admitted(corridors, headed(header))
     # Stale and foreign requests are answered without touching the spatial joins.
-    live = requests.filter("entry_code IS NULL").select("package_id", "corridor_id", "geom", "radius")
+    live = requests.filter("entry_code IS NULL").select("package_id", "corridor_id", "geom", "radius", *DISTANCES)
     keys = ["package_id", "corridor_id"]
-    facts = (
-        requests.drop("geom")
-        .join(protected_corridors(live, protected), keys, "left")
-        .join(conflict_rollup(conflict_items(live, objects, zones, header)), keys, "left")
-    )
+    hits = cut_lineage(oc.corridor_hits(live, objects, protected))
+    items = hits.join(hit_roles(hits, objects, zones), ["package_id", "tag", "id"], "left")
+    facts = requests.drop("geom").join(conflict_rollup(items.withColumnRenamed("id", "object_id"), protected_met()), keys, "left")
     return cascade(facts).select(*keys, F.col("revision").alias("input_revision"), *VERDICT_COLUMNS)
 
 
@@ -260,35 +281,29 @@ def decide_with_boundary_quality(
     )
     live = (
         requests.filter("entry_code IS NULL")
-        .select("package_id", "corridor_id", "geom", "radius")
+        .select("package_id", "corridor_id", "geom", "radius", *DISTANCES)
         .dropDuplicates(["package_id", "corridor_id"])
     )
 
-    solid = guards.filter(f"{area('guard')} > 0").select(
-        "package_id", "layer", "source_record_id", "object_id", F.col("guard").alias("geom")
-    )
-    roles = oc.object_resolution(solid, zones).select(
-        "package_id",
-        "object_id",
-        F.when(F.col("resolved") & F.col("allow_demolition"), "demolition")
-        .when(F.col("resolved"), "mandatory")
-        .otherwise("unresolved")
-        .alias("role"),
-    )
-    # Ids of guards with an area that a known object carries too. Only ids are compared.
-    known = objects.select("package_id", "object_id").distinct().withColumn("taken", F.lit(True))
+    hits = cut_lineage(oc.corridor_hits(live, objects, protected, guards))
+    # Ids of guards met that a known object carries too. Only ids are compared.
+    ids = hits.filter("tag = 'boundary'").select("package_id", F.col("id").alias("object_id"))
+    taken = objects.select("package_id", "object_id").join(ids, ["package_id", "object_id"], "left_semi")
     roles = (
-        roles.distinct()
-        .join(known, ["package_id", "object_id"], "left")
-        .withColumn("taken", F.coalesce("taken", F.lit(False)))
+        hit_roles(hits, objects, zones, guards)
+        .withColumn("taken", F.lit(False))
+        .unionByName(
+            taken.selectExpr("package_id", "'boundary' AS tag", "object_id AS id", "string(NULL) AS role", "true AS taken")
+        )
+        # Records that share an id get the least favourable role of theirs.
+        .groupBy("package_id", "tag", "id")
+        .agg(F.max("role").alias("role"), F.bool_or("taken").alias("taken"))
     )
-    described = guards.select(
-        "package_id", "layer", "source_record_id", "object_id"
-    ).join(roles, ["package_id", "object_id"], "left")
-    boundary_items = (
-        oc.boundary_conflicts(live, guards, header)
-        .join(described, ["package_id", "layer", "source_record_id"])
-        .withColumn("degraded", F.col("quality") != "VALID_PLANAR_SOURCE")
+    items = hits.join(roles, ["package_id", "tag", "id"], "left").withColumn(
+        "degraded", F.col("quality") != "VALID_PLANAR_SOURCE"
+    )
+    boundary_items = items.filter("tag = 'boundary'").withColumn(
+        "taken", F.col("taken") & F.col("role").isNotNull()
     )
     role = F.col("role")
     boundary = boundary_items.groupBy(*keys).agg(
@@ -300,10 +315,11 @@ def decide_with_boundary_quality(
         F.count_if(F.col("degraded") & (role == "demolition")).alias("b_kept"),
         F.bool_or(F.coalesce("taken", F.lit(False))).alias("b_taken"),
     )
-    core = conflict_rollup(conflict_items(live, objects, zones, header))
+    core = conflict_rollup(
+        items.filter("tag != 'boundary'").withColumnRenamed("id", "object_id"), protected_met()
+    )
     facts = (
         requests.drop("geom", "coverage")
-        .join(protected_corridors(live, protected), ["package_id", "corridor_id"], "left")
         .join(core, ["package_id", "corridor_id"], "left")
         .join(boundary, keys, "left")
         .join(oc.unlocatable_counts(guards), ["package_id", "layer"], "left")

@@ -29,7 +29,7 @@ def layer_profile(features: DataFrame, zones: DataFrame | None = None) -> DataFr
         rows = rows.withColumn("_met", F.lit(False))
     else:
         met = (
-            feature_zone_pairs(rows.filter(building).select("package_id", "_key", "geom"), zones, "_key")
+            feature_zone_pairs(rows.filter(building).select("package_id", "_key", "geom", "is_valid"), zones, "_key", with_area=False)
             .select("package_id", "_key")
             .distinct()
             .withColumn("_met", F.lit(True))

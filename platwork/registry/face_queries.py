@@ -119,7 +119,7 @@ def ag4_layer_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ag4_layer_profile_with_zones(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.layer_profile(fx.network_features(spark, sf), fx.zones(spark, sf)).drop("package_id")
+    return pr.layer_profile(fx.network_features(spark, sf), fx.surveyed_zones(spark, sf)).drop("package_id")
 
 
 def fn24_object_identity(spark: SparkSession, sf: str) -> DataFrame:

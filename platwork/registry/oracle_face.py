@@ -174,7 +174,7 @@ oracle(
          count(*) FILTER (WHERE ok AND layer = 'Building' AND NOT met) AS pending_association,
          count(*) FILTER (WHERE ok AND layer = 'Building') AS foundation_unknown
        FROM (SELECT *, source_record_id IN (SELECT okey::VARCHAR FROM d_objects
-           JOIN d_zones ON x0 <= zx1 AND zx0 <= x0 + w AND y0 <= zy1 AND zy0 <= y0 + h) AS met, code = 'valid_planar_geometry' AS ok FROM d_normal) GROUP BY layer""",
+           JOIN d_zones ON zone_ok AND x0 <= zx1 AND zx0 <= x0 + w AND y0 <= zy1 AND zy0 <= y0 + h) AS met, code = 'valid_planar_geometry' AS ok FROM d_normal) GROUP BY layer""",
 )
 
 # --- geometry quality ---------------------------------------------------------------------

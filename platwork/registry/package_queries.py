@@ -733,8 +733,8 @@ def st1_stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "decisions")
     requests = fx.corridors_of(st.event_stream(spark, sf), "ts")
     tables = (
-        fx.objects(spark, sf),
-        fx.zones(spark, sf),
+        fx.surveyed_objects(spark, sf),
+        fx.surveyed_zones(spark, sf),
         fx.protected(spark, sf),
         fx.snapshot_header(spark, sf),
     )

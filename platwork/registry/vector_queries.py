@@ -14,7 +14,7 @@ from platwork.functions.geometry import (
     raised,
 )
 from platwork.operators import conflicts as oc
-from platwork.operators.pairs import bbox_pairs, line_pairs, shaped
+from platwork.operators.pairs import bbox_pairs, edged, line_pairs, shaped
 from platwork.operators.quality import object_identity, source_quality, with_validity
 from platwork.plans import decisions as pd
 from platwork.session import cut_lineage
@@ -31,7 +31,7 @@ def sp1_spatial_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sp2_intersects(spark: SparkSession, sf: str) -> DataFrame:
-    return oc.feature_zone_pairs(fx.objects(spark, sf), fx.zones(spark, sf), "object_id").select(
+    return oc.feature_zone_pairs(fx.surveyed_objects(spark, sf), fx.surveyed_zones(spark, sf), "object_id", with_area=False).select(
         "object_id", "zone_id"
     )
 
@@ -39,10 +39,9 @@ def sp2_intersects(spark: SparkSession, sf: str) -> DataFrame:
 def sp3_within_distance(spark: SparkSession, sf: str) -> DataFrame:
     return line_pairs(
         oc.corridor_lines(fx.corridors(spark, sf)),
-        shaped(fx.objects(spark, sf), ["package_id", "object_id"], "s"),
+        edged(fx.objects(spark, sf), ["package_id", "object_id"], "s"),
         "radius + 0.25D",
-        oc.LINE_KEYS,
-        ("object_id",),
+        [*oc.LINE_KEYS, "object_id"],
     ).drop("package_id")
 
 
@@ -70,7 +69,7 @@ def sp5_zone_overlap_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def sp6_intersection_area(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        oc.feature_zone_pairs(fx.objects(spark, sf), fx.zones(spark, sf), "object_id")
+        oc.feature_zone_pairs(fx.surveyed_objects(spark, sf), fx.surveyed_zones(spark, sf), "object_id")
         .filter("common_area > 1e-9D")
         .select("object_id", "zone_id", F.round("common_area", 6).alias("common_area"))
     )
@@ -78,30 +77,31 @@ def sp6_intersection_area(spark: SparkSession, sf: str) -> DataFrame:
 
 def _point_and_object_features(spark: SparkSession, sf: str) -> DataFrame:
     # Every eleventh object carries heights, which no zone may answer for.
-    objects = fx.objects(spark, sf).select(
+    objects = fx.surveyed_objects(spark, sf).select(
         "package_id",
         F.col("object_id").alias("feature_id"),
         F.expr(f"if(bigint(substring(object_id, 2)) % 11 = 4, {raised('geom')}, geom)").alias("geom"),
+        "is_valid",
     )
-    return fx.zone_points(spark, sf).unionByName(objects)
+    return fx.zone_points(spark, sf).withColumn("is_valid", F.lit(True)).unionByName(objects)
 
 
 def jn6_zone_association(spark: SparkSession, sf: str) -> DataFrame:
     features = _point_and_object_features(spark, sf)
-    pairs = oc.feature_zone_pairs(features, fx.zones(spark, sf), "feature_id")
-    return oc.permission_rollup(features, pairs, "feature_id").drop("package_id", "zone_area", "geom")
+    pairs = oc.feature_zone_pairs(features, fx.surveyed_zones(spark, sf), "feature_id", with_area=False)
+    return oc.permission_rollup(features, pairs, "feature_id").drop("package_id", "zone_area", "geom", "is_valid")
 
 
 def jn6_zone_association_pairs(spark: SparkSession, sf: str) -> DataFrame:
     features = _point_and_object_features(spark, sf)
-    return oc.feature_zone_pairs(features, fx.zones(spark, sf), "feature_id").select(
+    return oc.feature_zone_pairs(features, fx.surveyed_zones(spark, sf), "feature_id", with_area=False).select(
         "feature_id", "zone_id"
     )
 
 
 def ag9_permission_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    objects = fx.objects(spark, sf)
-    pairs = oc.feature_zone_pairs(objects, fx.zones(spark, sf), "object_id")
+    objects = fx.surveyed_objects(spark, sf)
+    pairs = oc.feature_zone_pairs(objects, fx.surveyed_zones(spark, sf), "object_id", with_area=False)
     return oc.permission_rollup(objects.select("package_id", "object_id"), pairs, "object_id").drop(
         "package_id", "zone_area"
     )
@@ -118,7 +118,7 @@ def jn8_protection_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn9_zone_cover(spark: SparkSession, sf: str) -> DataFrame:
-    return oc.object_resolution(fx.objects(spark, sf), fx.zones(spark, sf)).select(
+    return oc.object_resolution(fx.surveyed_objects(spark, sf), fx.surveyed_zones(spark, sf)).select(
         "object_id",
         F.round("own_area", 6).alias("own_area"),
         F.round("zone_area", 6).alias("zone_area"),
@@ -131,8 +131,8 @@ def _live_items(spark: SparkSession, sf: str) -> DataFrame:
     live = pd.admitted(fx.corridors(spark, sf), pd.headed(header)).filter("entry_code IS NULL")
     return pd.conflict_items(
         live.select("package_id", "corridor_id", "geom", "radius"),
-        fx.objects(spark, sf),
-        fx.zones(spark, sf),
+        fx.surveyed_objects(spark, sf),
+        fx.surveyed_zones(spark, sf),
         header,
     )
 
@@ -155,8 +155,8 @@ def d1_decide_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(
         pd.decide_conflicts(
             fx.corridors(spark, sf),
-            fx.objects(spark, sf),
-            fx.zones(spark, sf),
+            fx.surveyed_objects(spark, sf),
+            fx.surveyed_zones(spark, sf),
             fx.protected(spark, sf),
             fx.snapshot_header(spark, sf),
         )
@@ -168,8 +168,8 @@ def d1_incomplete_data(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(
         pd.decide_conflicts(
             fx.corridors(spark, sf),
-            fx.objects(spark, sf),
-            fx.zones(spark, sf),
+            fx.surveyed_objects(spark, sf),
+            fx.surveyed_zones(spark, sf),
             fx.protected(spark, sf),
             fx.snapshot_header(spark, sf).withColumn("existing_data_complete", F.lit(False)),
         )
@@ -177,7 +177,7 @@ def d1_incomplete_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d2_tunnel_ceilings(spark: SparkSession, sf: str) -> DataFrame:
-    facts = oc.object_resolution(fx.objects(spark, sf), fx.zones(spark, sf)).filter(
+    facts = oc.object_resolution(fx.surveyed_objects(spark, sf), fx.surveyed_zones(spark, sf)).filter(
         "NOT (resolved AND allow_demolition)"
     )
     return facts.join(fx.snapshot_header(spark, sf), "package_id").select(
@@ -280,8 +280,8 @@ def d3_decide_with_boundary_quality(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(
         pd.decide_with_boundary_quality(
             corridors,
-            fx.objects(spark, sf),
-            fx.zones(spark, sf),
+            fx.surveyed_objects(spark, sf),
+            fx.surveyed_zones(spark, sf),
             fx.protected(spark, sf),
             fx.snapshot_header(spark, sf),
             # Graded once, used by several joins: a snapshot table in a real lake.

@@ -233,3 +233,97 @@ def test_corridor_rules(spark):
     codes = [r[0] for r in df.orderBy(F.desc("corridor_id")).select(fr.corridor_rules()).collect()]
     assert codes[0] == []
     assert codes[1] == ["INVALID_ID", "INVALID_GEOMETRY", "INVALID_ENVELOPE", "INVALID_ASSET", "INVALID_NUMBER"]
+
+
+def _outline(n, radius, shift=0.0):
+    import math
+
+    points = [
+        (shift + (radius + (i % 2) * 0.5) * math.cos(2 * math.pi * i / n), (radius + (i % 2) * 0.5) * math.sin(2 * math.pi * i / n))
+        for i in range(n)
+    ]
+    return sh.polygon([*points, points[0]])
+
+
+def test_two_outlines_of_many_vertices(spark):
+    shapes = features(spark, f=_outline(5000, 40.0), far=_outline(5000, 40.0, 500.0)).withColumn("is_valid", F.lit(True))
+    table = zones(spark, z=(_outline(5000, 40.0, 30.0), True), around=(sh.box(-1000, -1000, 1000, 1000), True))
+    table = table.withColumn("is_valid", F.lit(True))
+    got = {(r.object_id, r.zone_id): r.common_area for r in oc.feature_zone_pairs(shapes, table, "object_id").collect()}
+    own = spark.createDataFrame([(_outline(5000, 40.0),)], f"geom {GEOMETRY}").select(F.expr(geo.area("geom"))).first()[0]
+    assert set(got) == {("f", "z"), ("f", "around"), ("far", "around")}
+    assert got["f", "around"] == pytest.approx(own, rel=1e-9) and 0.4 * own < got["f", "z"] < 0.6 * own
+
+
+def test_invalid_objects_and_zones_match_nothing(spark):
+    """Without a column that says so, validity is found out."""
+    twisted = sh.polygon([(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)])
+    table = zones(spark, good=(sh.box(-9, -9, 0.5, 9), True), bad=(twisted, True))
+    shapes = features(spark, sound=sh.box(0, 1, 0.25, 2), bow=twisted, point=sh.point(0.1, 1.5))
+    found = {(r.object_id, r.zone_id) for r in oc.feature_zone_pairs(shapes, table, "object_id").collect()}
+    assert found == {("sound", "good"), ("point", "good")}
+    rows = {r.object_id: r for r in oc.object_resolution(shapes, table).collect()}
+    assert rows["sound"].resolved and not rows["bow"].resolved and not rows["point"].resolved
+
+
+def validity(spark, *rings):
+    rows = [("p", "l", "r", sh.polygon(*rings))]
+    df = spark.createDataFrame(rows, f"package_id string, layer string, source_record_id string, geom {GEOMETRY}")
+    return oq.with_validity(df).first().is_valid
+
+
+def _ring(*points):
+    return [*points, points[0]]
+
+
+def test_rings_that_close_a_loop_cut_the_inside(spark):
+    shell = _ring((0, 0), (20, 0), (20, 20), (0, 20))
+    one, two = _ring((4, 4), (8, 4), (6, 8)), _ring((8, 4), (12, 4), (10, 8))
+    three = _ring((6, 8), (10, 8), (8, 12))
+    assert validity(spark, shell, one, two) and validity(spark, shell, one)
+    assert not validity(spark, shell, one, two, three)
+    # Through the shell: two holes that touch each other and the border.
+    assert not validity(spark, shell, _ring((0, 5), (5, 5), (5, 8)), _ring((5, 5), (10, 0), (12, 5)))
+    assert validity(spark, shell, _ring((0, 5), (5, 5), (5, 8)), _ring((5, 5), (10, 1), (12, 5)))
+
+
+def test_many_rings(spark):
+    holes = [_ring((x, y), (x + 1, y), (x + 0.5, y + 1)) for x in range(1, 41, 2) for y in range(1, 21, 2)]
+    shell = _ring((0, 0), (50, 0), (50, 30), (0, 30))
+    assert len(holes) == 200 and validity(spark, shell, *holes)
+    assert not validity(spark, shell, *holes, _ring((1.4, 1.2), (1.6, 1.2), (1.5, 1.4)))
+
+
+def review(spark, *rings):
+    rows = [("p", "l", "r", sh.polygon(*rings), False)]
+    df = spark.createDataFrame(
+        rows, f"package_id string, layer string, source_record_id string, geom {GEOMETRY}, is_valid boolean"
+    )
+    return oq.repair_review(df).first()
+
+
+def test_even_odd_area_of_doubtful_rings(spark):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    twice = review(spark, [*square, *square, square[0]])
+    assert (twice.status, twice.candidate_area) == ("POLYGON_CANDIDATE", 16.0)
+    spike = review(spark, _ring((0, 0), (2, 0), (2, 2), (1, 1), (2, 2), (0, 2)))
+    assert (spike.status, spike.candidate_area) == ("MIXED_DIMENSION_REVIEW", 4.0)
+    flat = review(spark, _ring((0, 0), (1, 1), (1, 2), (1, 1)))
+    assert (flat.status, flat.candidate_area) == ("COLLAPSED_REVIEW", 0.0)
+    bow = review(spark, _ring((0, 0), (4, 4), (4, 0), (0, 4)))
+    assert (bow.status, bow.candidate_area) == ("POLYGON_CANDIDATE", 8.0)
+    # An inner square drawn twice is a hole, drawn once as well.
+    inner = [(1, 1), (2, 1), (2, 2), (1, 2)]
+    hole = review(spark, _ring(*square), [*inner, *inner, inner[0]])
+    assert (hole.status, hole.candidate_area) == ("POLYGON_CANDIDATE", 15.0)
+
+
+def test_even_odd_area_of_a_record_of_very_many_edges(spark):
+    n = 20_000
+    star = _outline(n, 500.0)[2][0][0]
+    edges = spark.createDataFrame(
+        [("p", "l", "r", *sorted((a, b))) for a, b in zip(star, star[1:])],
+        "package_id string, layer string, source_record_id string, start struct<x:double,y:double>, end struct<x:double,y:double>",
+    )
+    own = spark.createDataFrame([(_outline(n, 500.0),)], f"geom {GEOMETRY}").select(F.expr(geo.area("geom"))).first()[0]
+    assert oq.even_odd_area(edges).first().even_odd_area == pytest.approx(own, rel=1e-9)

@@ -137,6 +137,15 @@ CASES = {
         dict(corridor=one(geom=sh.line((50, 50), (51, 51))), objs=(("b", ZONE, 100.0, 95.0),)),
         "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
     ),
+    # Nothing is cleared on account of an invalid shape.
+    "twisted_object": (
+        dict(objs=(("b1", sh.polygon([(40, 40), (60, 60), (60, 40), (40, 60), (40, 40)]), 100.0, 95.0),), zs=(("z", ZONE, True),)),
+        "data_insufficient", "EXISTING_COVERAGE_OR_ZONES_UNKNOWN", ["tunnel"],
+    ),
+    "twisted_zone": (
+        dict(zs=(("z", sh.polygon([(0, 0), (100, 100), (100, 0), (0, 100), (0, 0)]), True),)),
+        "data_insufficient", "EXISTING_COVERAGE_OR_ZONES_UNKNOWN", ["tunnel"],
+    ),
     "touching_neighbour_forbids": (
         dict(zs=(("a", sh.box(0, 0, 100, 60), True), ("b", sh.box(0, 60, 100, 99), False))),
         "tunnel_required", "LOWER_ONLY_NO_OVERPASS", ["tunnel"],
