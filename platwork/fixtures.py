@@ -404,6 +404,22 @@ def water_faces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rim_faces(spark: SparkSession, folder: str) -> DataFrame:
+    """Water faces outside the coverage that touch its right border: boxes along it, triangles in a point."""
+    high = plane_height(spark, folder)
+    tip = ring_geom([("80", "y + 1"), ("84", "y"), ("84", "y + 2"), ("80", "y + 1")])
+    return (
+        table(spark, folder, "nation")
+        .selectExpr("n_nationkey AS key", f"double(n_nationkey * {high}L div 25) AS y")
+        .selectExpr(
+            city("key"),
+            "'water' AS role",
+            "concat('e', key) AS face_id",
+            f"CASE WHEN key % 2 = 0 THEN {box_geom('80', 'y', '84', 'y + 3')} ELSE {tip} END AS geom",
+        )
+    )
+
+
 def water_coverage(spark: SparkSession, folder: str) -> DataFrame:
     high = plane_height(spark, folder)
     return (

@@ -319,8 +319,13 @@ def union_coverage_clip(faces: DataFrame) -> DataFrame:
 
 
 def touching_leftovers(water: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Water faces that meet the coverage polygon without any area in common."""
+    """Water faces that meet the coverage polygon without any area in common, and in what form they do.
+
+    form is LineString where borders share a stretch, else Point.
+    """
     left = edged(water, ["package_id", "face_id"], "w")
     right = edged(coverage.withColumnRenamed("face_id", "cover_id"), ["package_id", "cover_id"], "v")
-    pairs = shape_pairs(left, right, "w", "v", ["package_id", "face_id", "cover_id"])
-    return pairs.filter("abs(common_area) <= 1e-9D").select("package_id", "face_id")
+    pairs = shape_pairs(left, right, "w", "v", ["package_id", "face_id", "cover_id"], with_form=True)
+    return pairs.filter("abs(common_area) <= 1e-9D").selectExpr(
+        "package_id", "face_id", "if(along, 'LineString', 'Point') AS form"
+    )

@@ -226,11 +226,13 @@ def _with_sides(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def shape_pairs(
     left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], with_area: bool = True,
     ordered: bool = False, extents: tuple[tuple[int, int], tuple[int, int]] | None = None,
+    with_form: bool = False,
 ) -> DataFrame:
     """Pairs of shapes that meet (touching counts), with the area they have in common.
 
     The last two keys name the shapes; with `ordered` only pairs with the first below the second
-    are compared, as for one table with itself.
+    are compared, as for one table with itself, and `with_form` tells whether any of their edges
+    run `along` each other, which is more than single points.
 
     Both sides come from `edged` with prefixes a and b. Edge pairs are tested by plain
     arithmetic and folded to the pair of shapes by one aggregate with map-side combine:
@@ -247,6 +249,12 @@ def shape_pairs(
     both = ", ".join(f"'{p}', named_struct({', '.join(f'{chr(39)}{f}{chr(39)}, {p}_{f}' for f in EDGE[3:])})" for p in (a, b))
     base = f"greatest({a}_box.ymin, {b}_box.ymin)"
     strip = f"transform(array(named_struct({both}, 'base', {base})), st -> {shared_strip(f'st.{a}', f'st.{b}', 'st.base')})[0]"
+    level = " AND ".join(f"{c} = 0" for c in SIDE.values())
+    stretch = " OR ".join(
+        f"least(greatest({a}_{c}1, {a}_{c}2), greatest({b}_{c}1, {b}_{c}2)) > greatest(least({a}_{c}1, {a}_{c}2), least({b}_{c}1, {b}_{c}2))"
+        for c in "xy"
+    )
+    along = f"{level} AND {_flat(segments_meet(a, b, SIDE), a, b)} AND ({stretch})"
     met = edge_pairs(left, right, a, b, extents=extents)
     rows = _with_sides(met.filter(f"{keys[-2]} < {keys[-1]}") if ordered else met, a, b).selectExpr(
         *keys,
@@ -256,12 +264,17 @@ def shape_pairs(
         f"CASE WHEN {a}_kind = 'polygon' AND {b}_kind = 'polygon' THEN {strip} ELSE 0D END AS strip"
         if with_area
         else "0D AS strip",
+        f"{along} AS along" if with_form else "false AS along",
     )
     # Each part above which the other shape has an odd number of edges leaves its hash.
     found = [F.bool_or("meet").alias("_meet"), F.bit_xor("in_b").alias("_in_b"), F.bit_xor("in_a").alias("_in_a")]
     return (
         rows.groupBy(*keys)
-        .agg(*found, *([F.sum("strip").alias("common_area")] if with_area else []))
+        .agg(
+            *found,
+            *([F.sum("strip").alias("common_area")] if with_area else []),
+            *([F.bool_or("along").alias("along")] if with_form else []),
+        )
         .filter("_meet OR _in_b != 0 OR _in_a != 0")
         .drop("_meet", "_in_b", "_in_a")
     )

@@ -23,7 +23,7 @@ from platwork.functions.geometry import (
 )
 from platwork.operators.graphs import close_a_loop, closed_edges
 from platwork.operators.pairs import bbox_pairs, edge_pairs
-from platwork.session import cut_lineage
+from platwork.session import stored
 
 KEY = ("package_id", "layer", "source_record_id")
 EDGE_BINS = {"base": 1.0, "ratio": 16.0, "levels": 4}
@@ -340,7 +340,7 @@ def repair_review(features: DataFrame) -> DataFrame:
         f"AND {all_finite('geom')} AS reviewable",
     )
     # Noded once, looked at in several ways.
-    nodes = cut_lineage(segment_nodes(doubtful.filter("reviewable")))
+    nodes = stored(segment_nodes(doubtful.filter("reviewable")), "nodes")
     rings = (
         nodes.filter("drawn % 2 = 0")
         .groupBy(*KEY)

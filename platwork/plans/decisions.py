@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from platwork.functions.geometry import area
 from platwork.operators import conflicts as oc
-from platwork.session import cut_lineage
+from platwork.session import stored
 
 
 def no_modes() -> Column:
@@ -89,7 +89,7 @@ def conflict_items(
     """One row per corridor and object met, with its role and tunnel ceiling."""
     lines = corridors.join(header.select("package_id", *DISTANCES), "package_id")
     # Ids of hits are few beside the shapes, and used twice.
-    hits = cut_lineage(oc.corridor_hits(lines, objects))
+    hits = stored(oc.corridor_hits(lines, objects), "hits")
     return hits.join(hit_roles(hits, objects, zones), ["package_id", "tag", "id"]).select(
         "package_id", F.col("id").alias("object_id"), "corridor_id", "role", "ceiling_z"
     )
@@ -205,7 +205,7 @@ def decide_conflicts(
     # Stale and foreign requests are answered without touching the spatial joins.
     live = requests.filter("entry_code IS NULL").select("package_id", "corridor_id", "geom", "radius", *DISTANCES)
     keys = ["package_id", "corridor_id"]
-    hits = cut_lineage(oc.corridor_hits(live, objects, protected))
+    hits = stored(oc.corridor_hits(live, objects, protected), "hits")
     items = hits.join(hit_roles(hits, objects, zones), ["package_id", "tag", "id"], "left")
     facts = requests.drop("geom").join(conflict_rollup(items.withColumnRenamed("id", "object_id"), protected_met()), keys, "left")
     return cascade(facts).select(*keys, F.col("revision").alias("input_revision"), *VERDICT_COLUMNS)
@@ -285,7 +285,7 @@ def decide_with_boundary_quality(
         .dropDuplicates(["package_id", "corridor_id"])
     )
 
-    hits = cut_lineage(oc.corridor_hits(live, objects, protected, guards))
+    hits = stored(oc.corridor_hits(live, objects, protected, guards), "hits")
     # Ids of guards met that a known object carries too. Only ids are compared.
     ids = hits.filter("tag = 'boundary'").select("package_id", F.col("id").alias("object_id"))
     taken = objects.select("package_id", "object_id").join(ids, ["package_id", "object_id"], "left_semi")

@@ -44,9 +44,8 @@ def sp7_union_coverage_clip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sp7_touching_leftovers(spark: SparkSession, sf: str) -> DataFrame:
-    return of.touching_leftovers(fx.water_faces(spark, sf), fx.water_coverage(spark, sf)).drop(
-        "package_id"
-    )
+    faces = fx.water_faces(spark, sf).unionByName(fx.rim_faces(spark, sf))
+    return of.touching_leftovers(faces, fx.water_coverage(spark, sf)).drop("package_id")
 
 
 def g3_water_face_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,7 +97,8 @@ oracle(
 )
 oracle(
     "sp7_touching_leftovers",
-    """SELECT face_id FROM d_faces WHERE x = 80 OR (is_box AND x + 8 = 0) OR y = (SELECT high FROM d_plane)""",
+    """SELECT face_id, 'LineString' AS form FROM d_faces WHERE x = 80 OR (is_box AND x + 8 = 0) OR y = (SELECT high FROM d_plane)
+       UNION ALL SELECT 'e' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'LineString' ELSE 'Point' END FROM nation""",
 )
 oracle(
     "w3_window_roi_compare",

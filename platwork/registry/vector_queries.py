@@ -17,7 +17,7 @@ from platwork.operators import conflicts as oc
 from platwork.operators.pairs import bbox_pairs, edged, line_pairs, shaped
 from platwork.operators.quality import object_identity, source_quality, with_validity
 from platwork.plans import decisions as pd
-from platwork.session import cut_lineage
+from platwork.session import stored
 
 
 def _object_zone_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,7 +217,7 @@ def quality_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def jn10_boundary_affected(spark: SparkSession, sf: str) -> DataFrame:
     """Located records per corridor, and the count of records that concern every corridor."""
-    guards = cut_lineage(quality_records(spark, sf))
+    guards = stored(quality_records(spark, sf), "graded")
     located = oc.boundary_conflicts(fx.corridors(spark, sf), guards, fx.snapshot_header(spark, sf))
     everywhere = oc.unlocatable_counts(guards).filter("unlocatable > 0")
     return located.select(
@@ -239,7 +239,7 @@ def jn11_coverage_covers_envelope(spark: SparkSession, sf: str) -> DataFrame:
 
 def jn14_boundary_object_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth boundary id is already taken by an object, which must be reported."""
-    guards = cut_lineage(quality_records(spark, sf))
+    guards = stored(quality_records(spark, sf), "graded")
     taken = guards.filter(F.col("source_record_id").cast("long") % 15 == 0).filter("guard IS NOT NULL AND layer = 'roads'")
     objects = fx.objects(spark, sf).unionByName(
         taken.select(
@@ -285,7 +285,7 @@ def d3_decide_with_boundary_quality(spark: SparkSession, sf: str) -> DataFrame:
             fx.protected(spark, sf),
             fx.snapshot_header(spark, sf),
             # Graded once, used by several joins: a snapshot table in a real lake.
-            cut_lineage(quality_records(spark, sf)),
+            stored(quality_records(spark, sf), "graded"),
             boundary_snapshots(spark, sf),
         )
     )

@@ -35,3 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, safe from lost executors.
+
+    Unlike a checkpoint it is computed in one go and tells its size to the planner; how rows were
+    dealt to tasks is not kept.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

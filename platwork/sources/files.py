@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,8 +122,8 @@ def manifest_digest(manifest: DataFrame) -> DataFrame:
     """One digest per package over its path-sorted compact JSON of path to hash.
 
     Paths must be relative and unique and hashes 64 hex digits; a package with any bad
-    entry gets a code and no digest. The digest is a hash of one text, so the entries
-    (path and hash only) of a package meet in one row.
+    entry gets a code and no digest. Entries go through in order of package and path and feed one
+    running hash, so a package of any size takes the memory of one batch.
     """
     path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
     rows = manifest.select("package_id", path.alias("path"), F.lower("sha256").alias("sha256"))
@@ -136,24 +140,39 @@ def manifest_digest(manifest: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("sha256").alias("sha256"), F.bool_or(bad).alias("bad"))
         .withColumn("entry", F.concat(quoted, F.lit(':"'), F.col("sha256"), F.lit('"')))
     )
-    return (
-        entries.groupBy("package_id")
-        .agg(
-            F.bool_or(F.col("bad") | (F.col("n") > 1)).alias("_bad"),
-            F.array_sort(F.collect_list(F.struct("path", "entry"))).alias("_entries"),
-        )
-        .select(
-            "package_id",
-            F.size("_entries").cast("long").alias("files"),
-            F.when(
-                ~F.col("_bad"),
-                F.sha2(
-                    F.concat(
-                        F.lit("{"), F.array_join(F.transform("_entries", lambda e: e["entry"]), ","), F.lit("}")
-                    ).cast("binary"),
-                    256,
-                ),
-            ).alias("digest"),
-            F.when(F.col("_bad"), "INVALID_SOURCE_MANIFEST").alias("code"),
-        )
+    rows = entries.select("package_id", "path", "entry", (F.col("bad") | (F.col("n") > 1)).alias("bad"))
+    ordered = rows.repartition("package_id").sortWithinPartitions("package_id", "path")
+    kind = rows.schema["package_id"].dataType.simpleString()
+    digests = ordered.mapInArrow(_running_digests, f"package_id {kind}, files long, bad boolean, digest string")
+    return digests.select(
+        "package_id",
+        "files",
+        F.when(~F.col("bad"), F.col("digest")).alias("digest"),
+        F.when(F.col("bad"), "INVALID_SOURCE_MANIFEST").alias("code"),
     )
+
+
+def _running_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per package out of entries that come in order; a package may go over many batches."""
+    package = kind = digest = None
+    files, bad = 0, False
+
+    def told() -> pa.RecordBatch:
+        digest.update(b"}")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([package], kind), pa.array([files]), pa.array([bad]), pa.array([digest.hexdigest()])],
+            ["package_id", "files", "bad", "digest"],
+        )
+
+    for batch in batches:
+        kind = batch.column("package_id").type
+        columns = (batch.column(c).to_pylist() for c in ("package_id", "entry", "bad"))
+        for own, entry, spoiled in zip(*columns):
+            if digest is None or own != package:
+                if digest is not None:
+                    yield told()
+                package, files, bad, digest = own, 0, False, hashlib.sha256(b"{")
+            digest.update((("," if files else "") + (entry or "")).encode())
+            files, bad = files + 1, bad or bool(spoiled)
+    if digest is not None:
+        yield told()

@@ -119,7 +119,7 @@ def test_stream_answers_different_requests_under_one_id(spark, tmp_path, batches
         fx.snapshot_header(spark, FOLDER),
     )
     own = pd.decide_conflicts(fx.corridors_of(fx.table(spark, FOLDER, "events").limit(200)), *tables)
-    sent = fx.corridors_of(fx.table(spark, FOLDER, "events").limit(200), "ts").localCheckpoint()
+    sent = fx.corridors_of(fx.table(spark, FOLDER, "events").limit(200), "ts").cache()
     live = own.where("status <> 'stale_input'").orderBy("corridor_id").first()
     one = sent.where((F.col("corridor_id") == live.corridor_id) & (F.col("package_id") == live.package_id))
     other = one.withColumn("asset_modes", F.array(F.lit("nothing"))).withColumn("requested_mode", F.lit("nothing"))

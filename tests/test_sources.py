@@ -85,6 +85,17 @@ def test_manifest_digest_is_canonical(spark):
     assert all(out[k].code == "INVALID_SOURCE_MANIFEST" for k in (2, 3, 4))
 
 
+def test_manifest_digest_runs_over_many_batches(spark):
+    n = 30_000
+    rows = spark.range(n).selectExpr("CAST(NULL AS int) AS package_id", "concat('d/', id) AS path", "sha2(string(id), 256) AS sha256")
+    out = fl.manifest_digest(rows.unionByName(rows.limit(3).withColumn("package_id", F.lit(1)))).collect()
+    found = {r.package_id: r for r in out}
+    entries = {f"d/{i}": hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)}
+    text = json.dumps(dict(sorted(entries.items(), key=lambda e: e[0].encode())), separators=(",", ":"))
+    assert found[None].files == n and found[None].digest == hashlib.sha256(text.encode()).hexdigest()
+    assert found[1].files == 3
+
+
 def test_publish_once_and_apart(spark, tmp_path):
     source = tmp_path / "raw" / "in.parquet"
     source.parent.mkdir()
