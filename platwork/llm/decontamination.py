@@ -41,13 +41,33 @@ FOUND = {
 
 @dataclass
 class Suffixes:
-    """The distinct first words of an item's suffixes that have one length, and their places."""
+    """The distinct first words of an item's suffixes that have one length, and their places.
+
+    A place knows the word before it and the one behind those first words (-2 beyond the item).
+    The places of a key lie in the order of the first, and `by_after` in that of the second.
+    """
 
     length: int
     keys: list[np.ndarray]  # packed ranks, most significant first, in ascending order
     first: np.ndarray  # of each key's places
     item: np.ndarray
     word: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    by_after: np.ndarray
+
+    def unlike(self, key: np.ndarray, value: np.ndarray, behind: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place in a text and one of its key's places in items that have another word before
+        (or behind) them: rows of `key` and numbers of places."""
+        own = self.after[self.by_after] if behind else self.before
+        base = max(int(own.max(initial=0)), int(value.max(initial=0))) + 3
+        of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)) * base + own + 2
+        wanted = key * base + value + 2
+        low, high = np.searchsorted(of, wanted, "left"), np.searchsorted(of, wanted, "right")
+        a, b = self.first[key], self.first[key + 1]
+        row = np.concatenate([np.repeat(np.arange(len(key)), low - a), np.repeat(np.arange(len(key)), b - high)])
+        place = np.concatenate([_ranges(a, low), _ranges(high, b)])
+        return row, self.by_after[place] if behind else place
 
 
 @dataclass
@@ -85,13 +105,17 @@ def block_of(ids: list, texts: list, window: int = WINDOW) -> Block:
         left = np.repeat(w.first[1:], w.count) - np.arange(len(w.hash))
         at = np.flatnonzero((left >= n) & (np.repeat(lengths, w.count) == n))
         keys = _packed(ranks, at, n, bits)
-        order = _ascending(keys)
-        keys, at = [k[order] for k in keys], at[order]
+        start, end = w.first[w.doc[at]], w.first[w.doc[at] + 1]
+        before = np.where(at > start, ranks[np.maximum(at - 1, 0)], -2)
+        after = np.where(at + n < end, ranks[np.minimum(at + n, len(ranks) - 1)], -2)
+        order = np.lexsort([before, *keys[::-1]])
+        keys, at, before, after = [k[order] for k in keys], at[order], before[order], after[order]
         new = np.ones(len(at), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         first = np.append(np.flatnonzero(new), len(at))
         item = w.doc[at]
-        suffixes.append(Suffixes(n, [k[new] for k in keys], first, item, at - w.first[item]))
+        by_after = np.lexsort((after, np.cumsum(new)))
+        suffixes.append(Suffixes(n, [k[new] for k in keys], first, item, at - w.first[item], before, after, by_after))
     return Block([None if i is None else str(i) for i in ids], vocabulary, suffixes)
 
 
@@ -117,6 +141,13 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def _diagonals(place: np.ndarray, item: np.ndarray, word: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, item, word of the item and place, diagonal by diagonal."""
+    doc = docs[place]
+    order = np.lexsort((place, place - word, item, doc))
+    return doc[order], item[order], word[order], place[order]
+
+
 def search(texts: pa.Array, block: Block) -> tuple[np.ndarray, list[list], list[list]]:
     """Words of each text, its hit spans and its longest matches."""
     w = tx.words(texts, tx.ALNUM, lower=True)
@@ -147,25 +178,18 @@ def search(texts: pa.Array, block: Block) -> tuple[np.ndarray, list[list], list[
         n = (high - low)[found]
         place, which = array[_ranges(low[found], high[found])], np.repeat(found, n)
         hit |= tx.covered(total, place, s.length)
-        # Every place of the item's suffix against every place in the texts, as diagonals.
-        many = s.first[which + 1] - s.first[which]
-        source = _ranges(s.first[which], s.first[which + 1])
-        place = np.repeat(place, many)
-        item, word, doc = s.item[source], s.word[source], w.doc[place]
-        order = np.lexsort((place, place - word, item, doc))
-        item, word, doc, place = item[order], word[order], doc[order], place[order]
-        breaks = np.ones(len(place), bool)
-        breaks[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (
-            word[1:] != word[:-1] + 1
+        # A match begins where the words before differ and ends where those behind do. Along a
+        # diagonal of a text and an item, beginnings and ends take turns, so only these are listed.
+        previous = np.where(place > w.first[w.doc[place]], ranks[np.maximum(place - 1, 0)], -1)
+        following = np.where(place + s.length < w.first[w.doc[place] + 1], ranks[np.minimum(place + s.length, total - 1)], -1)
+        begins, ends = (
+            _diagonals(place[row], s.item[of], s.word[of], w.doc)
+            for row, of in (s.unlike(which, previous, False), s.unlike(which, following, True))
         )
-        begin = np.flatnonzero(breaks)
-        runs = np.diff(np.append(begin, len(place)))
-        for i, r in zip(begin.tolist(), runs.tolist()):
-            d = int(doc[i])
+        for d, i, word, a, b in zip(*(x.tolist() for x in (*begins, ends[3]))):
             matches[d].append(
-                {"item_id": block.ids[int(item[i])], "item_word": int(word[i]),
-                 "doc_word": int(place[i] - w.first[d]), "n_words": r - 1 + s.length}
-            )
+                {"item_id": block.ids[i], "item_word": word, "doc_word": a - int(w.first[d]), "n_words": b - a + s.length}
+            )
     edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
     # A span that reaches over a text's end begins anew in the next text.
     inner = w.first[1:-1]
@@ -200,7 +224,9 @@ def find_leaks(
     the longest verbatim matches, each with its item and place. Null texts and texts without
     words have none on either side. Null item ids keep their spans and have a null item_id;
     repeated ids and texts are looked up one by one. Columns of the input with these names are
-    replaced. An empty benchmark finds nothing, no documents give no rows.
+    replaced. An empty benchmark finds nothing, no documents give no rows. Long texts are searched
+    whole; in one that repeats itself as an item does, work and memory go with the words and the
+    matches reported, not with the pairs of places that agree.
     """
     keep = [c for c in (keep or docs.columns) if c not in FOUND]
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
