@@ -71,11 +71,15 @@ def mixed(
 
     Needs doc_id, source and text. Null texts have size 0 and are never drawn beyond the whole
     copies; a null source is a source. Equal ids are drawn with equal chances, equal ranks are
-    told apart by id and size; rows alike in all of these are interchangeable. key is the
-    xxhash64 of id, source and text. An empty table gives none.
+    told apart by id, size and key, the xxhash64 of id, source and text. Of rows alike in all of
+    these each is drawn for itself; which ones are is of no account. An empty table gives none.
     """
     sized = written(
-        docs.select("doc_id", "source", F.expr(KEY).alias("key"), word_count(F.col("text")).alias("size")), "mix-sizes"
+        docs.select(
+            "doc_id", "source", F.expr(KEY).alias("key"), word_count(F.col("text")).alias("size"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "mix-sizes",
     )
     goals = targets(sized, weights, share, most)
     ratio = F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))
@@ -122,7 +126,7 @@ def mixed(
         .when(F.col("cut_class").isNull() | (F.col("class") < F.col("cut_class")), 1)
         .otherwise(0),
     )
-    within = Window.partitionBy("place").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("place").orderBy("rank", "doc_id", "size", "key", "row").rowsBetween(Window.unboundedPreceding, 0)
     upto_here = F.col("cut_words") + F.sum("size").over(within)
     at_cut = placed.where(sorted_class).withColumn("extra", F.when(upto_here <= F.col("missing"), 1).otherwise(0))
     drawn = written(sure.unionByName(at_cut), "mix-drawn")
@@ -133,10 +137,10 @@ def mixed(
     closing = (
         drawn.where("extra = 0 AND rank IS NOT NULL").join(per_source(lacking), "place").where(off < F.col("lacking"))
         .groupBy("place")
-        .agg(F.min_by(F.struct("rank", "doc_id", "size"), F.struct(off, "rank", "doc_id")).alias("last"))
+        .agg(F.min_by("row", F.struct(off, "rank", "doc_id", "key", "row")).alias("last"))
         .select(F.col("place").alias("last_place"), "last")
     )
-    is_last = (F.col("extra") == 0) & F.struct("rank", "doc_id", "size").eqNullSafe(F.col("last"))
+    is_last = (F.col("extra") == 0) & F.coalesce(F.col("row") == F.col("last"), F.lit(False))
     copies = F.col("whole") + F.col("extra") + F.when(is_last, 1).otherwise(0)
     return drawn.join(per_source(closing), F.col("place") == F.col("last_place"), "left").select(
         "doc_id", "source", "key", "size", "source_size", "target",
@@ -147,15 +151,31 @@ def mixed(
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Every row of `docs` as often as the mix takes it, with the columns of `docs`.
 
-    Rows equal in id, source and text are taken equally often.
+    Copies drawn for rows equal in id, source and text are spread over them as evenly as can be.
+    Names that begin with two underscores are reserved.
     """
     taken = (
         mixed(docs, weights, share, most)
-        .groupBy(F.col("key").alias("__key")).agg(F.max("copies").cast("int").alias("__copies"))
+        .groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
         .where("__copies > 0")
     )
+    found = docs.withColumn("__key", F.expr(KEY)).join(taken, "__key")
+    even = found.where("__copies % __rows = 0").withColumn("__n", F.expr("int(__copies DIV __rows)"))
+    # Rows are told apart only where the cut of a source falls among equal ones; in parts, as these may be many.
+    uneven = written(
+        found.where("__copies % __rows != 0").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(256))),
+        "mix-equal",
+    )
+    before = Window.partitionBy("__key").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = uneven.groupBy("__key", "__salt").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__key", "__salt").orderBy(F.lit(0)))
+    shared = (
+        uneven.join(parts.drop("count"), ["__key", "__salt"]).withColumn("__number", number)
+        .withColumn("__n", F.expr("int(__copies DIV __rows + if(__number <= __copies % __rows, 1, 0))"))
+    )
+    columns = [*docs.columns, "__n"]
     return (
-        docs.withColumn("__key", F.expr(KEY)).join(taken, "__key")
-        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy"))
+        even.select(*columns).unionByName(shared.select(*columns))
+        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__copy"))
         .select(*docs.columns)
     )

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from platwork.llm import collocations, consistent, ranking
+from platwork.llm import collocations, consistent, decontamination, mixing, ranking
 from platwork.llm import text as tx
 from tests.llm import cases
 
@@ -247,3 +247,54 @@ def test_heaps_stay_bounded_and_right():
         best = sorted((-s, i) for s, i, item in rows if item == k)[:4]
         own = heaps.item == k
         assert list(zip((-heaps.score[own]).tolist(), heaps.id[own].tolist())) == best
+
+
+# --- repeated words and rows in earlier operators ---
+
+
+def naive_matches(text, items):
+    """Longest common runs of words, diagonal by diagonal, that hold a window of the item."""
+    d, out = cases.plain_words(text), set()
+    for item, t in items:
+        w = cases.plain_words(t)
+        least = min(10, len(w))
+        for shift in range(-len(w) + 1, len(d)) if w else ():
+            run = 0
+            for q in range(len(w) + 1):
+                p = q + shift
+                if q < len(w) and 0 <= p < len(d) and d[p] == w[q]:
+                    run += 1
+                    continue
+                if run >= least:
+                    out.add((str(item), q - run, p - run, run))
+                run = 0
+    return out
+
+
+def test_matches_equal_a_plain_search():
+    items = [(1, "a " * 15), (2, "x y z"), (3, "p q r s t u v w x y z a b"), (4, "a b " * 8), (5, "q")]
+    texts = ["a " * 40, "q x y z x y z", "o p q r s t u v w x y z a b c", "a " * 12 + "b " + "a " * 11, "b a " * 20, ""]
+    block = decontamination.block_of([i for i, _ in items], [t for _, t in items])
+    _, _, found = decontamination.search(pa.array(texts), block)
+    for text, own in zip(texts, found):
+        got = [(m["item_id"], m["item_word"], m["doc_word"], m["n_words"]) for m in own]
+        assert len(got) == len(set(got)) and set(got) == naive_matches(text, items)
+
+
+def test_long_texts_of_one_word_stay_small():
+    block = decontamination.block_of([1], ["a " * 1000])
+    count, spans, found = decontamination.search(pa.array(["a " * 200_000]), block)
+    assert count[0] == 200_000 and spans[0] == [{"start": 0, "end": 200_000}] and len(found[0]) == 200_981
+
+
+def test_a_mix_of_equal_rows_meets_its_target(spark):
+    rows = [(7, "w " * 100, "a", n) for n in range(31)] + [(8, "v " * 30, "a", 0)]
+    rows += [(i, "u " * 50, "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(5)
+    found = mixing.mixed(docs).toPandas()
+    for _, own in found.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 50
+    out = mixing.mixture(docs)
+    assert out.columns == docs.columns and out.count() == found["copies"].sum()
+    equal = out.where("doc_id = 7 AND source = 'a'").groupBy("extra").count().toPandas()["count"]
+    assert len(equal) == 31 and equal.max() - equal.min() <= 1
