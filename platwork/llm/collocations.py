@@ -14,13 +14,14 @@ by accident or too early is counted too, and as a count carries the parts it cov
 twice. Filters have a fixed greatest size, beyond which they only let more through. Tasks sum before
 the shuffle.
 
-Phrases are counted by 64-bit hashes, which can only raise a count; a last scan counts the texts of
-the phrases found, so results are exact.
+Phrases are counted by 64-bit hashes; a last scan counts the phrases found by their texts, and only
+within one task are these known by their hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ LEAST = 30
 #: Parts of the texts that a cycle goes through.
 SHARDS = 3
 #: Bits of a filter at most (16 MB), and different phrases that a task sums before it hands them on.
-FILTER_BITS, HELD = 1 << 27, 1 << 21
+FILTER_BITS, HELD = 1 << 27, 1 << 20
+#: Different phrases in a part of a table of counts, about.
+PART = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -124,18 +127,42 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return key[at], np.add.reduceat(count[order], at) if len(at) else count[:0]
 
 
-def count_active(texts: DataFrame, every, recent, first_cycle: bool, longest: int) -> DataFrame:
-    """key, n: the occurrences of the active phrases in some texts."""
+def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys and counts; keys as steps from one to the next, which are shorter."""
+    return tx.packed(np.diff(key, prepend=np.uint64(0)).view(np.int64), n)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, n = tx.unpacked(data, 2)
+    return np.cumsum(step.view(np.uint64), dtype=np.uint64), n
+
+
+def count_active(
+    texts: DataFrame, every, recent, first_cycle: bool, longest: int, bits: int, share: int
+) -> DataFrame:
+    """The occurrences of the active phrases in some texts, in 2^bits parts by the upper bits of keys.
+
+    part, counts (keys and numbers, packed) and likely (the keys that occur `share` times or more).
+    """
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
-        def merged() -> pa.RecordBatch:
+        def merged() -> int:
             nonlocal keys, counts
             key, n = _counted(keys, counts)
             keys, counts = [key], [n]
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+            return len(key)
+
+        def dealt() -> pa.RecordBatch:
+            (key,), (n,) = keys, counts
+            part = (key >> shift).astype(np.int64)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(at[1:], len(key))
+            blobs = [_packed(key[a:b], n[a:b]) for a, b in zip(at.tolist(), ends.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], ["part", "counts"])
 
         for part in tx.slices(batches):
             o = Occurrences(part, longest)
@@ -158,29 +185,67 @@ def count_active(texts: DataFrame, every, recent, first_cycle: bool, longest: in
                 key, n = _counted([key], [np.ones(len(key), np.int64)])
                 keys.append(key)
                 counts.append(n)
-            if sum(map(len, keys)) > HELD:
-                batch = merged()
-                if batch.num_rows > HELD // 2:
-                    yield batch
-                    keys, counts = [], []
+            if sum(map(len, keys)) > HELD and merged() > HELD // 2:
+                yield dealt()
+                keys, counts = [], []
         if keys:
-            yield merged()
+            merged()
+            yield dealt()
+
+    def joined(group: pa.Table) -> pa.Table:
+        own = [_unpacked(x) for x in group.column("counts").to_pylist()]
+        key, n = _counted([k for k, _ in own], [n for _, n in own])
+        return pa.table(
+            [
+                group.column("part").slice(0, 1), pa.array([_packed(key, n)], pa.binary()),
+                pa.array([key[n >= share].view(np.int64).tolist()], pa.list_(pa.int64())),
+            ],
+            ["part", "counts", "likely"],
+        )
+
+    return texts.mapInArrow(run, "part long, counts binary").groupBy("part").applyInArrow(
+        joined, "part long, counts binary, likely array<long>"
+    )
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+def reaching(counts: list[DataFrame], hope, least: int, reached: list[DataFrame]) -> DataFrame:
+    """key: the phrases in the filter whose counts reach the threshold now and are in none of the tables `reached`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("counts"):
+                key, n = _unpacked(blob.as_py())
+                some = np.flatnonzero(hope.value.has(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some])], ["key", "n"])
+
+    rows = reduce(DataFrame.unionByName, counts).select("counts").mapInArrow(run, "key long, n long")
+    summed = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    return summed.join(reduce(DataFrame.unionByName, reached), "key", "left_anti") if reached else summed
 
 
 def count_found(texts: DataFrame, every, longest: int) -> DataFrame:
     """lang, k (words), phrase, n: the occurrences of the phrases the filter knows, by their texts;
     and one row a lang with a null phrase, k 0 and the number of all its words."""
+    names = ["lang", "k", "phrase", "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, 16 << 20):
+        keys, counts, texts_of = [], [], []  # of a task so far: what it met, how often, and how it reads
+
+        def told() -> Iterator[pa.RecordBatch]:
+            key, n = _counted(keys, counts)
+            seen = pa.concat_tables(texts_of).combine_chunks()
+            known, at = np.unique(seen.column("key").to_numpy(), return_index=True)
+            n = n[np.searchsorted(key, known)]
+            out = seen.select(["lang", "k", "phrase"]).take(pa.array(at)).append_column("n", pa.array(n))
+            yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+        for part in tx.slices(batches, 4 << 20):
             o = Occurrences(part, longest)
             langs = pa.array(o.langs, pa.string())
             n = np.bincount(o.lang, minlength=len(langs)).astype(np.int64)
             m = len(n)
             yield pa.RecordBatch.from_arrays(
-                [langs, pa.array([0] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array(n)], ["lang", "k", "phrase", "n"]
+                [langs, pa.array([0] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array(n)], names
             )
             known = np.ones(len(o.keys[0]) + 1, bool)
             for k in range(1, longest + 1):
@@ -191,17 +256,28 @@ def count_found(texts: DataFrame, every, longest: int) -> DataFrame:
                 known[at] = True
                 if not len(at):
                     continue
-                _, first, n = np.unique(o.keys[k - 1][at], return_index=True, return_counts=True)
-                at = at[first]
-                for i in range(0, len(at), 1 << 18):
-                    own = at[i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays(
+                key, first, n = np.unique(o.keys[k - 1][at], return_index=True, return_counts=True)
+                new = ~np.isin(key, keys[0]) if keys else np.ones(len(key), bool)
+                keys.append(key)
+                counts.append(n)
+                own = at[first[new]]
+                texts_of.append(
+                    pa.table(
                         [
-                            langs.take(pa.array(o.lang[own])), pa.array(np.full(len(own), k, np.int32)),
-                            o.phrase(own, k).cast(pa.string()), pa.array(n[i : i + (1 << 18)]),
+                            pa.array(key[new]), langs.take(pa.array(o.lang[own])),
+                            pa.array(np.full(len(own), k, np.int32)), o.phrase(own, k).cast(pa.string()),
                         ],
-                        ["lang", "k", "phrase", "n"],
-                    )
+                        ["key", "lang", "k", "phrase"],
+                    )
+                )
+            if keys:
+                key, n = _counted(keys, counts)
+                keys, counts = [key], [n]
+                if len(key) > HELD:
+                    yield from told()
+                    keys, counts, texts_of = [], [], []
+        if keys:
+            yield from told()
 
     counted = texts.mapInArrow(run, "lang string, k int, phrase string, n long")
     return counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
@@ -227,34 +303,27 @@ def frequent_phrases(
     bits = 1 << 16
     while bits < min(size // 8, filter_bits):
         bits *= 2
+    # At most some two phrases a word are counted in one scan, of six bytes a word.
+    part_bits = max(1, int(size // (3 * shards * PART)).bit_length())
     context = docs.sparkSession.sparkContext
-    every, news = Filter(bits), []
-    running, step = None, 0
-    sent: list = [None, None]
+    every, news, hopes, counts, reached, sent = Filter(bits), [], [], [], [], [None, None]
+    step = 0
     while step < shards or sent[1] is not None:
-        counted = count_active(part[step % shards], *sent, step < shards, longest)
-        own = F.lit(1 << (step % shards))
-        counted = counted.select(
-            "key", "n", own.alias("now"), F.lit(0).alias("parts"), F.lit(None).cast("int").alias("reached"), F.lit(step).alias("last")
-        )
-        if running is not None:
-            counted = counted.unionByName(running.withColumn("now", F.lit(0)))
-        before = F.max("parts")
-        # A part that is in the count already does not enter again.
-        n = F.sum(F.when(F.col("now") == 0, F.col("n")).otherwise(0)) + F.when(
-            before.bitwiseAND(own) == 0, F.sum(F.when(F.col("now") > 0, F.col("n")).otherwise(0))
-        ).otherwise(0)
-        state = counted.groupBy("key").agg(
-            n.alias("n"), before.bitwiseOR(F.max("now")).alias("parts"), F.max("reached").alias("reached"), F.max("last").alias("last")
-        )
-        state = state.withColumn("reached", F.when(F.col("n") >= least, F.coalesce("reached", F.lit(step))))
-        # A rare one that was not met for a whole cycle is complete, or not active yet and will begin anew.
-        state = state.where((F.col("last") > step - shards) | F.col("reached").isNotNull())
-        old, running = running, written(state, "phrase-counts")
-        if old is not None:
-            forget(old)
+        # What reaches the threshold over all parts holds an equal share of it in one of them.
+        counted = count_active(part[step % shards], *sent, step < shards, longest, part_bits, -(-least // shards))
+        counts.append(written(counted, "phrase-counts"))
+        hope = Filter(bits)
+        hope.add(counts[-1].select(F.explode("likely").alias("key")))
+        hopes = [*hopes, hope.words][-shards:]
+        # The last counts of all parts: one cycle, in which no part enters twice.
+        while len(counts) > shards:
+            forget(counts.pop(0))
+        hope.words = reduce(np.bitwise_or, hopes)
+        asked = context.broadcast(hope)
+        fresh = written(reaching(counts, asked, least, reached), "phrase-keys")
+        asked.destroy()
+        reached.append(fresh)
         new = Filter(bits)
-        fresh = running.where(F.col("reached") == step).select("key")
         new.add(fresh)
         news = [*news, new.words][-shards:]
         every.words |= new.words
@@ -263,11 +332,15 @@ def frequent_phrases(
             recent.words |= words
         for old in sent:
             if old is not None:
-                old.unpersist()
+                old.destroy()
         sent = [context.broadcast(every), context.broadcast(recent)] if recent.words.any() else [None, None]
         step += 1
-    forget(running)
-    found = count_found(dealt.select("lang", "text"), context.broadcast(every), longest)
+    for table in (*counts, *reached):
+        forget(table)
+    # Tasks name what they found, so fewer and longer ones have less to say; enough are left for all cores.
+    whole = dealt.select("lang", "text")
+    whole = whole.coalesce(max(context.defaultParallelism, whole.rdd.getNumPartitions() // 8))
+    found = count_found(whole, context.broadcast(every), longest)
     found = written(found.where((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
     forget(dealt)
     return found
