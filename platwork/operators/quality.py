@@ -386,12 +386,20 @@ def repair_review(features: DataFrame) -> DataFrame:
     )
 
 
-def boundary_report(records: DataFrame) -> DataFrame:
-    """Every degraded record with identity, hash, bounds and review flags.
+def with_candidates(records: DataFrame) -> DataFrame:
+    """Adds candidate_status: what a repair of an invalid or empty record would leave; NULL for the others."""
+    status = repair_review(records).select(*KEY, F.col("status").alias("candidate_status"))
+    return records.join(status, list(KEY), "left")
 
-    `records` carries quality, guard, object_id and wkb.
+
+def boundary_report(records: DataFrame, with_sources: bool = False) -> DataFrame:
+    """Every degraded record with identity, hash, bounds, candidate status and review flags.
+
+    `records` carries quality, guard, object_id, wkb and, where it was looked for (see
+    `with_candidates`), candidate_status. The sources' bytes come along on demand, as hex.
     """
     box = F.expr(bbox_of("guard"))
+    known = "candidate_status" in records.columns
     return records.filter(F.col("quality") != "VALID_PLANAR_SOURCE").select(
         *KEY,
         "object_id",
@@ -403,7 +411,10 @@ def boundary_report(records: DataFrame) -> DataFrame:
         box["xmax"].alias("xmax"),
         box["ymax"].alias("ymax"),
         F.col("guard").isNotNull().alias("location_known"),
+        F.col("candidate_status") if known else F.lit(None).cast("string").alias("candidate_status"),
+        *([F.lower(F.hex("wkb")).alias("source_wkb_hex")] if with_sources else []),
         F.lit(False).alias("candidate_accepted"),
+        F.lit(False).alias("physical_envelope_accepted"),
         F.lit(False).alias("automatic_demolition_allowed"),
         F.lit(True).alias("review_required"),
     )
@@ -418,6 +429,21 @@ def quality_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def candidate_counts(records: DataFrame, header: DataFrame) -> DataFrame:
+    """Per layer the declared, retained and dropped records, and a histogram of candidate statuses.
+
+    One row per layer and status (NULL: no candidate); `header` has package_id, layer and
+    declared_count. Nothing is ever dropped on purpose: a difference is a fault of the import.
+    """
+    key = ["package_id", "layer"]
+    counts = records.groupBy(*key, "candidate_status").agg(F.count("*").alias("records"))
+    kept = records.groupBy(*key).agg(F.count("*").alias("retained"))
+    return (
+        header.select(*key, "declared_count").join(kept, key, "left").na.fill(0, ["retained"])
+        .withColumn("dropped", F.col("declared_count") - F.col("retained")).join(counts, key, "left")
+    )
+
+
 def snapshot_integrity(header: DataFrame, records: DataFrame, files: DataFrame) -> DataFrame:
     """Codes of a boundary snapshot that must not be used.
 

@@ -13,6 +13,7 @@ from platwork.operators import grids as og
 from platwork.operators import quality as oq
 from platwork.plans import reports as pr
 from platwork.registry.vector_queries import quality_records
+from platwork.session import stored
 
 
 def _faces(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +194,8 @@ def ag7_review_counts(spark: SparkSession, sf: str) -> DataFrame:
 def q5_boundary_report(spark: SparkSession, sf: str) -> DataFrame:
     from platwork.sources.wkb import with_wkb
 
-    return oq.boundary_report(with_wkb(quality_records(spark, sf))).select(
+    records = oq.with_candidates(stored(quality_records(spark, sf), "graded"))
+    return oq.boundary_report(with_wkb(records), with_sources=True).select(
         "layer",
         "source_record_id",
         "object_id",
@@ -204,7 +206,10 @@ def q5_boundary_report(spark: SparkSession, sf: str) -> DataFrame:
         "xmin",
         "ymax",
         "location_known",
+        "candidate_status",
+        (F.sha2(F.unhex("source_wkb_hex"), 256) == F.col("source_wkb_sha256")).alias("source_agrees"),
         "candidate_accepted",
+        "physical_envelope_accepted",
         "automatic_demolition_allowed",
         "review_required",
     )
@@ -214,6 +219,15 @@ def ag6_quality_counts(spark: SparkSession, sf: str) -> DataFrame:
     return oq.quality_counts(quality_records(spark, sf)).drop("package_id")
 
 
+def ag6_candidate_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The roads layer declares all parts, the other layer one record more than it has."""
+    parts = fx.table(spark, sf, "part").select(F.count("*").alias("declared_count"))
+    header = parts.selectExpr("'city' AS package_id", "'roads' AS layer", "declared_count").unionByName(
+        parts.selectExpr("'city' AS package_id", "'lost' AS layer", "2L AS declared_count")
+    )
+    return oq.candidate_counts(oq.with_candidates(stored(quality_records(spark, sf), "graded")), header).drop("package_id")
+
+
 def sp8_segment_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Sub-edges of the twisted rings, cut at their own crossing."""
     records = fx.boundary_records(spark, sf).filter("layer = 'roads'")
@@ -286,6 +300,7 @@ QUERIES = {
         ag7_review_counts,
         q5_boundary_report,
         ag6_quality_counts,
+        ag6_candidate_counts,
         sp8_segment_nodes,
         q6_snapshot_integrity,
     )

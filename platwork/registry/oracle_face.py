@@ -221,15 +221,22 @@ oracle(
     "q5_boundary_report",
     """SELECT 'roads' AS layer, okey::VARCHAR AS source_record_id, boundary_id AS object_id, quality,
          ['Normal', 'Elevated', 'Tunnel'][okey // 3 % 3 + 1] AS source_form, false AS no_source, 64 AS hash_length, x0 AS xmin, y0 + h AS ymax,
-         true AS location_known, false AS candidate_accepted, false AS automatic_demolition_allowed, true AS review_required
+         true AS location_known, CASE WHEN okey % 3 = 0 THEN 'POLYGON_CANDIDATE' END AS candidate_status, true AS source_agrees,
+         false AS candidate_accepted, false AS physical_envelope_accepted, false AS automatic_demolition_allowed, true AS review_required
        FROM d_boundary WHERE quality <> 'VALID_PLANAR_SOURCE'
-       UNION ALL SELECT 'lost', '0', 'boundary:' || substr(sha256('lost' || chr(0) || 'r1'), 1, 16) || ':0', 'NULL_GEOMETRY', NULL, true, NULL, NULL, NULL, false, false, false, true""",
+       UNION ALL SELECT 'lost', '0', 'boundary:' || substr(sha256('lost' || chr(0) || 'r1'), 1, 16) || ':0', 'NULL_GEOMETRY', NULL, true, NULL, NULL, NULL, false, NULL, NULL, false, false, false, true""",
 )
 oracle(
     "ag6_quality_counts",
     """SELECT 'roads' AS layer, quality, count(*) AS records, count(*) FILTER (WHERE quality <> 'VALID_PLANAR_SOURCE') AS degraded, 0 AS unlocatable
        FROM d_boundary GROUP BY quality UNION ALL SELECT 'lost', 'NULL_GEOMETRY', 1, 1, 1""",
 )
+oracle(
+    "ag6_candidate_counts",
+    """SELECT 'roads' AS layer, (SELECT count(*) FROM d_boundary) AS declared_count, (SELECT count(*) FROM d_boundary) AS retained, 0 AS dropped,
+         CASE WHEN okey % 3 = 0 THEN 'POLYGON_CANDIDATE' END AS candidate_status, count(*) AS records
+       FROM d_boundary GROUP BY ALL UNION ALL SELECT 'lost', 2, 1, 1, NULL, 1""",
+)
 oracle(
     "sp8_segment_nodes",
     """SELECT source_record_id, round(least_x, 6) AS x1, round(least_y, 6) AS y1, round(most_x, 6) AS x2, round(most_y, 6) AS y2, 1 AS drawn FROM (

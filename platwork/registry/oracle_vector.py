@@ -24,7 +24,7 @@ cte("d_zones", "SELECT *, zkey % 13 <> 7 AS zone_ok FROM d_allzones WHERE zkey %
 cte(
     "d_objects",
     """
-    SELECT 'b' || p_partkey AS object_id, p_partkey AS okey, p_partkey % 2 = 0 AS is_box, p_partkey % 38 <> 4 AS ok,
+    SELECT 'b' || p_partkey AS object_id, p_partkey AS okey, p_partkey % 2 = 0 AS is_box, p_partkey % 38 <> 4 AS object_ok,
       (p_partkey * 37 % 400) / 4.0::DOUBLE AS x0, (p_partkey * 3 // 10) / 4.0::DOUBLE AS y0,
       (p_size % 8 + 1) / 4.0::DOUBLE AS w, (p_partkey % 5 + 1) / 4.0::DOUBLE AS h, p_size,
       floor(p_retailprice) / 8.0::DOUBLE AS ground,
@@ -113,7 +113,7 @@ cte(
     FROM (SELECT *, least(greatest(w * (1 - d / h), a), b) AS xd, least(greatest(w * (1 - c / h), a), b) AS xc
       FROM (SELECT o.*, z.zone_id, z.allow, greatest(zx0 - x0, 0) AS a, least(zx1 - x0, w) AS b,
               greatest(zy0 - y0, 0) AS c, least(zy1 - y0, h) AS d
-            FROM d_objects o JOIN d_zones z ON o.ok AND z.zone_ok AND x0 <= zx1 AND zx0 <= x0 + w AND y0 <= zy1 AND zy0 <= y0 + h
+            FROM d_objects o JOIN d_zones z ON o.object_ok AND z.zone_ok AND x0 <= zx1 AND zx0 <= x0 + w AND y0 <= zy1 AND zy0 <= y0 + h
               AND (is_box OR greatest(zx0 - x0, 0) * h + greatest(zy0 - y0, 0) * w <= w * h)))""",
 )
 cte(
@@ -180,7 +180,7 @@ oracle(
          CASE WHEN count(zone_id) > 0 THEN 'matched' ELSE 'pending' END AS association,
          CASE WHEN bool_or(lifted) THEN 'INVALID_GEOMETRY' END AS code
        FROM (SELECT feature_id, zone_id, allow, false AS lifted FROM d_points LEFT JOIN d_zones ON zone_ok AND x BETWEEN zx0 AND zx1 AND y BETWEEN zy0 AND zy1
-             UNION ALL SELECT o.object_id, CASE WHEN o.okey % 11 <> 4 THEN zone_id END, CASE WHEN o.okey % 11 <> 4 THEN allow END, o.okey % 11 = 4 OR NOT o.ok
+             UNION ALL SELECT o.object_id, CASE WHEN o.okey % 11 <> 4 THEN zone_id END, CASE WHEN o.okey % 11 <> 4 THEN allow END, o.okey % 11 = 4 OR NOT o.object_ok
              FROM d_objects o LEFT JOIN d_object_zones z USING (object_id))
        GROUP BY feature_id""",
 )
