@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,9 @@ def publish_new(
     """Write tables into a new package folder that becomes visible in one step.
 
     All tables go to a staging folder beside the destination, with a manifest of their
-    files; the folder is then renamed. Returns the manifest.
+    files; the folder is then renamed, and a commit record is put into it, which fails if
+    there is one. Where a store renames folders file by file, the record still comes last,
+    so readers that ask for it (`published`) never see half a package. Returns the manifest.
     """
     check_destination(spark, destination, source_paths)
     staging = f"{destination.rstrip('/')}_staging_{uuid.uuid4().hex}"
@@ -70,9 +73,31 @@ def publish_new(
     _, target = _path(spark, destination)
     if files.exists(target) or not files.rename(source, target):
         raise ValueError("OUTPUT_EXISTS: output changed while it was written")
+    _commit(spark, destination)
     return spark.read.json(f"{destination.rstrip('/')}/manifest")
 
 
+COMMITTED = "_COMMITTED"
+
+
+def _commit(spark: SparkSession, destination: str) -> None:
+    files, record = _path(spark, f"{destination.rstrip('/')}/{COMMITTED}")
+    try:
+        out = files.create(record, False)
+    except Py4JJavaError as error:
+        raise ValueError("OUTPUT_EXISTS: another writer committed this package") from error
+    out.write(bytearray(b"committed"))
+    out.close()
+
+
+def published(spark: SparkSession, destination: str, table: str) -> DataFrame:
+    """A table of a committed package; a package without a commit record is refused."""
+    files, record = _path(spark, f"{destination.rstrip('/')}/{COMMITTED}")
+    if not files.exists(record):
+        raise ValueError("PACKAGE_NOT_COMMITTED: no such package, or one that is still being written")
+    return spark.read.parquet(f"{destination.rstrip('/')}/{table}")
+
+
 def package_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Artifact, relative path, hash and size of every data file of a package."""
     relative = F.regexp_replace("path", r"^.*?\Q" + folder.rstrip("/").split("/")[-1] + r"/\E", "")

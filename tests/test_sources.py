@@ -105,6 +105,13 @@ def test_publish_once_and_apart(spark, tmp_path):
     manifest = sk.publish_new(spark, {"terrain": table}, target, [str(source)])
     assert manifest.count() >= 2 and spark.read.parquet(f"{target}/terrain").count() == 10
     assert not list((tmp_path / "out").glob("*staging*"))
+    assert sk.published(spark, target, "terrain").count() == 10
+    # Half a package, as a store leaves it that renames file by file.
+    table.write.parquet(str(tmp_path / "half" / "terrain"))
+    with pytest.raises(ValueError, match="PACKAGE_NOT_COMMITTED"):
+        sk.published(spark, str(tmp_path / "half"), "terrain")
+    with pytest.raises(ValueError, match="OUTPUT_EXISTS"):
+        sk._commit(spark, target)
     with pytest.raises(ValueError, match="OUTPUT_EXISTS"):
         sk.publish_new(spark, {"terrain": table}, target, [str(source)])
     with pytest.raises(ValueError, match="OUTPUT_IN_SOURCE_DIRECTORY"):
