@@ -13,6 +13,7 @@ from platwork.llm.oracle import ORACLE
 
 
 def op1_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard (0 to 15) and slot, by sizes near equal."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     docs = table(spark, folder, "documents").select("doc_id", "text", crc.cast("long").alias("text_crc32"))
     return sharding.shard_by_ranges(docs, keep=["doc_id", "text_crc32"]).select(
@@ -22,18 +23,22 @@ def op1_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, symbols and repetition of every whole text, and whether it is kept."""
     return repetition.repetition(table(spark, folder, "documents"))
 
 
 def op3_random_fourier(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score for every whole text, learned from labels outside the held-out fold."""
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's near-duplicate class and whether it stands for it."""
     return dartminhash.near_classes(table(spark, folder, "documents"))
 
 
 def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that benchmark windows cover, and the items they come from."""
     found = decontamination.find_leaks(
         table(spark, folder, "documents").select("doc_id", "text"),
         table(spark, folder, "benchmark"),
@@ -50,6 +55,7 @@ def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_relative_factors(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that windows of earlier documents cover, removed."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return factoring.factored(docs, keep=["doc_id"]).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text_kept").cast("binary"), 256).alias("kept_sha256")
@@ -57,16 +63,19 @@ def op6_relative_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every whole text, learned from labels outside the held-out fold."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op8_transcript_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns recovered from the plain transcripts of all conversations."""
     lines = chat.transcripts(table(spark, folder, "conversations"))
     found = chat.recovered_lines(lines.select("conv_id", "line_no", "line"), chat.fit(lines))
     return chat.turns(found)
 
 
 def op9_trigram_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every whole text: base kinds counted and hashed, all spans written out."""
     found = secrets.secrets(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
 
     def of(place) -> Column:
@@ -81,6 +90,7 @@ def op9_trigram_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of all documents by source weights takes of each."""
     return mixing.mixed(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
