@@ -257,7 +257,9 @@ def count_found(texts: DataFrame, every, longest: int) -> DataFrame:
                 if not len(at):
                     continue
                 key, first, n = np.unique(o.keys[k - 1][at], return_index=True, return_counts=True)
-                new = ~np.isin(key, keys[0]) if keys else np.ones(len(key), bool)
+                new = np.ones(len(key), bool)
+                if keys:
+                    new = keys[0][np.minimum(np.searchsorted(keys[0], key), len(keys[0]) - 1)] != key
                 keys.append(key)
                 counts.append(n)
                 own = at[first[new]]
@@ -270,7 +272,8 @@ def count_found(texts: DataFrame, every, longest: int) -> DataFrame:
                         ["key", "lang", "k", "phrase"],
                     )
                 )
-            if keys:
+            # Merged when what came since is as much again; what is named twice until then is told once.
+            if keys and sum(map(len, keys[1:])) > max(len(keys[0]), HELD // 4):
                 key, n = _counted(keys, counts)
                 keys, counts = [key], [n]
                 if len(key) > HELD:
