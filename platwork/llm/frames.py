@@ -10,10 +10,26 @@ from pyspark.sql import functions as F
 from platwork.session import shared_folder
 
 
-def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, safe from lost executors."""
+#: Whether Spark deletes the shuffle files of an execution when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str, by: str | None = None, tidy: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, safe from lost executors.
+
+    With `tidy` the shuffle files that went into it are deleted once it stands; the session's setting
+    for that is put back.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(TIDY, None)
+    if tidy:
+        conf.set(TIDY, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if tidy:
+            conf.unset(TIDY) if before is None else conf.set(TIDY, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

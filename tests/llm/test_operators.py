@@ -209,18 +209,20 @@ def test_toxicity_tells_held_out_texts(spark):
 
 def test_toxicity_model_is_the_plain_one(spark, monkeypatch):
     """Every pair of words by its own counts, in many slices and parts as in one."""
-    monkeypatch.setattr(toxicity, "PART", 64)
+    monkeypatch.setattr(toxicity, "SLICE", 400)
+    monkeypatch.setattr(toxicity, "HELD", 64)
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 5000), int(i % 3 == 0)) for i in range(60)]
     rows += [(60, None, 0), (61, "", 1), (62, "w1 w1 w1", 1), (63, "Never seen, w2", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5, "doc_id")
     known = [r for r in rows if r[0] < 40]
-    model = toxicity.Model(df.where("doc_id < 40"))
+    model = toxicity.Model(df.where("doc_id < 40"), 3)
     pairs = [collections.Counter(), collections.Counter()]
     for _, t, y in known:
         w = ["", *cases.plain_words(t)]
         pairs[y].update(set(zip(w, w[1:])))
-    assert sum(len(p) for p in pairs) == model.pairs.selectExpr("sum(int(t > 0) + int(o > 0))").first()[0]
+    parts = [toxicity.pairs_of([r.pairs]) for r in model.parts.collect() if r.pairs]
+    assert len(parts) > 4 and sum(len(p) for p in pairs) == sum((t > 0).sum() + (o > 0).sum() for _, _, t, o in parts)
     both = set(pairs[0]) | set(pairs[1])
     follows = collections.Counter(w for _, w in both)
 
@@ -245,9 +247,34 @@ def test_toxicity_model_is_the_plain_one(spark, monkeypatch):
         w = ["", *cases.plain_words(t)]
         logs = [np.log(chance(1, *g) / chance(0, *g)) for g in zip(w, w[1:])]
         want[i] = np.mean(logs) if logs else 0.0
-    found = {r.doc_id: r["__mean"] for r in toxicity.measures(df, model, ["doc_id"]).collect()}
+    found = {r.doc_id: r.features for r in toxicity.measures(df, model, ["doc_id"]).collect()}
     assert found.keys() == want.keys()
-    assert all(abs(found[i] - want[i]) < 1e-9 for i in want)
+    assert all(abs(found[i][0] - want[i]) < 1e-9 for i in want)
+    # The stretches, each by itself.
+    for i, t, _ in rows:
+        w = ["", *cases.plain_words(t)]
+        logs = [np.log(chance(1, *g) / chance(0, *g)) for g in zip(w, w[1:])]
+        tops = [max((sum(logs[a : a + n]) / n for a in range(len(logs))), default=0.0) for n in toxicity.STRETCHES]
+        assert np.allclose(found[i][1:], [*tops, np.log1p(len(logs))], rtol=0, atol=1e-9)
+
+
+def test_toxicity_curve_is_a_plain_logistic_fit():
+    """Newton's weights leave no slope of the penalised likelihood."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3)) * [1, 5, 0.1] + [0, 2, -1]
+    y = (x[:, 0] + rng.normal(size=500) > 0.5).astype(float)
+    centre, scale, w = toxicity.curve(x, y)
+    z = np.column_stack([np.clip((x - centre) / scale, -8, 8), np.ones(500)])
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.array([1, 1, 1, 1e-6]) * w
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    df, labels, _ = learned(spark)
+    odd = df.selectExpr("*", "1 AS features", "2 AS `Features_`", "3 AS `__mean`", "4 AS slice")
+    left = toxicity.without_toxic(odd, labels)
+    assert left.columns == odd.columns and left.select("features", "Features_", "__mean", "slice").distinct().count() == 1
+    assert left.count() == toxicity.without_toxic(df, labels).count()
 
 
 def test_models_without_labels_answer_all(spark, docs):
