@@ -3,7 +3,7 @@
 A state is a role together with whether a line opens a turn or continues it. A line is observed
 by its speaker marker, its length and how it ends. Chances are counted on labelled turns.
 Viterbi's best path needs a transcript in order, yet a long one need not sit in one task: each
-chunk of lines is first reduced to the best score between every state before and after it, these
+chunk of lines (bounded in lines, whatever the transcript) is first reduced to the best score between every state before and after it, these
 small matrices are chained per transcript, and then every chunk is decoded between the states
 that the chain has fixed, which gives the very path of the whole.
 """
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platwork.llm.frames import written
+
 ROLES = ("system", "user", "assistant")
 #: Names that transcripts give the roles.
 NAMES = {
@@ -23,8 +25,8 @@ NAMES = {
     "assistant": ("assistant", "ai", "bot", "model", "a", "answer"),
 }
 LENGTHS = (0, 40, 160)
-#: Line numbers per chunk of a transcript.
-CHUNK = 1 << 27
+#: Lines in a chunk of a transcript at most.
+CHUNK = 1 << 16
 STATES = 2 * len(ROLES)
 
 MARKER = (
@@ -51,23 +53,45 @@ def observation(line: Column) -> Column:
 OBSERVATIONS = (len(ROLES) + 1) * (len(LENGTHS) + 1) * 2
 
 
+def numbered(df: DataFrame, by: list[str], name: str, label: str) -> DataFrame:
+    """The rows with their places in the order of some columns, from 0 and without gaps.
+
+    Ranges of the order are sorted in tasks of their own and counted; equal rows are dealt out by where
+    they were read, so no number of them meets in one task. Only a row per task is summed in one place.
+    """
+    salted = df.withColumn("__salt", F.monotonically_increasing_id())
+    keys = [*by, "__salt"]
+    rows = written(
+        salted.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()).drop("__salt"),
+        label,
+    )
+    # The first bits of a place are the number of its task.
+    task = F.shiftright("__place", 33)
+    before = F.sum("count").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(task.alias("__task")).count().select("__task", F.coalesce(before, F.lit(0)).alias("__before"))
+    # A row per task of the sort, so small whatever the data.
+    placed = rows.join(F.broadcast(counts), task == F.col("__task"))
+    return placed.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__task", "__before", "__place")
+
+
 def _role(column: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ROLES)), column).cast("int") - 1
 
 
 def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Log chances of starts, transitions and observations, from lines with conv_id, turn, role,
-    i (the line's place in its turn) and line. Every count is one more than seen; rows without
-    a known role are left out. Only a few dozen sums reach the driver.
+    """Log chances of starts, transitions and observations, from lines as `transcripts` makes them
+    (line_no: the place of the line's turn among all; i: the line's place in its turn). Every count is
+    one more than seen; rows without a known role are left out, repeated turns count each. Only a few
+    dozen sums reach the driver.
     """
     rows = labelled.select(
-        "conv_id", "turn", _role(F.col("role")).alias("role"), "i", observation(F.col("line")).alias("seen")
+        "conv_id", "turn", "line_no", _role(F.col("role")).alias("role"), "i", observation(F.col("line")).alias("seen")
     ).where("role >= 0")
     seen = np.ones((STATES, OBSERVATIONS))
     state = F.col("role") * 2 + F.when(F.col("i") > 0, 1).otherwise(0)
     for r in rows.groupBy(state.alias("s"), "seen").count().collect():
         seen[r["s"], r["seen"]] += r["count"]
-    turns = rows.groupBy("conv_id", "turn", "role").agg((F.max("i") + 1).alias("n"))
+    turns = rows.groupBy("line_no", "conv_id", "turn", "role").agg((F.max("i") + 1).alias("n"))
     move, start = np.ones((STATES, STATES)), np.full(STATES, 1e-3)
     start[::2] = 1
     for r in turns.groupBy("role").agg(
@@ -78,11 +102,10 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
         move[a, a + 1] += r["more"]
         move[a + 1, a + 1] += r["on"]
         start[a] += r["first"]
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    for r in (
-        turns.join(after, ["conv_id", "turn"])
-        .groupBy("role", "next", (F.col("n") > 1).alias("long")).count().collect()
-    ):
+    # Turns lie one behind the other, so each meets one next turn at most.
+    after = turns.select((F.col("line_no") - 1).alias("before"), F.col("conv_id").alias("of_conv"), F.col("role").alias("next"))
+    met = turns.join(after, (F.col("line_no") == F.col("before")) & F.col("conv_id").eqNullSafe(F.col("of_conv")))
+    for r in met.groupBy("role", "next", (F.col("n") > 1).alias("long")).count().collect():
         move[2 * r["role"] + r["long"], 2 * r["next"]] += r["count"]
     # A line can only continue a turn of its own role.
     for s in range(STATES):
@@ -112,19 +135,23 @@ def best_path(seen: np.ndarray, move: np.ndarray, before: np.ndarray, last: int
 
 
 def recovered_lines(lines: DataFrame, model: dict[str, np.ndarray], chunk: int = CHUNK) -> DataFrame:
-    """conv_id, line_no, line with the role found, and whether the line opens a turn.
-
-    Needs conv_id, line_no (orders a transcript, gaps allowed) and line. Repeats of a line
-    under one number are the same line; different lines under one number are put in order of
-    their text. Null lines are empty ones, rows without line_no are left out, a null conv_id
-    is a transcript of its own. No rows give no rows.
+    """conv_id, line_no, i, line with the role found, whether the line opens a turn, and `at`, the line's
+    place among all lines in order.
+
+    Needs conv_id, line_no and line; line_no, and i (0 if there is no such column), order a transcript,
+    gaps allowed. Every row comes out: lines under one number, repeated ones too, are lines of their own, put in order
+    of their text's hash. Null lines are empty ones, rows without line_no are left out, null conv_ids make
+    one transcript. However long a transcript or a turn is, a task decodes `chunk` lines at once. No rows
+    give no rows; other columns are not looked at.
     """
     shared = lines.sparkSession.sparkContext.broadcast(model)
-    rows = (
-        lines.where("line_no IS NOT NULL")
-        .select("conv_id", F.col("line_no").cast("long"), F.coalesce("line", F.lit("")).alias("line"))
-        .dropDuplicates(["conv_id", "line_no", "line"])
-        .select("*", F.expr(f"line_no DIV {chunk}").alias("chunk"), observation(F.col("line")).alias("seen"))
+    i = F.coalesce(F.col("i").cast("long"), F.lit(0)) if "i" in lines.columns else F.lit(0).cast("long")
+    plain = lines.where("line_no IS NOT NULL").select(
+        "conv_id", F.col("line_no").cast("long").alias("line_no"), i.alias("i"), F.coalesce("line", F.lit("")).alias("line")
+    )
+    keyed = plain.withColumn("__text", F.xxhash64("line"))
+    rows = numbered(keyed, ["conv_id", "line_no", "i", "__text"], "at", "transcript-lines").drop("__text").select(
+        "*", F.expr(f"at DIV {chunk}").alias("chunk"), observation(F.col("line")).alias("seen")
     )
     conv = rows.schema["conv_id"].dataType.simpleString()
 
@@ -132,7 +159,7 @@ def recovered_lines(lines: DataFrame, model: dict[str, np.ndarray], chunk: int =
         return shared.value["seen"][part.column("seen").to_numpy()]
 
     def ordered(part: pa.Table) -> pa.Table:
-        return part.sort_by([("line_no", "ascending"), ("line", "ascending")])
+        return part.sort_by("at")
 
     def reduced(key: tuple, part: pa.Table) -> pa.Table:
         m, move = np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf), shared.value["move"]
@@ -165,7 +192,7 @@ def recovered_lines(lines: DataFrame, model: dict[str, np.ndarray], chunk: int =
         enters, leaves = ends.column("enters")[0].as_py(), ends.column("leaves")[0].as_py()
         before = _entry(shared.value) if enters is None else np.where(np.arange(STATES) == enters, 0.0, -np.inf)
         path = best_path(scores(part), shared.value["move"], before, leaves)
-        return part.select(["conv_id", "line_no", "line", "chunk"]).append_column(
+        return part.select(["conv_id", "line_no", "i", "line", "at", "chunk"]).append_column(
             "role", pa.array(np.array(ROLES)[path // 2])
         ).append_column("opens", pa.array(path % 2 == 0))
 
@@ -175,7 +202,7 @@ def recovered_lines(lines: DataFrame, model: dict[str, np.ndarray], chunk: int =
         .groupBy("conv_id").applyInArrow(chained, f"conv_id {conv}, chunk long, enters int, leaves int")
     )
     return rows.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInArrow(
-        decoded, f"conv_id {conv}, line_no long, line string, chunk long, role string, opens boolean"
+        decoded, f"conv_id {conv}, line_no long, i long, line string, at long, chunk long, role string, opens boolean"
     )
 
 
@@ -186,20 +213,20 @@ def _entry(model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def turns(found: DataFrame) -> DataFrame:
-    """conv_id, line_no (of the first line), role, n_lines, text without its marker, rendered.
+    """conv_id, line_no and i (of the first line), role, n_lines, text without its marker, rendered.
 
-    A line before any opening one belongs to a turn that opens with it.
+    A line before any opening one belongs to a turn that opens with it. Lines without a conv_id make one transcript.
     """
     chunks = found.groupBy("conv_id", "chunk").agg(
-        F.max(F.when(F.col("opens"), F.col("line_no"))).alias("last"), F.min("line_no").alias("low")
+        F.max(F.when(F.col("opens"), F.col("at"))).alias("last"), F.min("at").alias("low")
     )
     earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("conv_id")
     carried = chunks.select(
         "conv_id", "chunk", F.coalesce(F.max("last").over(earlier), F.min("low").over(everything)).alias("carried")
     ).withColumnsRenamed({"conv_id": "of_conv", "chunk": "of_chunk"})
-    within = Window.partitionBy("conv_id", "chunk").orderBy("line_no", "line").rowsBetween(Window.unboundedPreceding, 0)
-    placed = found.withColumn("own", F.max(F.when(F.col("opens"), F.col("line_no"))).over(within)).join(
+    within = Window.partitionBy("conv_id", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = found.withColumn("own", F.max(F.when(F.col("opens"), F.col("at"))).over(within)).join(
         carried, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("chunk") == F.col("of_chunk"))
     )
     # A marker that stands alone leaves no line behind.
@@ -207,9 +234,9 @@ def turns(found: DataFrame) -> DataFrame:
     line = F.when(F.col("opens") & (marker(F.col("line")) > 0), bare).otherwise(F.col("line"))
     return (
         placed.groupBy("conv_id", F.coalesce("own", "carried").alias("start"), "role")
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", line.alias("line")))).alias("held"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "line_no", "i", line.alias("line")))).alias("held"))
         .select(
-            "conv_id", F.col("start").alias("line_no"), "role", F.size("held").alias("n_lines"),
+            "conv_id", F.col("held")[0]["line_no"].alias("line_no"), F.col("held")[0]["i"].alias("i"), "role", F.size("held").alias("n_lines"),
             F.array_join(F.col("held.line"), "\n").alias("text"),
         )
         .withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n")))
@@ -225,22 +252,31 @@ STYLES = (
 )
 #: One turn in so many has lost its marker.
 UNMARKED = 8
-TURN = 1 << 20
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Plain transcripts of conversation rows: lines with conv_id, turn, role, i, line_no, line.
 
-    Each conversation has a style of markers, each turn keeps or loses its own, both by hash.
-    Rows without a turn are left out; null texts are empty, unknown roles have no marker.
+    A line is placed by line_no, its row's place among all rows in the order of conversations and turns,
+    and by i, its place in the row's text. Each conversation has a style of markers, each turn keeps or
+    loses its own, both by hash. Rows without a turn are left out; rows of one turn, repeated ones too,
+    stand one behind the other in order of role and text hash; null texts are empty, unknown roles have no marker.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     marks = F.array(*[F.array(*map(F.lit, s)) for s in STYLES])
     lost = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(UNMARKED)) == 0
     mark = F.when(lost, "").otherwise(F.coalesce(F.get(F.get(marks, style), _role(F.col("role"))), F.lit("")))
-    return (
-        conversations.where("turn IS NOT NULL")
-        .select("conv_id", "turn", "role", F.posexplode(F.split(F.concat(mark, F.coalesce("text", F.lit(""))), "\n", -1)).alias("i", "line"))
-        .withColumn("line_no", F.col("turn") * TURN + F.col("i"))
-    )
+    rows = conversations.where("turn IS NOT NULL").select("conv_id", "turn", "role", "text", F.xxhash64("text").alias("__text"))
+    return numbered(rows, ["conv_id", "turn", "role", "__text"], "line_no", "transcript-rows").select(
+        "conv_id", "turn", "role", "line_no",
+        F.posexplode(F.split(F.concat(mark, F.coalesce("text", F.lit(""))), "\n", -1)).alias("i", "line"),
+    )
+
+
+#: One conversation in so many, by the crc32 of its id, is never counted.
+HELD_OUT = 5
+
 
+def held_out(conv_id: Column) -> Column:
+    """Conversations that a model is to be tried on; those without an id are among them."""
+    return F.coalesce(F.crc32(conv_id.cast("string")) % HELD_OUT == 0, F.lit(True))

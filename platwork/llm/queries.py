@@ -68,10 +68,11 @@ def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_transcript_roles(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns recovered from the plain transcripts of all conversations."""
+    """Turns recovered from the plain transcripts of all conversations; the model is counted on those not held out."""
     lines = chat.transcripts(table(spark, folder, "conversations"))
-    found = chat.recovered_lines(lines.select("conv_id", "line_no", "line"), chat.fit(lines))
-    return chat.turns(found)
+    model = chat.fit(lines.where(~chat.held_out(F.col("conv_id"))))
+    found = chat.recovered_lines(lines.select("conv_id", "line_no", "i", "line"), model)
+    return chat.turns(found).withColumn("held_out", chat.held_out(F.col("conv_id")))
 
 
 def op9_trigram_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every operator on awkward rows, on the test tables, and against brute force."""
 
 import collections
+import itertools
 import os
 import zlib
 
@@ -370,24 +371,75 @@ def test_transcripts_come_back(spark):
     ]
     talk += [(70, 0, None, "who speaks"), (70, 1, "user", None), (None, 0, "user", "no id"), (71, None, "user", "no turn")]
     df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
-    lines = chat.transcripts(df)
+    lines = chat.transcripts(df).cache()
     model = chat.fit(lines)
-    plain = lines.select("conv_id", "line_no", "line")
-    whole = chat.recovered_lines(plain.union(plain.limit(9)), model).cache()
-    assert whole.count() == lines.select("conv_id", "line_no", "line").distinct().count()
+    plain = lines.select("conv_id", "line_no", "i", "line")
+    whole = chat.recovered_lines(plain, model).cache()
+    assert bag(whole.select(plain.columns).collect()) == bag(plain.collect())
     # Small chunks find the very same path.
-    cut = chat.recovered_lines(plain, model, chunk=chat.TURN)
-    keep = ["conv_id", "line_no", "role", "opens"]
+    cut = chat.recovered_lines(plain, model, chunk=3).cache()
+    assert cut.select("chunk").distinct().count() > 20
+    keep = ["conv_id", "line_no", "i", "role", "opens"]
     assert bag(cut.select(keep).collect()) == bag(whole.select(keep).collect())
-    found = {(r.conv_id, r.line_no // chat.TURN): r for r in chat.turns(whole).collect()}
+    turn_of = {r.line_no: r.turn for r in lines.collect()}
+    found = {(r.conv_id, turn_of[r.line_no]): r for r in chat.turns(whole).collect()}
     right = [found.get((c, t)) and found[c, t].role == r for c, t, r, _ in talk if c is not None and c < 60]
     assert np.mean([bool(x) for x in right]) > 0.95
     assert found[0, 2].text.startswith("because of that 0 2\nand more")
-    assert bag((r.conv_id, r.line_no, r.text) for r in chat.turns(cut).collect()) == bag(
-        (r.conv_id, r.line_no, r.text) for r in chat.turns(whole).collect()
+    assert bag((r.conv_id, r.line_no, r.i, r.text) for r in chat.turns(cut).collect()) == bag(
+        (r.conv_id, r.line_no, r.i, r.text) for r in chat.turns(whole).collect()
     )
     none = spark.createDataFrame([], "conv_id long, line_no long, line string")
     assert chat.turns(chat.recovered_lines(none, model)).collect() == []
+    assert chat.transcripts(df.limit(0)).collect() == []
+
+
+def test_transcripts_lose_no_line(spark):
+    """Repeated rows, lines under one number, null ids and a very long turn."""
+    talk = [(1, 0, "user", "what now?"), (1, 0, "user", "what now?"), (1, 1, "assistant", "this\nthat\nthis")]
+    talk += [(None, 0, "user", "no id")] * 3 + [(2, 0, "user", "line\n" * 5000), (2, 1, "assistant", None)]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    lines = chat.transcripts(df).cache()
+    # Every row's text comes whole, behind its marker.
+    held = collections.defaultdict(list)
+    for r in sorted(lines.collect(), key=lambda r: (r.line_no, r.i)):
+        held[r.line_no].append(r.line)
+    texts = sorted((t or "" for _, _, _, t in talk), key=len)
+    assert all(x.endswith(t) for x, t in zip(sorted(map("\n".join, held.values()), key=lambda x: len(max(texts, key=lambda t: len(t) * x.endswith(t)))), texts))
+    assert lines.select("line_no", "i").distinct().count() == lines.count()
+    assert sorted(r.line_no for r in lines.select("line_no").distinct().collect()) == list(range(len(talk)))
+    model = chat.fit(lines)
+    found = chat.recovered_lines(lines, model, chunk=64).cache()
+    assert bag(found.select("conv_id", "line").collect()) == bag(lines.select("conv_id", "line").collect())
+    assert found.groupBy("conv_id", "chunk").count().selectExpr("max(count)").first()[0] <= 64
+    assert chat.turns(found).selectExpr("sum(n_lines)").first()[0] == lines.count()
+    same = spark.createDataFrame([(None, 7, "a?"), (None, 7, "a?"), (None, 7, None), (None, None, "x")], "conv_id long, line_no long, line string")
+    assert bag(chat.recovered_lines(same, model).select("line_no", "line").collect()) == bag([(7, "a?"), (7, "a?"), (7, "")])
+
+
+def test_transcripts_take_the_best_of_all_paths(spark):
+    """Viterbi's path against every path there is."""
+    rng = np.random.default_rng(11)
+    said = ["User: why?", "Assistant: so", "because", "", "System: be brief", "more?", "x" * 50]
+    talk = [(c, t, chat.ROLES[rng.integers(3)], "\n".join(rng.choice(said, rng.integers(1, 4)))) for c in range(30) for t in range(4)]
+    lines = chat.transcripts(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    model = chat.fit(lines)
+    short = [(c, n, str(x)) for c in range(12) for n, x in enumerate(rng.choice(said, 1 + c % 5))]
+    plain = spark.createDataFrame(short, "conv_id long, line_no long, line string").withColumn("seen", chat.observation(F.col("line")))
+    seen = {(r.conv_id, r.line_no): r.seen for r in plain.collect()}
+    found = {(r.conv_id, r.line_no): (r.role, r.opens) for r in chat.recovered_lines(plain, model, chunk=2).collect()}
+    first = chat._entry(model)
+    first = (first[:, None] + model["move"]).max(axis=0)
+
+    def worth(path, c):
+        return first[path[0]] + sum(model["move"][a, b] for a, b in zip(path, path[1:])) + sum(
+            model["seen"][seen[c, n], s] for n, s in enumerate(path)
+        )
+
+    for c in range(12):
+        n = 1 + c % 5
+        mine = [2 * chat.ROLES.index(found[c, i][0]) + (not found[c, i][1]) for i in range(n)]
+        assert abs(worth(mine, c) - max(worth(p, c) for p in itertools.product(range(chat.STATES), repeat=n))) < 1e-9
 
 
 def test_pipeline_keeps_and_drops(spark, real):

@@ -75,7 +75,10 @@ def test_transcripts(spark):
     rows = queries.QUERIES["op8_transcript_roles"](spark, FOLDER).collect()
     talk = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
     role = {(r.conv_id, r.turn): r.role for r in talk}
-    opened = [(r.conv_id, r.line_no >> 20, r.role) for r in rows if r.line_no % (1 << 20) == 0]
-    assert sum(role[c, t] == r for c, t, r in opened) > 0.9 * len(opened) > 0.8 * len(role)
+    place = sorted(role)
+    assert len(place) == len(talk) and all(place[r.line_no][0] == r.conv_id for r in rows)
+    opened = [(place[r.line_no], r.role, r.held_out) for r in rows if r.i == 0]
+    assert sum(role[at] == r for at, r, _ in opened) > 0.9 * len(opened) > 0.8 * len(role)
+    assert all(held == (zlib.crc32(str(c).encode()) % 5 == 0) for (c, _), _, held in opened)
     for r in rows:
         assert r.rendered == f"<|{r.role}|>\n{r.text}\n<|end|>\n"
