@@ -38,6 +38,8 @@ from platwork.llm.frames import forget, written
 SLICE, PART, HELD = 8 << 20, 1 << 22, 1 << 20
 #: Words are known by so many bits, pairs by so many more than the number of pairs takes.
 WORD_BITS, SPARE = 48, 20
+#: Pairs whose chances are worked out at once.
+BLOCK = 1 << 16
 STRETCHES = (1, 4, 16)
 THRESHOLD = 0.3
 #: Labelled texts that the curve is fitted on at most; the counts use all others.
@@ -356,7 +358,11 @@ def measures(docs: DataFrame, model: Model, keep: list[str], name: str = "featur
             left -= i.stop - i.start + j.stop - j.start
         if left:
             raise RuntimeError("TEXTS_DIFFER: the texts differ between two readings")
-        table = ratio(of_pair[of_key], of_word[np.searchsorted(word, w)], of_word[np.searchsorted(word, h)])
+        word_of, before_of = np.searchsorted(word, w), np.searchsorted(word, h)
+        table = np.empty(len(w))
+        for a in range(0, len(w), BLOCK):
+            b = slice(a, a + BLOCK)
+            table[b] = ratio(of_pair[of_key[b]], of_word[word_of[b]], of_word[before_of[b]])
         total = np.zeros(len(at) + 1)
         np.cumsum(table[at], out=total[1:])
         n = np.diff(bounds)
