@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from platwork.functions.rules import assertion_rules
 from platwork.model import EDITABLE_LAND_USES, LAND_USES
 from platwork.operators.quality import with_validity
+from platwork.session import stored
 from platwork.sources.features import geojson_geometry
 
 # --- fixed values: field lists of the two documents -------------------------------
@@ -79,7 +80,6 @@ def import_zones(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             "source_record_id": F.col("row_id").cast("string"),
         }
     )
-    read = with_validity(read)
     # A number written as text or a boolean is not a number.
     strict = (
         "CASE WHEN schema_of_variant(v) RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' "
@@ -90,7 +90,9 @@ def import_zones(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             "_numbers": F.expr(f"transform(_sizes, v -> {strict})"),
             "overrides": F.expr(f"transform_values(_params, (k, v) -> {strict})"),
         }
-    ).drop("_doc", "_params")
+    ).drop("_doc", "_params", "raw")
+    # Documents are parsed once; their validity and both results look at what was read.
+    read = with_validity(stored(read, "documents"))
 
     def no(test: Column) -> Column:
         return ~F.coalesce(test, F.lit(False))

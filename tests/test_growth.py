@@ -2,6 +2,7 @@
 
 from platwork.model import GEOMETRY
 from platwork.operators import conflicts as oc
+from platwork.operators import quality as oq
 from platwork.operators.pairs import bbox_pairs
 from tests import shapes as sh
 
@@ -28,3 +29,10 @@ def test_rows_in_bins_are_never_gathered(spark, capsys):
     for df in (met, pairs):
         plan = plan_of(df, capsys)
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_records_of_few_edges_need_no_bins_however_long(spark):
+    wide = 1e13
+    twisted = sh.polygon([(0, 0), (wide, 4), (wide, 0), (0, 4), (0, 0)])
+    rows = oq.with_validity(sh.records(spark, {"box": sh.box(0, 0, wide, 2), "twisted": twisted}))
+    assert {r.source_record_id: r.is_valid for r in rows.collect()} == {"box": True, "twisted": False}
