@@ -70,9 +70,10 @@ def snap_nearest(
     node: those no farther than the least "surely within" distance seen. Only nodes of
     the last bins are compared one by one. points: package_id, point_id, x, y; nodes:
     package_id, node_id, x, y. Sizes are added until the nodes fill a few bins only, so no
-    point ever meets more than a handful of the coarsest ones.
+    point ever meets more than a handful of the coarsest ones. Points in one place are looked up
+    once.
     """
-    key = ["package_id", "point_id"]
+    key = ["package_id", "x", "y"]
     sites = nodes.groupBy("package_id", "x", "y").agg(F.min("node_id").alias("node_id"))
     near, far = _box_distances()
     extent = sites.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
@@ -100,14 +101,14 @@ def snap_nearest(
             )
         )
 
-    walk = points.selectExpr(*key, "x", "y", "0L AS px", "0L AS py")
+    walk = points.select(*key).distinct().selectExpr(*key, "0L AS px", "0L AS py")
     for level in range(levels - 1, -1, -1):
         bound = F.min(F.expr(far)).over(Window.partitionBy(*key))
         walk = (
             walk.join(bins(level), ["package_id", "px", "py"])
             .withColumn("_bound", bound)
             .filter(f"{near} <= _bound")
-            .selectExpr(*key, "x", "y", "bx AS px", "by AS py")
+            .selectExpr(*key, "bx AS px", "by AS py")
         )
     last = sites.selectExpr(
         "package_id",
@@ -117,12 +118,18 @@ def snap_nearest(
         "y AS ny",
         "node_id",
     )
-    return (
+    snapped = (
         walk.join(last, ["package_id", "px", "py"])
         .selectExpr(*key, "(x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2", "node_id")
         .groupBy(*key)
         .agg(F.min(F.struct("d2", "node_id")).alias("m"))
-        .selectExpr(*key, "m.node_id AS node_id", "m.d2 AS distance_sq")
+    )
+    # A point id given at several places gets the nearest node of all of them.
+    return (
+        points.join(snapped, key)
+        .groupBy("package_id", "point_id")
+        .agg(F.min("m").alias("m"))
+        .selectExpr("package_id", "point_id", "m.node_id AS node_id", "m.d2 AS distance_sq")
     )
 
 

@@ -2,6 +2,7 @@
 
 from platwork.model import GEOMETRY
 from platwork.operators import conflicts as oc
+from platwork.operators import network as on
 from platwork.operators import quality as oq
 from platwork.operators.pairs import bbox_pairs
 from tests import shapes as sh
@@ -36,3 +37,13 @@ def test_records_of_few_edges_need_no_bins_however_long(spark):
     twisted = sh.polygon([(0, 0), (wide, 4), (wide, 0), (0, 4), (0, 0)])
     rows = oq.with_validity(sh.records(spark, {"box": sh.box(0, 0, wide, 2), "twisted": twisted}))
     assert {r.source_record_id: r.is_valid for r in rows.collect()} == {"box": True, "twisted": False}
+
+
+def test_points_in_one_place_are_snapped_once(spark, capsys):
+    nodes = spark.createDataFrame([("p", 5, 0.0, 0.0), ("p", 3, 2.0, 0.0)], "package_id string, node_id int, x double, y double")
+    places = [("p", n, 1.0, 0.0) for n in range(50)] + [("p", 7, 0.0, 0.0), ("p", 60, None, 0.0)]
+    snapped = on.snap_nearest(spark.createDataFrame(places, "package_id string, point_id int, x double, y double"), nodes)
+    rows = {r.point_id: (r.node_id, r.distance_sq) for r in snapped.collect()}
+    assert rows == {**{n: (3, 1.0) for n in range(50)}, 7: (5, 0.0)}
+    windows = [row for row in plan_of(snapped, capsys).splitlines() if "Window" in row]
+    assert windows and not any("point_id" in row for row in windows)
