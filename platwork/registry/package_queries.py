@@ -152,10 +152,8 @@ END"""
 
 
 def _zone_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        fx.table(spark, sf, "customer")
-        .selectExpr("c_custkey AS k")
-        .selectExpr("'city' AS package_id", "k AS row_id", f"{ZONE_JSON} AS raw")
+    return fx.dealt(fx.table(spark, sf, "customer").selectExpr("c_custkey AS k"), "k").selectExpr(
+        "'city' AS package_id", "k AS row_id", f"{ZONE_JSON} AS raw"
     )
 
 

@@ -1,5 +1,6 @@
 """Work that grows with the tables: what must not be gathered, repeated or dealt to one task."""
 
+from platwork import fixtures as fx
 from platwork.model import GEOMETRY
 from platwork.operators import conflicts as oc
 from platwork.operators import network as on
@@ -47,3 +48,8 @@ def test_points_in_one_place_are_snapped_once(spark, capsys):
     assert rows == {**{n: (3, 1.0) for n in range(50)}, 7: (5, 0.0)}
     windows = [row for row in plan_of(snapped, capsys).splitlines() if "Window" in row]
     assert windows and not any("point_id" in row for row in windows)
+
+
+def test_rows_of_small_files_are_dealt_before_they_grow(spark, capsys, tmp_path):
+    spark.range(10).selectExpr("id AS p_partkey", "int(id) AS p_size", "double(id) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    assert "hashpartitioning(p_partkey" in plan_of(fx.objects(spark, str(tmp_path)), capsys)
