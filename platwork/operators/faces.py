@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platwork.functions.geometry import crosses_ray, edges_of, side, turned_edges_of
 from platwork.model import LAND, UNKNOWN, WATER
-from platwork.operators.pairs import bbox_pairs, edged, shape_pairs, shaped
+from platwork.operators.pairs import bbox_pairs, outlined, shape_pairs, shaped
 
 BLOCK = 64
 
@@ -323,8 +323,8 @@ def touching_leftovers(water: DataFrame, coverage: DataFrame) -> DataFrame:
 
     form is LineString where borders share a stretch, else Point.
     """
-    left = edged(water, ["package_id", "face_id"], "w")
-    right = edged(coverage.withColumnRenamed("face_id", "cover_id"), ["package_id", "cover_id"], "v")
+    left = outlined(water, ["package_id", "face_id"], "w")
+    right = outlined(coverage.withColumnRenamed("face_id", "cover_id"), ["package_id", "cover_id"], "v")
     pairs = shape_pairs(left, right, "w", "v", ["package_id", "face_id", "cover_id"], with_form=True)
     return pairs.filter("abs(common_area) <= 1e-9D").selectExpr(
         "package_id", "face_id", "if(along, 'LineString', 'Point') AS form"

@@ -1,11 +1,13 @@
 """Work that grows with the tables: what must not be gathered, repeated or dealt to one task."""
 
+import math
+
 from platwork import fixtures as fx
 from platwork.model import GEOMETRY
 from platwork.operators import conflicts as oc
 from platwork.operators import network as on
 from platwork.operators import quality as oq
-from platwork.operators.pairs import bbox_pairs
+from platwork.operators.pairs import bbox_pairs, outlined, shape_pairs
 from tests import shapes as sh
 
 
@@ -53,3 +55,40 @@ def test_points_in_one_place_are_snapped_once(spark, capsys):
 def test_rows_of_small_files_are_dealt_before_they_grow(spark, capsys, tmp_path):
     spark.range(10).selectExpr("id AS p_partkey", "int(id) AS p_size", "double(id) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     assert "hashpartitioning(p_partkey" in plan_of(fx.objects(spark, str(tmp_path)), capsys)
+
+
+def _circle(x, y, radius, n):
+    ring = [(x + radius * math.cos(2 * math.pi * i / n), y + radius * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return sh.polygon([*ring, ring[0]])
+
+
+def test_short_shapes_meet_in_one_row_and_long_ones_edge_by_edge(spark, capsys):
+    """Pairs of short shapes have their edges spelled out after the join, and give what long ones do."""
+    def lines(shapes):
+        rows = [("p", name, geom, 0.5) for name, geom in shapes.items()]
+        return spark.createDataFrame(rows, f"package_id string, corridor_id string, geom {GEOMETRY}, radius double")
+
+    def areas(shapes):
+        rows = [("p", name, geom) for name, geom in shapes.items()]
+        return spark.createDataFrame(rows, f"package_id string, area_id string, geom {GEOMETRY}")
+
+    short = {"short": sh.line((0, 0), (9, 0)), "inside": sh.line((20, 20), (20.25, 20.25)), "off": sh.line((0, 3.75), (9, 3.75))}
+    long = {"long": sh.line(*((i / 4, 0) for i in range(37)))}
+    few = {"box": sh.box(2, 0.5, 3, 2), "wide": sh.box(15, 15, 25, 25), "near": sh.box(12, 0.75, 13, 2)}
+    many = {"ring": _circle(5, -1.5, 1, 64), "round": _circle(20, 20, 4, 64)}
+    expected = {
+        ("short", "box"), ("short", "ring"), ("long", "box"), ("long", "ring"), ("inside", "wide"), ("inside", "round"),
+    }
+    met = oc.protection_conflicts(lines({**short, **long}), areas({**few, **many}))
+    assert sorted((r.corridor_id, r.area_id) for r in met.collect()) == sorted(expected)
+    met = oc.protection_conflicts(lines(short), areas(few))
+    assert sorted((r.corridor_id, r.area_id) for r in met.collect()) == [("inside", "wide"), ("short", "box")]
+    # The edges of both sides are spelled out above the join, so no more than the shapes is shuffled.
+    above, below = plan_of(met.select("*"), capsys).split("SortMergeJoin", 1)
+    assert "inline(" in above and "inline(" not in below
+    shapes = areas({**few, **many}).withColumnRenamed("area_id", "b")
+    both = shape_pairs(outlined(shapes.withColumnRenamed("b", "a"), ["package_id", "a"], "a"), outlined(shapes, ["package_id", "b"], "b"), "a", "b", ["package_id", "a", "b"])
+    found = {(r.a, r.b): r.common_area for r in both.collect()}
+    round_ = 64 / 2 * 16 * math.sin(2 * math.pi / 64)
+    assert set(found) == {(n, n) for n in (*few, *many)} | {("wide", "round"), ("round", "wide")}
+    assert abs(found["wide", "round"] - round_) < 1e-9 and abs(found["box", "box"] - 1.5) < 1e-9
