@@ -39,6 +39,8 @@ LEAST = 30
 SHARDS = 3
 #: Bits of a filter at most (16 MB), and different phrases that a task sums before it hands them on.
 FILTER_BITS, HELD = 1 << 27, 1 << 20
+#: Phrases that are written out as text at a time.
+SPELLED = 1 << 14
 #: Different phrases in a part of a table of counts, about.
 PART = 1 << 20
 
@@ -90,7 +92,7 @@ class Occurrences:
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy().astype(np.int64)[w.doc]
         seeds = np.array([xxhash.xxh64_intdigest(x) for x in self.langs], np.uint64)
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[w.data])])
+        breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(_BREAK[w.data], dtype=np.int32)])
         self.joined = np.zeros(len(w.start), bool)  # to the next word, in one piece
         self.joined[:-1] = (w.doc[1:] == w.doc[:-1]) & (breaks[w.start[1:]] == breaks[w.start[:-1]])
         self.keys = [tx.mix(w.hash + seeds[self.lang]) if len(seeds) else w.hash]
@@ -101,7 +103,12 @@ class Occurrences:
             self.whole.append(self.whole[-1][:m] & self.joined[k - 2 :][:m])
 
     def phrase(self, at: np.ndarray, k: int) -> pa.Array:
-        """The text of the phrases of k words that start at the given words."""
+        """The text of the phrases of k words that start at the given words; some at a time, as the place of
+        every byte takes eight."""
+        parts = [self._phrase(at[i : i + SPELLED], k) for i in range(0, len(at), SPELLED)]
+        return pa.concat_arrays(parts or [pa.array([], pa.string())])
+
+    def _phrase(self, at: np.ndarray, k: int) -> pa.Array:
         w = self.words
         each = (at[:, None] + np.arange(k)).reshape(-1)
         # A word and a blank behind it; the blank may be any byte, so it is set afterwards.
@@ -114,7 +121,7 @@ class Occurrences:
         offsets = np.concatenate([[0], ends[k - 1 :: k] - np.arange(1, len(at) + 1)])
         return pa.LargeStringArray.from_buffers(
             len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))
-        )
+        ).cast(pa.string())
 
 
 def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +246,7 @@ def count_found(texts: DataFrame, every, longest: int) -> DataFrame:
             out = seen.select(["lang", "k", "phrase"]).take(pa.array(at)).append_column("n", pa.array(n))
             yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
 
-        for part in tx.slices(batches, 4 << 20):
+        for part in tx.slices(batches):
             o = Occurrences(part, longest)
             langs = pa.array(o.langs, pa.string())
             n = np.bincount(o.lang, minlength=len(langs)).astype(np.int64)
@@ -267,7 +274,7 @@ def count_found(texts: DataFrame, every, longest: int) -> DataFrame:
                     pa.table(
                         [
                             pa.array(key[new]), langs.take(pa.array(o.lang[own])),
-                            pa.array(np.full(len(own), k, np.int32)), o.phrase(own, k).cast(pa.string()),
+                            pa.array(np.full(len(own), k, np.int32)), o.phrase(own, k),
                         ],
                         ["key", "lang", "k", "phrase"],
                     )

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -298,3 +299,17 @@ def test_a_mix_of_equal_rows_meets_its_target(spark):
     assert out.columns == docs.columns and out.count() == found["copies"].sum()
     equal = out.where("doc_id = 7 AND source = 'a'").groupBy("extra").count().toPandas()["count"]
     assert len(equal) == 31 and equal.max() - equal.min() <= 1
+
+
+def test_phrases_are_spelled_in_little_memory():
+    words = [f"w{i % 97}" for i in range(100_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words)]), pa.array(["en"])], ["text", "lang"])
+    found = collocations.Occurrences(batch, 4)
+    at = np.flatnonzero(found.whole[3])
+    tracemalloc.start()
+    spelled = found.phrase(at, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spelled.to_pylist() == [" ".join(words[i : i + 4]) for i in at]
+    assert most < 16e6
+    assert found.phrase(at[:0], 4).to_pylist() == []
