@@ -13,7 +13,7 @@ from platwork.operators import grids as og
 from platwork.operators import network as on
 from platwork.plans import decisions as pd
 from platwork.plans import reports as pr
-from platwork.session import new_folder
+from platwork.session import new_folder, stored
 from platwork.sources import features as sf_
 from platwork.sources import files as fl
 from platwork.sources import sinks as sk
@@ -235,7 +235,9 @@ def _published(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
         )
     )
     target = new_folder(spark, "package")
-    return target, sk.publish_new(spark, sk.terrain_and_mask(classes), target, [f"{sf}/orders.parquet"])
+    # Classified once for all three outputs.
+    outputs = sk.terrain_and_mask(stored(classes, "classes"))
+    return target, sk.publish_new(spark, outputs, target, [f"{sf}/orders.parquet"])
 
 
 def snk2_publish_new(spark: SparkSession, sf: str) -> DataFrame:

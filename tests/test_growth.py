@@ -8,6 +8,7 @@ from platwork.operators import conflicts as oc
 from platwork.operators import network as on
 from platwork.operators import quality as oq
 from platwork.operators.pairs import bbox_pairs, outlined, shape_pairs
+from platwork.registry import package_queries as pq
 from tests import shapes as sh
 
 
@@ -92,3 +93,12 @@ def test_short_shapes_meet_in_one_row_and_long_ones_edge_by_edge(spark, capsys):
     round_ = 64 / 2 * 16 * math.sin(2 * math.pi / 64)
     assert set(found) == {(n, n) for n in (*few, *many)} | {("wide", "round"), ("round", "wide")}
     assert abs(found["wide", "round"] - round_) < 1e-9 and abs(found["box", "box"] - 1.5) < 1e-9
+
+
+def test_packages_are_classified_once_for_all_outputs(spark, capsys, monkeypatch):
+    given = {}
+    monkeypatch.setattr(pq.sk, "publish_new", lambda spark, tables, *_: given.update(tables))
+    pq._published(spark, "/root/testdata/sf0.001")
+    assert set(given) == {"terrain", "class_mask", "water_extent"}
+    for table in given.values():
+        assert "Join" not in plan_of(table, capsys) and table.count()
