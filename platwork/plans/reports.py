@@ -12,6 +12,7 @@ from platwork.operators.conflicts import feature_zone_pairs
 from platwork.operators.faces import classify_water_faces, on_cells
 from platwork.operators.grids import row_runs, run_rectangles
 from platwork.operators.quality import scan_quality, with_validity
+from platwork.session import stored
 
 
 def layer_profile(features: DataFrame, zones: DataFrame | None = None) -> DataFrame:
@@ -28,6 +29,8 @@ def layer_profile(features: DataFrame, zones: DataFrame | None = None) -> DataFr
     if zones is None:
         rows = rows.withColumn("_met", F.lit(False))
     else:
+        # Judged once, read by the join and by the counts.
+        rows = stored(rows.drop("props"), "profiled")
         met = (
             feature_zone_pairs(rows.filter(building).select("package_id", "_key", "geom", "is_valid"), zones, "_key", with_area=False)
             .select("package_id", "_key")
