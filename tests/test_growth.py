@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from platwork import fixtures as fx
 from platwork.model import GEOMETRY
 from platwork.operators import conflicts as oc
@@ -102,3 +104,94 @@ def test_packages_are_classified_once_for_all_outputs(spark, capsys, monkeypatch
     assert set(given) == {"terrain", "class_mask", "water_extent"}
     for table in given.values():
         assert "Join" not in plan_of(table, capsys) and table.count()
+
+
+def test_dealt_rows_keep_their_number_of_parts_and_grow_after_it(spark, capsys, tmp_path):
+    """Few MB would be put together again, and filters on shapes worked out where the file is read."""
+    spark.range(10).selectExpr("id AS p_partkey", "int(id) AS p_size", "double(id) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    plan = plan_of(fx.objects(spark, str(tmp_path)).filter("geom.parts[0][0][1].x > 1"), capsys)
+    above, below = plan.split("REPARTITION_BY_NUM", 1)
+    assert "Filter (" in above and "Filter (" not in below
+
+
+def _odd_records(spark):
+    hole = [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
+    shell = [(0, 0), (6, 0), (6, 6), (0, 6), (0, 0)]
+    touching = [(2, 2), (3, 2), (3, 3), (2, 3), (2, 2)]
+    closing = [(2, 1), (3, 1), (3, 2), (2, 1)]
+    rings = {
+        "box": [shell],
+        "bowtie": [[(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)]],
+        "spike": [[(0, 0), (2, 0), (2, 2), (1, 1), (2, 2), (0, 2), (0, 0)]],
+        "collapsed": [[(0, 0), (1, 1), (1, 2), (1, 1), (0, 0)]],
+        "repeated": [[(0, 0), (0, 0), (4, 0), (4, 4), (0, 0)]],
+        "crossed hole": [shell, [(5, 5), (7, 5), (7, 5.5), (5, 5.5), (5, 5)]],
+        "hole": [shell, hole],
+        "two holes in touch": [shell, hole, touching],
+        "loop of holes": [shell, hole, touching, closing],
+        "thirds": [[(0, 0), (3, 1), (0, 1), (3, 0), (1, 2), (0, 0)]],
+    }
+    geoms = {name: ("polygon", False, [[[(float(x), float(y)) for x, y in r] for r in rs]]) for name, rs in rings.items()}
+    geoms |= {"none": None, "empty": ("polygon", False, []), "line": sh.line((0, 0), (4, 4), (4, 0), (0, 4))}
+    geoms["two"] = ("polygon", False, geoms["box"][2] + sh.box(5, 5, 7, 7)[2])
+    return sh.records(spark, geoms)
+
+
+def test_short_records_are_told_in_their_row_as_by_the_join_of_edges(spark, monkeypatch):
+    import platwork.operators.batches as ob
+
+    records = _odd_records(spark).cache()
+    joined = {r.source_record_id for r in oq._faulty_records(records).collect()}
+    assert {"bowtie", "spike", "crossed hole", "loop of holes"} <= joined and not {"box", "two holes in touch"} & joined
+    wanted = {(r.source_record_id, r.start, r.end, r.drawn) for r in oq._nodes_in_bins(records).collect()}
+    for bound in (ob.AT_ONCE, 1):
+        monkeypatch.setattr(ob, "AT_ONCE", bound)
+        rows = records.toArrow()
+        names, parts = rows["source_record_id"].to_pylist(), rows["geom"].combine_chunks().field("parts")
+        polygon = {r.source_record_id for r in records.filter("geom.kind = 'polygon'").collect()}
+        assert {n for n, bad in zip(names, ob.faulty(parts).to_pylist()) if bad and n in polygon} == joined
+    found = {(r.source_record_id, r.start, r.end, r.drawn) for r in oq.segment_nodes(records).collect()}
+    assert found == wanted and {r[0] for r in found} >= {"line", "two", "bowtie"}
+    twice = {(r.source_record_id, r.start, r.end, r.drawn) for r in oq.segment_nodes(records.unionByName(records)).collect()}
+    assert twice == wanted
+
+
+def test_short_records_are_judged_without_a_shuffle_and_noded_with_one(spark, capsys):
+    records = sh.records(spark, {"box": sh.box(0, 0, 1, 1)})
+    plan = plan_of(oq.with_validity(records), capsys)
+    assert "faulty(" in plan.split("Union", 1)[1].split("Join", 1)[0]
+    assert "Exchange" not in plan.split("Union", 1)[1].split("Join", 1)[0]
+    nodes = plan_of(oq.segment_nodes(records), capsys).split("Union", 1)[1].split("Window", 1)[0]
+    assert "noded(" in nodes and nodes.split("noded(")[0].count("Exchange") == 1
+
+
+def test_a_review_judges_its_records_once(spark, capsys):
+    review = oq.repair_review(oq.with_validity(_odd_records(spark)))
+    assert "faulty(" not in plan_of(review, capsys)
+    status = {r.source_record_id: r.status for r in review.collect()}
+    assert status["bowtie"] == "POLYGON_CANDIDATE" and status["empty"] == "UNSUPPORTED_REVIEW" and "box" not in status
+
+
+def test_pairs_of_short_shapes_are_told_in_one_row(spark, capsys):
+    shapes = {
+        "wide": sh.box(0, 0, 8, 8), "inside": sh.box(2, 2, 3, 3), "corner": sh.box(8, 8, 9, 9), "side": sh.box(8, 2, 9, 4), "apart": sh.box(20, 0, 21, 1),
+        "ring": sh.polygon([(1, 1), (7, 1), (4, 6), (1, 1)]), "line": sh.line((-1, 4), (9, 4)),
+    }
+
+    def outlines(side):
+        rows = spark.createDataFrame([("p", n, g) for n, g in shapes.items()], f"package_id string, {side} string, geom {GEOMETRY}")
+        return outlined(rows, ["package_id", side], side)
+
+    keys = ["package_id", "a", "b"]
+    pairs = shape_pairs(outlines("a"), outlines("b"), "a", "b", keys, with_form=True)
+    plan = plan_of(pairs, capsys)
+    assert "MapInArrow" in plan and "inline(" not in plan
+    found = {(r.a, r.b): (r.common_area, r.along) for r in pairs.collect()}
+    assert found["wide", "inside"] == (1.0, False) and found["wide", "corner"] == (0.0, False) and found["wide", "side"] == (0.0, True)
+    assert found["wide", "ring"] == (15.0, False) and found["ring", "line"] == (0.0, False)
+    assert not any("apart" in names for names in found if names != ("apart", "apart"))
+    # The same out of single edges.
+    lefts, rights = outlines("a").withColumn("a_whole", F.lit(False)), outlines("b")
+    single = shape_pairs(lefts, rights, "a", "b", keys, with_form=True)
+    assert {(r.a, r.b): (r.common_area, r.along) for r in single.collect()} == found
+    assert {(r.a, r.b) for r in shape_pairs(outlines("a"), rights, "a", "b", keys, False, ordered=True).collect()} == {n for n in found if n[0] < n[1]}
