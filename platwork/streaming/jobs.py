@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platwork.session import stored
+
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 )
@@ -39,19 +41,22 @@ def decide_stream(
     columns; ts, where there is one, is the time of arrival and no part of a request. A
     verdict depends on its request and the snapshot alone, so no state is kept: a repeated
     request, equal in every column, gets the same verdict again, and `answers` shows it once.
-    Different requests under one corridor_id, or without any, are answered each: `decide` sees
-    the request's digest as corridor_id, and verdicts carry it as `request`. How files fall
-    into micro-batches changes nothing. Each micro-batch is written to its own folder, so a
-    replayed batch overwrites itself.
+    Different requests under one corridor_id, or without any, are answered each: rows of a
+    micro-batch are read once and numbered, `decide` sees the number as corridor_id, and verdicts
+    carry the request's digest as `request`. How files fall into micro-batches changes nothing.
+    Each micro-batch is written to its own folder, so a replayed batch overwrites itself.
     """
     verdicts = f"{folder}/verdicts"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = batch.withColumn("request", request_key(batch)).dropDuplicates(["request"])
-        decided = decide(once.withColumn("corridor_id", F.col("request")).drop("request"))
-        columns = decided.columns
-        named = decided.withColumnRenamed("corridor_id", "request").join(once.select("request", "corridor_id"), "request")
-        named.select(*columns, "request").write.mode("overwrite").parquet(f"{verdicts}/batch_id={batch_id}")
+        named = batch.select("*", F.unhex(request_key(batch)).alias("request"), F.monotonically_increasing_id().cast("string").alias("_row"))
+        rows = stored(named, "requests")
+        decided = decide(rows.withColumn("corridor_id", F.col("_row")).drop("request", "_row"))
+        own = rows.select("_row", F.col("corridor_id").alias("_id"), "request")
+        told = decided.join(own, F.col("corridor_id") == F.col("_row")).withColumn("corridor_id", F.col("_id"))
+        told.select(*decided.columns, F.lower(F.hex("request")).alias("request")).write.mode("overwrite").parquet(
+            f"{verdicts}/batch_id={batch_id}"
+        )
 
     query = (
         requests.writeStream.foreachBatch(write)

@@ -11,6 +11,7 @@ from platwork.operators import network as on
 from platwork.operators import quality as oq
 from platwork.operators.pairs import bbox_pairs, outlined, shape_pairs
 from platwork.registry import package_queries as pq
+from platwork.streaming import jobs as st
 from tests import shapes as sh
 
 
@@ -195,3 +196,19 @@ def test_pairs_of_short_shapes_are_told_in_one_row(spark, capsys):
     single = shape_pairs(lefts, rights, "a", "b", keys, with_form=True)
     assert {(r.a, r.b): (r.common_area, r.along) for r in single.collect()} == found
     assert {(r.a, r.b) for r in shape_pairs(outlines("a"), rights, "a", "b", keys, False, ordered=True).collect()} == {n for n in found if n[0] < n[1]}
+
+
+def test_a_batch_of_requests_is_read_once_and_named_by_short_numbers(spark, capsys, tmp_path):
+    inbox, seen = str(tmp_path / "in"), []
+    spark.createDataFrame([("p", f"c{n % 3}", n % 4) for n in range(12)], "package_id string, corridor_id string, kind int").write.parquet(inbox)
+
+    def decide(batch):
+        seen.append((plan_of(batch, capsys), {r.corridor_id for r in batch.collect()}))
+        return batch.selectExpr("package_id", "corridor_id", "kind AS answer")
+
+    stream = spark.readStream.schema("package_id string, corridor_id string, kind int").parquet(inbox)
+    out = st.decide_stream(stream, decide, str(tmp_path / "run"))
+    assert {(r.corridor_id, r.answer) for r in st.answers(spark, out).collect()} == {(f"c{n % 3}", n % 4) for n in range(12)}
+    plan, names = seen[0]
+    assert len(names) == 12 and all(n.isdigit() for n in names)
+    assert "Aggregate" not in plan and "Exchange" not in plan and "sha2" not in plan
