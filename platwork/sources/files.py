@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platwork.sources.digests import long_file_digests
+
 # --- fixed values: companions a layer file cannot do without ---------------------
 REQUIRED_COMPANIONS = ("shp", "shx", "dbf")
 
@@ -21,14 +23,25 @@ def content_hashes(files: DataFrame) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Hash of every file below a folder; Spark reads the files in parallel."""
+    """Hash of every file below a folder; Spark reads the files in parallel.
+
+    Long files are read segment by segment, right away; a task holds no more than short ones.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(folder)
     )
-    return content_hashes(files)
+    found = long_file_digests(spark, folder, pattern)
+    if not found:
+        return content_hashes(files)
+    at = F.col("_metadata.file_path")
+    rows = [(path, *told) for path, told in found.items()]
+    told = spark.createDataFrame(rows, "at string, sha256 string, bytes long")
+    paths = files.filter(at.isin(list(found))).select("path", at.alias("at"))
+    long = paths.join(told, "at").select("path", "sha256", "bytes")
+    return content_hashes(files.filter(~at.isin(list(found)))).unionByName(long)
 
 
 def file_name(path: Column) -> Column:

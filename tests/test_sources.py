@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import json
+import random
 import struct
 
 import pytest
@@ -10,6 +12,7 @@ from platwork.operators import coordinates as co
 from platwork.operators import network as on
 from platwork.plans import reports as pr
 from platwork.session import new_folder
+from platwork.sources import digests as dg
 from platwork.sources import features as sf
 from platwork.sources import files as fl
 from platwork.sources import sinks as sk
@@ -76,6 +79,49 @@ def test_manifest_of_real_files(spark, tmp_path):
     assert {r.sha256 for r in rows} == {hashlib.sha256(t).hexdigest() for t in (b"one", b"two")}
 
 
+def test_manifest_of_long_files_goes_by_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dg, "SEGMENT", 5_000)
+    noise = random.Random(7)
+    odd = {
+        "noise.bin": noise.randbytes(40_000),
+        "sub/ends with feed [a]%20{b}.parquet": noise.randbytes(23_456) + b"\n",
+        "feeds.bin": b"\n" * 17_001,
+        "marked.csv": b"\xef\xbb\xbf" + b"a,\xff\r\n" * 4_000,
+        "marked_open.csv": b"\xef\xbb\xbf\n" + noise.randbytes(12_345) + b"x",
+        "one_line.bin": b"\x00" * 31_000,
+        "segment.bin": noise.randbytes(4_999) + b"\n" + noise.randbytes(5_000),
+        "packed.txt.gz": gzip.compress(noise.randbytes(20_000)),
+        "falsely.bz2": noise.randbytes(9_000),
+        "short.bin": noise.randbytes(5_000),
+    }
+    for name, content in odd.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    rows = fl.file_manifest(spark, str(tmp_path)).collect()
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    assert sorted(rows) == sorted(fl.content_hashes(plain).collect())
+    assert sorted((r.sha256, r.bytes) for r in rows) == sorted((hashlib.sha256(c).hexdigest(), len(c)) for c in odd.values())
+    # Only short files, packed ones and lines longer than a segment are read whole.
+    found = dg.long_file_digests(spark, str(tmp_path), "*")
+    whole = ("short.bin", "packed.txt.gz", "falsely.bz2", "one_line.bin")
+    assert sorted(n for _, n in found.values()) == sorted(len(c) for k, c in odd.items() if k not in whole)
+    assert settings == {k: spark.conf.get(k) for k in settings}
+
+
+def test_manifest_of_file_the_reader_refuses_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dg, "SEGMENT", 1_000_000)
+    content = random.Random(3).randbytes(3_333_333)
+    (tmp_path / "long.parquet").write_bytes(content)
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1000000")
+    try:
+        rows = fl.file_manifest(spark, str(tmp_path), "*.parquet").collect()
+    finally:
+        spark.conf.unset(limit)
+    assert [(r.sha256, r.bytes) for r in rows] == [(hashlib.sha256(content).hexdigest(), len(content))]
+
+
 def test_manifest_digest_is_canonical(spark):
     digest = "AB" * 32
     rows = [(1, "b\\c.txt", digest), (1, "a.txt", digest.lower()), (2, "../x", digest), (3, "a", "12"), (4, "a", digest), (4, "a", digest)]
